@@ -22,6 +22,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetspark.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetspark.llm.token_counts import token_counts
 
@@ -68,7 +74,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_token_counts, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op4_token_counts, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format)}
 
 
 def oracle_sql() -> dict:
