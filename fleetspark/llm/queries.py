@@ -28,6 +28,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetspark.llm.html_extraction import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetspark.llm.token_counts import token_counts
 
@@ -74,7 +80,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op4_token_counts, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_token_counts, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format)}
 
 
 def oracle_sql() -> dict:
