@@ -40,6 +40,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 512)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetspark.llm.fingerprints import edited_versions
+
+    return edited_versions(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetspark.llm import quality, toxicity
 
@@ -80,7 +86,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_token_counts, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format)}
 
 
 def oracle_sql() -> dict:
