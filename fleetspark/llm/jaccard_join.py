@@ -321,3 +321,16 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     out = rows.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2", "n_shingles"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document with the smallest id.
+
+    Of rows that share an id one stays, the first by a hash of its text. Rows
+    without an id all stay. All columns are kept.
+    """
+    found = jaccard_components(docs, settings)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    own = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("_row_of_id", F.row_number().over(own)).where("_row_of_id = 1").drop("_row_of_id")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
