@@ -45,6 +45,8 @@ class Pieces:
     def _learn(self, chunks: list[str]) -> None:
         # Every chunk begins with a blank, and the library puts one before what it encodes.
         ids = self.model.encode([c[1:] for c in chunks], num_threads=1)
+        if " " in chunks:  # a marker alone, at the end of a text: the library has no way to encode it by itself
+            ids[chunks.index(" ")] = self.model.encode("x ")[len(self.model.encode("x")) :]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         base = len(self.begin)
         self.known.update(zip(chunks, range(base, base + len(chunks)), strict=True))
