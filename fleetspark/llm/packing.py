@@ -123,15 +123,16 @@ def _how_many_fit(left: dict, lengths: list, room: int, longest: int) -> int:
 
 def _best_pair(left: dict, lengths: list, room: int, longest: int) -> int:
     """The largest sum of two other pieces within ``room`` (0 if there is none)."""
-    best, low, high = 0, 0, len(lengths) - 1
+    best = 0
+    own = [x for x in lengths if _others(left, longest, x) > 0]
+    low, high = 0, len(own) - 1
     while low <= high:
-        a, b = lengths[low], lengths[high]
-        if a + b > room:
+        a, b = own[low], own[high]
+        if a + b > room or (a == b and _others(left, longest, a) < 2):
             high -= 1
-            continue
-        if _others(left, longest, b) > (a == b) and _others(left, longest, a) > 0:
+        else:
             best = max(best, a + b)
-        low += 1
+            low += 1
     return best
 
 
