@@ -80,62 +80,88 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2, dtype=np.int64)
 
 
-def overlap_bound(points: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Summed minima for the pairs (a, b) of ``points``."""
-    out = np.zeros(len(a), np.int64)
-    size = np.array([len(p) for p in points])
-    low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-    for g in np.unique(low):
-        for h in np.unique(high[low == g]):
-            own = np.flatnonzero((low == g) & (high == h))
-            for part in np.array_split(own, max(1, len(own) * int(h) // 4_000_000)):
-                x = np.stack([folded(points[i], g) for i in a[part].tolist()])
-                y = np.stack([folded(points[i], g) for i in b[part].tolist()])
-                out[part] = np.minimum(x, y).sum(axis=1)
-    return out
+class Points:
+    """Sizes and counts of many sets, folded to as many groups as a comparison needs."""
+
+    def __init__(self, sizes: np.ndarray, counts: list[bytes]):
+        self.sizes = sizes
+        self.groups = np.fromiter(map(len, counts), np.int64, len(counts))
+        self.tables: dict[int, np.ndarray] = {}
+        self.place = np.zeros(len(counts), np.int64)
+        for g in np.unique(self.groups).tolist():
+            own = np.flatnonzero(self.groups == g)
+            self.place[own] = np.arange(len(own))
+            self.tables[g] = np.frombuffer(b"".join([counts[i] for i in own.tolist()]), np.uint8).reshape(len(own), g)
+        self.made: dict[tuple[int, int], np.ndarray] = {}
+
+    def at(self, rows: np.ndarray, groups: int) -> np.ndarray:
+        """The counts of ``rows`` in ``groups`` groups, which none has fewer of."""
+        out = np.zeros((len(rows), groups), np.uint16)
+        for g in np.unique(self.groups[rows]).tolist():
+            own = np.flatnonzero(self.groups[rows] == g)
+            if (g, groups) not in self.made:
+                self.made[g, groups] = folded(self.tables[g], groups).astype(np.uint16)
+            out[own] = self.made[g, groups][self.place[rows[own]]]
+        return out
+
+    def alike(self, a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
+        """Whether sizes and summed minima allow the pairs (a, b) to be similar."""
+        n, m = self.sizes[a], self.sizes[b]
+        keep = (n * s.whole >= m * s.part) & (m * s.whole >= n * s.part)
+        low = np.minimum(self.groups[a], self.groups[b])
+        for g in np.unique(low[keep]).tolist():
+            own = np.flatnonzero(keep & (low == g))
+            for part in np.array_split(own, max(1, len(own) * g // 4_000_000)):
+                bound = np.minimum(self.at(a[part], g), self.at(b[part], g)).sum(axis=1, dtype=np.int64)
+                keep[part] = bound >= needed(n[part], m[part], s)
+        return keep
 
 
 class RTree:
-    """Points packed into leaves by size and coarse counts; a leaf has its least size and its box's upper corner."""
+    """Points packed into leaves by size and coarse counts; a leaf has its sizes and its box's upper corner."""
 
     GROUPS = 16
 
-    def __init__(self, sizes: np.ndarray, points: list[np.ndarray], rows: np.ndarray, leaf: int):
-        coarse = np.stack([folded(points[i], self.GROUPS) for i in rows.tolist()])
+    def __init__(self, points: Points, rows: np.ndarray, leaf: int):
+        coarse, sizes = points.at(rows, self.GROUPS), points.sizes[rows]
         # Sort-tile: slabs by size, then by the first counts within a slab.
-        slab = np.argsort(np.argsort(sizes[rows], kind="stable")) // (leaf * max(1, int(np.sqrt(len(rows) / leaf))))
+        slab = np.argsort(np.argsort(sizes, kind="stable")) // (leaf * max(1, int(np.sqrt(len(rows) / leaf))))
         order = np.lexsort((coarse[:, 1], coarse[:, 0], slab))
-        cuts = range(0, len(rows), leaf)
-        self.leaves = [rows[order[i : i + leaf]] for i in cuts]
-        self.least = np.array([sizes[x].min() for x in self.leaves])
-        self.most = np.array([sizes[x].max() for x in self.leaves])
-        self.upper = np.stack([coarse[order[i : i + leaf]].max(axis=0) for i in cuts])
+        cuts = [order[i : i + leaf] for i in range(0, len(rows), leaf)]
+        self.leaves = [rows[c] for c in cuts]
+        self.least = np.array([sizes[c].min() for c in cuts])
+        self.most = np.array([sizes[c].max() for c in cuts])
+        self.upper = np.stack([coarse[c].max(axis=0) for c in cuts])
 
     def join(self, other: "RTree", s: Settings):
         """Pairs of leaves that may hold similar points."""
         for i in range(len(self.leaves)):
-            bound = np.minimum(self.upper[i], other.upper).sum(axis=1)
+            bound = np.minimum(self.upper[i], other.upper).sum(axis=1, dtype=np.int64)
             fits = (bound >= needed(self.least[i], other.least, s)) & (self.most[i] * s.whole >= other.least * s.part) & (other.most * s.whole >= self.least[i] * s.part)
             for j in np.flatnonzero(fits).tolist():
                 yield self.leaves[i], other.leaves[j]
 
 
-def block_pairs(sizes: np.ndarray, points: list, group: np.ndarray, left: np.ndarray, right: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs, one from each of the row lists ``left`` and ``right``, of different ``group`` that the bound lets through."""
-    if len(left) * len(right) <= 4 * s.leaf**2:
-        leaves = [(left, right)]
-    else:
-        leaves = RTree(sizes, points, left, s.leaf).join(RTree(sizes, points, right, s.leaf), s)
-    out_a, out_b = [], []
-    for x, y in leaves:
+def tree_join(points: Points, apart: np.ndarray, left: np.ndarray, right: np.ndarray, s: Settings):
+    """Pairs, one of the rows ``left`` and one of ``right``, of different ``apart`` that the bounds let through."""
+    for x, y in RTree(points, left, s.leaf).join(RTree(points, right, s.leaf), s):
         a, b = np.repeat(x, len(y)), np.tile(y, len(x))
-        keep = (group[a] != group[b]) & (sizes[a] * s.whole >= sizes[b] * s.part) & (sizes[b] * s.whole >= sizes[a] * s.part)
+        keep = apart[a] != apart[b]
         a, b = a[keep], b[keep]
-        if len(a):
-            keep = overlap_bound(points, a, b) >= needed(sizes[a], sizes[b], s)
-            out_a.append(a[keep])
-            out_b.append(b[keep])
-    return np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
+        keep = points.alike(a, b, s)
+        yield a[keep], b[keep]
+
+
+def leaf_join(points: Points, apart: np.ndarray, edges: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The same within blocks that fill no more than a leaf, all at once: block k is rows edges[k] to edges[k + 1]."""
+    size = np.diff(edges)
+    later = np.repeat(edges[1:], size) - np.arange(edges[0], edges[-1]) - 1  # rows after each in its block
+    a = np.repeat(np.arange(edges[0], edges[-1]), later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    keep = apart[a] != apart[b]
+    a, b = a[keep], b[keep]
+    keep = points.alike(a, b, s)
+    return a[keep], b[keep]
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -211,12 +237,10 @@ def bounded(pairs: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = [np.frombuffer(v, np.uint8) for v in batch.column("x").to_pylist()]
-            y = [np.frombuffer(v, np.uint8) for v in batch.column("y").to_pylist()]
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            rows = np.arange(len(x))
-            keep = overlap_bound(x + y, rows, rows + len(x)) >= needed(n, m, s) if len(x) else np.zeros(0, bool)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            size = np.concatenate([batch.column("n").to_numpy(), batch.column("m").to_numpy()])
+            both = Points(size, batch.column("x").to_pylist() + batch.column("y").to_pylist())
+            rows = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(both.alike(rows, rows + batch.num_rows, s), pa.bool_()))
 
     left = points.select(F.col("rep").alias("a"), F.col("n").alias("n"), F.col("counts").alias("x"))
     right = points.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("counts").alias("y"))
@@ -225,59 +249,56 @@ def bounded(pairs: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
     return near.select("a", "b", "n", "m", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def tree_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of ``members`` (key, rep, n, counts, root) that share a key, differ in root and pass the bound.
+def tree_pairs(members: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of ``members`` (key, rep, root, many) that share a key, differ in root and pass the bounds.
 
-    A key's members are joined by trees. Where a key has over ``block`` of them
-    they are dealt into parts, and a part is sent to one task for each other.
+    A key's members, of which it has ``many``, are joined by trees. Where they
+    are over ``block`` they are dealt into parts, and a part is sent to one task
+    for each other.
     """
-    many = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-    parts = F.ceil(F.col("_n") / s.block).cast("int")
-    dealt = members.join(many, "key").withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "n", "counts", "root")
     kind = members.schema["rep"].dataType.simpleString()
-
-    def joined(key, i, j, own, rep, n, counts, root):
-        """Pairs of all groups of consecutive rows that agree in key, i and j."""
-        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        points = [np.frombuffer(c, np.uint8) for c in counts]
-        out_a, out_b = [], []
-        for p, q in zip(edge.tolist(), [*edge[1:].tolist(), len(key)], strict=True):
-            rows = np.arange(p, q)
-            if q - p < 2:
+    parts = F.greatest(F.lit(1), F.ceil(F.col("many") / s.block)).cast("int")
+    dealt = members.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "root")
+    names = ["key", "_i", "_j", "_own", "rep", "root", "n", "counts"]
+
+    def joined(table: pa.Table) -> pa.RecordBatch:
+        """Pairs of all blocks: consecutive rows that agree in key, i and j."""
+        key, i, j, own, rep, root, n = (table.column(c).to_numpy() for c in names[:7])
+        points_ = Points(n, table.column("counts").to_pylist())
+        edge = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]), len(key)]
+        found = []
+        small = np.diff(edge) <= s.leaf
+        small &= i[edge[:-1]] == j[edge[:-1]]
+        for run in np.split(np.arange(len(small)), np.flatnonzero(np.diff(small)) + 1):  # runs of small blocks, or of large
+            if small[run[0]]:
+                found.append(leaf_join(points_, root, edge[run[0] : run[-1] + 2], s))
                 continue
-            if i[p] == j[p]:
-                a, b = block_pairs(n, points, root, rows, rows, s)
-                keep = rep[a] < rep[b]
-                a, b = a[keep], b[keep]
-            else:
-                a, b = block_pairs(n, points, root, rows[own[p:q] == i[p]], rows[own[p:q] == j[p]], s)
-            out_a.append(np.minimum(rep[a], rep[b]))
-            out_b.append(np.maximum(rep[a], rep[b]))
-        a, b = np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
-        if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    names = ["key", "_i", "_j", "_own", "rep", "n", "counts", "root"]
+            for k in run.tolist():
+                rows = np.arange(edge[k], edge[k + 1])
+                left, right = rows[own[rows] == i[rows]], rows[own[rows] == j[rows]]
+                if len(left) and len(right):
+                    found += tree_join(points_, root, left, right, s)
+        a = rep[np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]])]
+        b = rep[np.concatenate([np.zeros(0, np.int64), *[y for _, y in found]])]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def run(batches):
         rest = None
         for batch in batches:
-            table = pa.Table.from_batches([rest, batch] if rest is not None else [batch]).combine_chunks()
+            table = pa.Table.from_batches([*rest, batch] if rest else [batch])
             k, i, j = (table.column(c).to_numpy() for c in names[:3])
             last = np.flatnonzero((k != k[-1]) | (i != i[-1]) | (j != j[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last block may go on
             if cut:
-                head = table.slice(0, cut)
-                yield joined(*[head.column(c).to_pylist() if c == "counts" else head.column(c).to_numpy() for c in names])
-            tail = table.slice(cut).combine_chunks().to_batches()
-            rest = tail[0] if tail else None
-        if rest is not None:
-            yield joined(*[rest.column(c).to_pylist() if c == "counts" else rest.column(c).to_numpy(zero_copy_only=False) for c in names])
-
-    dealt = dealt.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
+                yield joined(table.slice(0, cut))
+            rest = table.slice(cut).to_batches()
+        if rest:
+            yield joined(pa.Table.from_batches(rest))
+
+    dealt = dealt.join(points, "rep").repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
     return dealt.select(names).mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -296,11 +317,10 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     docs = docs.select("doc_id", "text")
     rows = written(profiles(docs, frequent_shingles(docs, s), s))
     filled = rows.where("n_shingles > 0 and doc_id is not null")
-    first = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    first = written(first)
+    first = written(filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     ids = first.select(F.col("rep").alias("doc_id"), "s1", "s2")
-    reps = written(filled.join(ids, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "counts"))
-    points = reps.select("rep", "n", "counts")
+    reps = filled.join(ids, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"]).withColumnRenamed("doc_id", "rep")
+    points = written(reps.select("rep", F.col("n_shingles").alias("n"), "counts"))
 
     by_key = Window.partitionBy("key").orderBy("rep")
     keyed = reps.select(F.explode("keys").alias("key"), "rep").withColumns({"_before": F.lag("rep").over(by_key), "_after": F.lead("rep").over(by_key), "first": F.first("rep").over(by_key)})
@@ -313,8 +333,10 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     roots = written(components(links))
 
     named = shared.select("key", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = named.join(named.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key"), "key", "left_semi")
-    more = verified(tree_pairs(apart.join(points, "rep"), s), docs, s)
+    of_key = Window.partitionBy("key")
+    named = named.withColumns({"_low": F.min("root").over(of_key), "_high": F.max("root").over(of_key), "many": F.count("*").over(of_key)})
+    apart = written(named.where("_low <> _high").select("key", "rep", "root", "many"))
+    more = verified(tree_pairs(apart, points, s), docs, s)
     roots = components(links.unionByName(more))
 
     of = first.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("s1", "s2", F.col("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
