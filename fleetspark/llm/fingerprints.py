@@ -4,7 +4,7 @@ A sketch is a row of cells, each the exclusive or of the digests that hash to
 it. Two versions' sketches subtract cell by cell; what is left are the digests
 that only one has, and peeling gets them back: a cell with one digest shows it,
 taking it out of its other cells shows more. A table that is too small for the
-difference fails and is tried again with more parts.
+difference fails and is tried again, larger.
 
 Everything is DataFrame functions, row by row; the only shuffle brings each
 document to the one after it.
@@ -13,14 +13,39 @@ document to the one after it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Paragraphs are lines, cut further after signs: a line without a line feed has some too.
-CUT = r"[\n.!?;:,|*#$%&]+\s*"
-#: Sub-tables of a part, cells in each, and peeling rounds; digests in a part at the first try.
-TABLES, CELLS, ROUNDS, LOAD = 3, 8, 12, 6
+#: Paragraphs are lines, cut further after sentences: a text of one line has some too.
+CUT = r"[\n.?]+\s*"
+#: Digests in a part that the first table is made for, and rounds of peeling.
+LOAD, ROUNDS = 4, 7
+
+
+@dataclass(frozen=True)
+class Table:
+    """Three sub-tables of ``cells`` cells, a power of two; a digest's place in each are its bits from ``shift`` on."""
+
+    cells: int
+    shift: int
+
+    @property
+    def size(self) -> int:
+        return 3 * self.cells
+
+    def holds(self, digest: Column, i: int) -> Column:
+        """Whether a digest belongs to cell ``i`` (a number known when the plan is made)."""
+        sub, at = divmod(i, self.cells)
+        bits = self.cells.bit_length() - 1
+        return F.shiftrightunsigned(digest, self.shift + bits * sub).bitwiseAND(F.lit(self.cells - 1)) == at
+
+
+#: The table of fingerprints and of first tries (bits 16 to 21), and that of second tries (bits 22 to 30).
+SMALL, LARGE = Table(4, 16), Table(8, 22)
+#: The bits by which digests are dealt into parts, in two steps.
+PART_BITS = (31, 43)
 _CHECK = 0xFFFF
 _CLEAR = ~_CHECK
 
@@ -41,46 +66,42 @@ def digests(text: Column) -> Column:
     return F.transform(F.array_distinct(spread), lambda h: h.bitwiseOR(_check(F.shiftrightunsigned(h, 16))))
 
 
-def _is_in(digest: Column, i: int) -> Column:
-    """Whether a digest belongs to cell ``i`` (a number known when the plan is made)."""
-    return F.shiftrightunsigned(digest, 16 + 3 * (i // CELLS)).bitwiseAND(F.lit(CELLS - 1)) == i % CELLS
-
-
-def _toggled(keys: Column, start: Column, i: int) -> Column:
+def _toggled(keys: Column, start: Column, table: Table, i: int) -> Column:
     """Cell ``i``, at first ``start``, after all of ``keys`` that belong to it are put in or taken out."""
-    return F.aggregate(keys, start, lambda cell, k: F.when(_is_in(k, i), cell.bitwiseXOR(k)).otherwise(cell))
+    return F.aggregate(keys, start, lambda cell, k: F.when(table.holds(k, i), cell.bitwiseXOR(k)).otherwise(cell))
 
 
-def sketch(keys: Column) -> Column:
-    """The cells of one part that holds ``keys``."""
-    return F.array(*[_toggled(keys, F.lit(0).cast("long"), i) for i in range(TABLES * CELLS)])
+def sketch(keys: Column, table: Table = SMALL) -> Column:
+    """The cells of one table that holds ``keys``."""
+    return F.array(*[_toggled(keys, F.lit(0).cast("long"), table, i) for i in range(table.size)])
 
 
-def _lone(cell: Column, i: Column) -> Column:
-    """Whether a cell holds one digest alone: its check bits fit, and so does the place."""
-    table = F.floor(i / CELLS).cast("int")
-    place = F.expr("0")
-    for t in range(TABLES):
-        place = F.when(table == t, F.shiftrightunsigned(cell, 16 + 3 * t).bitwiseAND(F.lit(CELLS - 1))).otherwise(place)
-    return (cell != 0) & (cell.bitwiseAND(F.lit(_CHECK)) == _check(F.shiftrightunsigned(cell, 16))) & (place == F.pmod(i, F.lit(CELLS)))
+def _lone(cells: Column, table: Table) -> Column:
+    """The digests that are alone in a cell: their check bits fit, and so does the place."""
+    found = []
+    for i in range(table.size):
+        cell = F.get(cells, F.lit(i))
+        alone = (cell != 0) & table.holds(cell, i) & (cell.bitwiseAND(F.lit(_CHECK)) == _check(F.shiftrightunsigned(cell, 16)))
+        found.append(F.when(alone, cell))
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
 
-def _without(cells: Column, gone: Column) -> Column:
+def _without(cells: Column, gone: Column, table: Table) -> Column:
     """``cells`` after the digests ``gone`` are taken out."""
-    return F.array(*[_toggled(gone, F.element_at(cells, i + 1), i) for i in range(TABLES * CELLS)])
+    return F.array(*[_toggled(gone, F.get(cells, F.lit(i)), table, i) for i in range(table.size)])
 
 
-def peel(cells: Column) -> Column:
+def peel(cells: Column, table: Table = SMALL) -> Column:
     """The digests in the difference ``cells``; null if they can't all be got back."""
     none = F.array().cast("array<bigint>")
 
     def round_(state: Column, _: Column) -> Column:
-        lone = F.array_distinct(F.filter(state["cells"], _lone))
-        step = lambda found: F.struct(_without(state["cells"], found).alias("cells"), F.concat(state["found"], found).alias("found"), (F.size(found) > 0).alias("live"))
-        return F.when(state["live"], let(lone, step)).otherwise(state)
+        step = lambda found: F.struct(_without(state["cells"], found, table).alias("cells"), F.concat(state["found"], found).alias("found"), (F.size(found) > 0).alias("live"))
+        return F.when(state["live"], let(_lone(state["cells"], table), step)).otherwise(state)
 
     start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("live"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
+    # A digest found twice was mistaken once for what a cell with several showed.
     whole = lambda s: F.forall(s["cells"], lambda c: c == 0) & (F.size(s["found"]) == F.size(F.array_distinct(s["found"])))
     return let(done, lambda s: F.when(whole(s), s["found"]))
 
@@ -98,25 +119,25 @@ def _split(keys: Column, bits: Column, by: int) -> Column:
 def _parts(keys: Column, bits: Column) -> Column:
     """``keys`` in 2^bits parts, split in two steps so that few lists are passed over often."""
     half = F.floor(bits / 2).cast("int")
-    return F.flatten(F.transform(_split(keys, half, 42), lambda own: _split(own, bits - half, 30)))
+    return F.flatten(F.transform(_split(keys, half, PART_BITS[1]), lambda own: _split(own, bits - half, PART_BITS[0])))
 
 
-def _attempt(a: Column, b: Column, bits: Column) -> Column:
-    """The difference of the digests ``a`` and ``b`` by sketches in 2^bits parts; null if a part fails."""
-    both = F.zip_with(_parts(a, bits), _parts(b, bits), lambda x, y: peel(_subtracted(sketch(x), sketch(y))))
-    return let(both, lambda found: F.when(F.forall(found, lambda f: f.isNotNull()), F.flatten(found)))
+def _part_difference(a: Column, b: Column) -> Column:
+    """The digests of a part that only one side has: by a small table, by a larger one, by themselves."""
+    tries = [peel(_subtracted(sketch(a, t), sketch(b, t)), t) for t in (SMALL, LARGE)]
+    return F.coalesce(*tries, F.concat(F.array_except(a, b), F.array_except(b, a)))
 
 
 def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
     """Digests that only one of ``a`` and ``b`` has.
 
-    First from the two fingerprints, then from larger tables, four times as many
-    parts each time; if all fail, from the digests themselves.
+    First from the two fingerprints. If they are too small, from tables in as
+    many parts as the digests need; a part that fails tries a larger table, and
+    after that compares its few digests themselves.
     """
     bits = F.greatest(F.lit(0), F.least(F.lit(22), F.ceil(F.log2((F.size(a) + F.size(b) + 1) / F.lit(LOAD))))).cast("int")
-    exact = F.concat(F.array_except(a, b), F.array_except(b, a))
-    tries = [_attempt(a, b, bits + more) for more in (0, 2)]
-    return F.coalesce(peel(_subtracted(sketch_a, sketch_b)), *tries, exact)
+    parted = F.flatten(F.zip_with(_parts(a, bits), _parts(b, bits), _part_difference))
+    return F.coalesce(peel(_subtracted(sketch_a, sketch_b)), parted)
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
