@@ -11,7 +11,7 @@ The order puts shingles last that a sample finds in many documents. It decides
 nothing but the cost: under any order no pair is missed.
 
 Equal sets are joined to one representative first. Then each representative is
-tried against the smallest one of its blocks; what that links is not compared
+tried against the centres of its blocks; what that links is not compared
 again, and the trees look only for links between what is still apart.
 """
 
@@ -104,10 +104,16 @@ class Points:
             out[own] = self.made[g, groups][self.place[rows[own]]]
         return out
 
-    def alike(self, a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
-        """Whether sizes and summed minima allow the pairs (a, b) to be similar."""
+    def alike(self, a: np.ndarray, b: np.ndarray, s: Settings, pos: np.ndarray | None = None) -> np.ndarray:
+        """Whether sizes and summed minima allow the pairs (a, b) to be similar.
+
+        ``pos``: where the shared key is in each set. Two similar sets also share
+        one that leaves enough of either after it, so others need not be looked at.
+        """
         n, m = self.sizes[a], self.sizes[b]
         keep = (n * s.whole >= m * s.part) & (m * s.whole >= n * s.part)
+        if pos is not None:
+            keep &= np.minimum(n - pos[a], m - pos[b]) >= needed(n, m, s)
         low = np.minimum(self.groups[a], self.groups[b])
         for g in np.unique(low[keep]).tolist():
             own = np.flatnonzero(keep & (low == g))
@@ -142,17 +148,17 @@ class RTree:
                 yield self.leaves[i], other.leaves[j]
 
 
-def tree_join(points: Points, apart: np.ndarray, left: np.ndarray, right: np.ndarray, s: Settings):
+def tree_join(points: Points, apart: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, s: Settings):
     """Pairs, one of the rows ``left`` and one of ``right``, of different ``apart`` that the bounds let through."""
     for x, y in RTree(points, left, s.leaf).join(RTree(points, right, s.leaf), s):
         a, b = np.repeat(x, len(y)), np.tile(y, len(x))
         keep = apart[a] != apart[b]
         a, b = a[keep], b[keep]
-        keep = points.alike(a, b, s)
+        keep = points.alike(a, b, s, pos)
         yield a[keep], b[keep]
 
 
-def leaf_join(points: Points, apart: np.ndarray, edges: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def leaf_join(points: Points, apart: np.ndarray, pos: np.ndarray, edges: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The same within blocks that fill no more than a leaf, all at once: block k is rows edges[k] to edges[k + 1]."""
     size = np.diff(edges)
     later = np.repeat(edges[1:], size) - np.arange(edges[0], edges[-1]) - 1  # rows after each in its block
@@ -160,7 +166,7 @@ def leaf_join(points: Points, apart: np.ndarray, edges: np.ndarray, s: Settings)
     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
     keep = apart[a] != apart[b]
     a, b = a[keep], b[keep]
-    keep = points.alike(a, b, s)
+    keep = points.alike(a, b, s, pos)
     return a[keep], b[keep]
 
 
@@ -250,7 +256,7 @@ def bounded(pairs: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
 
 
 def tree_pairs(members: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of ``members`` (key, rep, root, many) that share a key, differ in root and pass the bounds.
+    """Pairs (a, b) of ``members`` (key, pos, rep, root, many) that share a key, differ in root and pass the bounds.
 
     A key's members, of which it has ``many``, are joined by trees. Where they
     are over ``block`` they are dealt into parts, and a part is sent to one task
@@ -260,12 +266,12 @@ def tree_pairs(members: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
     parts = F.greatest(F.lit(1), F.ceil(F.col("many") / s.block)).cast("int")
     dealt = members.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "root")
-    names = ["key", "_i", "_j", "_own", "rep", "root", "n", "counts"]
+    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "pos", "rep", "root")
+    names = ["key", "_i", "_j", "_own", "pos", "rep", "root", "n", "counts"]
 
     def joined(table: pa.Table) -> pa.RecordBatch:
         """Pairs of all blocks: consecutive rows that agree in key, i and j."""
-        key, i, j, own, rep, root, n = (table.column(c).to_numpy() for c in names[:7])
+        key, i, j, own, pos, rep, root, n = (table.column(c).to_numpy() for c in names[:8])
         points_ = Points(n, table.column("counts").to_pylist())
         edge = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]), len(key)]
         found = []
@@ -273,13 +279,13 @@ def tree_pairs(members: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
         small &= i[edge[:-1]] == j[edge[:-1]]
         for run in np.split(np.arange(len(small)), np.flatnonzero(np.diff(small)) + 1):  # runs of small blocks, or of large
             if small[run[0]]:
-                found.append(leaf_join(points_, root, edge[run[0] : run[-1] + 2], s))
+                found.append(leaf_join(points_, root, pos, edge[run[0] : run[-1] + 2], s))
                 continue
             for k in run.tolist():
                 rows = np.arange(edge[k], edge[k + 1])
                 left, right = rows[own[rows] == i[rows]], rows[own[rows] == j[rows]]
                 if len(left) and len(right):
-                    found += tree_join(points_, root, left, right, s)
+                    found += tree_join(points_, root, pos, left, right, s)
         a = rep[np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]])]
         b = rep[np.concatenate([np.zeros(0, np.int64), *[y for _, y in found]])]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -323,19 +329,23 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     points = written(reps.select("rep", F.col("n_shingles").alias("n"), "counts"))
 
     by_key = Window.partitionBy("key").orderBy("rep")
-    keyed = reps.select(F.explode("keys").alias("key"), "rep").withColumns({"_before": F.lag("rep").over(by_key), "_after": F.lead("rep").over(by_key), "first": F.first("rep").over(by_key)})
-    shared = written(keyed.where("_before is not null or _after is not null").select("key", "rep", "first"))
-
-    tried = shared.where("rep <> first").groupBy("rep", "first").agg(F.count("*").alias("_n"))
+    keyed = reps.select(F.posexplode("keys").alias("pos", "key"), "rep").withColumns({"_before": F.lag("rep").over(by_key), "_after": F.lead("rep").over(by_key)})
+    shared = written(keyed.where("_before is not null or _after is not null").select("key", "pos", "rep"))
+
+    # A block's centre is its member with the most shared keys: the least changed one of a group of copies.
+    common = shared.groupBy("rep").agg(F.count("*").alias("_shared"))
+    ranked = shared.select("key", "rep").join(common, "rep")
+    centre = ranked.groupBy("key").agg(F.max_by("rep", F.struct("_shared", -F.col("rep"))).alias("first"))
+    tried = ranked.join(centre, "key").where("rep <> first").groupBy("rep", "first").agg(F.count("*").alias("_n"))
     best = Window.partitionBy("rep").orderBy(F.desc("_n"), "first")
-    stars = tried.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= s.stars).select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    stars = tried.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= s.stars).select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).distinct()
     links = verified(bounded(stars, points, s), docs, s)
     roots = written(components(links))
 
-    named = shared.select("key", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = shared.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     of_key = Window.partitionBy("key")
     named = named.withColumns({"_low": F.min("root").over(of_key), "_high": F.max("root").over(of_key), "many": F.count("*").over(of_key)})
-    apart = written(named.where("_low <> _high").select("key", "rep", "root", "many"))
+    apart = written(named.where("_low <> _high").select("key", "pos", "rep", "root", "many"))
     more = verified(tree_pairs(apart, points, s), docs, s)
     roots = components(links.unionByName(more))
 
