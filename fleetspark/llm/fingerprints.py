@@ -112,14 +112,14 @@ def _subtracted(a: Column, b: Column) -> Column:
 
 def _split(keys: Column, bits: Column, by: int) -> Column:
     """``keys`` in 2^bits lists, by their bits from ``by`` on."""
-    last = F.call_function("shiftleft", F.lit(1), bits) - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda p: F.filter(keys, lambda k: F.shiftrightunsigned(k, by).bitwiseAND(last.cast("long")) == p))
+    last = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    return let(last, lambda m: F.transform(F.sequence(F.lit(0).cast("long"), m), lambda p: F.filter(keys, lambda k: F.shiftrightunsigned(k, by).bitwiseAND(m) == p)))
 
 
 def _parts(keys: Column, bits: Column) -> Column:
     """``keys`` in 2^bits parts, split in two steps so that few lists are passed over often."""
-    half = F.floor(bits / 2).cast("int")
-    return F.flatten(F.transform(_split(keys, half, PART_BITS[1]), lambda own: _split(own, bits - half, PART_BITS[0])))
+    low, high = PART_BITS
+    return let(F.floor(bits / 2).cast("int"), lambda half: F.flatten(F.transform(_split(keys, half, high), lambda own: _split(own, bits - half, low))))
 
 
 def _part_difference(a: Column, b: Column) -> Column:
@@ -136,7 +136,7 @@ def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Colu
     after that compares its few digests themselves.
     """
     bits = F.greatest(F.lit(0), F.least(F.lit(22), F.ceil(F.log2((F.size(a) + F.size(b) + 1) / F.lit(LOAD))))).cast("int")
-    parted = F.flatten(F.zip_with(_parts(a, bits), _parts(b, bits), _part_difference))
+    parted = let(bits, lambda n: F.flatten(F.zip_with(_parts(a, n), _parts(b, n), _part_difference)))
     return F.coalesce(peel(_subtracted(sketch_a, sketch_b)), parted)
 
 
