@@ -171,9 +171,12 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.withColumn("_bucket", F.coalesce(found, F.lit(0)))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """``docs`` with ``next``, a struct of ``columns`` of the document after it, by doc_id; after the last, the first.
 
+    ``derive`` adds columns row by row once the rows are where they stay: what it
+    adds isn't shuffled, and is computed once.
+
     Rows with the same doc_id are ordered by their text's hash, null ids come
     first. The order is cut into ranges of ids; the first document of each range
     is also sent to the end of the range before, so no task sees them all.
@@ -191,6 +194,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     last = last.select(*docs.columns, "_hash", F.col("_to").alias("_bucket"), F.lit(1).alias("_end"))
     dealt = rows.select(*docs.columns, "_hash", "_bucket", F.lit(0).alias("_end")).unionByName(last)
     after = Window.partitionBy("_bucket").orderBy("_end", *order)
+    dealt = derive(dealt.repartitionById(buckets, "_bucket"))
     return dealt.withColumn("next", F.lead(F.struct(*columns)).over(after)).where("_end = 0").drop("_hash", "_bucket", "_end")
 
 
@@ -203,8 +207,7 @@ def edited_versions(docs: DataFrame) -> DataFrame:
     is its own next one; an empty table gives no rows; other columns are ignored.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = fingerprints(base).select("doc_id", "text", "digests", "sketch")
-    rows = with_next(base, ["text", "digests", "sketch"])
+    rows = with_next(base, ["text", "digests", "sketch"], fingerprints)
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring("next.text", F.lit(1), F.floor(n / 2).cast("int")))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "digests", "sketch", F.col("next.digests").alias("d2"), F.col("next.sketch").alias("s2"), edited.alias("edited"))
