@@ -53,3 +53,124 @@ def stop_removal_impact(dwell: DataFrame, seconds: float = 12.0) -> DataFrame:
     walk = F.least(F.coalesce(F.col("d") - before, far), F.coalesce(after - F.col("d"), far))
     saved = F.when(F.col("removed"), F.coalesce("p", F.lit(0.0)) * seconds).otherwise(0.0)
     return dwell.select(*KEY, "stop_id", "removed", F.when(F.col("removed"), walk).alias("walk"), saved.alias("saved"))
+
+
+def near_hours(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``rows`` (keys, hour, values) with the hours that have none taken from the next hour, else from the one before."""
+    shifts = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(by).alias("by")) for k, by in enumerate((0, -1, 1))])
+    spread = rows.withColumn("_s", F.explode(shifts)).withColumn("hour", F.col("hour") + F.col("_s.by"))
+    best = spread.groupBy(*keys, "hour").agg(F.min_by(F.struct(*values), "_s.rank").alias("_v"))
+    return best.select(*keys, "hour", *[F.col(f"_v.{v}").alias(v) for v in values])
+
+
+def corridor_truncation(cut_in: DataFrame, cut_out: DataFrame, service: DataFrame, turn: float = 4.0, recovery: float = 1.12) -> DataFrame:
+    """What ending routes before a corridor saves, by route and hour.
+
+    ``cut_in``, ``cut_out``: route_id, hour, minutes of running time cut.
+    ``service``: route_id, hour, tph (trips an hour), round_trip (minutes of both
+    directions). ``turn``: minutes to turn round at the new end. An hour without
+    a cut takes the next one's, else the one's before. Gives the minutes saved a
+    round trip, old and new headway, buses, buses freed, and the bus-hours of
+    the route's whole day.
+    """
+    cut = lambda rows, name: near_hours(rows, ["route_id"], ["minutes"]).withColumnRenamed("minutes", name)
+    rows = service.join(cut(cut_in, "cut_in"), ["route_id", "hour"]).join(cut(cut_out, "cut_out"), ["route_id", "hour"])
+    rows = rows.where("tph > 0").withColumn("saved", F.greatest(F.col("cut_in") + F.col("cut_out") - turn, F.lit(0.0)))
+    rows = rows.withColumns({"headway": 60.0 / F.col("tph"), "cycle": F.col("round_trip") * recovery})
+    rows = rows.withColumns({"buses": F.col("cycle") / F.col("headway"), "new_headway": F.col("headway") * (F.col("cycle") - F.col("saved")) / F.col("cycle"), "freed": F.col("saved") / F.col("headway")})
+    day = F.sum(F.col("tph") * F.col("saved") / 60.0).over(Window.partitionBy("route_id"))
+    return rows.withColumn("daily_hours", day).select("route_id", "hour", "saved", "headway", "new_headway", "buses", "freed", "daily_hours")
+
+
+def transfer_rides(bus: DataFrame, rail: DataFrame, headways: DataFrame, walk: float = 3.0, penalty: float = 5.0) -> DataFrame:
+    """Riders who change to rail against staying on the bus, in minutes.
+
+    ``bus``: route_id, pair, hour, median. ``rail``: pair, hour, median,
+    per_hour. ``headways``: route_id, hour, headway, new_headway.
+    """
+    rows = bus.select("route_id", "pair", "hour", F.col("median").alias("stay")).join(rail.select("pair", "hour", F.col("median").alias("ride"), "per_hour"), ["pair", "hour"])
+    rows = rows.join(headways.select("route_id", "hour", "headway", "new_headway"), ["route_id", "hour"])
+    rows = rows.withColumns({"via": walk + 30.0 / F.col("per_hour") + F.col("ride") + penalty, "gain": (F.col("headway") - F.col("new_headway")) / 2})
+    return rows.select("route_id", "pair", "hour", "stay", "via", "gain", (F.col("via") - F.col("gain") - F.col("stay")).alias("net"))
+
+
+def trunk_transfer(portals: DataFrame, rides: DataFrame, pairs: DataFrame, lines: DataFrame, goal: str, per_hour: float, walk: float = 2.0, spread: float = 0.3) -> DataFrame:
+    """Each line's trip to ``goal`` today, and by a transfer to a trunk line with ``per_hour`` trains, typical and bad.
+
+    ``portals``: route_id, hour, median, p90, free_flow. ``rides``: route_id,
+    station, hour, median, p90 from before the portal. ``pairs``: pair
+    ("a|b"), hour, median, p90. ``lines``: route_id, transfer. An hour without
+    figures takes the next one's, else the one's before.
+    """
+    both = ["median", "p90"]
+    own = near_hours(portals, ["route_id"], [*both, "free_flow"]).select("route_id", "hour", F.col("median").alias("_a"), F.col("p90").alias("_a9"), "free_flow")
+    near = near_hours(rides, ["route_id", "station"], both)
+    today = near.where(F.col("station") == goal).select("route_id", "hour", F.col("median").alias("today"), F.col("p90").alias("today_p90"))
+    leg = near.select("route_id", F.col("station").alias("transfer"), "hour", F.col("median").alias("_l"), F.col("p90").alias("_l9"))
+    onward = near_hours(pairs, ["pair"], both).select("pair", "hour", F.col("median").alias("_r"), F.col("p90").alias("_r9"))
+    rows = own.join(today, ["route_id", "hour"]).join(F.broadcast(lines), "route_id").join(leg, ["route_id", "transfer", "hour"], "left")
+    rows = rows.withColumn("pair", F.concat_ws("|", "transfer", F.lit(goal))).join(onward, ["pair", "hour"])
+    headway = 60.0 / per_hour
+    over = lambda a, b: F.greatest(F.coalesce(F.col(a) - F.col(b), F.lit(0.0)), F.lit(0.0))
+    via = F.col("free_flow") + over("_l", "_a") + walk + headway / 2 * (1 + spread * spread) + F.col("_r")
+    bad = F.col("free_flow") + over("_l9", "_a9") + walk + headway + F.col("_r9")
+    return rows.select("route_id", "hour", over("_a", "free_flow").alias("merge"), "today", "today_p90", via.alias("via"), bad.alias("via_bad"))
+
+
+def crossing_families(stops: DataFrame, radius: float = 120.0) -> DataFrame:
+    """Per stop the families that cross there: those near it, but not near the stop before or after it on its route.
+
+    ``stops``: route_id, direction_id, family, stop_id, d, x, y.
+    """
+    near = nearby_families(stops, "stop_id", radius)
+    w = Window.partitionBy(*KEY).orderBy("d", "stop_id")
+    none = F.array().cast("array<string>")
+    rows = stops.select(*KEY, "stop_id", "d").join(near, "stop_id", "left").withColumn("_f", F.coalesce("families", none))
+    beside = F.concat(F.coalesce(F.lag("_f").over(w), none), F.coalesce(F.lead("_f").over(w), none))
+    return rows.withColumn("_beside", beside).select(*KEY, "stop_id", F.array_except("_f", "_beside").alias("transfers"))
+
+
+def stop_removal_savings(stops: DataFrame, dwell: float = 20.0, lost: float = 18.0) -> DataFrame:
+    """``before, after, saved`` by route and direction: halts a trip and the seconds it saves without the ``removed`` stops.
+
+    ``stops``: route_id, direction_id, d, stopped (seconds a trip; null counts as
+    a sure halt), removed. A halt takes ``dwell`` seconds and its braking and
+    doors ``lost``. Half of a removed stop's riders go to the kept stop before it
+    and half to the one after. The ends of a route aren't counted.
+    """
+    w = Window.partitionBy(*KEY).orderBy("d")
+    whole = Window.partitionBy(*KEY)
+    kept = F.when(~F.col("removed"), F.col("d"))
+    rows = stops.withColumn("_p", F.coalesce(F.least(F.lit(1.0), F.col("stopped") / dwell), F.lit(1.0)))
+    rows = rows.withColumns({"_u": F.last(kept, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_w": F.first(kept, True).over(w.rowsBetween(1, Window.unboundedFollowing)), "_end": (F.col("d") == F.min("d").over(whole)) | (F.col("d") == F.max("d").over(whole))})
+    moved = rows.where("removed").select(*KEY, F.explode(F.array("_u", "_w")).alias("d"), F.log(1.0 - F.col("_p") / 2).alias("_l")).where("d is not null").groupBy(*KEY, "d").agg(F.sum("_l").alias("_l"))
+    rows = rows.join(moved, [*KEY, "d"], "left")
+    new = 1.0 - (1.0 - F.col("_p")) * F.exp(F.coalesce("_l", F.lit(0.0)))
+    counted = rows.groupBy(*KEY).agg(F.sum(F.when(~F.col("_end"), F.col("_p")).otherwise(0.0)).alias("before"), F.sum(F.when(~F.col("_end") & ~F.col("removed"), new).otherwise(0.0)).alias("after"))
+    return counted.withColumn("saved", (F.col("before") - F.col("after")) * lost)
+
+
+def hotspot_places(delays: DataFrame, states: DataFrame, points: DataFrame, tunnels: DataFrame, cell: float = 150.0, ends: float = 300.0, least_hours: float = 0.5, top: int = 600, width: float = 100.0, days: int = 1) -> DataFrame:
+    """Places with the most delay: cells by square, heading (eighths) and whether underground, with the causes.
+
+    ``delays``: bins with delay. ``states``: route_id, direction_id, bin, s1, s2,
+    s3 (seconds crawling, at stops, stopped). ``points``: every shape's points
+    with bearing. ``tunnels``: route_id, direction_id, d0, d1. A bin is at its
+    middle; those near a route's ends don't count. Hours are a day's, shares are
+    of all slow seconds.
+    """
+    end = points.groupBy(*KEY).agg(F.max("d").alias("_end"))
+    middle = F.floor(F.col("d") / width)
+    at = points.where(F.col("d") - middle * width == width / 2).select(*KEY, middle.cast("int").alias("bin"), "x", "y", "d", "bearing").join(end, list(KEY))
+    at = at.where((F.col("bin") * width >= ends) & ((F.col("bin") + 1) * width <= F.col("_end") + 10 - ends))
+    at = at.join(F.broadcast(tunnels.select(*KEY, "d0", "d1")), list(KEY), "left").withColumn("underground", F.coalesce(F.col("d").between(F.col("d0"), F.col("d1")), F.lit(False)))
+    rows = delays.where("delay is not null").groupBy(*KEY, "bin").agg(F.sum("delay").alias("delay")).join(at, [*KEY, "bin"]).join(states.select(*KEY, "bin", "s1", "s2", "s3"), [*KEY, "bin"], "left")
+    rows = rows.withColumn("_w", F.col("delay") + F.lit(1e-6)).na.fill(0.0, ["s1", "s2", "s3"])
+    heading = F.pmod(F.floor((F.col("bearing") + 22.5) / 45.0), F.lit(8)).cast("int")
+    slow = F.sum(F.col("s1") + F.col("s2") + F.col("s3"))
+    share = lambda c: F.when(slow > 0, F.sum(c) / slow).otherwise(0.0)
+    cells = rows.groupBy(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"), heading.alias("heading"), "underground").agg(
+        (F.sum("delay") / 3600.0 / days).alias("hours"), (F.sum(F.col("x") * F.col("_w")) / F.sum("_w")).alias("x"), (F.sum(F.col("y") * F.col("_w")) / F.sum("_w")).alias("y"),
+        F.concat_ws(",", F.array_sort(F.collect_set("route_id"))).alias("routes"), share("s1").alias("crawl"), share("s2").alias("dwell"), share("s3").alias("stopped"),
+    )
+    return cells.where(F.col("hours") >= least_hours).orderBy(F.desc(F.round("hours", 6)), "cx", "cy", "heading", "underground").limit(top)

@@ -72,3 +72,43 @@ def hourly_tiles(positions: DataFrame, pad: int = 1200) -> DataFrame:
     """Pings in every hour that they are in or ``pad`` seconds from."""
     first, last = F.floor((F.col("t") - pad) / 3600).cast("int"), F.floor((F.col("t") + pad) / 3600).cast("int")
     return positions.withColumn("hour", F.explode(F.sequence(first, last))).where("hour between 0 and 47")
+
+
+def fleet_at_times(rows: DataFrame, points: DataFrame, every: int = 300, bridge: int = 1200, straight: int = 180, back: float = 30.0, fastest: float = 35.0, step: float = 10.0) -> DataFrame:
+    """``at_t, x, y, along, label, bridged``: where each vehicle is at every multiple of ``every`` seconds.
+
+    ``rows``: day, vehicle_id, t, x, y, label (the route and direction, null
+    outside trips), along (null off the route). ``points``: label, seq, x, y,
+    every ``step`` metres. Between two pings on one route, no more than
+    ``bridge`` seconds apart, it goes along the route; else straight on if the
+    gap is at most ``straight``; over ``fastest`` metres a second it stays at the
+    nearer ping. Otherwise, and after the last ping, it has no row.
+
+    Each ping makes the grid times until the next one, so nothing is joined by time.
+    """
+    w = Window.partitionBy(*VEHICLE).orderBy("t")
+    fix = F.struct("t", "x", "y", "label", "along")
+    on = F.when(F.col("label").isNotNull() & (F.col("along") >= 0), F.struct("t", "label", "along"))
+    out = rows.select(*VEHICLE, fix.alias("_a"), F.lead(fix).over(w).alias("_b"), F.last(on, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_p"), F.first(on, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_q"))
+    first, last = (F.ceil(F.col("_a.t") / every) * every).cast("int"), (F.col("_b.t") - 1).cast("int")
+    out = out.where(first <= last).withColumn("at_t", F.explode(F.sequence(first, last, F.lit(every))))
+    carried = (F.col("_p.label") == F.col("_q.label")) & (F.col("_q.along") >= F.col("_p.along") - back) & (F.col("_q.t") - F.col("_p.t") <= bridge)
+    out = out.withColumn("bridged", F.coalesce(carried, F.lit(False)))
+    gap = F.col("_b.t") - F.col("_a.t")
+    out = out.where(F.col("bridged") | (gap <= straight))
+    share = (F.col("at_t") - F.col("_a.t")) / gap
+    far = F.hypot(F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")) / gap > fastest
+    share = F.when(far & (share < 0.5), 0.0).when(far, 1.0).otherwise(share)
+    along_trip = F.col("_p.along") + (F.col("at_t") - F.col("_p.t")) / (F.col("_q.t") - F.col("_p.t")) * (F.col("_q.along") - F.col("_p.along"))
+    between = lambda c: F.col(f"_a.{c}") + share * (F.col(f"_b.{c}") - F.col(f"_a.{c}"))
+    label = F.when(F.col("bridged"), F.col("_p.label")).otherwise(F.when(share < 1, F.col("_a.label")).otherwise(F.col("_b.label")))
+    along = F.when(F.col("bridged"), along_trip).otherwise(F.col("_a.along"))
+    out = out.select(*VEHICLE, "at_t", between("x").alias("_x"), between("y").alias("_y"), along.alias("along"), label.alias("label"), "bridged")
+    of = Window.partitionBy("label").orderBy("seq")
+    shape = points.select("label", "seq", F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.coalesce(F.lead("x").over(of), "x").alias("_x1"), F.coalesce(F.lead("y").over(of), "y").alias("_y1"), F.max("seq").over(Window.partitionBy("label")).alias("_end"))
+    ends = shape.select("label", F.col("_end").alias("_last")).distinct()
+    seq = F.least(F.greatest(F.floor(F.col("along") / step), F.lit(0)), F.col("_last")).cast("int")
+    out = out.join(F.broadcast(ends), "label", "left").withColumn("seq", F.when(F.col("bridged"), seq)).join(shape.drop("_end"), ["label", "seq"], "left")
+    part = F.least(F.greatest(F.col("along") / step - F.col("seq"), F.lit(0.0)), F.lit(1.0))
+    place = lambda c: F.when(F.col("bridged"), F.col(f"_{c}0") + part * (F.col(f"_{c}1") - F.col(f"_{c}0"))).otherwise(F.col(f"_{c}"))
+    return out.select(*VEHICLE, "at_t", place("x").alias("x"), place("y").alias("y"), "along", "label", "bridged")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetspark.jobs import registry
-from fleetspark.operators import matching, network, states, timelines
+from fleetspark.operators import matching, network, scenarios, segmentation, states, timelines
 from fleetspark.sources import files
 from fleetspark.streaming import live
 
@@ -98,3 +98,56 @@ def test_files(spark, tmp_path):
     assert sorted((str(r.day), r.n) for r in spark.read.parquet(str(tmp_path / "days")).collect()) == [("d1", 9), ("d2", 2)]
     files.write_documents(days, str(tmp_path / "docs"), "day", "n")
     assert spark.read.text(str(tmp_path / "docs")).count() == 2
+
+
+def places(*alongs, family="7", rapid=False, stops=()):
+    """A shape's places, ping by ping; None where the ping isn't on it."""
+    near = lambda a: any(abs(a - d) <= 30 for d in stops)
+    return [a if a is None else segmentation.Place(a, family, rapid, sum(d < a for d in stops), sum(d <= a for d in stops), near(a)) for a in alongs]
+
+
+def day_of(**shapes):
+    return [{name: row[k] for name, row in shapes.items() if row[k] is not None} for k in range(len(next(iter(shapes.values()))))]
+
+
+def followed(times, days, halted=()):
+    return [(x.shape, sorted(x.places)) for x in segmentation.stitched(times, segmentation.fragments(times, days, set(halted)))]
+
+
+def test_followed_shape_with_most_pings():
+    times = list(range(0, 160, 20))
+    a, b = places(0, 100, 200, 300, 400, 500, 600, 700), places(0, 100, 200, None, None, None, None, None, family="8")
+    assert followed(times, day_of(a=a, b=b)) == [("a", list(range(8)))]
+    # A jump too far ahead is a miss, and so is one back.
+    jump = places(0, 100, 5000, 300, 100, 500, 600, 700)
+    assert followed(times, day_of(a=jump)) == [("a", [0, 1, 3, 5, 6, 7])]
+
+
+def test_pieces_end_and_are_stitched():
+    times = [0, 20, 40, 700, 720, 740]
+    on = places(0, 100, 200, 250, 300, 400)
+    assert followed(times, day_of(a=on)) == [("a", [0, 1, 2]), ("a", [3, 4, 5])]
+    # Five pings off the shape end a piece; it goes on soon after, and they are one.
+    times = list(range(0, 240, 20))
+    hole = places(0, 100, 200, 300, None, None, None, None, None, None, 700, 800)
+    away = places(None, None, None, None, 0, 0, 0, 0, 0, 0, None, None, family="9")
+    assert [x.shape for x in segmentation.fragments(times, day_of(a=hole, b=away), set())] == ["b", "a"]
+    assert followed([0, 20, 40, 60, 80, 100], day_of(a=places(0, 100, None, None, 300, 400))) == [("a", [0, 1, 4, 5])]
+    lost = places(0, 100, 200, *[None] * 6, 300, 400, 500)
+    assert len(list(segmentation.fragments(times, day_of(a=lost), set()))) == 2
+    assert followed(times, day_of(a=lost)) == [("a", [0, 1, 2, 9, 10, 11])]
+    # A vehicle that stands makes no piece.
+    assert followed([0, 20, 40], day_of(a=places(5, 10, 12))) == []
+
+
+def test_local_if_it_halts_at_local_stops():
+    times, stops = list(range(0, 200, 20)), (100, 300, 500, 700)
+    local = places(*range(0, 1000, 100), stops=stops)
+    rapid = places(*range(0, 1000, 100), rapid=True)
+    assert followed(times, day_of(l=local, r=rapid), halted=(1, 3, 5)) == [("l", list(range(10)))]
+    assert followed(times, day_of(l=local, r=rapid), halted=(1, 2, 4)) == [("r", list(range(10)))]
+
+
+def test_hours_next_to_a_gap(spark):
+    rows = spark.createDataFrame([("a", 5, 1.0), ("a", 7, 2.0)], "k string, hour int, v double")
+    assert sorted(tuple(r) for r in scenarios.near_hours(rows, ["k"], ["v"]).collect()) == [("a", 4, 1.0), ("a", 5, 1.0), ("a", 6, 2.0), ("a", 7, 2.0), ("a", 8, 2.0)]
