@@ -8,7 +8,7 @@ from fleetspark.jobs import network_queries as n
 from fleetspark.jobs import tables as t
 from fleetspark.jobs.ping_queries import PASSAGE
 from fleetspark.jobs.registry import query
-from fleetspark.operators import corridors, scenarios, segmentation
+from fleetspark.operators import corridors, network, scenarios, segmentation
 from fleetspark.operators import timelines as lines_
 from fleetspark.sources import fixtures
 
@@ -244,14 +244,36 @@ def stop_removal_savings(spark, sf_dir):
     return scenarios.stop_removal_savings(dwell.withColumn("removed", F.expr("d % 180 = 0")))
 
 
-@query("""SELECT cx, cy, heading, underground, hours, x, y, routes, crawl, dwell, stopped FROM (
+PLACES = """SELECT cx, cy, heading, underground, hours, x, y, routes, crawl, dwell, stopped FROM (
   SELECT CAST(floor(x / 150) AS BIGINT) AS cx, CAST(floor(y / 150) AS BIGINT) AS cy, 2 AS heading, route_id <> 'R1' AND bin * 100 + 50 BETWEEN 1000 AND 2000 AS underground, sum(delay) / 3600.0::DOUBLE AS hours, sum(x * w) / sum(w) AS x, sum(y * w) / sum(w) AS y,
     array_to_string(list_sort(list(DISTINCT route_id)), ',') AS routes, CASE WHEN sum(s1 + s2 + s3) > 0 THEN sum(s1) / sum(s1 + s2 + s3) ELSE 0 END AS crawl, CASE WHEN sum(s1 + s2 + s3) > 0 THEN sum(s2) / sum(s1 + s2 + s3) ELSE 0 END AS dwell, CASE WHEN sum(s1 + s2 + s3) > 0 THEN sum(s3) / sum(s1 + s2 + s3) ELSE 0 END AS stopped
   FROM (SELECT d.*, bin * 100.0::DOUBLE + 50 AS x, 500.0::DOUBLE * CAST(substr(route_id, 2) AS INT) + 250 * direction_id AS y, delay + 0.000001::DOUBLE AS w, coalesce(s1, 0.0::DOUBLE) AS s1, coalesce(s2, 0.0::DOUBLE) AS s2, coalesce(s3, 0.0::DOUBLE) AS s3
     FROM (SELECT route_id, direction_id, bin, sum(delay) AS delay FROM delay WHERE delay IS NOT NULL AND bin BETWEEN 3 AND 46 GROUP BY 1, 2, 3) AS d LEFT JOIN (SELECT route_id, direction_id, bin, sum(w) FILTER (WHERE state = 1) AS s1, sum(w) FILTER (WHERE state = 2) AS s2, sum(w) FILTER (WHERE state = 3) AS s3 FROM state_ping GROUP BY 1, 2, 3) AS s USING (route_id, direction_id, bin)) AS k
-  GROUP BY 1, 2, 3, 4) AS k WHERE hours >= 0.01::DOUBLE ORDER BY round(hours, 6) DESC, cx, cy, heading, underground LIMIT 600""", ("hours", "x", "y", "crawl", "dwell", "stopped"))
+  GROUP BY 1, 2, 3, 4) AS k WHERE hours >= 0.01::DOUBLE ORDER BY round(hours, 6) DESC, cx, cy, heading, underground LIMIT 600"""
+
+
+@query(PLACES, ("hours", "x", "y", "crawl", "dwell", "stopped"))
 def hotspot_places(spark, sf_dir):
     """All routes but the second run underground from 1,000 to 2,000 m."""
     tunnels = t.view(spark, sf_dir, "route_dir").where("route_id <> 'R1'").select("route_id", "direction_id", F.lit(1000.0).alias("d0"), F.lit(2000.0).alias("d1"))
     seconds = t.state_pings(spark, sf_dir).groupBy("route_id", "direction_id", "bin").agg(*[F.sum(F.when(F.col("state") == k, F.col("w"))).alias(f"s{k}") for k in (1, 2, 3)])
     return scenarios.hotspot_places(t.delays(spark, sf_dir), seconds, points(spark, sf_dir), tunnels, least_hours=0.01)
+
+
+@query(f"""SELECT cx, cy, heading, underground, hours, CASE WHEN crawl >= dwell AND crawl >= stopped THEN 'crawl' WHEN dwell >= stopped THEN 'dwell' ELSE 'stopped' END AS cause, routes FROM ({PLACES}) AS p
+  WHERE hours >= 0.05::DOUBLE ORDER BY round(hours, 6) DESC, cx, cy, heading, underground LIMIT 40""", ("hours",))
+def hotspot_topk(spark, sf_dir):
+    return scenarios.hotspot_topk(hotspot_places(spark, sf_dir))
+
+
+# On a straight shape a stop's place is its distance, so the ordered projection has a plain form.
+@query("SELECT route_id, direction_id, CAST(row_number() OVER (PARTITION BY route_id, direction_id ORDER BY d) AS INT) AS seq, least(d, 4990.0::DOUBLE) AS d, CAST(stop_id % 40 AS DOUBLE) AS off_line FROM stop", ("d", "off_line"))
+def project_stops(spark, sf_dir):
+    from pyspark.sql import Window
+
+    shapes, of = points(spark, sf_dir), Window.partitionBy("route_id", "direction_id").orderBy("seq")
+    segments = shapes.select("route_id", "direction_id", F.col("seq").alias("k"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(of).alias("x1"), F.lead("y").over(of).alias("y1"), F.col("d").alias("c0")).where("x1 is not null")
+    routes = t.view(spark, sf_dir, "route_dir").select("route_id", "direction_id", (500.0 * F.col("route_no") + 250 * F.col("direction_id")).alias("_y"))
+    seq = F.row_number().over(Window.partitionBy("route_id", "direction_id").orderBy("d"))
+    stops = t.view(spark, sf_dir, "stop").join(routes, ["route_id", "direction_id"]).select("route_id", "direction_id", seq.alias("seq"), F.col("d").alias("x"), (F.col("_y") + F.col("stop_id") % 40).alias("y"))
+    return network.project_stops(stops, segments).withColumnRenamed("offset", "off_line")

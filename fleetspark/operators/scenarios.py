@@ -174,3 +174,10 @@ def hotspot_places(delays: DataFrame, states: DataFrame, points: DataFrame, tunn
         F.concat_ws(",", F.array_sort(F.collect_set("route_id"))).alias("routes"), share("s1").alias("crawl"), share("s2").alias("dwell"), share("s3").alias("stopped"),
     )
     return cells.where(F.col("hours") >= least_hours).orderBy(F.desc(F.round("hours", 6)), "cx", "cy", "heading", "underground").limit(top)
+
+
+def hotspot_topk(places: DataFrame, top: int = 40, least_hours: float = 0.05) -> DataFrame:
+    """The worst of ``hotspot_places`` with the cause of most of their slow seconds; ties: crawling, stops, stopped."""
+    cause = F.when((F.col("crawl") >= F.col("dwell")) & (F.col("crawl") >= F.col("stopped")), "crawl").when(F.col("dwell") >= F.col("stopped"), "dwell").otherwise("stopped")
+    rows = places.where(F.col("hours") >= least_hours).withColumn("cause", cause)
+    return rows.orderBy(F.desc(F.round("hours", 6)), "cx", "cy", "heading", "underground").limit(top).select("cx", "cy", "heading", "underground", "hours", "cause", "routes")
