@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
+from itertools import accumulate
 
 import xxhash
 
@@ -19,7 +21,6 @@ SHIELDS = frozenset("article aside blockquote body button caption div dl figure
 DROPPED = frozenset("nav footer aside form script style noscript template iframe button select svg canvas audio video object dialog menu title head textarea".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-MAX_DEPTH = 60
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][^\s=>/"']*)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
@@ -49,10 +50,17 @@ def _tag_end(html: str, at: int) -> int:
 
 def parse(html: str) -> Node:
     """The tree of a page. Missing and stray end tags are put right as browsers do for
-    paragraphs, lists and tables; a tag or comment that the text breaks off is left out;
-    elements nested deeper than ``MAX_DEPTH`` become neighbours at that depth."""
+    paragraphs, lists and tables; a tag or comment that the text breaks off is left out.
+    Elements may be nested to any depth."""
     root = Node("#root", {})
     stack = [root]
+    opened: defaultdict[str, int] = defaultdict(int)  # open elements of a tag
+
+    def close(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
     at, size = 0, len(html)
     while at < size:
         lt = html.find("<", at)
@@ -83,17 +91,15 @@ def parse(html: str) -> Node:
         parts = inside.split(None, 1)
         tag = parts[0].rstrip("/").lower() if parts else ""
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         ended = ("p",) if tag in ENDS_PARAGRAPH else ()
         ended += ENDS.get(tag, ())
-        if ended:
+        if ended and any(map(opened.get, ended)):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ended:
-                    del stack[k:]
+                    close(k)
                 elif stack[k].tag in SHIELDS:
                     break
         node = Node(tag, _attributes(parts[1]) if len(parts) > 1 else {})
@@ -103,8 +109,9 @@ def parse(html: str) -> Node:
             node.children.append(html[at : found.start() if found else size])
             end = html.find(">", found.start()) if found else -1
             at = size if end < 0 else end + 1
-        elif tag not in VOID and not inside.endswith("/") and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not inside.endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -162,7 +169,7 @@ def text_of(node: Node) -> str:
     return " ".join(unescape(" ".join(out)).split())
 
 
-def digest(path: str, text: str) -> int:
+def digest(path: int, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "replace")) - (1 << 63)
 
 
@@ -170,24 +177,52 @@ def label(node: Node) -> str:
     return f"{node.tag}.{node.attributes['class']}" if "class" in node.attributes else node.tag
 
 
-def skeleton(root: Node) -> list[tuple[int, str, int]]:
-    """(depth, label, digest) in page order of the elements outside the marked article.
+class Texts:
+    """``text_of`` for every element of a page, from one walk over it."""
+
+    def __init__(self, root: Node):
+        pieces: list[str] = []
+        span: dict[int, list[int]] = {}
+        todo: list[tuple[Node | str, bool]] = [(root, False)]
+        while todo:
+            node, left = todo.pop()
+            if isinstance(node, str):
+                if words := unescape(node).split():
+                    pieces.append(" ".join(words))
+            elif left:
+                span[id(node)].append(len(pieces))
+            elif node.tag not in RAW:
+                span[id(node)] = [len(pieces)]
+                todo.append((node, True))
+                todo += [(c, False) for c in node.children[::-1]]
+        self._text, self._span = " ".join(pieces), span
+        self._at = [0, *accumulate(len(p) + 1 for p in pieces)]
+
+    def of(self, node: Node) -> str:
+        if id(node) not in self._span:
+            return ""
+        a, b = self._span[id(node)]
+        return self._text[self._at[a] : self._at[b] - 1] if b > a else ""
+
+
+def outline(root: Node, slots: set[int]) -> list[tuple[int, str, int, list[Node]]]:
+    """(depth, label, digest, elements) in page order of the elements outside ``slots``.
 
     Runs of neighbours with the same label are one node, a list; the digest is
-    of the path and text of what it stands for. The article itself is a node
-    without a digest (0): a slot.
+    of the path and text of what it stands for. A slot is a node without a
+    digest (0).
     """
-    slots = {id(n) for n in articles(root)}
-    out: list[tuple[int, str, int]] = []
-    todo: list[tuple[list[Node], int, str]] = [([root], 0, "")]
+    texts = Texts(root)
+    out: list[tuple[int, str, int, list[Node]]] = []
+    todo: list[tuple[list[Node], int, int]] = [([root], 0, 0)]
     while todo:
         nodes, depth, path = todo.pop()
         name = label(nodes[0])
-        here = f"{path}/{name}"
+        here = digest(path, name)
         if len(nodes) == 1 and id(nodes[0]) in slots:
-            out.append((depth, name, 0))
+            out.append((depth, name, 0, nodes))
             continue
-        out.append((depth, name, digest(here, "\n".join(map(text_of, nodes)))))
+        out.append((depth, name, digest(here, "\n".join(map(texts.of, nodes))), nodes))
         if len(nodes) > 1:
             continue
         groups: list[list[Node]] = []
@@ -203,6 +238,11 @@ def skeleton(root: Node) -> list[tuple[int, str, int]]:
     return out
 
 
+def skeleton(root: Node) -> list[tuple[int, str, int]]:
+    """(depth, label, digest) of the page's ``outline``; its marked article is a slot."""
+    return [(depth, name, found) for depth, name, found, _ in outline(root, {id(n) for n in articles(root)})]
+
+
 def matched(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
     """Simple tree matching: the largest order-keeping match of two skeletons, as pairs of positions.
 
@@ -211,22 +251,19 @@ def matched(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> lis
     """
     below_a, below_b = _children(a), _children(b)
     memo: dict[tuple[int, int], tuple[int, list]] = {}
+    score = lambda i, j: memo[i, j][0] if (i, j) in memo else 0
 
-    def match(i: int, j: int) -> int:
-        if a[i][1] != b[j][1]:
-            return 0
-        if (i, j) in memo:
-            return memo[i, j][0]
+    def match(i: int, j: int) -> None:
         p, q = below_a[i], below_b[j]
         pairs: list[tuple[int, int]] = []
         if [a[x][1] for x in p] == [b[y][1] for y in q]:
             pairs = list(zip(p, q, strict=True))
-            best = sum(match(x, y) for x, y in pairs)
+            best = sum(score(x, y) for x, y in pairs)
         else:
             table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
             for x in range(len(p)):
                 for y in range(len(q)):
-                    table[x + 1][y + 1] = max(table[x][y + 1], table[x + 1][y], table[x][y] + match(p[x], q[y]))
+                    table[x + 1][y + 1] = max(table[x][y + 1], table[x + 1][y], table[x][y] + score(p[x], q[y]))
             x, y = len(p), len(q)
             best = table[x][y]
             while x and y:
@@ -238,10 +275,20 @@ def matched(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> lis
                     x, y = x - 1, y - 1
                     pairs.append((p[x], q[y]))
         memo[i, j] = best + 1, pairs
-        return best + 1
 
-    if not a or not b or not match(0, 0):
+    if not a or not b or a[0][1] != b[0][1]:
         return []
+    waiting: list[tuple[int, int, bool]] = [(0, 0, False)]
+    while waiting:  # a pair is matched after all pairs below it
+        i, j, ready = waiting.pop()
+        if ready:
+            match(i, j)
+            continue
+        waiting.append((i, j, True))
+        p, q = below_a[i], below_b[j]
+        alike = [a[x][1] for x in p] == [b[y][1] for y in q]
+        below = zip(p, q, strict=True) if alike else ((x, y) for x in p for y in q if a[x][1] == b[y][1])
+        waiting += [(x, y, False) for x, y in below]
     out, todo = [], [(0, 0)]
     while todo:
         pair = todo.pop()
@@ -272,6 +319,9 @@ def blocks(root: Node, template: set[int]) -> list[str]:
     text: list[str] = []
     linked = [0]
     marked = articles(root)
+    constant: set[int] = set()
+    if template and not marked:
+        constant = {id(n) for _, _, found, nodes in outline(root, set()) if found in template for n in nodes}
 
     def flush() -> None:
         block = " ".join(unescape("".join(text)).split())
@@ -280,41 +330,27 @@ def blocks(root: Node, template: set[int]) -> list[str]:
         text.clear()
         linked[0] = 0
 
-    # (nodes or text, path, inside a link); None ends a block.
-    todo: list = [([n], "", False) for n in (marked or [root])[::-1]]
+    # (element or text, inside a link); None ends a block.
+    todo: list = [(n, False) for n in (marked or [root])[::-1]]
     while todo:
         item = todo.pop()
         if item is None:
             flush()
             continue
-        nodes, path, link = item
-        if isinstance(nodes, str):
-            text.append(nodes)
-            linked[0] += len(nodes) * link
+        node, link = item
+        if isinstance(node, str):
+            text.append(node)
+            linked[0] += len(node) * link
             continue
-        here = f"{path}/{label(nodes[0])}"
-        if not marked and template and digest(here, "\n".join(map(text_of, nodes))) in template:
+        if id(node) in constant:
             continue
-        for node in nodes[::-1]:
-            if boilerplate(node, bool(marked)):
-                todo.append(None)
-                continue
-            if node.tag in ("br", "td", "th"):
-                todo.append((" ", here, False))
-            inner = link or node.tag == "a"
-            parts: list = []
-            for child in node.children:
-                if isinstance(child, str):
-                    parts.append((child, here, inner))
-                elif child.tag not in RAW:
-                    like = not marked and parts and not isinstance(parts[-1][0], str) and label(parts[-1][0][0]) == label(child)
-                    if like:
-                        parts[-1][0].append(child)
-                    else:
-                        parts.append(([child], here, inner))
-                elif child.tag == "title":
-                    continue
-            edge = [None] if node.tag in BLOCK else []
-            todo += edge + parts[::-1] + edge
+        if boilerplate(node, bool(marked)):
+            flush()
+            continue
+        if node.tag in ("br", "td", "th"):
+            text.append(" ")
+        edge = [None] if node.tag in BLOCK else []
+        inner = link or node.tag == "a"
+        todo += edge + [(c, inner) for c in node.children[::-1] if isinstance(c, str) or c.tag not in RAW] + edge
     flush()
     return out

@@ -136,3 +136,12 @@ def test_templates_leave_what_varies(spark):
     assert out[11] == out[12] == "" and out[13].startswith("Head & tail")
     assert main_text(pages).count() == len(rows) and main_text(pages.limit(0)).count() == 0
     assert all(r.n_chars == len(r.text) for r in main_text(pages).collect())
+
+
+def test_text_after_deep_elements_stays():
+    deep = "<div id=page><article><h1>H</h1>" + "<div>" * 300 + "low" + "</div>" * 300 + "<p>after</p></article></div><p>out"
+    assert dom.blocks(dom.parse(deep), set()) == ["H", "low", "after"]
+    nav = "<article>" + "<div>" * 80 + "<nav>menu</nav>low" + "</div>" * 80 + "<p>after</article>"
+    assert dom.blocks(dom.parse(nav), set()) == ["low", "after"]
+    a, b = (dom.skeleton(dom.parse("<div>" * 5000 + x)) for x in ("<p>1", "<p>2"))
+    assert len(dom.matched(a, b)) == 5002
