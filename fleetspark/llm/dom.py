@@ -21,6 +21,8 @@ SHIELDS = frozenset("article aside blockquote body button caption div dl figure
 DROPPED = frozenset("nav footer aside form script style noscript template iframe button select svg canvas audio video object dialog menu title head textarea".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Names that parts of an article have too: inside it the host's template decides on them.
+IN_ARTICLE = DROPPED_WORDS - frozenset("banner header masthead notice notices".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][^\s=>/"']*)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
@@ -115,31 +117,86 @@ def parse(html: str) -> Node:
     return root
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
-    """Whether an element says of itself that it isn't the article."""
-    if node.tag in DROPPED or (node.tag == "header" and not in_article):
+def _names(node: Node) -> str:
+    if node.tag in ("html", "body"):
+        return ""
+    return f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".lower()
+
+
+def boilerplate(node: Node, in_article: bool, holds: bool = False) -> bool:
+    """Whether an element says of itself that it isn't the article.
+
+    Its class and id count by any word in them, inside the article only as whole
+    names. They don't count, nor does being a form or a header, for an element
+    that ``holds`` a marked article.
+    """
+    if node.tag in DROPPED and not (holds and node.tag == "form") or (node.tag == "header" and not in_article and not holds):
         return True
     if not node.attributes or node.tag in ("html", "body"):
         return False
     own = node.attributes
-    if own.get("role", "").lower() in DROPPED_ROLES or "hidden" in own or own.get("aria-hidden") == "true":
+    if own.get("role", "").lower() in DROPPED_ROLES and not (holds and own["role"].lower() == "form") or "hidden" in own or own.get("aria-hidden") == "true":
         return True
-    named = f"{own.get('class', '')} {own.get('id', '')}".lower()
-    return not DROPPED_WORDS.isdisjoint(_WORDS.findall(named))
+    if holds:
+        return False
+    return not (IN_ARTICLE.isdisjoint(_names(node).split()) if in_article else DROPPED_WORDS.isdisjoint(_WORDS.findall(_names(node))))
+
+
+def _is_article(node: Node) -> bool:
+    return node.tag == "article" or node.attributes.get("itemprop") == "articleBody"
+
+
+def _is_main(node: Node) -> bool:
+    return node.tag == "main" or node.attributes.get("role") == "main"
+
+
+def holders(root: Node) -> set[int]:
+    """The elements that are or contain what a page marks as article or main part."""
+    found: set[int] = set()
+    above: dict[int, Node] = {}
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if _is_article(node) or _is_main(node):
+            up: Node | None = node
+            while up and id(up) not in found:
+                found.add(id(up))
+                up = above.get(id(up))
+        for child in node.children:
+            if not isinstance(child, str):
+                above[id(child)] = node
+                todo.append(child)
+    return found
 
 
 def articles(root: Node) -> list[Node]:
-    """The outermost elements that the page marks as its article, else as its main part."""
+    """The outermost elements that the page marks as its article, else as its main part.
+
+    Those in elements wholly named as boilerplate (teasers in a box) count only
+    if there are no others and they hold half of the page's text.
+    """
+    holding = holders(root)
+    if not holding:
+        return []
+    if found := _marked(root, holding, True):
+        return found
+    found = _marked(root, holding, False)
+    return found if 2 * sum(len(text_of(n)) for n in found) >= len(text_of(root)) else []
+
+
+def _marked(root: Node, holding: set[int], by_name: bool) -> list[Node]:
     found: dict[str, list[Node]] = {"article": [], "main": []}
     todo = [root]
     while todo:
         node = todo.pop()
-        if isinstance(node, str) or boilerplate(node, False):
+        if isinstance(node, str) or id(node) not in holding or boilerplate(node, False, True):
+            continue
+        if by_name and not DROPPED_WORDS.isdisjoint(_names(node).split()):
             continue
-        if node.tag == "article" or node.attributes.get("itemprop") == "articleBody":
+        if _is_article(node):
             found["article"].append(node)
             continue
-        if node.tag == "main" or node.attributes.get("role") == "main":
+        if _is_main(node):
             found["main"].append(node)
         todo += node.children[::-1]
     if found["article"]:
@@ -319,6 +376,8 @@ def blocks(root: Node, template: set[int]) -> list[str]:
     text: list[str] = []
     linked = [0]
     marked = articles(root)
+    starts = {id(n) for n in marked}
+    holding = set() if marked else holders(root)
     constant: set[int] = set()
     if template and not marked:
         constant = {id(n) for _, _, found, nodes in outline(root, set()) if found in template for n in nodes}
@@ -344,7 +403,7 @@ def blocks(root: Node, template: set[int]) -> list[str]:
             continue
         if id(node) in constant:
             continue
-        if boilerplate(node, bool(marked)):
+        if id(node) not in starts and boilerplate(node, bool(marked), id(node) in holding):
             flush()
             continue
         if node.tag in ("br", "td", "th"):

@@ -145,3 +145,19 @@ def test_text_after_deep_elements_stays():
     assert dom.blocks(dom.parse(nav), set()) == ["low", "after"]
     a, b = (dom.skeleton(dom.parse("<div>" * 5000 + x)) for x in ("<p>1", "<p>2"))
     assert len(dom.matched(a, b)) == 5002
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-comments", "has-banner", "newsletter-page", "sidebar"])
+def test_wrappers_of_the_article_are_not_boilerplate(name):
+    for mark in ("article", "main"):
+        page = f"<nav>menu</nav><div class='{name}'><{mark}><h1>H</h1><p>text of it</p></{mark}></div><div class=related><article>t</article></div>"
+        assert dom.blocks(dom.parse(page.split("<div class=related>")[0]), set()) == ["H", "text of it"]
+        if name != "sidebar":
+            assert dom.blocks(dom.parse(page), set()) == ["H", "text of it"]
+
+
+def test_names_inside_the_article_are_whole():
+    page = "<article class=no-comments><div class='entry-header'><h1>H</h1></div><p class='notice'>heed</p><div class='box related'>r</div><div id=comments>c</div></article>"
+    assert dom.blocks(dom.parse(page), set()) == ["H", "heed"]
+    teaser = "<div>" + "long text " * 9 + "</div><div class=related><article>t</article></div><aside><article>u</article></aside>"
+    assert dom.blocks(dom.parse(teaser), set()) == [("long text " * 9).strip(), "t"]
