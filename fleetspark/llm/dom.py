@@ -23,6 +23,8 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: Names that parts of an article have too: inside it the host's template decides on them.
 IN_ARTICLE = DROPPED_WORDS - frozenset("banner header masthead notice notices".split())
+#: Elements that any text may have or not.
+CONTENT = frozenset("a abbr b blockquote code dd dl dt em figcaption figure h1 h2 h3 h4 h5 h6 i li ol p pre small span strong sub sup table tbody td th thead tr u ul".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][^\s=>/"']*)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
@@ -300,6 +302,11 @@ def skeleton(root: Node) -> list[tuple[int, str, int]]:
     return [(depth, name, found) for depth, name, found, _ in outline(root, {id(n) for n in articles(root)})]
 
 
+def layout(nodes: list[tuple[int, str, int]]) -> int:
+    """What pages of one layout share: a digest of the labels of a skeleton, but for bare content elements, whose use varies."""
+    return digest(0, "\n".join(sorted({f"{depth} {name}" for depth, name, _ in nodes if name not in CONTENT})))
+
+
 def matched(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
     """Simple tree matching: the largest order-keeping match of two skeletons, as pairs of positions.
 
@@ -370,11 +377,10 @@ def blocks(root: Node, template: set[int]) -> list[str]:
 
     Inside the marked article everything but boilerplate counts. A page without
     a mark gives what its host's ``template`` (digests of constant nodes) and
-    boilerplate leave over, without blocks that are mostly links.
+    boilerplate leave over.
     """
     out: list[str] = []
     text: list[str] = []
-    linked = [0]
     marked = articles(root)
     starts = {id(n) for n in marked}
     holding = set() if marked else holders(root)
@@ -384,22 +390,19 @@ def blocks(root: Node, template: set[int]) -> list[str]:
 
     def flush() -> None:
         block = " ".join(unescape("".join(text)).split())
-        if block and (marked or 2 * linked[0] <= len(block)):
+        if block:
             out.append(block)
         text.clear()
-        linked[0] = 0
 
-    # (element or text, inside a link); None ends a block.
-    todo: list = [(n, False) for n in (marked or [root])[::-1]]
+    # None ends a block.
+    todo: list[Node | str | None] = list((marked or [root])[::-1])
     while todo:
-        item = todo.pop()
-        if item is None:
+        node = todo.pop()
+        if node is None:
             flush()
             continue
-        node, link = item
         if isinstance(node, str):
             text.append(node)
-            linked[0] += len(node) * link
             continue
         if id(node) in constant:
             continue
@@ -409,7 +412,6 @@ def blocks(root: Node, template: set[int]) -> list[str]:
         if node.tag in ("br", "td", "th"):
             text.append(" ")
         edge = [None] if node.tag in BLOCK else []
-        inner = link or node.tag == "a"
-        todo += edge + [(c, inner) for c in node.children[::-1] if isinstance(c, str) or c.tag not in RAW] + edge
+        todo += edge + [c for c in node.children[::-1] if isinstance(c, str) or c.tag not in RAW] + edge
     flush()
     return out

@@ -1,8 +1,9 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
 1. Every page gives the skeleton of its tree outside the marked article.
-2. Simple tree matching aligns it with that of the host's first page; over all
-   pages of the host, nodes that are constant become template.
+2. Pages of a host with the same layout form a group, layouts of few pages join
+   the host's commonest. Simple tree matching aligns each page with the first of
+   its group; over all pages of the group, nodes that are constant become template.
 3. Every page is read again, and template and boilerplate are left out.
 
 Only skeletons and templates move, never the pages' html, as long as Spark finds
@@ -32,42 +33,54 @@ class Settings:
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """``host, page_id, depth, label, digest``: each page's tree in arrays, in page order."""
+    """``host, page_id, layout, depth, label, digest``: each page's tree in arrays, in page order."""
 
     def run(batches):
         for batch in batches:
             trees = [dom.skeleton(dom.parse(h or "")) for h in batch.column("html").to_pylist()]
             columns = [pa.array([[n[k] for n in t] for t in trees], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_id"), *columns], ["host", "page_id", "depth", "label", "digest"])
+            layouts = pa.array(list(map(dom.layout, trees)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_id"), layouts, *columns], ["host", "page_id", "layout", "depth", "label", "digest"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("host", "page_id", "html").mapInArrow(run, f"host string, page_id {kind}, depth array<int>, label array<string>, digest array<long>")
+    return pages.select("host", "page_id", "html").mapInArrow(run, f"host string, page_id {kind}, layout long, depth array<int>, label array<string>, digest array<long>")
 
 
 def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``host, template``: digests of the constant nodes of the host's first page."""
-    trees = written(skeletons(pages))
+    """``host, template``: digests of the constant nodes of the first page of each of the host's layouts.
+
+    Pages without elements are left out. A layout of fewer than ``pages`` pages
+    can't show what is constant: its pages are compared with the first page of
+    the host's commonest layout.
+    """
+    trees = written(skeletons(pages)).where(F.size("label") > 1)
     shape = F.struct("depth", "label", "digest")
-    first = trees.groupBy("host").agg(F.min_by(shape, F.struct("page_id", "digest")).alias("first"))
+    order = F.struct("page_id", "digest")
+    layouts = trees.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min_by(shape, order).alias("first"), F.min(order).alias("_least"))
+    common = layouts.groupBy("host").agg(F.min_by(F.struct("layout", "first"), F.struct(-F.col("n"), "_least")).alias("_common"))
+    own = F.col("n") >= settings.pages
+    choice = F.when(own, F.struct("layout", "first")).otherwise(F.col("_common"))
+    first = layouts.join(common, "host").select("host", "layout", choice.alias("_c")).select("host", "layout", F.col("_c.layout").alias("group"), F.col("_c.first").alias("first"))
 
     def align(batches):
         for batch in batches:
-            host, digest, same = [], [], []
+            host, group, digest, same = [], [], [], []
             hosts, firsts = batch.column("host").to_pylist(), batch.column("first").to_pylist()
             own = list(zip(*(batch.column(c).to_pylist() for c in ("depth", "label", "digest")), strict=True))
-            for h, f, tree in zip(hosts, firsts, own, strict=True):
+            for h, g, f, tree in zip(hosts, batch.column("group").to_pylist(), firsts, own, strict=True):
                 a, b = list(zip(f["depth"], f["label"], f["digest"], strict=True)), list(zip(*tree, strict=True))
                 for i, j in dom.matched(a, b):
                     if a[i][2]:
                         host.append(h)
+                        group.append(g)
                         digest.append(a[i][2])
                         same.append(int(a[i][2] == b[j][2]))
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(digest, pa.int64()), pa.array(same, pa.int64())], ["host", "digest", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (group, digest, same))], ["host", "group", "digest", "same"])
 
-    aligned = trees.join(first, "host").select("host", "first", "depth", "label", "digest").mapInArrow(align, "host string, digest long, same long")
-    counted = aligned.groupBy("host", "digest").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
+    aligned = trees.join(first, ["host", "layout"]).select("host", "group", "first", "depth", "label", "digest").mapInArrow(align, "host string, group long, digest long, same long")
+    counted = aligned.groupBy("host", "group", "digest").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
     constant = counted.where((F.col("n") >= settings.pages) & (F.col("same") >= settings.share * F.col("n")))
-    return constant.groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("template"))  # no more than a page has nodes
+    return constant.groupBy("host").agg(F.sort_array(F.collect_set("digest")).alias("template"))  # no more than a page has nodes, for each layout
 
 
 def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:

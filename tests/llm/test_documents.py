@@ -161,3 +161,15 @@ def test_names_inside_the_article_are_whole():
     assert dom.blocks(dom.parse(page), set()) == ["H", "heed"]
     teaser = "<div>" + "long text " * 9 + "</div><div class=related><article>t</article></div><aside><article>u</article></aside>"
     assert dom.blocks(dom.parse(teaser), set()) == [("long text " * 9).strip(), "t"]
+
+
+def test_every_layout_has_a_template(spark):
+    one = "<body><div class='x1'>Home of all</div><p>story {0}</p><p><a href=/{0}>linked {0}</a></p></body>"
+    two = "<body><table class='t'><tr><td>Start here</td></tr></table><section><h2>tale {0}</h2></section><div class='z'>Call 555</div></body>"
+    rows = [(0, "http://h.com/0", None), (None, "http://h.com/n", ""), (1, "http://h.com/e", "  ")]
+    rows += [(i, f"http://h.com/{i}", (two if i % 3 else one).format(i)) for i in range(2, 20)]
+    rows += [(30, "http://h.com/30", "<body><div class='x2'>alone</div><table class='t'><tr><td>Start here</td></tr></table></body>")]
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0] == out[None] == out[1] == ""
+    assert all(out[i] == (f"tale {i}" if i % 3 else f"story {i}\n\nlinked {i}") for i in range(2, 20))
+    assert out[30] == "alone"
