@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from heapq import nsmallest
 from html import unescape
 from itertools import accumulate
 
@@ -27,6 +28,7 @@ IN_ARTICLE = DROPPED_WORDS - frozenset("banner header masthead notice notices".s
 CONTENT = frozenset("a abbr b blockquote code dd dl dt em figcaption figure h1 h2 h3 h4 h5 h6 i li ol p pre small span strong sub sup table tbody td th thead tr u ul".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][^\s=>/"']*)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
+_PHRASES = re.compile(r"[^\s。！？，、]{7,}(?: \S{1,6}(?!\S))*")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -264,42 +266,69 @@ class Texts:
         return self._text[self._at[a] : self._at[b] - 1] if b > a else ""
 
 
-def outline(root: Node, slots: set[int]) -> list[tuple[int, str, int, list[Node]]]:
-    """(depth, label, digest, elements) in page order of the elements outside ``slots``.
+def outline(root: Node, slots: set[int], texts: Texts) -> tuple[list[tuple[int, str, int, list[Node]]], list[tuple[int, int, Node]]]:
+    """The elements outside and inside ``slots``, in page order.
 
-    Runs of neighbours with the same label are one node, a list; the digest is
-    of the path and text of what it stands for. A slot is a node without a
-    digest (0).
+    Outside: (depth, label, digest, elements). Runs of neighbours with the same
+    label are one node, a list; the digest is of the path and text of what it
+    stands for. A slot is a node without a digest (0). Inside: (path, digest,
+    element) of each block with text below a slot, alone.
     """
-    texts = Texts(root)
     out: list[tuple[int, str, int, list[Node]]] = []
-    todo: list[tuple[list[Node], int, int]] = [([root], 0, 0)]
+    inside: list[tuple[int, int, Node]] = []
+    todo: list[tuple[list[Node], int, int, bool]] = [([root], 0, 0, False)]
     while todo:
-        nodes, depth, path = todo.pop()
+        nodes, depth, path, within = todo.pop()
         name = label(nodes[0])
         here = digest(path, name)
-        if len(nodes) == 1 and id(nodes[0]) in slots:
+        slot = len(nodes) == 1 and id(nodes[0]) in slots
+        if within:
+            if nodes[0].tag in BLOCK and (text := texts.of(nodes[0])):
+                inside.append((here, digest(here, text), nodes[0]))
+        elif slot:
             out.append((depth, name, 0, nodes))
-            continue
-        out.append((depth, name, digest(here, "\n".join(map(texts.of, nodes))), nodes))
+        else:
+            out.append((depth, name, digest(here, "\n".join(map(texts.of, nodes))), nodes))
         if len(nodes) > 1:
             continue
         groups: list[list[Node]] = []
         for child in nodes[0].children:
             if isinstance(child, str) or child.tag in RAW or child.tag in VOID:
                 continue
-            alone = id(child) in slots or (groups and id(groups[-1][0]) in slots)
-            if groups and label(groups[-1][0]) == label(child) and not alone:
+            alone = within or slot or id(child) in slots or (groups and id(groups[-1][0]) in slots)
+            if groups and not alone and label(groups[-1][0]) == label(child):
                 groups[-1].append(child)
             else:
                 groups.append([child])
-        todo += [(g, depth + 1, here) for g in groups[::-1]]
-    return out
+        todo += [(g, depth + 1, here, within or slot) for g in groups[::-1]]
+    return out, inside
 
 
 def skeleton(root: Node) -> list[tuple[int, str, int]]:
     """(depth, label, digest) of the page's ``outline``; its marked article is a slot."""
-    return [(depth, name, found) for depth, name, found, _ in outline(root, {id(n) for n in articles(root)})]
+    return page(root)[0]
+
+
+def page(root: Node) -> tuple[list[tuple[int, str, int]], bool, int, list[tuple[int, int]], list[int]]:
+    """A page's skeleton, whether it marks an article, that text's digest (unmarked: the page's), the (path, digest) of
+    the article's blocks, and its ``sample``."""
+    marked = articles(root)
+    texts = Texts(root)
+    out, inside = outline(root, {id(n) for n in marked}, texts)
+    text = "\n".join(map(texts.of, marked or [root]))
+    blocks_ = list(dict.fromkeys((path, found) for path, found, _ in inside))
+    return [n[:3] for n in out], bool(marked), digest(0, text), blocks_, sample(text) if marked else []
+
+
+def sample(text: str, size: int = 32) -> list[int]:
+    """The ``size`` smallest digests of a text's phrases, each cut before a long word; of the text if it has none."""
+    return nsmallest(size, {digest(0, p) for p in set(_PHRASES.findall(text))} or {digest(0, text)})
+
+
+def likeness(a: list[int], b: list[int]) -> float:
+    """Estimated share of phrases that two texts have in common, from their samples."""
+    both = nsmallest(min(len(a), len(b)), set(a) | set(b))
+    return len(set(both) & set(a) & set(b)) / max(1, len(both))
 
 
 def layout(nodes: list[tuple[int, str, int]]) -> int:
@@ -372,10 +401,11 @@ def _children(nodes: list[tuple[int, str, int]]) -> list[list[int]]:
     return below
 
 
-def blocks(root: Node, template: set[int]) -> list[str]:
+def blocks(root: Node, template: set[int], inside: set[int] = frozenset()) -> list[str]:
     """The article's blocks in page order.
 
-    Inside the marked article everything but boilerplate counts. A page without
+    Inside the marked article everything counts but boilerplate and the blocks
+    that its host repeats in unlike articles (digests ``inside``). A page without
     a mark gives what its host's ``template`` (digests of constant nodes) and
     boilerplate leave over.
     """
@@ -385,8 +415,9 @@ def blocks(root: Node, template: set[int]) -> list[str]:
     starts = {id(n) for n in marked}
     holding = set() if marked else holders(root)
     constant: set[int] = set()
-    if template and not marked:
-        constant = {id(n) for _, _, found, nodes in outline(root, set()) if found in template for n in nodes}
+    if inside if marked else template:
+        outer, inner = outline(root, starts, Texts(root))
+        constant = {id(n) for _, found, n in inner if found in inside} if marked else {id(n) for _, _, found, nodes in outer if found in template for n in nodes}
 
     def flush() -> None:
         block = " ".join(unescape("".join(text)).split())

@@ -1,9 +1,11 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
-1. Every page gives the skeleton of its tree outside the marked article.
+1. Every page gives the skeleton of its tree outside the marked article, and the
+   digests of the blocks in the article.
 2. Pages of a host with the same layout form a group, layouts of few pages join
    the host's commonest. Simple tree matching aligns each page with the first of
    its group; over all pages of the group, nodes that are constant become template.
+   A block in the first page's article is template if unlike articles repeat it.
 3. Every page is read again, and template and boilerplate are left out.
 
 Only skeletons and templates move, never the pages' html, as long as Spark finds
@@ -26,37 +28,64 @@ from fleetspark.llm.urls import with_host_and_path
 
 @dataclass(frozen=True)
 class Settings:
-    """A node is template if it is constant on ``share`` of the pages it is matched on, ``pages`` at least."""
+    """A node is template if it is constant on ``share`` of the pages it is matched on, ``pages`` at least.
+
+    In marked articles, and on pages without a mark, copies of one text count as
+    one page. An article that has the share ``alike`` of its phrases in common
+    with the first page's is no evidence on the blocks in it.
+    """
 
     share: float = 0.8
     pages: int = 3
+    alike: float = 0.3
+
+
+_PAGE = "layout long, depth array<int>, label array<string>, digest array<long>, marked boolean, article long, path array<long>, block array<long>, sample array<long>"
+_SHAPE = ("depth", "label", "digest", "marked", "article", "path", "block", "sample")
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """``host, page_id, layout, depth, label, digest``: each page's tree in arrays, in page order."""
+    """``host, page_id`` and what ``dom.page`` tells of each page: its tree and the blocks of its article in arrays, in page order."""
 
     def run(batches):
         for batch in batches:
-            trees = [dom.skeleton(dom.parse(h or "")) for h in batch.column("html").to_pylist()]
-            columns = [pa.array([[n[k] for n in t] for t in trees], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.string(), pa.int64()))]
-            layouts = pa.array(list(map(dom.layout, trees)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_id"), layouts, *columns], ["host", "page_id", "layout", "depth", "label", "digest"])
+            found = [dom.page(dom.parse(h or "")) for h in batch.column("html").to_pylist()]
+            longs = lambda rows: pa.array(rows, pa.list_(pa.int64()))
+            columns = [pa.array([dom.layout(p[0]) for p in found], pa.int64())]
+            columns += [pa.array([[n[k] for n in p[0]] for p in found], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.string(), pa.int64()))]
+            columns += [pa.array([p[1] for p in found], pa.bool_()), pa.array([p[2] for p in found], pa.int64())]
+            columns += [longs([[n[k] for n in p[3]] for p in found]) for k in (0, 1)] + [longs([p[4] for p in found])]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_id"), *columns], ["host", "page_id", "layout", *_SHAPE])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("host", "page_id", "html").mapInArrow(run, f"host string, page_id {kind}, layout long, depth array<int>, label array<string>, digest array<long>")
+    return pages.select("host", "page_id", "html").mapInArrow(run, f"host string, page_id {kind}, {_PAGE}")
+
+
+def evidence(first: dict, page: dict, alike: float):
+    """(digest, in the article, text that counts once or None, same) for the nodes of ``first`` that ``page`` has too."""
+    a, b = (list(zip(p["depth"], p["label"], p["digest"], strict=True)) for p in (first, page))
+    for i, j in dom.matched(a, b):
+        if a[i][2]:
+            yield a[i][2], False, None if page["marked"] else page["article"], int(a[i][2] == b[j][2])
+    if not (first["marked"] and page["marked"]) or (first["article"] != page["article"] and dom.likeness(first["sample"], page["sample"]) >= alike):
+        return
+    paths, blocks = set(page["path"]), set(page["block"])
+    for path, block in zip(first["path"], first["block"], strict=True):
+        if path in paths:
+            yield block, True, page["article"], int(block in blocks)
 
 
 def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``host, template``: digests of the constant nodes of the first page of each of the host's layouts.
+    """``host, template, inside``: digests of the constant nodes of the first page of each of the host's layouts, outside and
+    inside its marked article.
 
     Pages without elements are left out. A layout of fewer than ``pages`` pages
     can't show what is constant: its pages are compared with the first page of
     the host's commonest layout.
     """
     trees = written(skeletons(pages)).where(F.size("label") > 1)
-    shape = F.struct("depth", "label", "digest")
-    order = F.struct("page_id", "digest")
-    layouts = trees.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min_by(shape, order).alias("first"), F.min(order).alias("_least"))
+    order = F.struct("page_id", "article", "digest")
+    layouts = trees.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min_by(F.struct(*_SHAPE), order).alias("first"), F.min(order).alias("_least"))
     common = layouts.groupBy("host").agg(F.min_by(F.struct("layout", "first"), F.struct(-F.col("n"), "_least")).alias("_common"))
     own = F.col("n") >= settings.pages
     choice = F.when(own, F.struct("layout", "first")).otherwise(F.col("_common"))
@@ -64,23 +93,18 @@ def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def align(batches):
         for batch in batches:
-            host, group, digest, same = [], [], [], []
-            hosts, firsts = batch.column("host").to_pylist(), batch.column("first").to_pylist()
-            own = list(zip(*(batch.column(c).to_pylist() for c in ("depth", "label", "digest")), strict=True))
-            for h, g, f, tree in zip(hosts, batch.column("group").to_pylist(), firsts, own, strict=True):
-                a, b = list(zip(f["depth"], f["label"], f["digest"], strict=True)), list(zip(*tree, strict=True))
-                for i, j in dom.matched(a, b):
-                    if a[i][2]:
-                        host.append(h)
-                        group.append(g)
-                        digest.append(a[i][2])
-                        same.append(int(a[i][2] == b[j][2]))
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (group, digest, same))], ["host", "group", "digest", "same"])
-
-    aligned = trees.join(first, ["host", "layout"]).select("host", "group", "first", "depth", "label", "digest").mapInArrow(align, "host string, group long, digest long, same long")
-    counted = aligned.groupBy("host", "group", "digest").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
+            rows = [(host, group, *found) for host, group, first, page in zip(*(batch.column(c).to_pylist() for c in ("host", "group", "first", "page")), strict=True) for found in evidence(first, page, settings.alike)]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["host", "group", "digest", "within", "once", "same"])
+
+    key = ("host", "group", "digest", "within")
+    aligned = trees.select("host", "layout", F.struct(*_SHAPE).alias("page")).join(first, ["host", "layout"]).select("host", "group", "first", "page").mapInArrow(align, "host string, group long, digest long, within boolean, once long, same long")
+    counted = aligned.groupBy(*key, "once").agg(F.count("*").alias("n"), F.sum("same").alias("same"), F.max("same").alias("most"))
+    single = F.col("once").isNotNull()
+    counted = counted.groupBy(*key).agg(F.sum(F.when(single, 1).otherwise(F.col("n"))).alias("n"), F.sum(F.when(single, F.col("most")).otherwise(F.col("same"))).alias("same"))
     constant = counted.where((F.col("n") >= settings.pages) & (F.col("same") >= settings.share * F.col("n")))
-    return constant.groupBy("host").agg(F.sort_array(F.collect_set("digest")).alias("template"))  # no more than a page has nodes, for each layout
+    digests = lambda own: F.sort_array(F.collect_set(F.when(own, F.col("digest"))))
+    return constant.groupBy("host").agg(digests(~F.col("within")).alias("template"), digests(F.col("within")).alias("inside"))  # no more than a page has nodes, for each layout
 
 
 def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -89,8 +113,9 @@ def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Character references are decoded, white space in a block becomes one blank.
     Null, empty and text-less html gives an empty text. Pages without a host
     form one group. Repeated rows give repeated results; columns not named here
-    are ignored. A page that marks no article gives what its host's template,
-    menus and the like leave over.
+    are ignored. A marked article loses the blocks that unlike articles of its
+    host repeat; a page that marks none gives what its host's template, menus
+    and the like leave over.
     """
     ship(pages.sparkSession)
     pages = with_host_and_path(pages.select("page_id", "url", "html"))
@@ -98,9 +123,9 @@ def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            templates_ = [frozenset(t or ()) for t in batch.column("template").to_pylist()]
-            texts = ["\n\n".join(dom.blocks(dom.parse(h or ""), t)) for h, t in zip(batch.column("html").to_pylist(), templates_, strict=True)]
+            outer, inner = ([frozenset(t or ()) for t in batch.column(c).to_pylist()] for c in ("template", "inside"))
+            texts = ["\n\n".join(dom.blocks(dom.parse(h or ""), t, i)) for h, t, i in zip(batch.column("html").to_pylist(), outer, inner, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.join(found, "host", "left").select("page_id", "url", "html", "template").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.join(found, "host", "left").select("page_id", "url", "html", "template", "inside").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

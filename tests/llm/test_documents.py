@@ -173,3 +173,21 @@ def test_every_layout_has_a_template(spark):
     assert out[0] == out[None] == out[1] == ""
     assert all(out[i] == (f"tale {i}" if i % 3 else f"story {i}\n\nlinked {i}") for i in range(2, 20))
     assert out[30] == "alone"
+
+
+def test_what_unlike_articles_repeat_is_template(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randrange(3, 11))) for _ in range(900)]
+    story = lambda: " ".join(rng.choice(words) for _ in range(60))
+    page = "<nav>menu</nav><article><h1>{0}</h1><p>{1}</p><div class='x9'><b>Join</b> our list</div>\n<p>{2}</p><p>Written by us</p></article>"
+    rows = [(f"http://a.com/{i}", story(), story(), story()) for i in range(8)]
+    one = story()
+    rows += [(f"http://b.com/{i}", "The same title", one, one.replace(" ", f" n{i} ", 3)) for i in range(8)]
+    rows += [("http://c.com/x", "T", one, one)] * 6 + [("http://d.com/x", story(), one, story())]
+    pages = spark.createDataFrame([(i, u, page.format(*t)) for i, (u, *t) in enumerate(rows)], "page_id long, url string, html string")
+    out = {r.page_id: r.text.split("\n\n") for r in main_text(pages).collect()}
+    for i, (url, *t) in enumerate(rows):
+        t = [" ".join(x.split()) for x in t]
+        assert out[i] == (t if "a.com" in url else [t[0], t[1], "Join our list", t[2], "Written by us"]), url
+    bare = spark.createDataFrame([(i, "http://e.com/", f"<div>{one}</div><h2>{one}</h2>") for i in range(5)], "page_id long, url string, html string")
+    assert all(r.text == f"{one}\n\n{one}" for r in main_text(bare).collect())
