@@ -95,6 +95,11 @@ class Weights:
         return plain
 
 
+def near_any(places: np.ndarray, others: np.ndarray, window: int) -> int:
+    """How many of ``places`` have one of ``others`` at most ``window`` away; both rise."""
+    return int((np.searchsorted(others, places + window, "right") > np.searchsorted(others, places - window, "left")).sum())
+
+
 def features(texts: list[str], weights: Weights, window: int) -> np.ndarray:
     """One row of ``FEATURES`` for each text; all zeros but for rates of an empty one."""
     counts = class_counts(texts)
@@ -109,8 +114,8 @@ def features(texts: list[str], weights: Weights, window: int) -> np.ndarray:
         weight = np.where(hidden, -found - 1, found)
         hit = np.flatnonzero(weight > 0)
         n = len(words)
-        you = np.array([k for k, w in enumerate(words) if bare(w) in SECOND_PERSON]) if len(hit) else np.zeros(0)
-        near = (np.abs(hit[:, None] - you[None, :]) <= window).any(axis=1).sum() if len(you) and len(hit) * len(you) < 4_000_000 else 0
+        you = np.array([k for k, w in enumerate(words) if bare(w) in SECOND_PERSON]) if len(hit) else np.zeros(0, int)
+        near = near_any(hit, you, window)
         top = np.sort(weight[hit])[::-1]
         distinct = len({words[k] for k in hit})
         rows[i, :8] = math.log1p(n), 100 * len(hit) / n, distinct, 100 * top.sum() / n, top[0] if len(top) else 0, top[1] if len(top) > 1 else 0, 100 * near / n, 100 * len(you) / n

@@ -114,3 +114,13 @@ def test_quality(spark):
     good = [out[i].kept == bool(q) for i, _, _, q in rows if not out[i].base_failed]
     assert sum(good) >= 0.97 * len(good)
     assert quality.judge(docs.limit(0), quality.train(docs, labels.limit(0))).count() == 0
+
+
+def test_near_second_person_in_texts_of_any_length():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (np.flatnonzero(rng.random(60) < rng.random()) for _ in range(2))
+        assert toxicity.near_any(a, b, 4) == sum(any(abs(x - y) <= 4 for y in b) for x in a)
+    near = toxicity.FEATURES.index("near_you")
+    short, long = (toxicity.features(["you idiot a b c d e f g h " * n], toxicity.Weights({"idiot": 5.0}), 4)[0] for n in (20, 3000))
+    assert short[near] == long[near] == 10.0
