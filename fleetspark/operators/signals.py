@@ -10,12 +10,19 @@ from fleetspark.operators.matching import near_points
 KEY = ("route_id", "direction_id")
 
 
-def signal_positions(signals: DataFrame, shapes: DataFrame, route_dir: DataFrame, radius: float = 20.0, margin: float = 150.0) -> DataFrame:
-    """``route_id, direction_id, signal_id, d``: signals on a shape, at its nearest point, away from its ends."""
+def signal_positions(signals: DataFrame, shapes: DataFrame, route_dir: DataFrame, radius: float = 20.0, margin: float = 150.0, tunnels: DataFrame | None = None) -> DataFrame:
+    """``route_id, direction_id, signal_id, d``: signals on a shape, at its nearest point, away from its ends.
+
+    Signals over one of ``tunnels`` (route_id, direction_id, d0, d1) are left out.
+    """
     points = shapes.select(*KEY, F.col("x").alias("px"), F.col("y").alias("py"), "d")
     best = near_points(signals.select("signal_id", "x", "y"), points, radius).groupBy(*KEY, "signal_id").agg(F.min(F.struct("off", "d")).alias("b"))
     rows = best.select(*KEY, "signal_id", F.col("b.d").alias("d")).join(route_dir.select(*KEY, "length"), list(KEY))
-    return rows.where((F.col("d") > margin) & (F.col("d") < F.col("length") - margin)).drop("length")
+    rows = rows.where((F.col("d") > margin) & (F.col("d") < F.col("length") - margin)).drop("length")
+    if tunnels is None:
+        return rows
+    below = tunnels.select(*(F.col(k).alias(f"_{k}") for k in KEY), "d0", "d1")
+    return rows.join(below, [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col("d").between(F.col("d0"), F.col("d1"))], "left_anti")
 
 
 def signal_waits(states: DataFrame, extents: DataFrame, positions: DataFrame, up: float = 75.0, down: float = 12.0, slack: float = 5.0) -> DataFrame:

@@ -151,3 +151,15 @@ def test_local_if_it_halts_at_local_stops():
 def test_hours_next_to_a_gap(spark):
     rows = spark.createDataFrame([("a", 5, 1.0), ("a", 7, 2.0)], "k string, hour int, v double")
     assert sorted(tuple(r) for r in scenarios.near_hours(rows, ["k"], ["v"]).collect()) == [("a", 4, 1.0), ("a", 5, 1.0), ("a", 6, 2.0), ("a", 7, 2.0), ("a", 8, 2.0)]
+
+
+def test_signals_over_tunnels_are_left_out(spark):
+    from fleetspark.operators.signals import signal_positions
+
+    shapes = spark.sql("SELECT 'A' AS route_id, direction_id, CAST(id * 10 AS DOUBLE) AS x, 0D AS y, CAST(id * 10 AS DOUBLE) AS d FROM range(100) CROSS JOIN (SELECT explode(array(0, 1)) AS direction_id)")
+    routes = spark.sql("SELECT 'A' AS route_id, explode(array(0, 1)) AS direction_id, 990D AS length")
+    lights = spark.createDataFrame([(1, 300.0, 5.0), (2, 500.0, 5.0), (3, 700.0, 5.0)], "signal_id int, x double, y double")
+    tunnels = spark.createDataFrame([("A", 0, 400.0, 600.0), ("B", 1, 0.0, 990.0)], "route_id string, direction_id int, d0 double, d1 double")
+    found = {(r.direction_id, r.signal_id) for r in signal_positions(lights, shapes, routes, tunnels=tunnels).collect()}
+    assert found == {(0, 1), (0, 3), (1, 1), (1, 2), (1, 3)}
+    assert signal_positions(lights, shapes, routes).count() == 6
