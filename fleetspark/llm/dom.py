@@ -8,6 +8,7 @@ from heapq import nsmallest
 from html import unescape
 from itertools import accumulate
 
+import numpy as np
 import xxhash
 
 #: Element kinds of HTML.
@@ -239,25 +240,31 @@ def label(node: Node) -> str:
 
 
 class Texts:
-    """``text_of`` for every element of a page, from one walk over it."""
+    """``text_of`` for every element of a page, and how much of it is outside links, from one walk over it."""
 
     def __init__(self, root: Node):
         pieces: list[str] = []
+        plain: list[int] = []
         span: dict[int, list[int]] = {}
+        links = 0
         todo: list[tuple[Node | str, bool]] = [(root, False)]
         while todo:
             node, left = todo.pop()
             if isinstance(node, str):
                 if words := unescape(node).split():
                     pieces.append(" ".join(words))
+                    plain.append(0 if links else len(pieces[-1]))
             elif left:
+                links -= node.tag == "a"
                 span[id(node)].append(len(pieces))
             elif node.tag not in RAW:
+                links += node.tag == "a"
                 span[id(node)] = [len(pieces)]
                 todo.append((node, True))
                 todo += [(c, False) for c in node.children[::-1]]
         self._text, self._span = " ".join(pieces), span
         self._at = [0, *accumulate(len(p) + 1 for p in pieces)]
+        self._plain = [0, *accumulate(plain)]
 
     def of(self, node: Node) -> str:
         if id(node) not in self._span:
@@ -265,59 +272,113 @@ class Texts:
         a, b = self._span[id(node)]
         return self._text[self._at[a] : self._at[b] - 1] if b > a else ""
 
+    def plain(self, node: Node) -> int:
+        """Characters of its text that no link has."""
+        a, b = self._span.get(id(node), (0, 0))
+        return self._plain[b] - self._plain[a]
 
-def outline(root: Node, slots: set[int], texts: Texts) -> tuple[list[tuple[int, str, int, list[Node]]], list[tuple[int, int, Node]]]:
-    """The elements outside and inside ``slots``, in page order.
 
-    Outside: (depth, label, digest, elements). Runs of neighbours with the same
-    label are one node, a list; the digest is of the path and text of what it
-    stands for. A slot is a node without a digest (0). Inside: (path, digest,
-    element) of each block with text below a slot, alone.
-    """
-    out: list[tuple[int, str, int, list[Node]]] = []
-    inside: list[tuple[int, int, Node]] = []
+#: What a node of an outline is: it holds a marked article, is one, is in one, is boilerplate by its own account.
+HOLDS, MARKED, WITHIN, DULL = 1, 2, 4, 8
+
+
+class Part:
+    """A node of an outline: neighbours with the same label, at ``depth``, with the digest of their path and text."""
+
+    __slots__ = ("depth", "label", "path", "digest", "kind", "mass", "nodes")
+
+    def __init__(self, depth: int, label_: str, path: int, found: int, kind: int, mass: int, nodes: list[Node]):
+        self.depth, self.label, self.path, self.digest, self.kind, self.mass, self.nodes = depth, label_, path, found, kind, mass, nodes
+
+
+def outline(root: Node, texts: Texts, marked: set[int], holding: set[int]) -> list[Part]:
+    """The elements of a page in its order; runs of neighbours with the same label are one part, and not looked into."""
+    out: list[Part] = []
     todo: list[tuple[list[Node], int, int, bool]] = [([root], 0, 0, False)]
     while todo:
         nodes, depth, path, within = todo.pop()
         name = label(nodes[0])
         here = digest(path, name)
-        slot = len(nodes) == 1 and id(nodes[0]) in slots
-        if within:
-            if nodes[0].tag in BLOCK and (text := texts.of(nodes[0])):
-                inside.append((here, digest(here, text), nodes[0]))
-        elif slot:
-            out.append((depth, name, 0, nodes))
-        else:
-            out.append((depth, name, digest(here, "\n".join(map(texts.of, nodes))), nodes))
+        kind = HOLDS * any(id(n) in holding for n in nodes) | MARKED * any(id(n) in marked for n in nodes) | WITHIN * within
+        kind |= DULL * all(boilerplate(n, within, id(n) in holding) for n in nodes)
+        out.append(Part(depth, name, here, digest(here, "\n".join(map(texts.of, nodes))), kind, sum(map(texts.plain, nodes)), nodes))
         if len(nodes) > 1:
             continue
         groups: list[list[Node]] = []
         for child in nodes[0].children:
             if isinstance(child, str) or child.tag in RAW or child.tag in VOID:
                 continue
-            alone = within or slot or id(child) in slots or (groups and id(groups[-1][0]) in slots)
-            if groups and not alone and label(groups[-1][0]) == label(child):
+            if groups and label(groups[-1][0]) == label(child):
                 groups[-1].append(child)
             else:
                 groups.append([child])
-        todo += [(g, depth + 1, here, within or slot) for g in groups[::-1]]
-    return out, inside
+        todo += [(g, depth + 1, here, within or bool(kind & MARKED)) for g in groups[::-1]]
+    return out
+
+
+def elements_by_path(root: Node):
+    """(path, element) of all elements, outer ones first, in page order."""
+    todo = [(root, digest(0, label(root)))]
+    while todo:
+        node, path = todo.pop()
+        yield path, node
+        todo += [(c, digest(path, label(c))) for c in node.children[::-1] if not isinstance(c, str) and c.tag not in RAW and c.tag not in VOID]
+
+
+def block_digests(root: Node, texts: Texts):
+    """(path, digest, element) of every block with text, each alone."""
+    for path, node in elements_by_path(root):
+        if node.tag in BLOCK and (text := texts.of(node)):
+            yield path, digest(path, text), node
 
 
 def skeleton(root: Node) -> list[tuple[int, str, int]]:
-    """(depth, label, digest) of the page's ``outline``; its marked article is a slot."""
-    return page(root)[0]
+    """(depth, label, digest) of the page's ``outline``."""
+    return [(p.depth, p.label, p.digest) for p in page(root)[0]]
 
 
-def page(root: Node) -> tuple[list[tuple[int, str, int]], bool, int, list[tuple[int, int]], list[int]]:
-    """A page's skeleton, whether it marks an article, that text's digest (unmarked: the page's), the (path, digest) of
-    the article's blocks, and its ``sample``."""
+def page(root: Node) -> tuple[list[Part], bool, int, list[tuple[int, int]], list[int]]:
+    """A page's outline, whether it marks an article, the digest of its main text as the page alone tells it, the
+    (path, digest) of its blocks, and that text's ``sample``."""
     marked = articles(root)
     texts = Texts(root)
-    out, inside = outline(root, {id(n) for n in marked}, texts)
+    out = outline(root, texts, {id(n) for n in marked}, holders(root))
     text = "\n".join(map(texts.of, marked or [root]))
-    blocks_ = list(dict.fromkeys((path, found) for path, found, _ in inside))
-    return [n[:3] for n in out], bool(marked), digest(0, text), blocks_, sample(text) if marked else []
+    blocks_ = list(dict.fromkeys((path, found) for path, found, _ in block_digests(root, texts)))
+    return out, bool(marked), digest(0, text), blocks_, sample(text) if marked else []
+
+
+#: Elements that may hold a page's main part alone.
+CONTAINERS = frozenset("#root html body div section article main center table tbody tr td".split())
+#: Slots that hold everything, so they tell nothing.
+WHOLE = frozenset("#root html body".split())
+
+
+def induced(parts: list[tuple[int, str, int, int]], masses: dict[int, int], most: float = 0.5, own: float = 0.1) -> int | None:
+    """The path of the slot that holds a layout's content; null if that is no less than the page.
+
+    ``parts``: (depth, label, path, kind) of the first page's outline. ``masses``:
+    by place in it, the plain text that other pages have there and that differs.
+    From the root, it goes down into the one child that varies, boilerplate
+    apart; or into a child with ``most`` of what varies if that holds a marked
+    article, or else all others do, which are teasers then. It stops at a marked
+    article, and where over ``own`` of the varying text is a node's own, or
+    several children vary.
+    """
+    below = _children([(depth, name, 0) for depth, name, _, _ in parts])
+    at = 0
+    while not parts[at][3] & MARKED:
+        varying = [c for c in below[at] if masses.get(c) and not parts[c][3] & DULL]
+        if not varying or sum(masses.get(c, 0) for c in below[at]) < (1 - own) * masses.get(at, 0):
+            break
+        best = max(varying, key=masses.__getitem__)
+        heavy = masses[best] >= most * sum(masses[c] for c in varying)
+        marked = [c for c in varying if parts[c][3] & (HOLDS | MARKED)]
+        alone = len(varying) == 1 or heavy and (best in marked or len(varying) == 1 + len(marked))
+        if not alone or parts[best][1].split(".")[0] not in CONTAINERS:
+            break
+        at = best
+    return None if parts[at][1].split(".")[0] in WHOLE else parts[at][2]
 
 
 def sample(text: str, size: int = 32) -> list[int]:
@@ -331,65 +392,107 @@ def likeness(a: list[int], b: list[int]) -> float:
     return len(set(both) & set(a) & set(b)) / max(1, len(both))
 
 
-def layout(nodes: list[tuple[int, str, int]]) -> int:
-    """What pages of one layout share: a digest of the labels of a skeleton, but for bare content elements, whose use varies."""
-    return digest(0, "\n".join(sorted({f"{depth} {name}" for depth, name, _ in nodes if name not in CONTENT})))
+def layout(parts: list[Part]) -> int:
+    """What pages of one layout share: a digest of the labels outside marked articles, but for bare content elements, whose use varies."""
+    return digest(0, "\n".join(sorted({f"{p.depth} {p.label}" for p in parts if p.label not in CONTENT and not p.kind & WITHIN})))
 
 
 def matched(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
     """Simple tree matching: the largest order-keeping match of two skeletons, as pairs of positions.
 
     Nodes match only under matched parents and with the same label; children
-    are aligned by dynamic programming, weighted by what matches below.
+    are aligned by dynamic programming, weighted by what matches below. What two
+    nodes score depends on their shapes alone (labels below them), so each pair
+    of shapes is worked out once.
     """
-    below_a, below_b = _children(a), _children(b)
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-    score = lambda i, j: memo[i, j][0] if (i, j) in memo else 0
-
-    def match(i: int, j: int) -> None:
-        p, q = below_a[i], below_b[j]
-        pairs: list[tuple[int, int]] = []
-        if [a[x][1] for x in p] == [b[y][1] for y in q]:
-            pairs = list(zip(p, q, strict=True))
-            best = sum(score(x, y) for x, y in pairs)
-        else:
-            table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-            for x in range(len(p)):
-                for y in range(len(q)):
-                    table[x + 1][y + 1] = max(table[x][y + 1], table[x + 1][y], table[x][y] + score(p[x], q[y]))
-            x, y = len(p), len(q)
-            best = table[x][y]
-            while x and y:
-                if table[x][y] == table[x - 1][y]:
-                    x -= 1
-                elif table[x][y] == table[x][y - 1]:
-                    y -= 1
-                else:
-                    x, y = x - 1, y - 1
-                    pairs.append((p[x], q[y]))
-        memo[i, j] = best + 1, pairs
-
     if not a or not b or a[0][1] != b[0][1]:
         return []
-    waiting: list[tuple[int, int, bool]] = [(0, 0, False)]
-    while waiting:  # a pair is matched after all pairs below it
-        i, j, ready = waiting.pop()
-        if ready:
-            match(i, j)
-            continue
-        waiting.append((i, j, True))
-        p, q = below_a[i], below_b[j]
-        alike = [a[x][1] for x in p] == [b[y][1] for y in q]
-        below = zip(p, q, strict=True) if alike else ((x, y) for x in p for y in q if a[x][1] == b[y][1])
-        waiting += [(x, y, False) for x, y in below]
+    shapes = Shapes()
+    below = _children(a), _children(b)
+    own = shapes.of(a, below[0]), shapes.of(b, below[1])
     out, todo = [], [(0, 0)]
     while todo:
-        pair = todo.pop()
-        out.append(pair)
-        todo += memo[pair][1]
+        i, j = todo.pop()
+        out.append((i, j))
+        todo += [(below[0][i][x], below[1][j][y]) for x, y in shapes.aligned(own[0][i], own[1][j])]
     return sorted(out)
 
 
+class Shapes:
+    """Shapes of trees by number: a label and the shapes of the children; and the best matches of two."""
+
+    def __init__(self):
+        self.numbers: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.label: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def of(self, nodes: list[tuple[int, str, int]], below: list[list[int]]) -> list[int]:
+        found = [0] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):  # children come after their parent
+            key = nodes[i][1], tuple(found[c] for c in below[i])
+            if key not in self.numbers:
+                self.numbers[key] = len(self.label)
+                self.label.append(key[0])
+                self.below.append(key[1])
+                self.size.append(1 + sum(self.size[c] for c in key[1]))
+            found[i] = self.numbers[key]
+        return found
+
+    def known(self, x: int, y: int) -> int | None:
+        """The score of two shapes where no alignment is needed, or once it is done."""
+        if self.label[x] != self.label[y]:
+            return 0
+        if x == y:
+            return self.size[x]
+        if not self.below[x] or not self.below[y]:
+            return 1
+        return self.scores.get((x, y))
+
+    def score(self, x: int, y: int) -> int:
+        waiting = [(x, y)]
+        while waiting:  # a pair is scored after all pairs of shapes below it
+            p, q = waiting[-1]
+            if self.known(p, q) is None:
+                missing = [(u, v) for u in set(self.below[p]) for v in set(self.below[q]) if self.known(u, v) is None]
+                if missing:
+                    waiting += missing
+                    continue
+                self.scores[p, q] = 1 + int(self._table(p, q)[-1, -1])
+            waiting.pop()
+        return self.known(x, y)
+
+    def _table(self, x: int, y: int) -> np.ndarray:
+        """Best scores of the first children of one with the first children of the other."""
+        p, q = self.below[x], self.below[y]
+        rows = {u: np.array([self.known(u, v) for v in q], np.int64) for u in set(p)}
+        table = np.zeros((len(p) + 1, len(q) + 1), np.int64)
+        for k, u in enumerate(p):
+            table[k + 1, 1:] = np.maximum.accumulate(np.maximum(table[k, 1:], table[k, :-1] + rows[u]))
+        return table
+
+    def aligned(self, x: int, y: int) -> list[tuple[int, int]]:
+        """Places of the children that match in a best match of two shapes with one label."""
+        p, q = self.below[x], self.below[y]
+        if x == y:
+            return [(k, k) for k in range(len(p))]
+        if not p or not q:
+            return []
+        self.score(x, y)
+        table = self._table(x, y)
+        out, u, v = [], len(p), len(q)
+        while u and v:
+            if table[u, v] == table[u - 1, v]:
+                u -= 1
+            elif table[u, v] == table[u, v - 1]:
+                v -= 1
+            else:
+                u, v = u - 1, v - 1
+                out.append((u, v))
+        return out
+
+
 def _children(nodes: list[tuple[int, str, int]]) -> list[list[int]]:
     below: list[list[int]] = [[] for _ in nodes]
     stack: list[int] = []
@@ -401,23 +504,41 @@ def _children(nodes: list[tuple[int, str, int]]) -> list[list[int]]:
     return below
 
 
-def blocks(root: Node, template: set[int], inside: set[int] = frozenset()) -> list[str]:
+def main_part(root: Node, wrappers: set[int], texts: Texts) -> tuple[list[Node], bool]:
+    """The elements that hold the page's content, and whether that is less than the page.
+
+    Those at the host's wrapper with the most text outside links; without one on
+    the page, those that the page marks itself.
+    """
+    found: dict[int, list[Node]] = {}
+    inner: set[int] = set()
+    for path, node in elements_by_path(root) if wrappers else ():
+        if path in wrappers and id(node) not in inner:
+            found.setdefault(path, []).append(node)
+            inner |= {id(n) for n in _elements(node)}
+    if found:
+        return max(found.values(), key=lambda nodes: sum(map(texts.plain, nodes))), True
+    marked = articles(root)
+    return marked or [root], bool(marked)
+
+
+def blocks(root: Node, template: set[int] = frozenset(), wrappers: set[int] = frozenset()) -> list[str]:
     """The article's blocks in page order.
 
-    Inside the marked article everything counts but boilerplate and the blocks
-    that its host repeats in unlike articles (digests ``inside``). A page without
-    a mark gives what its host's ``template`` (digests of constant nodes) and
-    boilerplate leave over.
+    What the host's ``wrappers`` hold (paths of slots; else what the page marks,
+    else the whole page), but for boilerplate and constant nodes (digests in
+    ``template``).
     """
     out: list[str] = []
     text: list[str] = []
-    marked = articles(root)
-    starts = {id(n) for n in marked}
-    holding = set() if marked else holders(root)
+    texts = Texts(root)
+    main, proper = main_part(root, wrappers, texts)
+    starts = {id(n) for n in main}
+    holding = holders(root)
     constant: set[int] = set()
-    if inside if marked else template:
-        outer, inner = outline(root, starts, Texts(root))
-        constant = {id(n) for _, found, n in inner if found in inside} if marked else {id(n) for _, _, found, nodes in outer if found in template for n in nodes}
+    if template:
+        constant = {id(n) for part in outline(root, texts, set(), holding) if part.digest in template for n in part.nodes}
+        constant |= {id(n) for _, found, n in block_digests(root, texts) if found in template}
 
     def flush() -> None:
         block = " ".join(unescape("".join(text)).split())
@@ -426,7 +547,7 @@ def blocks(root: Node, template: set[int], inside: set[int] = frozenset()) -> li
         text.clear()
 
     # None ends a block.
-    todo: list[Node | str | None] = list((marked or [root])[::-1])
+    todo: list[Node | str | None] = list(main[::-1])
     while todo:
         node = todo.pop()
         if node is None:
@@ -437,7 +558,7 @@ def blocks(root: Node, template: set[int], inside: set[int] = frozenset()) -> li
             continue
         if id(node) in constant:
             continue
-        if id(node) not in starts and boilerplate(node, bool(marked), id(node) in holding):
+        if id(node) not in starts and boilerplate(node, proper, not proper and id(node) in holding):
             flush()
             continue
         if node.tag in ("br", "td", "th"):

@@ -1,16 +1,16 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
-1. Every page gives the skeleton of its tree outside the marked article, and the
-   digests of the blocks in the article.
+1. Every page gives the outline of its tree and the digests of its blocks.
 2. Pages of a host with the same layout form a group, layouts of few pages join
    the host's commonest. Simple tree matching aligns each page with the first of
-   its group; over all pages of the group, nodes that are constant become template.
-   A block in the first page's article is template if unlike articles repeat it.
-3. Every page is read again, and template and boilerplate are left out.
-
-Only skeletons and templates move, never the pages' html, as long as Spark finds
-the table of templates small enough to broadcast; else it joins by host and
-splits hosts with very many pages.
+   its group. Nodes that are constant over the group become template; the slot
+   that holds what varies, boilerplate apart, becomes the group's wrapper.
+3. Every page is read again: what the wrapper holds, less template and boilerplate.
+   A page that no wrapper fits gives what it marks as its article, or all of it.
+
+Only outlines, templates and wrappers move, never the pages' html, as long as
+Spark finds the table of templates small enough to broadcast; else it joins by
+host, and adaptive execution splits the hosts with very many pages.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from fleetspark.llm.urls import with_host_and_path
 
 @dataclass(frozen=True)
 class Settings:
-    """A node is template if it is constant on ``share`` of the pages it is matched on, ``pages`` at least.
+    """A node is template if it is constant on ``share`` of the pages it is matched on, ``pages`` at least; as many show a slot.
 
     In marked articles, and on pages without a mark, copies of one text count as
     one page. An article that has the share ``alike`` of its phrases in common
-    with the first page's is no evidence on the blocks in it.
+    with the first page's is no evidence on what is template in it.
     """
 
     share: float = 0.8
@@ -40,19 +40,20 @@ class Settings:
     alike: float = 0.3
 
 
-_PAGE = "layout long, depth array<int>, label array<string>, digest array<long>, marked boolean, article long, path array<long>, block array<long>, sample array<long>"
-_SHAPE = ("depth", "label", "digest", "marked", "article", "path", "block", "sample")
+_PAGE = "layout long, depth array<int>, label array<string>, node array<long>, digest array<long>, kind array<int>, mass array<long>, marked boolean, article long, path array<long>, block array<long>, sample array<long>"
+_SHAPE = ("depth", "label", "node", "digest", "kind", "mass", "marked", "article", "path", "block", "sample")
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """``host, page_id`` and what ``dom.page`` tells of each page: its tree and the blocks of its article in arrays, in page order."""
+    """``host, page_id`` and what ``dom.page`` tells of each page: its outline and its blocks in arrays, in page order."""
 
     def run(batches):
         for batch in batches:
             found = [dom.page(dom.parse(h or "")) for h in batch.column("html").to_pylist()]
             longs = lambda rows: pa.array(rows, pa.list_(pa.int64()))
             columns = [pa.array([dom.layout(p[0]) for p in found], pa.int64())]
-            columns += [pa.array([[n[k] for n in p[0]] for p in found], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.string(), pa.int64()))]
+            for name, kind in (("depth", pa.int32()), ("label", pa.string()), ("path", pa.int64()), ("digest", pa.int64()), ("kind", pa.int32()), ("mass", pa.int64())):
+                columns.append(pa.array([[getattr(n, name) for n in p[0]] for p in found], pa.list_(kind)))
             columns += [pa.array([p[1] for p in found], pa.bool_()), pa.array([p[2] for p in found], pa.int64())]
             columns += [longs([[n[k] for n in p[3]] for p in found]) for k in (0, 1)] + [longs([p[4] for p in found])]
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_id"), *columns], ["host", "page_id", "layout", *_SHAPE])
@@ -62,22 +63,31 @@ def skeletons(pages: DataFrame) -> DataFrame:
 
 
 def evidence(first: dict, page: dict, alike: float):
-    """(digest, in the article, text that counts once or None, same) for the nodes of ``first`` that ``page`` has too."""
+    """(place in the outline or -1, digest, text that counts once or None, same, differing text) for what ``first`` has and ``page`` has too.
+
+    Places are of nodes that simple tree matching aligns; -1 is for blocks at the
+    same path, wherever they stand.
+    """
+    unlike = first["article"] == page["article"] or not (first["marked"] and page["marked"]) or dom.likeness(first["sample"], page["sample"]) < alike
     a, b = (list(zip(p["depth"], p["label"], p["digest"], strict=True)) for p in (first, page))
     for i, j in dom.matched(a, b):
-        if a[i][2]:
-            yield a[i][2], False, None if page["marked"] else page["article"], int(a[i][2] == b[j][2])
-    if not (first["marked"] and page["marked"]) or (first["article"] != page["article"] and dom.likeness(first["sample"], page["sample"]) >= alike):
+        within = first["kind"][i] & (dom.HOLDS | dom.MARKED | dom.WITHIN)
+        same = int(a[i][2] == b[j][2])
+        if unlike or not within:
+            yield i, a[i][2], page["article"] if within or not page["marked"] else None, same, 0 if same else page["mass"][j]
+        elif not same:  # near copies don't tell what is template, but where the text is
+            yield i, 0, page["article"], 0, page["mass"][j]
+    if not unlike:
         return
     paths, blocks = set(page["path"]), set(page["block"])
     for path, block in zip(first["path"], first["block"], strict=True):
         if path in paths:
-            yield block, True, page["article"], int(block in blocks)
+            yield -1, block, page["article"], int(block in blocks), 0
 
 
 def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``host, template, inside``: digests of the constant nodes of the first page of each of the host's layouts, outside and
-    inside its marked article.
+    """``host, template, wrappers``: digests of the constant nodes of the first page of each of the host's layouts, and
+    the paths of the slots that hold the layouts' content.
 
     Pages without elements are left out. A layout of fewer than ``pages`` pages
     can't show what is constant: its pages are compared with the first page of
@@ -89,22 +99,38 @@ def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     common = layouts.groupBy("host").agg(F.min_by(F.struct("layout", "first"), F.struct(-F.col("n"), "_least")).alias("_common"))
     own = F.col("n") >= settings.pages
     choice = F.when(own, F.struct("layout", "first")).otherwise(F.col("_common"))
-    first = layouts.join(common, "host").select("host", "layout", choice.alias("_c")).select("host", "layout", F.col("_c.layout").alias("group"), F.col("_c.first").alias("first"))
+    first = written(layouts.join(common, "host").select("host", "layout", choice.alias("_c")).select("host", "layout", F.col("_c.layout").alias("group"), F.col("_c.first").alias("first")))
 
     def align(batches):
         for batch in batches:
             rows = [(host, group, *found) for host, group, first, page in zip(*(batch.column(c).to_pylist() for c in ("host", "group", "first", "page")), strict=True) for found in evidence(first, page, settings.alike)]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["host", "group", "digest", "within", "once", "same"])
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["host", "group", "place", "digest", "once", "same", "mass"])
 
-    key = ("host", "group", "digest", "within")
-    aligned = trees.select("host", "layout", F.struct(*_SHAPE).alias("page")).join(first, ["host", "layout"]).select("host", "group", "first", "page").mapInArrow(align, "host string, group long, digest long, within boolean, once long, same long")
-    counted = aligned.groupBy(*key, "once").agg(F.count("*").alias("n"), F.sum("same").alias("same"), F.max("same").alias("most"))
+    key = ("host", "group", "place", "digest")
+    aligned = trees.select("host", "layout", F.struct(*_SHAPE).alias("page")).join(first, ["host", "layout"]).select("host", "group", "first", "page")
+    aligned = aligned.mapInArrow(align, "host string, group long, place int, digest long, once long, same long, mass long")
+    counted = aligned.groupBy(*key, "once").agg(F.count("*").alias("n"), F.sum("same").alias("same"), F.max("same").alias("most"), F.sum("mass").alias("mass"), F.max("mass").alias("heaviest"))
     single = F.col("once").isNotNull()
-    counted = counted.groupBy(*key).agg(F.sum(F.when(single, 1).otherwise(F.col("n"))).alias("n"), F.sum(F.when(single, F.col("most")).otherwise(F.col("same"))).alias("same"))
-    constant = counted.where((F.col("n") >= settings.pages) & (F.col("same") >= settings.share * F.col("n")))
-    digests = lambda own: F.sort_array(F.collect_set(F.when(own, F.col("digest"))))
-    return constant.groupBy("host").agg(digests(~F.col("within")).alias("template"), digests(F.col("within")).alias("inside"))  # no more than a page has nodes, for each layout
+    once = lambda one, all_: F.sum(F.when(single, one).otherwise(F.col(all_)))
+    counted = written(counted.groupBy(*key).agg(once(F.lit(1), "n").alias("n"), once(F.col("most"), "same").alias("same"), once(F.col("heaviest"), "mass").alias("mass")))
+
+    constant = counted.where((F.col("digest") != 0) & (F.col("n") >= settings.pages) & (F.col("same") >= settings.share * F.col("n")))
+    # No more than a page has nodes, for each layout.
+    template = constant.groupBy("host").agg(F.sort_array(F.collect_set("digest")).alias("template"))
+    varying = counted.where("place >= 0 and mass > 0").groupBy("host", "group", "place").agg(F.sum("mass").alias("mass"), F.max("n").alias("n"))
+    slots = varying.where(F.col("n") >= settings.pages).groupBy("host", "group").agg(F.collect_list("place").alias("places"), F.collect_list("mass").alias("masses"))
+    tree = first.where("layout = group").select("host", "group", *[F.col(f"first.{c}").alias(c) for c in ("depth", "label", "node", "kind")])
+
+    def induce(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("depth", "label", "node", "kind", "places", "masses")), strict=True)
+            found = [dom.induced(list(zip(*parts, strict=True)), dict(zip(places, masses, strict=True))) for *parts, places, masses in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.int64())], ["host", "wrapper"])
+
+    induced = tree.join(slots, ["host", "group"]).drop("group").mapInArrow(induce, "host string, wrapper long").where("wrapper is not null")
+    wrappers = induced.groupBy("host").agg(F.sort_array(F.collect_set("wrapper")).alias("wrappers"))
+    return template.join(wrappers, "host", "full")
 
 
 def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -113,9 +139,9 @@ def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Character references are decoded, white space in a block becomes one blank.
     Null, empty and text-less html gives an empty text. Pages without a host
     form one group. Repeated rows give repeated results; columns not named here
-    are ignored. A marked article loses the blocks that unlike articles of its
-    host repeat; a page that marks none gives what its host's template, menus
-    and the like leave over.
+    are ignored. Where no wrapper is found on a page, or its host has none, the
+    page's own mark of its article decides; without one, all but template and
+    boilerplate stays.
     """
     ship(pages.sparkSession)
     pages = with_host_and_path(pages.select("page_id", "url", "html"))
@@ -123,9 +149,9 @@ def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            outer, inner = ([frozenset(t or ()) for t in batch.column(c).to_pylist()] for c in ("template", "inside"))
-            texts = ["\n\n".join(dom.blocks(dom.parse(h or ""), t, i)) for h, t, i in zip(batch.column("html").to_pylist(), outer, inner, strict=True)]
+            template, wrappers = ([frozenset(t or ()) for t in batch.column(c).to_pylist()] for c in ("template", "wrappers"))
+            texts = ["\n\n".join(dom.blocks(dom.parse(h or ""), t, w)) for h, t, w in zip(batch.column("html").to_pylist(), template, wrappers, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.join(found, "host", "left").select("page_id", "url", "html", "template", "inside").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.join(found, "host", "left").select("page_id", "url", "html", "template", "wrappers").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

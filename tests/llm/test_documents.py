@@ -191,3 +191,67 @@ def test_what_unlike_articles_repeat_is_template(spark):
         assert out[i] == (t if "a.com" in url else [t[0], t[1], "Join our list", t[2], "Written by us"]), url
     bare = spark.createDataFrame([(i, "http://e.com/", f"<div>{one}</div><h2>{one}</h2>") for i in range(5)], "page_id long, url string, html string")
     assert all(r.text == f"{one}\n\n{one}" for r in main_text(bare).collect())
+
+
+def best_match(a, b):
+    """Pairs that the largest match of two trees (label, children) has, by trying everything."""
+    if a[0] != b[0]:
+        return 0
+
+    def rows(p, q):
+        if not p or not q:
+            return 0
+        return max(best_match(p[0], q[0]) + rows(p[1:], q[1:]), rows(p[1:], q), rows(p, q[1:]))
+
+    return 1 + rows(a[1], b[1])
+
+
+def flat(tree, depth=0):
+    yield depth, tree[0], 0
+    for child in tree[1]:
+        yield from flat(child, depth + 1)
+
+
+def test_tree_matching_is_exhaustive():
+    rng = random.Random(4)
+    grow = lambda depth: (rng.choice("abc"), [grow(depth - 1) for _ in range(rng.randrange(4))] if depth else [])
+    for _ in range(150):
+        one, two = ("r", [grow(2) for _ in range(3)]), ("r", [grow(2) for _ in range(3)])
+        a, b = list(flat(one)), list(flat(two))
+        pairs = dom.matched(a, b)
+        assert len(pairs) == best_match(one, two)
+        assert all(a[i][:2] == b[j][:2] for i, j in pairs)
+        assert pairs == sorted(pairs) and all(x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
+def test_wide_pages():
+    page = lambda n, word: "<body>" + "".join(f"<h2>h{k}</h2><p>{word}<i>x</i><b>y</b></p><div>{k}<p>z</p></div>" for k in range(n)) + "</body>"
+    a, b = (dom.skeleton(dom.parse(page(n, w))) for n, w in ((1700, "one"), (1650, "two")))
+    assert len(a) > 5000 and len(dom.matched(a, b)) == len(b)
+    assert len(dom.blocks(dom.parse(page(1700, "one")))) == 1700 * 4
+
+
+def test_the_wrapper_decides_not_the_mark(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randrange(3, 11))) for _ in range(900)]
+    story = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    head = "<nav><a href=/x>{0}</a></nav><div class='ad'>{1}</div>"
+    page = head + "<div class=x><h1>{2}</h1><p>{3}</p><p>{4}</p></div><footer>&copy; us {1}</footer>"
+    teaser = head + "<div class=wrap>" + "<div class=y>" * 80 + "<h1>{2}</h1><p>{3}</p><p>{4}</p>" + "</div>" * 80 + "</div><section class=more><article>{1}</article></section>"
+    fill = [(story(2), story(5), story(4), story(60), story(3)) for _ in range(20)]
+    rows = [(i, f"http://{h}.com/{i}", t.format(*f)) for h, t, off in (("a", page, 0), ("b", teaser, 20)) for i, f in enumerate(fill, start=off)]
+    rows.append((99, "http://b.com/alone", "<article>other <b>kind</b></article>"))
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, f in enumerate(fill):
+        assert out[i] == "\n\n".join(f[2:])
+        assert out[20 + i] == "\n\n".join(f[2:])  # the marked article is the lighter slot
+    assert out[99] == "other kind"
+
+
+def test_the_heaviest_slot_wins_over_marked_teasers():
+    parts = [(0, "#root", 1, 1), (1, "body", 2, 1), (2, "nav", 3, 8), (2, "div.a", 4, 0), (3, "h1", 5, 0), (3, "p", 6, 0), (2, "section", 7, 9), (3, "article", 8, 3)]
+    assert dom.induced(parts, {0: 120, 1: 120, 3: 100, 4: 10, 5: 90, 6: 20, 7: 20}) == 4
+    assert dom.induced(parts, {0: 120, 1: 120, 2: 20, 6: 100, 7: 100}) is None  # only boilerplate varies
+    marked = [(0, "#root", 1, 1), (1, "div.a", 2, 1), (2, "p", 3, 0), (2, "article", 4, 3), (3, "p", 5, 4)]
+    assert dom.induced(marked, {0: 100, 1: 100, 2: 30, 3: 70, 4: 70}) == 4
+    assert dom.induced(marked, {0: 100, 1: 100, 2: 70, 3: 30, 4: 30}) == 2
