@@ -48,7 +48,7 @@ def texts(seed, n=120):
     return out
 
 
-@pytest.mark.parametrize("settings", [Settings(), Settings(sample=1, frequent=2, leaf=2, block=5, stars=1)])
+@pytest.mark.parametrize("settings", [Settings(), Settings(sample=1, frequent=2, leaf=2, fan=2, block=5, nearest=1, near_part=4)])
 def test_components_are_brute_force(spark, settings):
     rows = list(enumerate([*texts(1), None, "", " \n", "one two", "ONE\ttwo", "É é", "é É", "x " * 30_000, "x " * 30_000 + "y"], start=5))
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component_id int")
@@ -255,3 +255,71 @@ def test_the_heaviest_slot_wins_over_marked_teasers():
     marked = [(0, "#root", 1, 1), (1, "div.a", 2, 1), (2, "p", 3, 0), (2, "article", 4, 3), (3, "p", 5, 4)]
     assert dom.induced(marked, {0: 100, 1: 100, 2: 30, 3: 70, 4: 70}) == 4
     assert dom.induced(marked, {0: 100, 1: 100, 2: 70, 3: 30, 4: 30}) == 2
+
+
+def test_the_trees_find_every_link():
+    """One block of all documents: what the descent gives holds all links, and few other pairs."""
+    rows = [t for t in texts(7, 200) if shingles(t)]
+    sets = [shingles(t) for t in rows]
+    hashed = list(jaccard_join.shingle_sets(rows))
+    sizes, counts = np.array([len(h) for h in hashed]), jaccard_join.coarse_table([jaccard_join.coarse_of(h) for h in hashed])
+    zero, own = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    links = {(i, j) for i, j in combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    for s in (Settings(), Settings(leaf=2, fan=2)):
+        a, b, _ = jaccard_join.descended(zero, zero, zero, zero, zero, own, sizes, counts, s)
+        found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+        assert len(found) == len(a) and links <= found and len(links) > 100
+        forest = jaccard_join.Forest(zero, sizes, counts, s)
+        assert len(forest.begin) > (2 if s.leaf == 16 else 6)
+    side = own % 2  # two parts of a block: pairs across alone
+    a, b, _ = jaccard_join.descended(zero, side, zero, zero + 1, zero, own, sizes, counts, Settings())
+    assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == {(x, y) for x, y in found if (x + y) % 2}
+
+
+def test_sets_of_over_a_million_shingles_keep_their_links():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 1_200_000).astype(np.uint64)
+    counts = jaccard_join.coarse_table([jaccard_join.coarse_of(base)] * 40)
+    zero, n = np.zeros(40, np.int64), np.full(40, len(base))
+    a, _, bound = jaccard_join.descended(zero, zero, zero, zero, zero, np.arange(40), n, counts, Settings())
+    assert len(a) == 40 * 39 // 2 and (bound == len(base)).all()
+    points = jaccard_join.Points(n[:2], [counts_of(base).tobytes()] * 2)
+    assert points.alike(np.array([0]), np.array([1]), Settings())[0]
+
+
+def exact_links(table):
+    """Links between the different sets of all rows of ``documents``, by counting over posting lists."""
+    sets = {}
+    for i, t in table:
+        sets.setdefault(shingles(t), []).append(i)
+    sets.pop(frozenset(), None)
+    posting, links, sizes = {}, [], []
+    for k, (own, ids) in enumerate(sets.items()):
+        met = {}
+        for x in own:
+            for other in posting.setdefault(x, []):
+                met[other] = met.get(other, 0) + 1
+            posting[x].append(k)
+        for other, both in met.items():
+            if 100 * both >= 80 * (sizes[other] + len(own) - both):
+                links.append((other, k))
+        sizes.append(len(own))
+    return sets, links
+
+
+def test_whole_table_is_brute_force(spark):
+    """All of documents at sf0.01, or what FLEETSPARK_EXACT names (sf0.1 takes minutes)."""
+    import os
+
+    docs = spark.read.parquet(f"{os.environ.get('FLEETSPARK_EXACT', '/root/testdata/sf0.01')}/documents.parquet")
+    table = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets, links = exact_links(table)
+    low = [min(ids) for ids in sets.values()]
+    while True:
+        before = list(low)
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    want = {i: (0, i) for i, t in table if not shingles(t)} | {i: (len(own), low[k]) for k, (own, ids) in enumerate(sets.items()) for i in ids}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()} == want
