@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import lru_cache
 from heapq import nsmallest
 from html import unescape
 from itertools import accumulate
@@ -174,13 +175,13 @@ def holders(root: Node) -> set[int]:
     return found
 
 
-def articles(root: Node) -> list[Node]:
+def articles(root: Node, holding: set[int] | None = None) -> list[Node]:
     """The outermost elements that the page marks as its article, else as its main part.
 
     Those in elements wholly named as boilerplate (teasers in a box) count only
     if there are no others and they hold half of the page's text.
     """
-    holding = holders(root)
+    holding = holders(root) if holding is None else holding
     if not holding:
         return []
     if found := _marked(root, holding, True):
@@ -236,7 +237,13 @@ def digest(path: int, text: str) -> int:
 
 
 def label(node: Node) -> str:
-    return f"{node.tag}.{node.attributes['class']}" if "class" in node.attributes else node.tag
+    return f"{node.tag}.{node.attributes['class']}" if node.attributes and "class" in node.attributes else node.tag
+
+
+@lru_cache(1 << 16)
+def step(path: int, name: str) -> int:
+    """The path of a child with the label ``name``."""
+    return digest(path, name)
 
 
 class Texts:
@@ -298,7 +305,7 @@ def outline(root: Node, texts: Texts, marked: set[int], holding: set[int]) -> li
     while todo:
         nodes, depth, path, within = todo.pop()
         name = label(nodes[0])
-        here = digest(path, name)
+        here = step(path, name)
         kind = HOLDS * any(id(n) in holding for n in nodes) | MARKED * any(id(n) in marked for n in nodes) | WITHIN * within
         kind |= DULL * all(boilerplate(n, within, id(n) in holding) for n in nodes)
         out.append(Part(depth, name, here, digest(here, "\n".join(map(texts.of, nodes))), kind, sum(map(texts.plain, nodes)), nodes))
@@ -316,20 +323,20 @@ def outline(root: Node, texts: Texts, marked: set[int], holding: set[int]) -> li
     return out
 
 
-def elements_by_path(root: Node):
-    """(path, element) of all elements, outer ones first, in page order."""
-    todo = [(root, digest(0, label(root)))]
+def elements_by_path(root: Node, path: int | None = None):
+    """(path, element) of an element and all below, outer ones first, in page order; ``path`` is the element's own."""
+    todo = [(root, step(0, label(root)) if path is None else path)]
     while todo:
         node, path = todo.pop()
         yield path, node
-        todo += [(c, digest(path, label(c))) for c in node.children[::-1] if not isinstance(c, str) and c.tag not in RAW and c.tag not in VOID]
+        todo += [(c, step(path, label(c))) for c in node.children[::-1] if not isinstance(c, str) and c.tag not in RAW and c.tag not in VOID]
 
 
-def block_digests(root: Node, texts: Texts):
+def block_digests(root: Node, texts: Texts, path: int | None = None):
     """(path, digest, element) of every block with text, each alone."""
-    for path, node in elements_by_path(root):
+    for at, node in elements_by_path(root, path):
         if node.tag in BLOCK and (text := texts.of(node)):
-            yield path, digest(path, text), node
+            yield at, digest(at, text), node
 
 
 def skeleton(root: Node) -> list[tuple[int, str, int]]:
@@ -340,9 +347,10 @@ def skeleton(root: Node) -> list[tuple[int, str, int]]:
 def page(root: Node) -> tuple[list[Part], bool, int, list[tuple[int, int]], list[int]]:
     """A page's outline, whether it marks an article, the digest of its main text as the page alone tells it, the
     (path, digest) of its blocks, and that text's ``sample``."""
-    marked = articles(root)
+    holding = holders(root)
+    marked = articles(root, holding)
     texts = Texts(root)
-    out = outline(root, texts, {id(n) for n in marked}, holders(root))
+    out = outline(root, texts, {id(n) for n in marked}, holding)
     text = "\n".join(map(texts.of, marked or [root]))
     blocks_ = list(dict.fromkeys((path, found) for path, found, _ in block_digests(root, texts)))
     return out, bool(marked), digest(0, text), blocks_, sample(text) if marked else []
@@ -383,7 +391,8 @@ def induced(parts: list[tuple[int, str, int, int]], masses: dict[int, int], most
 
 def sample(text: str, size: int = 32) -> list[int]:
     """The ``size`` smallest digests of a text's phrases, each cut before a long word; of the text if it has none."""
-    return nsmallest(size, {digest(0, p) for p in set(_PHRASES.findall(text))} or {digest(0, text)})
+    hashed = {xxhash.xxh64_intdigest(p.encode("utf-8", "replace")) for p in set(_PHRASES.findall(text))}
+    return [x - (1 << 63) for x in nsmallest(size, hashed or {xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))})]
 
 
 def likeness(a: list[int], b: list[int]) -> float:
@@ -504,22 +513,24 @@ def _children(nodes: list[tuple[int, str, int]]) -> list[list[int]]:
     return below
 
 
-def main_part(root: Node, wrappers: set[int], texts: Texts) -> tuple[list[Node], bool]:
-    """The elements that hold the page's content, and whether that is less than the page.
+def main_part(root: Node, wrappers: set[int]) -> list[tuple[int | None, Node]]:
+    """(path, element) of what holds the page's content: what is at the host's wrapper, else what the page marks, else the root.
 
-    Those at the host's wrapper with the most text outside links; without one on
-    the page, those that the page marks itself.
+    Of several wrappers it is the one with the most text outside links. The path
+    is null for the root.
     """
-    found: dict[int, list[Node]] = {}
-    inner: set[int] = set()
-    for path, node in elements_by_path(root) if wrappers else ():
-        if path in wrappers and id(node) not in inner:
-            found.setdefault(path, []).append(node)
-            inner |= {id(n) for n in _elements(node)}
+    found: dict[int, list[tuple[int, Node]]] = {}
+    todo = [(step(0, label(root)), root)] if wrappers else []
+    while todo:
+        path, node = todo.pop()
+        if path in wrappers:
+            found.setdefault(path, []).append((path, node))
+        else:
+            todo += [(step(path, label(c)), c) for c in node.children[::-1] if not isinstance(c, str) and c.tag not in RAW and c.tag not in VOID]
     if found:
-        return max(found.values(), key=lambda nodes: sum(map(texts.plain, nodes))), True
-    marked = articles(root)
-    return marked or [root], bool(marked)
+        return max(found.values(), key=lambda nodes: sum(Texts(n).plain(n) for _, n in nodes)) if len(found) > 1 else next(iter(found.values()))
+    marked = {id(n) for n in articles(root)}
+    return [(path, n) for path, n in elements_by_path(root) if id(n) in marked] if marked else [(None, root)]
 
 
 def blocks(root: Node, template: set[int] = frozenset(), wrappers: set[int] = frozenset()) -> list[str]:
@@ -531,14 +542,16 @@ def blocks(root: Node, template: set[int] = frozenset(), wrappers: set[int] = fr
     """
     out: list[str] = []
     text: list[str] = []
-    texts = Texts(root)
-    main, proper = main_part(root, wrappers, texts)
-    starts = {id(n) for n in main}
-    holding = holders(root)
+    main = main_part(root, wrappers)
+    starts = {id(n) for _, n in main}
+    proper = main[0][0] is not None
+    holding = set() if proper else holders(root)
     constant: set[int] = set()
-    if template:
-        constant = {id(n) for part in outline(root, texts, set(), holding) if part.digest in template for n in part.nodes}
-        constant |= {id(n) for _, found, n in block_digests(root, texts) if found in template}
+    for path, node in main if template else ():
+        texts = Texts(node)
+        constant |= {id(n) for _, found, n in block_digests(node, texts, path) if found in template}
+        if not proper:
+            constant |= {id(n) for part in outline(root, texts, set(), holding) if part.digest in template for n in part.nodes}
 
     def flush() -> None:
         block = " ".join(unescape("".join(text)).split())
@@ -547,7 +560,7 @@ def blocks(root: Node, template: set[int] = frozenset(), wrappers: set[int] = fr
         text.clear()
 
     # None ends a block.
-    todo: list[Node | str | None] = list(main[::-1])
+    todo: list[Node | str | None] = [n for _, n in main[::-1]]
     while todo:
         node = todo.pop()
         if node is None:

@@ -1,161 +1,159 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A sketch is a row of cells, each the exclusive or of the digests that hash to
-it. Two versions' sketches subtract cell by cell; what is left are the digests
-that only one has, and peeling gets them back: a cell with one digest shows it,
-taking it out of its other cells shows more. A table that is too small for the
-difference fails and is tried again, larger.
-
-Everything is DataFrame functions, row by row; the only shuffle brings each
-document to the one after it.
+A sketch is a table of cells in three parts, each cell the exclusive or of the
+digests that hash to it. Two versions' sketches subtract cell by cell; what is
+left are the digests that only one has, and peeling gets them back: a cell with
+one digest shows it, taking it out of its other cells shows more.
+
+A fingerprint is the number of digests and one table that grows with it. Its
+places are low bits of hashes, so a table folds into any smaller one, and a
+fingerprint holds the tables of all sizes. Two are compared in a small table
+first; where that fails, in the largest that both have. All that a likeness
+needs is in the two fingerprints: what even that table doesn't give back is
+estimated from the cells that are left.
+
+Everything is DataFrame functions: cells are rows, a sketch is a grouped
+exclusive or, a sweep of peeling another one. The text is shuffled once, to
+bring each document to the one after it, the digests once more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Paragraphs are lines, cut further after sentences: a text of one line has some too.
-CUT = r"[\n.?]+\s*"
-#: Digests in a part that the first table is made for, and rounds of peeling.
-LOAD, ROUNDS = 4, 7
-
-
-@dataclass(frozen=True)
-class Table:
-    """Three sub-tables of ``cells`` cells, a power of two; a digest's place in each are its bits from ``shift`` on."""
-
-    cells: int
-    shift: int
-
-    @property
-    def size(self) -> int:
-        return 3 * self.cells
-
-    def holds(self, digest: Column, i: int) -> Column:
-        """Whether a digest belongs to cell ``i`` (a number known when the plan is made)."""
-        sub, at = divmod(i, self.cells)
-        bits = self.cells.bit_length() - 1
-        return F.shiftrightunsigned(digest, self.shift + bits * sub).bitwiseAND(F.lit(self.cells - 1)) == at
+from fleetspark.llm.common import written
 
-
-#: The table of fingerprints and of first tries (bits 16 to 21), and that of second tries (bits 22 to 30).
-SMALL, LARGE = Table(4, 16), Table(8, 22)
-#: The bits by which digests are dealt into parts, in two steps.
-PART_BITS = (31, 43)
-_CHECK = 0xFFFF
-_CLEAR = ~_CHECK
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _check(high: Column) -> Column:
-    """The low 16 bits of a digest, which follow from the others."""
-    return F.xxhash64(high).bitwiseAND(F.lit(_CHECK))
+#: Paragraphs are lines, cut further after sentences: a text of one line has some too.
+CUT = r"\n+|(?<=[.?!])[ \t\n\x0B\f\r]+"
+#: Cells of a part for each digest, and the least size of a part as a power of two; only cells in use are written.
+ROOM, LEAST = 4.0, 10
+#: Tries: how often the table is halved, and the sweeps over its parts.
+TRIES = ((2, 6), (0, 6))
+#: A digest has 48 bits, of which the low 12 check the others.
+_CHECK = 0xFFF
+_CLEAR = 0xFFFFFFFFF000
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs of ``text``: 48 bits of hash, 16 that check them."""
+    """Distinct digests of the paragraphs of ``text``: 36 bits of hash, 12 that check them."""
     spread = F.transform(F.filter(F.split(text, CUT), lambda p: p != ""), lambda p: F.xxhash64(p).bitwiseAND(F.lit(_CLEAR)))
-    return F.transform(F.array_distinct(spread), lambda h: h.bitwiseOR(_check(F.shiftrightunsigned(h, 16))))
+    return F.transform(F.array_distinct(spread), lambda h: h.bitwiseOR(_check(h)))
 
 
-def _toggled(keys: Column, start: Column, table: Table, i: int) -> Column:
-    """Cell ``i``, at first ``start``, after all of ``keys`` that belong to it are put in or taken out."""
-    return F.aggregate(keys, start, lambda cell, k: F.when(table.holds(k, i), cell.bitwiseXOR(k)).otherwise(cell))
+def _check(digest: Column) -> Column:
+    """The low bits of a digest, which follow from the others."""
+    return F.xxhash64(F.shiftrightunsigned(digest, 12)).bitwiseAND(F.lit(_CHECK))
 
 
-def sketch(keys: Column, table: Table = SMALL) -> Column:
-    """The cells of one table that holds ``keys``."""
-    return F.array(*[_toggled(keys, F.lit(0).cast("long"), table, i) for i in range(table.size)])
+def size_of(n: Column) -> Column:
+    """The power of two that a part of the table of ``n`` digests has as its size."""
+    return F.greatest(F.lit(LEAST), F.ceil(F.log2(F.greatest(n, F.lit(1)) * F.lit(ROOM)))).cast("int")
 
 
-def _lone(cells: Column, table: Table) -> Column:
-    """The digests that are alone in a cell: their check bits fit, and so does the place."""
-    found = []
-    for i in range(table.size):
-        cell = F.get(cells, F.lit(i))
-        alone = (cell != 0) & table.holds(cell, i) & (cell.bitwiseAND(F.lit(_CHECK)) == _check(F.shiftrightunsigned(cell, 16)))
-        found.append(F.when(alone, cell))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+def cell_of(digest: Column, part: Column | int, size: Column) -> Column:
+    """Where a digest is in a part: the low ``size`` bits of a hash, above the part's two."""
+    part = F.lit(part) if isinstance(part, int) else part
+    return _folded(F.xxhash64(digest, part), size) * 4 + part
 
 
-def _without(cells: Column, gone: Column, table: Table) -> Column:
-    """``cells`` after the digests ``gone`` are taken out."""
-    return F.array(*[_toggled(gone, F.get(cells, F.lit(i)), table, i) for i in range(table.size)])
+def _folded(place: Column, size: Column) -> Column:
+    return place.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1)
 
 
-def peel(cells: Column, table: Table = SMALL) -> Column:
-    """The digests in the difference ``cells``; null if they can't all be got back."""
-    none = F.array().cast("array<bigint>")
+def sketches(sets: DataFrame) -> DataFrame:
+    """``row, version, size, pairs, cell, x``: the cells that aren't empty of the sketches of ``sets`` (row, versions).
 
-    def round_(state: Column, _: Column) -> Column:
-        step = lambda found: F.struct(_without(state["cells"], found, table).alias("cells"), F.concat(state["found"], found).alias("found"), (F.size(found) > 0).alias("live"))
-        return F.when(state["live"], let(_lone(state["cells"], table), step)).otherwise(state)
-
-    start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("live"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
-    # A digest found twice was mistaken once for what a cell with several showed.
-    whole = lambda s: F.forall(s["cells"], lambda c: c == 0) & (F.size(s["found"]) == F.size(F.array_distinct(s["found"])))
-    return let(done, lambda s: F.when(whole(s), s["found"]))
-
-
-def _subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    ``versions`` are three arrays of digests; ``pairs`` holds the sizes in which
+    the second and the third can be compared with the first, eight bits each.
+    ``sets`` is dealt by row, and so is all that follows.
+    """
+    size = [size_of(F.size(F.get("versions", F.lit(k)))) for k in range(3)]
+    pairs = F.least(size[0], size[1]) + 256 * F.least(size[0], size[2])
+    each = sets.select("row", pairs.alias("pairs"), F.posexplode("versions").alias("version", "keys"))
+    each = each.select("row", "version", size_of(F.size("keys")).alias("size"), "pairs", F.explode("keys").alias("x"))
+    placed = each.select("row", "version", "size", "pairs", "x", F.explode(F.array(*[cell_of(F.col("x"), part, F.col("size")) for part in range(3)])).alias("cell"))
+    return placed.groupBy("row", "version", "size", "pairs", "cell").agg(F.bit_xor("x").alias("x")).where("x <> 0")
+
+
+def written_out(version: int) -> Column:
+    """Aggregate: the cells of one version in order, in base 64: 16 bits of its number (32 in large tables), 48 of what it holds."""
+    number = F.when(F.col("size") <= 14, F.lpad(F.hex("cell"), 4, "0")).otherwise(F.lpad(F.hex("cell"), 8, "0"))
+    one = F.when(F.col("version") == version, F.struct("cell", F.concat(number, F.lpad(F.hex("x"), 12, "0")).alias("t")))
+    written_ = F.base64(F.unhex(F.array_join(F.sort_array(F.collect_list(one)).getField("t"), "")))
+    return F.translate(written_, "\r\n", "")
+
+
+def subtracted(cells: DataFrame, halved: int) -> DataFrame:
+    """``row, pair, size, cell, x, found``: versions 1 and 2 of ``cells`` against version 0, in tables of the smaller's size or, ``halved`` as
+    often, smaller ones."""
+    pairs = F.when(F.col("version") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("version")))
+    each = cells.select("row", F.explode(pairs).alias("pair"), "pairs", "cell", "x")
+    size = F.when(F.col("pair") == 1, F.col("pairs") % 256).otherwise(F.floor(F.col("pairs") / 256)).cast("int")
+    each = each.select("row", "pair", F.greatest(size - halved, F.lit(LEAST)).alias("size"), "cell", "x")
+    cell = _folded(F.shiftright("cell", 2), F.col("size")) * 4 + F.col("cell").bitwiseAND(F.lit(3))
+    folded = each.select("row", "pair", "size", cell.alias("cell"), "x").groupBy("row", "pair", "size", "cell").agg(F.bit_xor("x").alias("x"))
+    return folded.where("x <> 0").withColumn("found", F.lit(0).cast("long"))
+
+
+def swept(cells: DataFrame, part: int) -> DataFrame:
+    """``cells`` after all digests that are alone in a cell of ``part`` are taken out of the table.
+
+    A digest is in one cell of a part, so none is taken out twice. Cell -1 has
+    the number of those taken out so far.
+    """
+    x = F.col("x")
+    alone = (F.col("cell").bitwiseAND(F.lit(3)) == part) & (F.col("cell") >= 0) & (x.bitwiseAND(F.lit(_CHECK)) == _check(x)) & (F.col("cell") == cell_of(x, part, F.col("size")))
+    row = lambda cell, value, found: F.struct(cell.cast("long").alias("cell"), value.cast("long").alias("x"), found.cast("long").alias("found"))
+    others = [row(cell_of(x, other, F.col("size")), x, F.lit(0)) for other in range(3) if other != part]
+    next_ = F.when(alone, F.array(*others, row(F.lit(-1), F.lit(0), F.lit(1)))).otherwise(F.array(row(F.col("cell"), x, F.col("found"))))
+    moved = cells.select("row", "pair", "size", F.explode(next_).alias("c")).select("row", "pair", "size", "c.*")
+    left = moved.groupBy("row", "pair", "size", "cell").agg(F.bit_xor("x").alias("x"), F.sum("found").alias("found"))
+    return left.where("x <> 0 or cell = -1")
 
 
-def _split(keys: Column, bits: Column, by: int) -> Column:
-    """``keys`` in 2^bits lists, by their bits from ``by`` on."""
-    last = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    return let(last, lambda m: F.transform(F.sequence(F.lit(0).cast("long"), m), lambda p: F.filter(keys, lambda k: F.shiftrightunsigned(k, by).bitwiseAND(m) == p)))
+def peeled(cells: DataFrame, sweeps: int) -> DataFrame:
+    """``row, pair, size, found, rest``: digests taken out of each table, and cells that are left."""
+    state = reduce(lambda c, k: swept(c, k % 3), range(sweeps), cells)
+    return state.groupBy("row", "pair", "size").agg(F.sum("found").alias("found"), F.count_if(F.col("cell") >= 0).alias("rest"))
 
 
-def _parts(keys: Column, bits: Column) -> Column:
-    """``keys`` in 2^bits parts, split in two steps so that few lists are passed over often."""
-    low, high = PART_BITS
-    return let(F.floor(bits / 2).cast("int"), lambda half: F.flatten(F.transform(_split(keys, half, high), lambda own: _split(own, bits - half, low))))
+def difference(found: Column, rest: Column, size: Column, n: Column, m: Column) -> Column:
+    """How many digests only one of two sketches has: those taken out, and an estimate of those left by how many cells
+    they fill, as far as the numbers of digests allow."""
+    cells = F.pow(F.lit(2.0), size)
+    empty = F.greatest(1 - rest / (3 * cells), 1 / (6 * cells))
+    left = F.when(rest == 0, 0.0).otherwise(F.greatest(F.lit(2.0), F.log(empty) / F.log(1 - 1 / cells)))
+    return F.greatest(F.abs(n - m).cast("double"), F.least((n + m).cast("double"), found + left))
 
 
-def _part_difference(a: Column, b: Column) -> Column:
-    """The digests of a part that only one side has: by a small table, by a larger one, by themselves."""
-    tries = [peel(_subtracted(sketch(a, t), sketch(b, t)), t) for t in (SMALL, LARGE)]
-    return F.coalesce(*tries, F.concat(F.array_except(a, b), F.array_except(b, a)))
+def likeness(n: Column, m: Column, differing: Column) -> Column:
+    """Jaccard similarity of two sets of n and m digests from the size of their difference; 1 for two empty sets."""
+    return F.when(n + m == 0, F.lit(1.0)).otherwise((n + m - differing) / (n + m + differing))
 
 
-def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Digests that only one of ``a`` and ``b`` has.
+def compared(cells: DataFrame) -> list[DataFrame]:
+    """For each of ``TRIES``, ``row`` and for versions 1 and 2 a struct (found, rest, size) of their comparison with version 0.
 
-    First from the two fingerprints. If they are too small, from tables in as
-    many parts as the digests need; a part that fails tries a larger table, and
-    after that compares its few digests themselves.
+    A later try has only pairs of which the ones before left cells; pairs without a difference are in none.
     """
-    bits = F.greatest(F.lit(0), F.least(F.lit(22), F.ceil(F.log2((F.size(a) + F.size(b) + 1) / F.lit(LOAD))))).cast("int")
-    parted = let(bits, lambda n: F.flatten(F.zip_with(_parts(a, n), _parts(b, n), _part_difference)))
-    return F.coalesce(peel(_subtracted(sketch_a, sketch_b)), parted)
-
-
-def likeness(a: Column, b: Column, differing: Column) -> Column:
-    """Jaccard similarity of two sets of digests from the size of their difference; 1 for two empty sets."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise((both - F.size(differing)) / (both + F.size(differing)))
-
-
-def written_out(cells: Column, keys: Column) -> Column:
-    """A fingerprint as text: how many digests, and the cells in hexadecimal."""
-    return F.concat(F.hex(F.size(keys)), F.lit("-"), F.array_join(F.transform(cells, lambda c: F.lpad(F.hex(c), 16, "0")), ""))
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``digests``, ``sketch`` and ``fingerprint`` of ``text``. Null texts are empty."""
-    with_keys = docs.withColumn("digests", digests(F.coalesce("text", F.lit(""))))
-    cells = with_keys.withColumn("sketch", sketch(F.col("digests")))
-    return cells.withColumn("fingerprint", written_out(F.col("sketch"), F.col("digests")))
+    of = lambda pair: F.max(F.when(F.col("pair") == pair, F.struct("found", "rest", "size"))).alias(f"_d{pair}")
+    out: list[DataFrame] = []
+    failed = None
+    for halved, sweeps in TRIES:
+        table = subtracted(cells, halved)
+        if failed is not None:
+            # The row alone is the key, since everything is dealt by it; the pair is a condition.
+            table = table.join(failed.hint("shuffle_hash"), (F.col("row") == F.col("_row")) & (F.col("pair") - F.col("_pair") == 0), "left_semi")
+        tried = peeled(table, sweeps)
+        if len(out) < len(TRIES) - 1:
+            tried = written(tried).repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+        failed = tried.where("rest > 0").select(F.col("row").alias("_row"), F.col("pair").alias("_pair"))
+        out.append(tried.groupBy("row").agg(of(1), of(2)))
+    return out
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -202,23 +200,35 @@ def edited_versions(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row.
 
     The edited text has its last half (rounded down, in code points) replaced by
-    as much of the beginning of the next document. ``near_*`` are likenesses of
-    the sketches, from their difference. Null texts are empty; a single document
-    is its own next one; an empty table gives no rows; other columns are ignored.
+    as much of the beginning of the next document. A fingerprint is written as
+    the number of digests, the size of a part (both hexadecimal) and the cells
+    that aren't empty (base 64). ``near_*`` are likenesses of two fingerprints, from their
+    difference. Null texts are empty; a single document is its own next one;
+    repeated rows are rows of their own, side by side; doc_id must be numeric,
+    null ids come first; an empty table gives no rows; other columns are ignored.
     """
+    spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(base, ["text", "digests", "sketch"], fingerprints)
+    rows = with_next(base, ["text", "digests"], lambda found: found.withColumn("digests", digests(F.col("text"))))
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring("next.text", F.lit(1), F.floor(n / 2).cast("int")))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "digests", "sketch", F.col("next.digests").alias("d2"), F.col("next.sketch").alias("s2"), edited.alias("edited"))
-    rows = rows.withColumn("d1", digests(F.col("edited"))).withColumn("s1", sketch(F.col("d1")))
-    near = lambda k: let(difference(F.col("digests"), F.col(f"d{k}"), F.col("sketch"), F.col(f"s{k}")), lambda d: likeness(F.col("digests"), F.col(f"d{k}"), d))
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        written_out(F.col("sketch"), F.col("digests")).alias("fingerprint"),
-        written_out(F.col("s1"), F.col("d1")).alias("edited_fingerprint"),
-        near(1).alias("near_edited"),
-        near(2).alias("near_next"),
-    )
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "digests", F.col("next.digests").alias("next"))
+    versions = F.array("digests", digests(F.col("edited")), "next")
+    rows = rows.select("row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), versions.alias("versions"))
+    rows = written(rows.withColumn("n", F.transform("versions", lambda v: F.size(v))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    about = rows.select("row", "doc_id", "n_chars", "edited_sha256", "n").repartition(parts, "row")
+    cells = sketches(rows.select("row", "versions").repartition(parts, "row"))
+    texts = cells.where("version < 2").groupBy("row").agg(written_out(0).alias("_f0"), written_out(1).alias("_f1"))
+    out = about.join(texts, "row", "left")
+    for k, tried in enumerate(compared(cells)):
+        out = out.join(tried.select("row", F.col("_d1").alias(f"_d1_{k}"), F.col("_d2").alias(f"_d2_{k}")), "row", "left")
+    count = [F.get("n", F.lit(k)) for k in range(3)]
+
+    def near(pair: int) -> Column:
+        own = F.coalesce(*[F.col(f"_d{pair}_{k}") for k in reversed(range(len(TRIES)))])
+        lost = F.when(own.isNull(), F.lit(0.0)).otherwise(difference(own["found"], own["rest"], own["size"], count[0], count[pair]))
+        return likeness(count[0], count[pair], lost)
+
+    text = lambda k: F.concat_ws("-", F.lower(F.hex(count[k])), F.lower(F.hex(size_of(count[k]))), F.coalesce(f"_f{k}", F.lit("")))
+    return out.select("doc_id", "n_chars", "edited_sha256", text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next"))

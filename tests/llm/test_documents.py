@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -5,8 +6,9 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 
-from fleetspark.llm import dom, jaccard_join
+from fleetspark.llm import dom, fingerprints, jaccard_join
 from fleetspark.llm.components import components
 from fleetspark.llm.fingerprints import CUT, edited_versions
 from fleetspark.llm.html_extraction import main_text
@@ -85,27 +87,64 @@ def test_components_of_a_chain(spark):
     assert out == {i: 0 for i in range(41)} | {50: 50, 75: 50, 100: 50}
 
 
+def digests_of(fingerprint):
+    """All digests that a fingerprint gives back, by peeling its table; nothing but the string is used."""
+    n, size, cells = fingerprint.split("-")
+    n, size, data = int(n, 16), int(size, 16), base64.b64decode(cells)
+    step = 8 if size <= 14 else 10
+    table = {int.from_bytes(data[k : k + step - 6]): int.from_bytes(data[k + step - 6 : k + step]) for k in range(0, len(data), step)}
+    hashed = lambda x, part: xxhash.xxh64_intdigest(part.to_bytes(4, "little"), xxhash.xxh64_intdigest(x.to_bytes(8, "little"), 42))
+    place = lambda x, part: (hashed(x, part) & ((1 << size) - 1)) * 4 + part
+    found, todo = set(), list(table)
+    while todo:
+        cell = todo.pop()
+        x = table.get(cell, 0)
+        if x and xxhash.xxh64_intdigest((x >> 12).to_bytes(8, "little"), 42) & 0xFFF == x & 0xFFF and place(x, cell & 3) == cell:
+            found.add(x)
+            for part in range(3):
+                table[place(x, part)] = table.get(place(x, part), 0) ^ x
+                todo.append(place(x, part))
+    assert not any(table.values()) and len(found) == n
+    return found
+
+
 def test_fingerprints_are_brute_force(spark):
     rng = random.Random(3)
     rows = [(i * 3, ". ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(60)) for _ in range(rng.randrange(0, 40)))) for i in range(25)]
     rows += [(500, None), (501, ""), (502, "é😀x"), (503, "same. text\nhere"), (504, "same. text\nhere"), (505, "l. " * 4000 + "k. " * 3)]
+    rows += [(600, " ".join(f"Sentence {k} of many." for k in range(40_000))), (601, " ".join(f"Sentence {k} of many." for k in range(20_000, 50_000))), (602, "1.5 and 2.5. Then?\nWhy")]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, next string")
     out = {r.doc_id: r for r in edited_versions(docs).collect()}
     rows = sorted((i, t or "") for i, t in rows)
     parts = lambda t: {p for p in re.split(CUT, t) if p}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+    for (i, t), (after_id, after) in zip(rows, rows[1:] + rows[:1]):
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         r = out[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert abs(r.near_edited - like(parts(t), parts(edited))) < 1e-9, i
-        assert abs(r.near_next - like(parts(t), parts(after))) < 1e-9, i
+        sets = [digests_of(f) for f in (r.fingerprint, r.edited_fingerprint, out[after_id].fingerprint)]
+        assert [len(x) for x in sets] == [len(parts(x)) for x in (t, edited, after)]
+        if i == 600:
+            assert abs(r.near_next - like(sets[0], sets[2])) < 0.02 and abs(r.near_edited - like(sets[0], sets[1])) < 0.02
+            continue
+        assert abs(r.near_edited - like(parts(t), parts(edited))) < 1e-9 and abs(r.near_edited - like(sets[0], sets[1])) < 1e-9, i
+        assert abs(r.near_next - like(sets[0], sets[2])) < (1e-9 if len(sets[0]) + len(sets[2]) < 1000 else 0.02), i
     assert out[503].fingerprint == out[504].fingerprint and out[500].fingerprint == out[501].fingerprint
+    assert edited_versions(docs.unionByName(docs)).groupBy("doc_id").count().where("count = 2").count() == len(rows)
     assert edited_versions(docs.limit(0)).count() == 0
 
 
+def test_what_no_table_gives_back_is_estimated(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(found, rest, size, n, m) for found, rest, size, n, m in [(7, 0, 10, 10, 9), (0, 3000, 10, 5000, 400), (0, 24, 3, 90, 90), (3, 3, 10, 9, 9)]]
+    table = spark.createDataFrame(rows, "found long, rest long, size int, n int, m int")
+    out = [r[0] for r in table.select(fingerprints.difference(F.col("found"), F.col("rest"), F.col("size"), F.col("n"), F.col("m"))).collect()]
+    assert out[0] == 7 and 4600 <= out[1] <= 5400 and 20 < out[2] <= 180 and 5 <= out[3] < 6
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/a>A</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; tail</h1><p>One<b> two</b>&nbsp;\n three<p>Four<br>five<aside>Side</aside><ul><li>x<li>y</ul><form>Name</form>
 <!-- c --><div id="comments"><p>Nice!</p></div></article><div class="sidebar">More</div><footer>&copy; me</footer></body></html>"""
