@@ -135,22 +135,27 @@ def likeness(n: Column, m: Column, differing: Column) -> Column:
     return F.when(n + m == 0, F.lit(1.0)).otherwise((n + m - differing) / (n + m + differing))
 
 
-def compared(cells: DataFrame) -> list[DataFrame]:
+def compared(sets: DataFrame) -> list[DataFrame]:
     """For each of ``TRIES``, ``row`` and for versions 1 and 2 a struct (found, rest, size) of their comparison with version 0.
 
-    A later try has only pairs of which the ones before left cells; pairs without a difference are in none.
+    ``sets`` (row, versions) is dealt by row. A later try has only pairs of which
+    the ones before left cells; pairs without a difference are in none.
     """
     of = lambda pair: F.max(F.when(F.col("pair") == pair, F.struct("found", "rest", "size"))).alias(f"_d{pair}")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out: list[DataFrame] = []
     failed = None
     for halved, sweeps in TRIES:
-        table = subtracted(cells, halved)
-        if failed is not None:
+        if failed is None:
+            table = subtracted(sketches(sets), halved)
+        else:
             # The row alone is the key, since everything is dealt by it; the pair is a condition.
-            table = table.join(failed.hint("shuffle_hash"), (F.col("row") == F.col("_row")) & (F.col("pair") - F.col("_pair") == 0), "left_semi")
+            own = sets.join(failed.select(F.col("_row").alias("row")).hint("shuffle_hash"), "row", "left_semi")
+            same = (F.col("row") == F.col("_row")) & (F.col("pair") - F.col("_pair") == 0)
+            table = subtracted(sketches(own), halved).join(failed.hint("shuffle_hash"), same, "left_semi")
         tried = peeled(table, sweeps)
         if len(out) < len(TRIES) - 1:
-            tried = written(tried).repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+            tried = written(tried).repartition(parts, "row")
         failed = tried.where("rest > 0").select(F.col("row").alias("_row"), F.col("pair").alias("_pair"))
         out.append(tried.groupBy("row").agg(of(1), of(2)))
     return out
@@ -218,10 +223,10 @@ def edited_versions(docs: DataFrame) -> DataFrame:
     rows = written(rows.withColumn("n", F.transform("versions", lambda v: F.size(v))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     about = rows.select("row", "doc_id", "n_chars", "edited_sha256", "n").repartition(parts, "row")
-    cells = sketches(rows.select("row", "versions").repartition(parts, "row"))
-    texts = cells.where("version < 2").groupBy("row").agg(written_out(0).alias("_f0"), written_out(1).alias("_f1"))
+    sets = rows.select("row", "versions").repartition(parts, "row")
+    texts = sketches(sets).where("version < 2").groupBy("row").agg(written_out(0).alias("_f0"), written_out(1).alias("_f1"))
     out = about.join(texts, "row", "left")
-    for k, tried in enumerate(compared(cells)):
+    for k, tried in enumerate(compared(sets)):
         out = out.join(tried.select("row", F.col("_d1").alias(f"_d1_{k}"), F.col("_d2").alias(f"_d2_{k}")), "row", "left")
     count = [F.get("n", F.lit(k)) for k in range(3)]
 
