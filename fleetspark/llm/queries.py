@@ -80,8 +80,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetspark.llm.chat import chat_digests
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hard = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    kinds = {f.name: f.dataType for f in turns.schema.fields}
+    extra = spark.range(2).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), role.alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
     return chat_digests(turns.unionByName(extra))
 
 

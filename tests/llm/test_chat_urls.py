@@ -1,3 +1,5 @@
+import random
+import re
 import hashlib
 
 import duckdb
@@ -77,4 +79,53 @@ def test_walk_is_personalised_pagerank(spark):
     mass = {"s.com": 1.0, "a.org": 0.0, "b.org": 0.0}
     for _ in range(how.rounds):
         mass = {"s.com": 0.15, "a.org": 0.85 * mass["s.com"] / 2, "b.org": 0.85 * (mass["s.com"] / 2 + mass["a.org"])}
-    assert all(abs(out[h] - mass[h]) < 1e-12 for h in mass)
+    assert all(abs(out[h] - mass[h] / how.restart) < 1e-12 for h in mass)  # one page each, one ruled page in all
+
+
+def test_verdicts_are_brute_force(spark):
+    """Rules, seeds, both walks, parents and thresholds over a small graph, recomputed in plain Python."""
+    rng = random.Random(9)
+    hosts = [f"{sub}{name}.{tld}" for name in "abc" for tld in ("com", "net", "org") for sub in ("", "www.", "m.www.")]
+    rows = []
+    for i in range(220):
+        host = rng.choice(hosts)
+        links = "".join(f"<a href='https://{rng.choice(hosts).upper()}/q'>" for _ in range(rng.randrange(3)))
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'es', 'fr', 'de'])}/{i}", rng.choice([links, None]) if i % 7 else links))
+    how = Propagation(rounds=4)
+    out = {r.page_id: r for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES, how).collect()}
+    pages, links, ruled = {}, {}, {}
+    for i, url, html in rows:
+        host, path = url.split("//")[1].split("/", 1)
+        path = "/" + path
+        fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        ruled[i] = max(fits, key=lambda r: len(r.name)) if fits else None
+        pages.setdefault(host, []).append(i)
+        for other in re.findall(r"https://([^/]+)", html or ""):
+            if other.lower() != host:
+                links[host, other.lower()] = links.get((host, other.lower()), 0) + 1
+    for host in pages:
+        parts = host.split(".")
+        above = [".".join(parts[k:]) for k in range(1, len(parts)) if ".".join(parts[k:]) in pages]
+        if above:
+            links[host, above[0]] = links.get((host, above[0]), 0) + 1
+    scores = []
+    for verdict in ("allow", "block"):
+        edges = links if verdict == "allow" else {(b, a): n for (a, b), n in links.items()}
+        seeds = {h: float(sum(ruled[i] is not None and ruled[i].verdict == verdict for i in own)) for h, own in pages.items()}
+        mass = dict(seeds)
+        for _ in range(how.rounds):
+            moved = {h: how.restart * m for h, m in seeds.items()}
+            for (a, b), n in edges.items():
+                share = n / sum(m for (x, _), m in edges.items() if x == a)
+                moved[b] = moved.get(b, 0) + (1 - how.restart) * mass.get(a, 0) * share
+            mass = moved
+        scores.append({h: mass.get(h, 0) / how.restart / len(own) for h, own in pages.items()})
+    told = set()
+    for host, own in pages.items():
+        bad = scores[1][host] >= how.least and scores[1][host] > how.threshold * scores[0][host]
+        for i in own:
+            assert abs(out[i].trust - scores[0][host]) < 1e-9 and abs(out[i].distrust - scores[1][host]) < 1e-9
+            want = ruled[i].verdict if ruled[i] else "block" if bad else "allow"
+            assert (out[i].rule, out[i].verdict) == (ruled[i].name if ruled[i] else None, want)
+            told.add((ruled[i] is None, want))
+    assert len(told) == 4
