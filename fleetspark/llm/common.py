@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,29 +22,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a new local folder is
-    made and set, so that a later call finds the same one.
+    Only in a local session that names none (tests, a laptop) a new local folder
+    is made and set, so that a later call finds the same one; on a cluster that
+    is an error, since executors wouldn't see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="fleetspark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Tables written in each open ``scratch``, outermost first.
+_tables: list[list[str]] = [[]]
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder, read it back.
 
-    A lost executor then costs a new read, not a new computation.
+    A lost executor then costs a new read, not a new computation. The table goes
+    at the end of the ``scratch`` around it; with ``keep``, of the one around that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fleetspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables[-2 if keep and len(_tables) > 1 else -1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the tables that are ``written`` inside once it ends. What is used later must be written with ``keep``."""
+    _tables.append([])
+    try:
+        yield
+    finally:
+        for path in _tables.pop():
+            _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables of all results so far, once nothing reads them any more."""
+    for path in _tables[0]:
+        _delete(spark, path)
+    _tables[0].clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package wherever the driver was started."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.llm import dom
-from fleetspark.llm.common import ship, written
+from fleetspark.llm.common import scratch, ship, written
 from fleetspark.llm.urls import with_host_and_path
 
 
@@ -145,7 +145,8 @@ def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     ship(pages.sparkSession)
     pages = with_host_and_path(pages.select("page_id", "url", "html"))
-    found = written(templates(pages, settings))
+    with scratch(pages.sparkSession):
+        found = written(templates(pages, settings), keep=True)
 
     def run(batches):
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.llm.common import ship, written
+from fleetspark.llm.common import scratch, ship, written
 from fleetspark.llm.components import components
 from fleetspark.llm.shingles import mixed, shingle_sets
 
@@ -422,19 +422,20 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     first = written(filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     ids = first.select(F.col("rep").alias("doc_id"), "s1", "s2")
     reps = filled.join(ids, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"]).withColumnRenamed("doc_id", "rep")
-    points = written(reps.select("rep", F.col("n_shingles").alias("n"), "counts", "coarse"))
+    with scratch(docs.sparkSession):
+        points = written(reps.select("rep", F.col("n_shingles").alias("n"), "counts", "coarse"))
 
-    keyed = reps.select(F.posexplode("keys").alias("pos", "key"), "rep")
-    many = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    shared = written(keyed.join(many, "key").select("key", "pos", "rep", "many"))
-    links = verified(bounded(tree_pairs(near_blocks(shared, s), points, s, s.nearest), points, s), docs, s)
-    roots = written(components(links))
+        keyed = reps.select(F.posexplode("keys").alias("pos", "key"), "rep")
+        many = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+        shared = written(keyed.join(many, "key").select("key", "pos", "rep", "many"))
+        links = verified(bounded(tree_pairs(near_blocks(shared, s), points, s, s.nearest), points, s), docs, s)
+        roots = written(components(links))
 
-    named = written(shared.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
-    torn = named.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-    apart = named.join(torn, "key", "left_semi")
-    more = verified(bounded(tree_pairs(all_blocks(apart, s), points, s), points, s), docs, s)
-    roots = components(links.unionByName(more))
+        named = written(shared.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+        torn = named.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
+        apart = named.join(torn, "key", "left_semi")
+        more = verified(bounded(tree_pairs(all_blocks(apart, s), points, s), points, s), docs, s)
+        roots = written(components(links.unionByName(more)), keep=True)
 
     of = first.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("s1", "s2", F.col("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2", "n_shingles"], "left")
@@ -450,6 +451,7 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     found = jaccard_components(docs, settings)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    own = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_row_of_id", F.row_number().over(own)).where("_row_of_id = 1").drop("_row_of_id")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    own = Window.partitionBy("_id").orderBy("_hash")
+    packed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    kept = packed.join(first.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").withColumn("_k", F.row_number().over(own)).where("_k = 1")
+    return kept.select("_all.*").unionByName(docs.where("doc_id is null"))

@@ -66,7 +66,7 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         table[i] = n, len(text) - counts["blank"][i], counts["symbol"][i], dup, repeated_words(words)
         if n:
             x[i, :6] = np.log1p(n), table[i, 1] / n, table[i, 2] / table[i, 1], dup / len(lines), table[i, 4] / n, len(set(words)) / n
-            x[i, 10], x[i, 11] = n / len(lines), min(200, max(map(len, words)))
+            x[i, 10], x[i, 11] = n / len(lines), max(map(len, words))
     size = np.maximum(1, table[:, 1])
     x[:, 6] = counts["upper"] / np.maximum(1, counts["letter"])
     x[:, 7], x[:, 8], x[:, 9] = counts["digit"] / size, counts["mark"] / size, counts["shout"] / size

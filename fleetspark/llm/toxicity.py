@@ -35,14 +35,13 @@ FEATURES = ("words", "hits", "distinct", "weight", "top", "second", "near_you",
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_rows`` bounds the labelled rows that are used; ``lexicon_size`` the terms kept.
+    """``train_rows`` bounds the labelled rows that are used, and so the lexicon.
 
     A term needs ``least_documents`` toxic documents and ``least_weight`` as its
     log odds; ``window`` is how near, in words, a second person counts.
     """
 
     train_rows: int = 16_000
-    lexicon_size: int = 4_000
     least_documents: int = 3
     least_weight: float = 2.5
     seed_weight: float = 5.0
@@ -73,17 +72,19 @@ def terms(word: str) -> list[str]:
 
 
 class Weights:
-    """Lexicon weight and hidden flag of words, remembered up to a bound."""
+    """Lexicon weight, hidden flag and second person of words, remembered up to a bound."""
 
     def __init__(self, lexicon: dict, limit: int = 400_000):
-        self.lexicon, self.limit, self.known = lexicon, limit, {}
+        self.lexicon, self.limit, self.known, self.you = lexicon, limit, {}, set()
 
     def of(self, words: list[str]) -> list[float]:
         """Weights, below zero (minus one, less) where the word was found only under a disguise."""
         if len(self.known) > self.limit:
-            self.known = {}
+            self.known, self.you = {}, set()
         for w in set(words).difference(self.known):
             self.known[w] = self._weigh(w)
+            if bare(w) in SECOND_PERSON:
+                self.you.add(w)
         return [self.known[w] for w in words]
 
     def _weigh(self, word: str) -> float:
@@ -114,7 +115,7 @@ def features(texts: list[str], weights: Weights, window: int) -> np.ndarray:
         weight = np.where(hidden, -found - 1, found)
         hit = np.flatnonzero(weight > 0)
         n = len(words)
-        you = np.array([k for k, w in enumerate(words) if bare(w) in SECOND_PERSON]) if len(hit) else np.zeros(0, int)
+        you = np.array([k for k, w in enumerate(words) if w in weights.you], int)
         near = near_any(hit, you, window)
         top = np.sort(weight[hit])[::-1]
         distinct = len({words[k] for k in hit})
@@ -127,7 +128,7 @@ def features(texts: list[str], weights: Weights, window: int) -> np.ndarray:
 
 
 def learn_lexicon(rows: DataFrame, settings: Settings) -> dict:
-    """Terms and log odds from ``rows`` (text, toxic): at most ``lexicon_size`` come to the driver."""
+    """Terms and log odds from ``rows`` (text, toxic), whose number ``train_rows`` bounds: all that pass come to the driver."""
 
     def explode(batches):
         for batch in batches:
@@ -146,7 +147,7 @@ def learn_lexicon(rows: DataFrame, settings: Settings) -> dict:
     counted = rows.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(explode, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1))
     best = counted.where(F.col("t") >= settings.least_documents).withColumn("weight", odds).where(F.col("weight") >= settings.least_weight)
-    for r in best.orderBy(F.desc("weight"), "term").limit(settings.lexicon_size).collect():
+    for r in best.select("term", "weight").collect():
         lexicon[r["term"]] = max(r["weight"], lexicon.get(r["term"], 0.0))
     return lexicon
 

@@ -1,7 +1,10 @@
+import unicodedata
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from fleetspark.llm import quality, toxicity
 from fleetspark.llm.boosting import fit, isotonic, sigmoid
@@ -124,3 +127,40 @@ def test_near_second_person_in_texts_of_any_length():
     near = toxicity.FEATURES.index("near_you")
     short, long = (toxicity.features(["you idiot a b c d e f g h " * n], toxicity.Weights({"idiot": 5.0}), 4)[0] for n in (20, 3000))
     assert short[near] == long[near] == 10.0
+
+
+def slow_features(text, lexicon, window):
+    """The features of one text, word by word."""
+    plain = lambda w: w.strip(".,;:!?\"'()[]{}<>-_*#%&$|/")
+    weigh = lambda w: max([lexicon.get(w, 0.0)] + [lexicon.get(w[:n] + "*", 0.0) for n in (4, 5, 6) if len(w) >= n])
+    words = text.lower().split()
+    n, found, you, hidden = len(words), [], [], []
+    for k, w in enumerate(words):
+        weight, under = weigh(plain(w)), False
+        if not weight and toxicity.HIDDEN.search(w):
+            under = True
+            weight = weigh(plain(w.translate(toxicity.DISGUISES).replace("*", "")))
+        hidden += [(k, weight)] if under else []
+        found += [(k, weight)] if weight > 0 else []
+        you += [k] if plain(w) in toxicity.SECOND_PERSON else []
+    top = sorted((x for _, x in found), reverse=True) + [0, 0]
+    near = sum(any(abs(k - y) <= window for y in you) for k, _ in found)
+    letters = [c for c in text if unicodedata.category(c)[0] == "L"]
+    rate = lambda x: 100 * x / n if n else 0
+    size = max(1, len(text))
+    return [
+        math.log1p(n) if n else 0, rate(len(found)), len({words[k] for k, _ in found}), rate(sum(x for _, x in found)), top[0], top[1], rate(near), rate(len(you)),
+        sum(unicodedata.category(c) == "Lu" for c in text) / max(1, len(letters)), rate(sum(w.isupper() for w in text.split())),
+        sum(c in "!?" for c in text) / size, sum(unicodedata.category(c)[0] == "P" for c in text) / size, sum(unicodedata.category(c)[0] == "N" for c in text) / size,
+        rate(len(hidden)), rate(sum(x > 0 for _, x in hidden)),
+    ]
+
+
+def test_features_are_brute_force():
+    rng = random.Random(10)
+    lexicon = {"idiot": 5.0, "grob*": 4.0, "scum": 3.5}
+    words = ["idiot", "1d1ot!", "You", "you,", "grobnak", "plain", "SCUM.", "a1b", "été", "É", "x#y", "yours", "12", "--", "sc*um", "tu"]
+    texts = ["", " \n", "x" * 5000] + [rng.choice([" ", "\n", "\u00a0"]).join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(120)]
+    got = toxicity.features(texts, toxicity.Weights(lexicon), 4)
+    for text, row in zip(texts, got.tolist()):
+        assert row == pytest.approx(slow_features(text, lexicon, 4)), text
