@@ -92,10 +92,10 @@ def corridor_pair_times_pooled(spark, sf_dir):
 @query("""SELECT way, concat(a.station, '|', b.station) AS pair, CAST(floor(a.s / 3600) AS INT) AS hour, count(*) AS trips, quantile_cont(b.s - a.s, 0.5) / 60.0::DOUBLE AS median FROM
   (SELECT *, CASE WHEN last_value(place) OVER w > first_value(place) OVER w THEN 'in' ELSE 'out' END AS way FROM STOPS WINDOW w AS (PARTITION BY trip_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS a
   JOIN STOPS AS b ON a.trip_id = b.trip_id AND a.k < b.k AND a.station <> b.station GROUP BY 1, 2, 3""".replace("STOPS", """(SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY s, stop_sequence) AS k FROM (
-  SELECT trip_id, stop_sequence, stop_id AS place, concat('p', stop_id % 7) AS station, CAST(substr(departure, 1, 2) AS INT) * 3600 + CAST(substr(departure, 4, 2) AS INT) * 60 AS s FROM stop_time WHERE stop_id < 14) AS k)"""), ("median",))
+  SELECT trip_id, stop_sequence, stop_id AS place, concat('p', stop_id % 7) AS station, CAST(substr(departure, 1, 2) AS INT) * 3600 + CAST(substr(departure, 4, 2) AS INT) * 60 AS s FROM stop_time) AS k)"""), ("median",))
 def subway_schedule_pairs(spark, sf_dir):
     times = t.view(spark, sf_dir, "stop_time")
-    named = times.where("stop_id < 14").select("stop_id", F.concat(F.lit("p"), F.col("stop_id") % 7).alias("station"), F.col("stop_id").alias("place")).distinct()
+    named = times.select("stop_id", F.concat(F.lit("p"), F.col("stop_id") % 7).alias("station"), F.col("stop_id").alias("place")).distinct()
     return corridors.schedule_pairs(times, named)
 
 
@@ -159,11 +159,11 @@ def _near(rows: str, keys: str, values: str) -> str:
       SELECT {keys}, hour, {values}, 0 AS rank FROM {rows} AS a UNION ALL SELECT {keys}, hour - 1, {values}, 1 FROM {rows} AS a UNION ALL SELECT {keys}, hour + 1, {values}, 2 FROM {rows} AS a) AS u) AS u WHERE k = 1)"""
 
 
-CUT = """(SELECT route_id, g.hour, sum((g1 - g0) / coalesce(nullif(g.speed, 0), 3.129263::DOUBLE)) / 60.0::DOUBLE AS minutes FROM (SELECT route_id, direction_id, unnest(range({0}, {1}))::INT AS bin, 0.0::DOUBLE AS z FROM route_dir WHERE direction_id = {2}) AS s
-  JOIN (SELECT *, bin * 100.0::DOUBLE AS g0, bin * 100.0::DOUBLE + 100 AS g1 FROM grid) AS g USING (route_id, direction_id, bin) GROUP BY 1, 2)"""
+CUT = """(SELECT s.route_id, h.hour, sum(100.0::DOUBLE / CASE WHEN g.speed > 0 THEN g.speed ELSE 3.129263::DOUBLE END) / 60.0::DOUBLE AS minutes FROM (SELECT route_id, direction_id, unnest(range({0}, {1}))::INT AS bin FROM route_dir WHERE direction_id = {2}) AS s
+  JOIN near_hour AS h ON h.route_id = s.route_id AND h.direction_id = s.direction_id LEFT JOIN grid AS g ON g.route_id = s.route_id AND g.direction_id = s.direction_id AND g.bin = s.bin AND g.hour = h.at_hour GROUP BY 1, 2)"""
 SERVICE = """(SELECT * FROM (SELECT route_id, CAST(floor(t0 / 3600) AS INT) AS hour, count(*) FILTER (WHERE direction_id = 1) AS tph, quantile_cont(t1 - t0, 0.5) / 30.0::DOUBLE AS round_trip FROM extent GROUP BY 1, 2) AS k WHERE tph > 0)"""
 TRUNCATED = f"""(SELECT route_id, hour, saved, 60.0::DOUBLE / tph AS headway, 60.0::DOUBLE / tph * (cycle - saved) / cycle AS new_headway, cycle / (60.0::DOUBLE / tph) AS buses, saved / (60.0::DOUBLE / tph) AS freed, sum(tph * saved / 60.0::DOUBLE) OVER (PARTITION BY route_id) AS daily_hours FROM (
-  SELECT s.route_id, s.hour, s.tph, round_trip * 1.12::DOUBLE AS cycle, greatest(i.minutes + o.minutes - 4, 0.0::DOUBLE) AS saved FROM {SERVICE} AS s JOIN {_near(CUT.format(25, 50, 1), "route_id", "minutes")} AS i ON i.route_id = s.route_id AND i.hour = s.hour JOIN {_near(CUT.format(0, 25, 0), "route_id", "minutes")} AS o ON o.route_id = s.route_id AND o.hour = s.hour) AS k)"""
+  SELECT s.route_id, s.hour, s.tph, round_trip * 1.12::DOUBLE AS cycle, greatest(i.minutes + o.minutes - 4, 0.0::DOUBLE) AS saved FROM {SERVICE} AS s JOIN {CUT.format(25, 50, 1)} AS i ON i.route_id = s.route_id AND i.hour = s.hour JOIN {CUT.format(0, 25, 0)} AS o ON o.route_id = s.route_id AND o.hour = s.hour) AS k)"""
 
 
 def truncated(spark, sf_dir):

@@ -35,10 +35,10 @@ def hotspots(spark, sf_dir):
     return scenarios.hotspots(t.delays(spark, sf_dir), points, least_hours=0.01)
 
 
-@query("""SELECT s.signal_id, g.hour, sum(coalesce((g1 - g0) / coalesce(nullif(g.speed, 0), 3.129263::DOUBLE), 0.0::DOUBLE)) / 60.0::DOUBLE AS minutes FROM (
+@query("""SELECT s.signal_id, h.hour, sum(coalesce((g1 - g0) / coalesce(nullif(g.speed, 0), 3.129263::DOUBLE), 0.0::DOUBLE)) / 60.0::DOUBLE AS minutes FROM (
     SELECT *, greatest(bin * 100.0::DOUBLE, d0) AS g0, least(bin * 100.0::DOUBLE + 100, d1) AS g1 FROM (
       SELECT signal_id, 'R1' AS route_id, 1 AS direction_id, x / 2 AS d0, x / 2 + 400 AS d1, unnest(range(CAST(floor(x / 200) AS INT), CAST(floor((x / 2 + 400 - 0.000001::DOUBLE) / 100) AS INT) + 1))::INT AS bin FROM signal) AS s) AS s
-  JOIN grid AS g USING (route_id, direction_id, bin) GROUP BY 1, 2""", ("minutes",))
+  JOIN near_hour AS h ON h.route_id = s.route_id AND h.direction_id = s.direction_id LEFT JOIN grid AS g ON g.route_id = s.route_id AND g.direction_id = s.direction_id AND g.bin = s.bin AND g.hour = h.at_hour GROUP BY 1, 2""", ("minutes",))
 def segment_minutes(spark, sf_dir):
     parts = t.view(spark, sf_dir, "signal").selectExpr("signal_id", "'R1' AS route_id", "1 AS direction_id", "x / 2 AS d0", "x / 2 + 400 AS d1")
     return scenarios.segment_minutes(parts, t.speed_grid(spark, sf_dir), "signal_id")

@@ -66,14 +66,20 @@ def _vertices(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS shape_id", "s_suppkey AS seq", "cast(s_acctbal AS double) AS x", "cast(s_suppkey * 7 AS double) AS y")
 
 
-@query("""SELECT shape_id, CAST(k AS INT) AS seq, k * 10.0::DOUBLE AS d, x + (k * 10 - c0) / l * (x1 - x) AS x, y + (k * 10 - c0) / l * (y1 - y) AS y FROM (
+POINTS = """SELECT shape_id, CAST(k AS INT) AS seq, k * 10.0::DOUBLE AS d, x + (k * 10 - c0) / l * (x1 - x) AS x, y + (k * 10 - c0) / l * (y1 - y) AS y FROM (
   SELECT *, unnest(range(CAST(ceil(c0 / 10) AS BIGINT), CAST(ceil(c1 / 10) AS BIGINT))) AS k FROM (
     SELECT *, c1 - l AS c0 FROM (SELECT *, sum(l) OVER (PARTITION BY shape_id ORDER BY seq) AS c1 FROM (
       SELECT *, sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) AS l FROM (
         SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM (SELECT s_nationkey AS shape_id, s_suppkey AS seq, CAST(s_acctbal AS DOUBLE) AS x, CAST(s_suppkey * 7 AS DOUBLE) AS y FROM supplier) AS v WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) AS k
-      WHERE x1 IS NOT NULL) AS k) AS k) AS k) AS k""", ("d", "x", "y"))
+      WHERE x1 IS NOT NULL) AS k) AS k) AS k) AS k"""
+
+
+@query(f"""SELECT shape_id, seq, d, x, y, CASE WHEN turned >= 360 THEN turned - 360 ELSE turned END AS bearing FROM (
+  SELECT *, degrees(atan2(coalesce(lead(x, 2) OVER w, last_value(x) OVER whole) - coalesce(lag(x, 2) OVER w, first_value(x) OVER whole),
+    coalesce(lead(y, 2) OVER w, last_value(y) OVER whole) - coalesce(lag(y, 2) OVER w, first_value(y) OVER whole))) + 360.0::DOUBLE AS turned
+  FROM ({POINTS}) AS p WINDOW w AS (PARTITION BY shape_id ORDER BY seq), whole AS (PARTITION BY shape_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS k""", ("d", "x", "y", "bearing"))
 def densify_shape(spark, sf_dir):
-    return network.densify_shape(_vertices(spark, sf_dir)).drop("bearing")
+    return network.densify_shape(_vertices(spark, sf_dir))
 
 
 CANDIDATE = """(SELECT event_id, shape_id, b.along AS along, b.off AS off FROM (

@@ -103,7 +103,7 @@ def schedule_pairs(stop_times: DataFrame, stations: DataFrame) -> DataFrame:
     ``stations``: stop_id, station, place (its order on the line). A trip runs
     "in" if it ends at a later place than it begins.
     """
-    rows = stop_times.join(F.broadcast(stations), "stop_id").withColumn("t", hms_seconds(F.col("departure")))
+    rows = stop_times.join(stations, "stop_id").withColumn("t", hms_seconds(F.col("departure")))
     w = Window.partitionBy("trip_id").orderBy("t", "stop_sequence")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({"_k": F.row_number().over(w), "_way": F.when(F.last("place").over(whole) > F.first("place").over(whole), "in").otherwise("out")})
@@ -148,7 +148,7 @@ def rapid_vs_local(parts: DataFrame, points: DataFrame, stops: DataFrame, pairs:
     bins of ``width`` metres. Only pairs with ``least`` shared points and fewer
     rapid than local stops on the stretch.
     """
-    shape = lambda role: points.join(F.broadcast(pairs.select("rapid", "local", "direction_id", F.col(role).alias("route_id"))), list(KEY))
+    shape = lambda role: points.join(pairs.select("rapid", "local", "direction_id", F.col(role).alias("route_id")), list(KEY))
     right = shape("local").select("rapid", "direction_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("d").alias("_ld"))
     near = near_points(shape("rapid").select("rapid", "local", "direction_id", "seq", "d", "x", "y"), right, radius, ("rapid", "direction_id"))
     near = near.groupBy("rapid", "local", "direction_id", "seq", "d").agg(F.min(F.struct("off", "_ld")).alias("_n"))
@@ -157,10 +157,10 @@ def rapid_vs_local(parts: DataFrame, points: DataFrame, stops: DataFrame, pairs:
     key = ["rapid", "local", "direction_id", "role", "route_id"]
     stretch = both.groupBy(*key).agg(F.count("*").alias("_n"), F.min("d").alias("_a"), F.max("d").alias("_b")).where(F.col("_n") >= least)
     bins = both.select(*key, F.floor(F.col("d") / width).cast("int").alias("bin")).distinct()
-    own = parts.where(F.col("hour").between(*hours)).join(F.broadcast(bins), [*KEY, "bin"])
+    own = parts.where(F.col("hour").between(*hours)).join(bins, [*KEY, "bin"])
     mean = own.groupBy(*key, "bin", *TRIP).agg(F.sum("time").alias("_s")).groupBy(*key, "bin").agg(F.avg("_s").alias("_s"))
     times = mean.groupBy(*key).agg(F.sum("_s").alias("_s"))
-    counted = stops.join(F.broadcast(stretch), list(KEY)).where(F.col("d").between(F.col("_a"), F.col("_b"))).groupBy(*key).agg(F.count("*").alias("_k"))
+    counted = stops.join(stretch, list(KEY)).where(F.col("d").between(F.col("_a"), F.col("_b"))).groupBy(*key).agg(F.count("*").alias("_k"))
     rows = stretch.join(times, key, "left").join(counted, key, "left").na.fill({"_s": 0.0, "_k": 0})
     of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
     out = rows.groupBy("rapid", "local", "direction_id").agg(of("local", "_s").alias("local_s"), of("rapid", "_s").alias("rapid_s"), of("local", "_k").alias("local_stops"), of("rapid", "_k").alias("rapid_stops"))

@@ -97,18 +97,20 @@ def runtime_by_hour(extents: DataFrame, s: GridSettings = DEFAULT) -> DataFrame:
 def stop_dwell(states: DataFrame, extents: DataFrame, stops: DataFrame, ahead: float = 40.0, behind: float = 30.0, slack: float = 5.0) -> DataFrame:
     """Per stop: chance that a passing trip halts in its zone, and its seconds stopped; null at the ends.
 
-    The zone is from ``ahead`` before the stop to ``behind`` after it. Trips
-    join stops of their own route, so a pair is a trip passing a stop.
+    The zone is from ``ahead`` before the stop to ``behind`` after it. Pings that
+    stand find their stops in the route's sorted array; trips join stops of their
+    own route, so a pair is a trip passing a stop.
     """
     ends = Window.partitionBy("route_id", "direction_id")
     rows = stops.withColumns({"_end": (F.col("d") == F.min("d").over(ends)) | (F.col("d") == F.max("d").over(ends)), "_lo": F.col("d") - ahead, "_hi": F.col("d") + behind})
     passing = rows.join(extents.select("route_id", "direction_id", "day", "trip", "a0", "a1"), ["route_id", "direction_id"])
     passing = passing.where((F.col("a0") <= F.col("_lo") + slack) & (F.col("a1") >= F.col("_hi") - slack))
-    halted = states.where("average_speed = 0").groupBy("route_id", "direction_id", "day", "trip").agg(F.collect_list(F.struct("along", "w")).alias("_zero"))
-    inside = lambda z: (z["along"] >= F.col("_lo")) & (z["along"] <= F.col("_hi"))
-    rows_in = passing.join(halted, ["route_id", "direction_id", "day", "trip"], "left").withColumn("_own", F.filter(F.coalesce("_zero", F.array()), inside))
-    rows_in = rows_in.withColumns({"_halt": F.when(F.size("_own") > 0, 1).otherwise(0), "_sec": F.aggregate("_own", F.lit(0.0), lambda a, z: a + z["w"])})
-    found = rows_in.groupBy("route_id", "direction_id", "stop_id").agg(F.count("*").alias("traversals"), F.sum("_halt").alias("halts"), F.sum("_sec").alias("sec"))
+    zones = rows.groupBy("route_id", "direction_id").agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi", "stop_id"))).alias("_zones"))
+    inside = lambda z: (F.col("along") >= z["_lo"]) & (F.col("along") <= z["_hi"])
+    halts = states.where("average_speed = 0").select("route_id", "direction_id", "day", "trip", "along", "w").join(zones, ["route_id", "direction_id"])
+    halts = halts.withColumn("_z", F.explode(F.filter("_zones", inside))).groupBy("route_id", "direction_id", "day", "trip", F.col("_z.stop_id").alias("stop_id")).agg(F.sum("w").alias("_sec"))
+    rows_in = passing.join(halts, ["route_id", "direction_id", "day", "trip", "stop_id"], "left")
+    found = rows_in.groupBy("route_id", "direction_id", "stop_id").agg(F.count("*").alias("traversals"), F.count("_sec").alias("halts"), F.coalesce(F.sum("_sec"), F.lit(0.0)).alias("sec"))
     out = rows.join(found, ["route_id", "direction_id", "stop_id"], "left")
     middle = ~F.col("_end") & (F.coalesce("traversals", F.lit(0)) > 0)
     return out.select("route_id", "direction_id", "stop_id", "d", F.when(middle, F.col("halts") / F.col("traversals")).alias("p"), F.when(middle, F.col("sec") / F.col("traversals")).alias("stopped"))

@@ -29,12 +29,21 @@ def hotspots(delays: DataFrame, shapes: DataFrame, cell: float = 150.0, ends: fl
 
 
 def segment_minutes(parts: DataFrame, grid: DataFrame, key: str, walking: float = 3.129263, bin_metres: float = 100.0) -> DataFrame:
-    """Minutes over [d0, d1] of a route in each hour, from the speed grid; a cell without speed goes at ``walking`` m/s."""
+    """Minutes over [d0, d1] of a route in each hour, from the speed grid.
+
+    Every bin counts: one without a cell or speed in the hour goes at ``walking``
+    m/s. An hour in which the route has no cell at all takes the cells of the
+    next hour, else of the one before; without those it has no row.
+    """
     first, last = F.floor(F.col("d0") / bin_metres), F.floor((F.col("d1") - F.lit(1e-6)) / bin_metres)
     rows = parts.withColumn("bin", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     metres = F.least(F.col("bin") * F.lit(bin_metres) + bin_metres, F.col("d1")) - F.greatest(F.col("bin") * F.lit(bin_metres), F.col("d0"))
+    seen = grid.select(*KEY, "hour").distinct().withColumn("_from", F.col("hour"))
+    hours = near_hours(seen, list(KEY), ["_from"])
+    cells = grid.select(*KEY, "bin", F.col("hour").alias("_from"), "speed")
+    rows = rows.join(hours, list(KEY)).join(cells, [*KEY, "bin", "_from"], "left")
     speed = F.when(F.col("speed") > 0, F.col("speed")).otherwise(walking)
-    return rows.join(grid.select(*KEY, "bin", "hour", "speed"), [*KEY, "bin"]).groupBy(key, "hour").agg((F.sum(metres / speed) / 60.0).alias("minutes"))
+    return rows.groupBy(key, "hour").agg((F.sum(metres / speed) / 60.0).alias("minutes"))
 
 
 def nearby_families(stops: DataFrame, key: str, radius: float = 120.0) -> DataFrame:
@@ -68,13 +77,11 @@ def corridor_truncation(cut_in: DataFrame, cut_out: DataFrame, service: DataFram
 
     ``cut_in``, ``cut_out``: route_id, hour, minutes of running time cut.
     ``service``: route_id, hour, tph (trips an hour), round_trip (minutes of both
-    directions). ``turn``: minutes to turn round at the new end. An hour without
-    a cut takes the next one's, else the one's before. Gives the minutes saved a
-    round trip, old and new headway, buses, buses freed, and the bus-hours of
+    directions). ``turn``: minutes to turn round at the new end. Hours without a
+    cut (see ``segment_minutes``) have no row. Gives the minutes saved a round trip, old and new headway, buses, buses freed, and the bus-hours of
     the route's whole day.
     """
-    cut = lambda rows, name: near_hours(rows, ["route_id"], ["minutes"]).withColumnRenamed("minutes", name)
-    rows = service.join(cut(cut_in, "cut_in"), ["route_id", "hour"]).join(cut(cut_out, "cut_out"), ["route_id", "hour"])
+    rows = service.join(cut_in.withColumnRenamed("minutes", "cut_in"), ["route_id", "hour"]).join(cut_out.withColumnRenamed("minutes", "cut_out"), ["route_id", "hour"])
     rows = rows.where("tph > 0").withColumn("saved", F.greatest(F.col("cut_in") + F.col("cut_out") - turn, F.lit(0.0)))
     rows = rows.withColumns({"headway": 60.0 / F.col("tph"), "cycle": F.col("round_trip") * recovery})
     rows = rows.withColumns({"buses": F.col("cycle") / F.col("headway"), "new_headway": F.col("headway") * (F.col("cycle") - F.col("saved")) / F.col("cycle"), "freed": F.col("saved") / F.col("headway")})
@@ -108,7 +115,7 @@ def trunk_transfer(portals: DataFrame, rides: DataFrame, pairs: DataFrame, lines
     today = near.where(F.col("station") == goal).select("route_id", "hour", F.col("median").alias("today"), F.col("p90").alias("today_p90"))
     leg = near.select("route_id", F.col("station").alias("transfer"), "hour", F.col("median").alias("_l"), F.col("p90").alias("_l9"))
     onward = near_hours(pairs, ["pair"], both).select("pair", "hour", F.col("median").alias("_r"), F.col("p90").alias("_r9"))
-    rows = own.join(today, ["route_id", "hour"]).join(F.broadcast(lines), "route_id").join(leg, ["route_id", "transfer", "hour"], "left")
+    rows = own.join(today, ["route_id", "hour"]).join(lines, "route_id").join(leg, ["route_id", "transfer", "hour"], "left")
     rows = rows.withColumn("pair", F.concat_ws("|", "transfer", F.lit(goal))).join(onward, ["pair", "hour"])
     headway = 60.0 / per_hour
     over = lambda a, b: F.greatest(F.coalesce(F.col(a) - F.col(b), F.lit(0.0)), F.lit(0.0))
@@ -163,7 +170,7 @@ def hotspot_places(delays: DataFrame, states: DataFrame, points: DataFrame, tunn
     middle = F.floor(F.col("d") / width)
     at = points.where(F.col("d") - middle * width == width / 2).select(*KEY, middle.cast("int").alias("bin"), "x", "y", "d", "bearing").join(end, list(KEY))
     at = at.where((F.col("bin") * width >= ends) & ((F.col("bin") + 1) * width <= F.col("_end") + 10 - ends))
-    at = at.join(F.broadcast(tunnels.select(*KEY, "d0", "d1")), list(KEY), "left").withColumn("underground", F.coalesce(F.col("d").between(F.col("d0"), F.col("d1")), F.lit(False)))
+    at = at.join(tunnels.select(*KEY, "d0", "d1"), list(KEY), "left").withColumn("underground", F.coalesce(F.col("d").between(F.col("d0"), F.col("d1")), F.lit(False)))
     rows = delays.where("delay is not null").groupBy(*KEY, "bin").agg(F.sum("delay").alias("delay")).join(at, [*KEY, "bin"]).join(states.select(*KEY, "bin", "s1", "s2", "s3"), [*KEY, "bin"], "left")
     rows = rows.withColumn("_w", F.col("delay") + F.lit(1e-6)).na.fill(0.0, ["s1", "s2", "s3"])
     heading = F.pmod(F.floor((F.col("bearing") + 22.5) / 45.0), F.lit(8)).cast("int")

@@ -129,15 +129,18 @@ def stale_repeats(pings: DataFrame, least_mph: int = 2) -> DataFrame:
 def position_interp(pings: DataFrame, targets: DataFrame) -> DataFrame:
     """``target, t_at``: when each trip passes distances of its route (``targets``: route_id, direction_id, target).
 
-    Linear between the last ping at or before the distance and the first beyond; null outside the trip.
+    Linear between the last ping at or before the distance and the first beyond;
+    no row outside the trip. Each ping makes rows for the targets up to the next
+    ping, from the route's sorted array: no row that isn't a passage.
     """
-    near = pings.select("route_id", "direction_id", *TRIP, "t", "along").join(targets, ["route_id", "direction_id"])
-    at, to = F.col("along") <= F.col("target"), F.col("along") > F.col("target")
-    row = F.struct(F.col("along").alias("a"), F.col("t").alias("t"))
-    ends = near.groupBy("route_id", "direction_id", *TRIP, "target").agg(F.max(F.when(at, row)).alias("p"), F.min(F.when(to, row)).alias("q"))
-    share = (F.col("target") - F.col("p.a")) / (F.col("q.a") - F.col("p.a"))
-    inside = F.when(F.col("p.a") == F.col("target"), F.col("p.t").cast("double")).otherwise(F.col("p.t") + (F.col("q.t") - F.col("p.t")) * share)
-    return ends.select("route_id", "direction_id", *TRIP, "target", inside.alias("t_at")).where("t_at is not null")
+    w = Window.partitionBy("route_id", "direction_id", *TRIP).orderBy("along", "t")
+    by_route = targets.groupBy("route_id", "direction_id").agg(F.sort_array(F.collect_set("target")).alias("_ds"))
+    rows = pings.select("route_id", "direction_id", *TRIP, "t", "along", F.lead("along").over(w).alias("_a1"), F.lead("t").over(w).alias("_t1")).join(by_route, ["route_id", "direction_id"])
+    inside = lambda d: (d >= F.col("along")) & ((d < F.col("_a1")) | (F.col("_a1").isNull() & (d == F.col("along"))))
+    rows = rows.withColumn("target", F.explode(F.filter("_ds", inside)))
+    share = (F.col("target") - F.col("along")) / (F.col("_a1") - F.col("along"))
+    at = F.when(F.col("along") == F.col("target"), F.col("t").cast("double")).otherwise(F.col("t") + (F.col("_t1") - F.col("t")) * share)
+    return rows.select("route_id", "direction_id", *TRIP, "target", at.alias("t_at"))
 
 
 def headways(passages: DataFrame, longest: float = 1800.0, least: int = 3) -> DataFrame:

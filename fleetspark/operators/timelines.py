@@ -108,7 +108,7 @@ def fleet_at_times(rows: DataFrame, points: DataFrame, every: int = 300, bridge:
     shape = points.select("label", "seq", F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.coalesce(F.lead("x").over(of), "x").alias("_x1"), F.coalesce(F.lead("y").over(of), "y").alias("_y1"), F.max("seq").over(Window.partitionBy("label")).alias("_end"))
     ends = shape.select("label", F.col("_end").alias("_last")).distinct()
     seq = F.least(F.greatest(F.floor(F.col("along") / step), F.lit(0)), F.col("_last")).cast("int")
-    out = out.join(F.broadcast(ends), "label", "left").withColumn("seq", F.when(F.col("bridged"), seq)).join(shape.drop("_end"), ["label", "seq"], "left")
+    out = out.join(ends, "label", "left").withColumn("seq", F.when(F.col("bridged"), seq)).join(shape.drop("_end"), ["label", "seq"], "left")
     part = F.least(F.greatest(F.col("along") / step - F.col("seq"), F.lit(0.0)), F.lit(1.0))
     place = lambda c: F.when(F.col("bridged"), F.col(f"_{c}0") + part * (F.col(f"_{c}1") - F.col(f"_{c}0"))).otherwise(F.col(f"_{c}"))
     return out.select(*VEHICLE, "at_t", place("x").alias("x"), place("y").alias("y"), "along", "label", "bridged")
