@@ -212,9 +212,9 @@ def trunk_transfer(spark, sf_dir):
 # Steps depend on each other: no SQL, tested on small days.
 @query()
 def segment_unlabelled(spark, sf_dir):
-    """Pings as if they named no route; every third stop counts as one of the local route alone."""
+    """Pings as if they named no route. Route 1 is the rapid sibling of route 0; every third stop counts as one of the local route alone."""
     found = n.candidates(spark, sf_dir)
-    routes = t.view(spark, sf_dir, "route_dir").select("shape_id", F.col("route_id").alias("family"), F.lit(False).alias("rapid"), "route_id", "direction_id")
+    routes = t.view(spark, sf_dir, "route_dir").select("shape_id", F.regexp_replace("route_id", "1", "0").alias("family"), (F.col("route_id") == "R1").alias("rapid"), "route_id", "direction_id")
     stops = t.view(spark, sf_dir, "stop").where("stop_id % 3 = 0").join(routes, ["route_id", "direction_id"]).select("shape_id", "d")
     return segmentation.segment_unlabelled(t.view(spark, sf_dir, "ping"), found, routes, stops).select("event_id", "shape_id", "along", "trip")
 
@@ -255,7 +255,7 @@ PLACES = """SELECT cx, cy, heading, underground, hours, x, y, routes, crawl, dwe
 @query(PLACES, ("hours", "x", "y", "crawl", "dwell", "stopped"))
 def hotspot_places(spark, sf_dir):
     """All routes but the second run underground from 1,000 to 2,000 m."""
-    tunnels = t.view(spark, sf_dir, "route_dir").where("route_id <> 'R1'").select("route_id", "direction_id", F.lit(1000.0).alias("d0"), F.lit(2000.0).alias("d1"))
+    tunnels = n.tunnels(spark, sf_dir)
     seconds = t.state_pings(spark, sf_dir).groupBy("route_id", "direction_id", "bin").agg(*[F.sum(F.when(F.col("state") == k, F.col("w"))).alias(f"s{k}") for k in (1, 2, 3)])
     return scenarios.hotspot_places(t.delays(spark, sf_dir), seconds, points(spark, sf_dir), tunnels, least_hours=0.01)
 

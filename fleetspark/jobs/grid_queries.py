@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetspark.functions import scalars
+from fleetspark.jobs import network_queries as n_
 from fleetspark.jobs import tables as t
 from fleetspark.jobs.checks import STATE_SUMS
 from fleetspark.jobs.registry import query
@@ -55,6 +56,21 @@ def runtime_by_hour(spark, sf_dir):
     return grid.runtime_by_hour(t.extents(spark, sf_dir), t.SPARSE)
 
 
+RUNTIMES = """(SELECT route_id, direction_id, hour, quantile_cont(minutes, 0.5) AS median, quantile_cont(minutes, 0.9) AS p90, count(*) AS n
+  FROM (SELECT *, CAST(floor(t0 / 3600) AS INT) AS hour, (t1 - t0) / 60.0::DOUBLE / cov AS minutes FROM extent WHERE cov >= 0.3::DOUBLE) AS k
+  WHERE hour BETWEEN 5 AND 23 GROUP BY ALL HAVING count(*) >= 2)"""
+PLANNED = "concat('R', CAST(substr(route_id, 1, 1) AS INT) - 1)"
+
+
+@query(f"""SELECT coalesce(o.route_id, p.route_id) AS route_id, coalesce(o.direction_id, p.direction_id) AS direction_id, coalesce(o.hour, p.hour) AS hour, median, p90, n, planned FROM {RUNTIMES} AS o FULL JOIN (
+    SELECT {PLANNED} AS route_id, g.direction_id, CAST(floor(start / 3600) AS INT) AS hour, quantile_cont(runtime, 0.5) / 60.0::DOUBLE AS planned FROM gtfs_trip AS g JOIN {n_.MODAL} AS m USING (route_id, direction_id, shape_id) JOIN {n_.RUNTIME} AS r USING (trip_id) GROUP BY 1, 2, 3) AS p
+  ON p.route_id = o.route_id AND p.direction_id = o.direction_id AND p.hour = o.hour""", ("median", "p90", "planned"))
+def runtime_beside_schedule(spark, sf_dir):
+    """The schedule's five routes take the names R0 to R4."""
+    planned = n_.schedule(spark, sf_dir).withColumn("route_id", F.expr(PLANNED))
+    return grid.runtime_beside_schedule(grid.runtime_by_hour(t.extents(spark, sf_dir), t.SPARSE), planned)
+
+
 @query("SELECT * FROM dwell", ("d", "p", "stopped"))
 def stop_dwell(spark, sf_dir):
     return grid.stop_dwell(t.state_pings(spark, sf_dir), t.extents(spark, sf_dir), t.view(spark, sf_dir, "stop"))

@@ -63,10 +63,3 @@ def stop_removal_impact(spark, sf_dir):
 
     dwell = grid.stop_dwell(t.state_pings(spark, sf_dir), t.extents(spark, sf_dir), t.view(spark, sf_dir, "stop"))
     return scenarios.stop_removal_impact(dwell.withColumn("removed", F.expr(REMOVED)))
-
-
-@query("""SELECT mode, hour, sum(wait) AS wait, count(*) FILTER (WHERE moving) AS passes FROM (
-  SELECT z.mode, z.hour, CASE WHEN z.state IN (1, 3) THEN z.w ELSE 0.0::DOUBLE END AS wait, z.state = 0 AS moving FROM state_ping AS z) AS k GROUP BY 1, 2""", ("wait",))
-def waits_by_hour(spark, sf_dir):
-    rows = t.state_pings(spark, sf_dir)
-    return rows.groupBy("mode", "hour").agg(F.sum(F.when(F.col("state").isin(1, 3), F.col("w")).otherwise(0.0)).alias("wait"), F.count_if(F.col("state") == 0).alias("passes"))

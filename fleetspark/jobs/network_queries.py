@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetspark.functions import scalars
 from fleetspark.jobs import tables as t
 from fleetspark.jobs.registry import query
 from fleetspark.operators import matching, network, signals, timelines
@@ -52,12 +53,26 @@ def modal_pattern(spark, sf_dir):
     return network.modal_pattern(trips, t.view(spark, sf_dir, "stop_time"), network.modal_shape(trips))
 
 
+@query(f"""SELECT c.route_id, c.direction_id, s.stop_sequence, s.stop_id, CAST(s.s - min(s.s) OVER (PARTITION BY c.trip_id) AS INT) AS offset_s FROM (
+  SELECT *, row_number() OVER (PARTITION BY route_id, direction_id ORDER BY n DESC, trip_id) AS k FROM (SELECT route_id, direction_id, pattern, count(*) AS n, min(trip_id) AS trip_id FROM (
+    SELECT g.route_id, g.direction_id, g.trip_id, string_agg(CAST(stop_id AS STRING), ',' ORDER BY stop_sequence) AS pattern
+    FROM gtfs_trip AS g JOIN {MODAL} AS m ON g.route_id = m.route_id AND g.direction_id = m.direction_id AND g.shape_id = m.shape_id JOIN stop_time AS s ON s.trip_id = g.trip_id GROUP BY ALL) AS c GROUP BY ALL) AS c) AS c
+  JOIN (SELECT *, CAST(substr(departure, 1, 2) AS INT) * 3600 + CAST(substr(departure, 4, 2) AS INT) * 60 AS s FROM stop_time) AS s ON s.trip_id = c.trip_id WHERE c.k = 1""")
+def pattern_offsets(spark, sf_dir):
+    trips, times = t.view(spark, sf_dir, "gtfs_trip"), t.view(spark, sf_dir, "stop_time")
+    return network.pattern_offsets(network.modal_pattern(trips, times, network.modal_shape(trips)), times)
+
+
 @query(f"""SELECT route_id, direction_id, hour, n AS trips, runtime, headsign FROM (
   SELECT g.route_id, g.direction_id, CAST(floor(start / 3600) AS INT) AS hour, count(*) AS n, quantile_cont(runtime, 0.5) AS runtime FROM gtfs_trip AS g JOIN {MODAL} AS m USING (route_id, direction_id, shape_id) JOIN {RUNTIME} AS r USING (trip_id) GROUP BY ALL) AS a
   JOIN (SELECT route_id, direction_id, hour, headsign FROM (SELECT *, row_number() OVER (PARTITION BY route_id, direction_id, hour ORDER BY n DESC, headsign) AS k FROM (
     SELECT g.route_id, g.direction_id, CAST(floor(start / 3600) AS INT) AS hour, headsign, count(*) AS n FROM gtfs_trip AS g JOIN {MODAL} AS m USING (route_id, direction_id, shape_id) JOIN {RUNTIME} AS r USING (trip_id) GROUP BY ALL) AS c) AS c WHERE k = 1) AS b
   USING (route_id, direction_id, hour)""", ("runtime",))
 def sched_by_hour(spark, sf_dir):
+    return schedule(spark, sf_dir)
+
+
+def schedule(spark, sf_dir):
     trips = t.view(spark, sf_dir, "gtfs_trip")
     return network.sched_by_hour(trips, t.view(spark, sf_dir, "stop_time"), network.modal_shape(trips))
 
@@ -153,6 +168,13 @@ def match_rate(spark, sf_dir):
     return matching.match_rate(vehicle_rows(spark, sf_dir))
 
 
+@query(f"""SELECT 'mode' AS kind, CASE WHEN substr(route_key, 1, 2) = 'R3' THEN 'rail' ELSE 'bus' END AS name, count(DISTINCT trip) AS n FROM {VEHICLE_ROW} AS v WHERE trip > 0 GROUP BY 1, 2
+  UNION ALL SELECT 'class', CASE WHEN vehicle_id <= 4 THEN 'motor' WHEN vehicle_id <= 9 THEN 'trolley' WHEN vehicle_id <= 49 THEN 'articulated' WHEN vehicle_id <= 99 THEN 'rail' ELSE 'other' END, count(DISTINCT vehicle_id) FROM {VEHICLE_ROW} AS v WHERE trip > 0 GROUP BY 1, 2""")
+def match_totals(spark, sf_dir):
+    mode = F.when(F.substring("route_key", 1, 2) == "R3", "rail").otherwise("bus")
+    return matching.match_totals(vehicle_rows(spark, sf_dir).select("day", "vehicle_id", "trip", mode.alias("mode"), scalars.vehicle_class(F.col("vehicle_id")).alias("vclass")))
+
+
 @query("""SELECT s.signal_id FROM signal AS s WHERE s.signal_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM signal AS r WHERE r.signal_id % 3 = 0 AND r.signal_id % 2 = s.signal_id % 2 AND sqrt((s.x - r.x) * (s.x - r.x) + (s.y - r.y) * (s.y - r.y)) <= 60)""")
 def local_only_stops(spark, sf_dir):
     points = t.view(spark, sf_dir, "signal").select(F.lit("f").alias("family"), (F.col("signal_id") % 2).cast("int").alias("direction_id"), F.col("signal_id").alias("stop_id"), "x", "y")
@@ -161,12 +183,17 @@ def local_only_stops(spark, sf_dir):
 
 POSITION = """(SELECT route_id, direction_id, signal_id, b.d AS d FROM (
   SELECT p.route_id, p.direction_id, s.signal_id, min({'off': sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)), 'd': p.d}) AS b
-  FROM signal AS s JOIN shape_point AS p ON p.x BETWEEN s.x - 20 AND s.x + 20 AND sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)) < 20 GROUP BY 1, 2, 3) AS k WHERE b.d > 150 AND b.d < 4850)"""
+  FROM signal AS s JOIN shape_point AS p ON p.x BETWEEN s.x - 20 AND s.x + 20 AND sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)) < 20 GROUP BY 1, 2, 3) AS k WHERE b.d > 150 AND b.d < 4850 AND NOT (route_id <> 'R1' AND b.d BETWEEN 1000 AND 2000))"""
+
+
+def tunnels(spark, sf_dir):
+    """All routes but the second run underground from 1,000 to 2,000 m."""
+    return t.view(spark, sf_dir, "route_dir").where("route_id <> 'R1'").select("route_id", "direction_id", F.lit(1000.0).alias("d0"), F.lit(2000.0).alias("d1"))
 
 
 def positions(spark, sf_dir):
     routes = t.view(spark, sf_dir, "route_dir")
-    return signals.signal_positions(t.view(spark, sf_dir, "signal"), fixtures.shape_points(routes), routes)
+    return signals.signal_positions(t.view(spark, sf_dir, "signal"), fixtures.shape_points(routes), routes, tunnels=tunnels(spark, sf_dir))
 
 
 @query(f"SELECT * FROM {POSITION} AS p", ("d",))
@@ -195,6 +222,49 @@ def signal_topk(spark, sf_dir):
     return signals.signal_topk(waits(spark, sf_dir))
 
 
+TOTALS = f"""(SELECT * FROM (SELECT signal_id, sum(wait) / 3600.0::DOUBLE AS hours, sum(near_side) / 3600.0::DOUBLE AS near_hours, sum(passes)::DOUBLE AS passes, sum(wait) / sum(passes) AS wait,
+  sum(CASE WHEN mode = 'bus' THEN wait ELSE 0.0::DOUBLE END) / 3600.0::DOUBLE AS bus_hours, sum(CASE WHEN mode = 'rail' THEN wait ELSE 0.0::DOUBLE END) / 3600.0::DOUBLE AS rail_hours
+  FROM {WAIT} AS w JOIN route_dir AS r USING (route_id, direction_id) GROUP BY 1) AS k WHERE hours > 0)"""
+
+
+def totals(spark, sf_dir):
+    return signals.signal_totals(waits(spark, sf_dir), t.view(spark, sf_dir, "route_dir"))
+
+
+@query(f"SELECT * FROM {TOTALS} AS s", ("hours", "near_hours", "passes", "wait", "bus_hours", "rail_hours"))
+def signal_totals(spark, sf_dir):
+    return totals(spark, sf_dir)
+
+
+def _ranking(by: str, where: str) -> str:
+    return f"""SELECT signal_id, CAST(row_number() OVER (ORDER BY round({by}, 6) DESC, signal_id) AS INT) AS rank, hours, wait, passes, (SELECT sum(hours) FROM (SELECT * FROM {TOTALS} AS s WHERE {where} ORDER BY round({by}, 6) DESC, signal_id LIMIT 20) AS k) / (SELECT sum(hours) FROM {TOTALS} AS s WHERE {where}) AS share
+      FROM {TOTALS} AS s WHERE {where}"""
+
+
+@query(_ranking("hours", "hours > 0.005::DOUBLE"), ("hours", "wait", "passes", "share"))
+def signal_ranking(spark, sf_dir):
+    return signals.signal_ranking(totals(spark, sf_dir))
+
+
+# The derived trips are few: three passes are enough.
+@query(_ranking("wait", "hours > 0.005::DOUBLE AND passes >= 3"), ("hours", "wait", "passes", "share"))
+def signal_ranking_by_wait(spark, sf_dir):
+    return signals.signal_ranking(totals(spark, sf_dir), by="wait", least_passes=3.0)
+
+
+@query(f"""SELECT z.signal_id, hour, sum(w) / 3600.0::DOUBLE AS hours FROM (
+    SELECT z.event_id, z.route_id, z.direction_id, least(greatest(z.hour, 0), 23) AS hour, z.along, z.w, arg_min(p.signal_id, {{'d': p.d, 's': p.signal_id}}) AS signal_id, min(p.d) AS d FROM state_ping AS z JOIN {POSITION} AS p USING (route_id, direction_id)
+    WHERE p.d >= z.along - 12 AND state IN (1, 3) GROUP BY ALL) AS z SEMI JOIN {WAIT} AS v ON v.route_id = z.route_id AND v.direction_id = z.direction_id AND v.signal_id = z.signal_id WHERE d - along <= 75 GROUP BY 1, 2""", ("hours",))
+def waits_by_hour(spark, sf_dir):
+    found = positions(spark, sf_dir)
+    return signals.signal_hours(t.state_pings(spark, sf_dir), found, waits(spark, sf_dir))
+
+
+@query(f"SELECT route_id, direction_id, signal_id, " + " + ".join(f"(wait / passes >= {e})::INT" for e in scalars.WAIT_EDGES) + f" AS wait_class FROM {WAIT} AS w")
+def wait_class(spark, sf_dir):
+    return waits(spark, sf_dir).select("route_id", "direction_id", "signal_id", scalars.class_by_edges(F.col("wait") / F.col("passes"), scalars.WAIT_EDGES).alias("wait_class"))
+
+
 CODED = """(SELECT *, CAST(CASE WHEN trip > 0 THEN state WHEN average_speed < 3 AND gap < 2700 THEN 4 WHEN average_speed < 3 THEN 6 ELSE 5 END AS INT) AS code FROM (
   SELECT *, min(CASE WHEN trip > 0 THEN t END) OVER (PARTITION BY day, vehicle_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
     - max(CASE WHEN trip > 0 THEN t END) OVER (PARTITION BY day, vehicle_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gap FROM (
@@ -248,16 +318,47 @@ def vehicle_day_summary(spark, sf_dir):
     return summaries(spark, sf_dir)
 
 
-@query(f"""SELECT day, vehicle_id, stuck, service FROM (SELECT day, vehicle_id, CASE WHEN h0 + h1 + h2 + h3 > 0 THEN (h1 + h3) / (h0 + h1 + h2 + h3) ELSE 0 END::DOUBLE AS stuck, h0 + h1 + h2 + h3 AS service FROM {SUMMARY} AS s) AS k
+@query(f"""SELECT day, vehicle_id, stuck, service FROM (SELECT day, vehicle_id, CASE WHEN h0 + h1 + h2 + h3 > 0 THEN (h1 + h2 + h3) / (h0 + h1 + h2 + h3) ELSE 0 END::DOUBLE AS stuck, h0 + h1 + h2 + h3 AS service FROM {SUMMARY} AS s) AS k
   ORDER BY round(stuck, 9) DESC, vehicle_id LIMIT 250""", ("stuck", "service"))
 def fleet_day_totals(spark, sf_dir):
     return timelines.fleet_day_totals(summaries(spark, sf_dir))
 
 
-# Greedy thinning has no plain SQL form: rows only.
-@query()
+@query(f"""SELECT day, vehicle_id, service, layover FROM (SELECT day, vehicle_id, h0 + h1 + h2 + h3 AS service, h4 AS layover FROM {SUMMARY} AS s) AS k ORDER BY round(service, 6) DESC, day, vehicle_id LIMIT 250""", ("service", "layover"))
+def fleet_by_service(spark, sf_dir):
+    return timelines.fleet_ranking(summaries(spark, sf_dir), "service")
+
+
+@query(f"""SELECT day, vehicle_id, service, layover FROM (SELECT day, vehicle_id, h0 + h1 + h2 + h3 AS service, h4 AS layover FROM {SUMMARY} AS s) AS k ORDER BY round(layover, 6) DESC, day, vehicle_id LIMIT 250""", ("service", "layover"))
+def fleet_by_layover(spark, sf_dir):
+    return timelines.fleet_ranking(summaries(spark, sf_dir), "layover")
+
+
+@query(f"""SELECT code, hours, hours / sum(hours) OVER () AS share FROM (SELECT CAST(unnest(range(6)) AS INT) AS code, unnest([sum(h0), sum(h1), sum(h2), sum(h3), sum(h4), sum(h5)]) AS hours FROM {SUMMARY} AS s) AS k""", ("hours", "share"))
+def fleet_code_hours(spark, sf_dir):
+    return timelines.fleet_code_hours(summaries(spark, sf_dir))
+
+
+@query(f"""SELECT event_id, vehicle_id, t FROM (WITH RECURSIVE fresh AS MATERIALIZED (
+    SELECT event_id, vehicle_id, t FROM (SELECT *, coalesce(lag(x) OVER w = x AND lag(y) OVER w = y AND average_speed > 2, false) AS stale
+      FROM (SELECT c.*, p.x, p.y FROM {CODED} AS c JOIN ping AS p USING (event_id) WHERE c.code <> 6) AS k WINDOW w AS (PARTITION BY day, vehicle_id ORDER BY t)) AS k WHERE NOT stale),
+  after AS MATERIALIZED (SELECT a.vehicle_id, a.t, min(b.t) AS t1 FROM fresh AS a JOIN fresh AS b ON a.vehicle_id = b.vehicle_id AND b.t >= a.t + 20 GROUP BY 1, 2),
+  kept AS (SELECT vehicle_id, min(t) AS t FROM fresh GROUP BY 1 UNION ALL SELECT k.vehicle_id, a.t1 AS t FROM kept AS k JOIN after AS a ON a.vehicle_id = k.vehicle_id AND a.t = k.t)
+  SELECT f.* FROM fresh AS f JOIN kept AS k USING (vehicle_id, t)) AS k""")
 def thin_positions(spark, sf_dir):
-    return timelines.thin_positions(coded(spark, sf_dir)).select("event_id", "vehicle_id", "t")
+    places = t.view(spark, sf_dir, "ping").select("event_id", "x", "y")
+    return timelines.thin_positions(coded(spark, sf_dir).join(places, "event_id")).select("event_id", "vehicle_id", "t")
+
+
+@query(f"""SELECT p.event_id, hour, CAST(round_even((p.x / (111320.0::DOUBLE * cos(radians(37.76::DOUBLE))) - 122.44::DOUBLE) * 100000, 0) AS BIGINT) AS lon5, CAST(round_even((p.y / 110540.0::DOUBLE + 37.76::DOUBLE) * 100000, 0) AS BIGINT) AS lat5, coalesce(l.route_no, 0)::INT AS label_no
+  FROM (SELECT c.*, unnest(range(CAST(floor((c.t - 1200) / 3600) AS INT), CAST(floor((c.t + 1200) / 3600) AS INT) + 1))::INT AS hour FROM {CODED} AS c WHERE c.code <> 6) AS c JOIN ping AS p USING (event_id)
+  LEFT JOIN (SELECT label, row_number() OVER (ORDER BY label) AS route_no FROM (SELECT DISTINCT label FROM {CODED} AS c WHERE label <> '' AND code <> 6) AS k) AS l ON l.label = c.label WHERE hour BETWEEN 0 AND 47""")
+def tile_rows(spark, sf_dir):
+    """Rows of the tile documents, taken out of them again."""
+    places = t.view(spark, sf_dir, "ping").select("event_id", "x", "y")
+    rows = coded(spark, sf_dir).where("code <> 6").join(places, "event_id")
+    documents = timelines.tile_documents(timelines.hourly_tiles(rows), ("event_id",))
+    return documents.select("hour", F.explode("rows").alias("r")).select("r.event_id", "hour", "r.lon5", "r.lat5", "r.label_no")
 
 
 @query("SELECT * FROM (SELECT event_id, unnest(range(CAST(floor((t - 1200) / 3600) AS INT), CAST(floor((t + 1200) / 3600) AS INT) + 1))::INT AS hour FROM ping) AS k WHERE hour BETWEEN 0 AND 47")

@@ -94,6 +94,12 @@ def runtime_by_hour(extents: DataFrame, s: GridSettings = DEFAULT) -> DataFrame:
     return rows.where(F.col("n") >= s.least_runs).select("route_id", "direction_id", "hour", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"), "n")
 
 
+def runtime_beside_schedule(observed: DataFrame, scheduled: DataFrame) -> DataFrame:
+    """``observed`` (see ``runtime_by_hour``) and ``scheduled`` (route_id, direction_id, hour, runtime in seconds) side by side: all hours that either has."""
+    plan = scheduled.select("route_id", "direction_id", "hour", (F.col("runtime") / 60.0).alias("planned"))
+    return observed.join(plan, ["route_id", "direction_id", "hour"], "full").select("route_id", "direction_id", "hour", "median", "p90", "n", "planned")
+
+
 def stop_dwell(states: DataFrame, extents: DataFrame, stops: DataFrame, ahead: float = 40.0, behind: float = 30.0, slack: float = 5.0) -> DataFrame:
     """Per stop: chance that a passing trip halts in its zone, and its seconds stopped; null at the ends.
 

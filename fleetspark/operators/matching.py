@@ -134,6 +134,14 @@ def match_rate(vehicle_rows: DataFrame) -> DataFrame:
     return vehicle_rows.groupBy("route_key").agg(F.count("*").alias("pings"), F.count_if(F.col("trip") > 0).alias("matched"), F.countDistinct(F.when(F.col("trip") > 0, F.col("trip"))).alias("trips"), F.countDistinct("vehicle_id").alias("vehicles"))
 
 
+def match_totals(vehicle_rows: DataFrame) -> DataFrame:
+    """``kind, name, n``: trips by mode, and vehicles with a trip by class. ``vehicle_rows``: day, vehicle_id, trip, mode, vclass."""
+    rows = vehicle_rows.where("trip > 0")
+    modes = rows.groupBy(F.lit("mode").alias("kind"), F.col("mode").alias("name")).agg(F.countDistinct("day", "trip").alias("n"))
+    classes = rows.groupBy(F.lit("class").alias("kind"), F.col("vclass").alias("name")).agg(F.countDistinct("vehicle_id").alias("n"))
+    return modes.unionByName(classes)
+
+
 def local_only_stops(stops: DataFrame, rapid: DataFrame, radius: float = 60.0) -> DataFrame:
     """Stops of local routes farther than ``radius`` from every stop of the rapid route of their family and direction.
 

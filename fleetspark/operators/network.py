@@ -45,6 +45,13 @@ def modal_pattern(trips: DataFrame, stop_times: DataFrame, shapes: DataFrame) ->
     return counted.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def pattern_offsets(patterns: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """``route_id, direction_id, stop_sequence, stop_id, offset_s``: scheduled seconds from the first departure at each stop of the modal patterns, by their smallest trip."""
+    rows = patterns.select(*KEY, "trip_id").join(stop_times, "trip_id").withColumn("_s", hms_seconds(F.col("departure")))
+    first = F.min("_s").over(Window.partitionBy("trip_id"))
+    return rows.select(*KEY, "stop_sequence", "stop_id", (F.col("_s") - first).cast("int").alias("offset_s"))
+
+
 def sched_by_hour(trips: DataFrame, stop_times: DataFrame, shapes: DataFrame) -> DataFrame:
     """By departure hour: trips on the modal shape, median scheduled seconds, most common headsign."""
     own = trips.join(shapes.select(*KEY, "shape_id"), [*KEY, "shape_id"]).join(trip_runtimes(stop_times), "trip_id")

@@ -36,7 +36,7 @@ class Place:
     """Where a ping may be on a shape; how many stops that only the local route has are before and up to it, and if one is near."""
 
     along: float
-    family: str
+    family: object
     rapid: bool
     before: int = 0
     upto: int = 0
@@ -149,7 +149,7 @@ def segment_unlabelled(pings: DataFrame, candidates: DataFrame, shapes: DataFram
     """``day, vehicle_id, event_id, t, shape_id, along, trip``: pings in segments; ``trip`` is the time a segment begins.
 
     ``candidates``: event_id, shape_id, along. ``shapes``: shape_id, family,
-    rapid. ``local_stops``: shape_id, d, of stops that only the local route has.
+    direction_id, rapid; siblings are of one family and direction. ``local_stops``: shape_id, d, of stops that only the local route has.
     Pings and candidates meet in Spark; what is left to Python is one vehicle's
     day, some thousand pings, whose steps depend on each other.
     """
@@ -158,9 +158,9 @@ def segment_unlabelled(pings: DataFrame, candidates: DataFrame, shapes: DataFram
     stops = local_stops.groupBy("shape_id").agg(F.collect_list("d").alias("_ds"))
     ds, along = F.coalesce("_ds", F.array().cast("array<double>")), F.col("along")
     count = lambda test: F.size(F.filter(ds, test))
-    found = candidates.join(shapes.select("shape_id", "family", "rapid"), "shape_id").join(stops, "shape_id", "left")
+    found = candidates.join(shapes.select("shape_id", "family", "direction_id", "rapid"), "shape_id").join(stops, "shape_id", "left")
     place = F.struct(
-        F.col("shape_id").cast("string").alias("shape"), along, "family", "rapid",
+        F.col("shape_id").cast("string").alias("shape"), along, F.concat_ws(" ", "family", F.col("direction_id").cast("string")).alias("family"), "rapid",
         count(lambda d: d < along).alias("before"), count(lambda d: d <= along).alias("upto"), F.exists(ds, lambda d: F.abs(d - along) <= s.halt_reach).alias("near"),
     )
     listed = found.groupBy("event_id").agg(F.collect_list(place).alias("places"))

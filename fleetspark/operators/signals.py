@@ -25,8 +25,8 @@ def signal_positions(signals: DataFrame, shapes: DataFrame, route_dir: DataFrame
     return rows.join(below, [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col("d").between(F.col("d0"), F.col("d1"))], "left_anti")
 
 
-def signal_waits(states: DataFrame, extents: DataFrame, positions: DataFrame, up: float = 75.0, down: float = 12.0, slack: float = 5.0) -> DataFrame:
-    """Per approach: seconds waited, seconds at a stop just before it, and trips that passed.
+def at_signals(states: DataFrame, positions: DataFrame, up: float = 75.0, down: float = 12.0) -> DataFrame:
+    """``states`` with ``signal_id``: pings in the queue of a signal.
 
     A ping's signal is the first that is at most ``down`` behind it, if it is at
     most ``up`` ahead. Signals of a route are one sorted array, looked at in order.
@@ -34,8 +34,16 @@ def signal_waits(states: DataFrame, extents: DataFrame, positions: DataFrame, up
     by_route = positions.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("d", "signal_id"))).alias("_s"))
     rows = states.join(by_route, list(KEY)).withColumn("_f", F.filter("_s", lambda s: s["d"] >= F.col("along") - down))
     rows = rows.withColumn("_f", F.get("_f", F.lit(0))).where(F.col("_f.d") - F.col("along") <= up)
-    waits = rows.groupBy(*KEY, F.col("_f.signal_id").alias("signal_id")).agg(
-        F.sum(F.when(F.col("state").isin(1, 3), F.col("w")).otherwise(0.0)).alias("wait"), F.sum(F.when(F.col("state") == 2, F.col("w")).otherwise(0.0)).alias("near_side"),
+    return rows.withColumn("signal_id", F.col("_f.signal_id")).drop("_s", "_f")
+
+
+WAITS = "state IN (1, 3)"
+
+
+def signal_waits(states: DataFrame, extents: DataFrame, positions: DataFrame, up: float = 75.0, down: float = 12.0, slack: float = 5.0) -> DataFrame:
+    """Per approach: seconds waited, seconds at a stop just before it, and trips that passed."""
+    waits = at_signals(states, positions, up, down).groupBy(*KEY, "signal_id").agg(
+        F.sum(F.when(F.expr(WAITS), F.col("w")).otherwise(0.0)).alias("wait"), F.sum(F.when(F.col("state") == 2, F.col("w")).otherwise(0.0)).alias("near_side"),
     )
     trips = extents.select(*KEY, "a0", "a1")
     passing = positions.join(trips, list(KEY)).where((F.col("a0") <= F.col("d") - up + slack) & (F.col("a1") >= F.col("d") + down - slack))
@@ -44,6 +52,36 @@ def signal_waits(states: DataFrame, extents: DataFrame, positions: DataFrame, up
     return out.select(*KEY, "signal_id", "d", "passes", F.coalesce("wait", F.lit(0.0)).alias("wait"), F.coalesce("near_side", F.lit(0.0)).alias("near_side"))
 
 
+def signal_hours(states: DataFrame, positions: DataFrame, waits: DataFrame, days: int = 1) -> DataFrame:
+    """``signal_id, hour, hours``: hours a day that vehicles wait at each signal in each clock hour (0 to 23), at approaches that trips pass."""
+    rows = at_signals(states, positions).where(WAITS).join(waits.select(*KEY, "signal_id"), [*KEY, "signal_id"], "left_semi")
+    hour = F.least(F.greatest("hour", F.lit(0)), F.lit(23)).alias("hour")
+    return rows.groupBy("signal_id", hour).agg((F.sum("w") / 3600.0 / days).alias("hours"))
+
+
+def signal_totals(waits: DataFrame, route_dir: DataFrame, days: int = 1) -> DataFrame:
+    """Per signal that holds vehicles: hours a day waited, in all and of buses and rail, hours at stops before it, passes a day, seconds a pass."""
+    rows = waits.join(route_dir.select(*KEY, "mode"), list(KEY))
+    own = lambda c: F.sum(c) / 3600.0 / days
+    of = lambda mode: own(F.when(F.col("mode") == mode, F.col("wait")).otherwise(0.0)).alias(f"{mode}_hours")
+    found = rows.groupBy("signal_id").agg(own(F.col("wait")).alias("hours"), own(F.col("near_side")).alias("near_hours"), (F.sum("passes") / F.lit(float(days))).alias("passes"), (F.sum("wait") / F.sum("passes")).alias("wait"), of("bus"), of("rail"))
+    return found.where("hours > 0")
+
+
+def signal_ranking(totals: DataFrame, by: str = "hours", least_passes: float = 40.0, least_hours: float = 0.005, top: int = 20) -> DataFrame:
+    """Signals ranked by ``hours``, or by the mean ``wait`` of those with enough passes; ``share``: what the ``top`` have of all hours.
+
+    One row per signal with a wait, some thousand in a city, so one task ranks them.
+    """
+    rows = totals.where(F.col("hours") > least_hours)
+    rows = rows.where(F.col("passes") >= least_passes) if by == "wait" else rows
+    order = Window.orderBy(F.desc(F.round(by, 6)), "signal_id")
+    ranked = rows.withColumn("rank", F.row_number().over(order))
+    all_ = Window.partitionBy(F.lit(0))
+    share = F.sum(F.when(F.col("rank") <= top, F.col("hours"))).over(all_) / F.sum("hours").over(all_)
+    return ranked.select("signal_id", "rank", "hours", "wait", "passes", share.alias("share"))
+
+
 def signal_topk(waits: DataFrame, approaches: int = 8) -> DataFrame:
     """The approaches of each signal with the longest waits, ranked."""
     w = Window.partitionBy("signal_id").orderBy(F.desc(F.round("wait", 6)), *KEY)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspark.functions import geo
+from fleetspark.operators.states import stale_repeats
+
 VEHICLE = ("day", "vehicle_id")
 
 
@@ -51,21 +54,64 @@ def vehicle_day_summary(segments: DataFrame, in_service: DataFrame) -> DataFrame
 
 
 def fleet_day_totals(summary: DataFrame, top: int = 250) -> DataFrame:
-    """Vehicles ranked by their share of crawling and stopped time in service: the top ones."""
+    """Vehicles ranked by their share of time in service that isn't moving: the top ones."""
     service = F.col("h0") + F.col("h1") + F.col("h2") + F.col("h3")
-    rows = summary.withColumn("stuck", F.when(service > 0, (F.col("h1") + F.col("h3")) / service).otherwise(0.0))
+    rows = summary.withColumn("stuck", F.when(service > 0, (F.col("h1") + F.col("h2") + F.col("h3")) / service).otherwise(0.0))
     return rows.orderBy(F.desc(F.round("stuck", 9)), "vehicle_id").limit(top).select(*VEHICLE, "stuck", service.alias("service"))
 
 
+def fleet_ranking(summary: DataFrame, by: str, top: int = 250) -> DataFrame:
+    """Vehicles ranked by hours of ``service`` or ``layover``: the top ones."""
+    rows = summary.select(*VEHICLE, (F.col("h0") + F.col("h1") + F.col("h2") + F.col("h3")).alias("service"), F.col("h4").alias("layover"))
+    return rows.orderBy(F.desc(F.round(by, 6)), *VEHICLE).limit(top)
+
+
+def fleet_code_hours(summary: DataFrame, codes: int = 6) -> DataFrame:
+    """``code, hours, share``: vehicle-hours of the whole fleet in each of the first ``codes`` activities (not parked, not unknown)."""
+    sums = summary.agg(*[F.sum(f"h{k}").alias(f"h{k}") for k in range(codes)])
+    total = sum((F.col(f"h{k}") for k in range(codes)), F.lit(0.0))
+    each = F.array(*[F.struct(F.lit(k).alias("code"), F.col(f"h{k}").alias("hours"), (F.col(f"h{k}") / total).alias("share")) for k in range(codes)])
+    return sums.select(F.explode(each).alias("r")).select("r.*")
+
+
 def thin_positions(coded: DataFrame, least: int = 20) -> DataFrame:
-    """Pings at least ``least`` seconds after the last one kept of their vehicle; parked ones (6) go first.
+    """Pings at least ``least`` seconds after the last one kept of their vehicle.
+
+    Parked ones (6) go first, then stale repeats (see ``states.stale_repeats``;
+    columns x, y, average_speed). What is kept depends on what was kept before:
+    a vehicle's day, some thousand times, is one group of a pandas function.
+    """
+    import pandas as pd
+
+    rows = stale_repeats(coded.where("code <> 6"))
+    times = rows.select(*VEHICLE, "t").distinct()
+
+    def thin(day: pd.DataFrame) -> pd.DataFrame:
+        day = day.sort_values("t")
+        keep, last = [], None
+        for t in day.t.tolist():
+            keep.append(last is None or t - last >= least)
+            last = t if keep[-1] else last
+        return day[keep]
+
+    kept = times.groupBy(*VEHICLE).applyInPandas(thin, times.schema)
+    return rows.join(kept, [*VEHICLE, "t"], "left_semi")
+
+
+def tile_documents(tiles: DataFrame, more: tuple[str, ...] = (), origin: tuple[float, float] = geo.ORIGIN) -> DataFrame:
+    """``hour, vehicle_id, day, rows``: what is in each tile, by vehicle, in time order, in small numbers.
 
-    A vehicle's day is one list of some thousand seconds, walked through in order.
+    Places are hundred thousandths of a degree, a label is its number among the
+    sorted labels of all tiles (0 for none). ``tiles``: hour, day, vehicle_id, t,
+    x, y, code, label and ``more``. There are some hundred labels, one for each
+    route and direction, so one task numbers them.
     """
-    lists = coded.where("code <> 6").groupBy(*VEHICLE).agg(F.array_sort(F.collect_list("t")).alias("_ts"))
-    step = lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= least), F.concat(kept, F.array(t))).otherwise(kept)
-    kept = lists.select(*VEHICLE, F.explode(F.aggregate("_ts", F.array().cast("array<int>"), step)).alias("t"))
-    return coded.where("code <> 6").join(kept, [*VEHICLE, "t"], "left_semi")
+    lon, lat = geo.to_lonlat(F.col("x"), F.col("y"), origin)
+    labels = tiles.where("label <> ''").select("label").distinct()
+    numbered = labels.withColumn("label_no", F.row_number().over(Window.orderBy("label")))
+    rows = tiles.join(numbered, "label", "left").withColumns({"label_no": F.coalesce("label_no", F.lit(0)), "lon5": F.bround(lon * 100_000, 0).cast("long"), "lat5": F.bround(lat * 100_000, 0).cast("long")})
+    listed = F.array_sort(F.collect_list(F.struct("t", "lat5", "lon5", "code", "label_no", *more)))
+    return rows.groupBy("hour", *VEHICLE).agg(listed.alias("rows"))
 
 
 def hourly_tiles(positions: DataFrame, pad: int = 1200) -> DataFrame:

@@ -57,9 +57,17 @@ def test_timeline_gap(spark):
 
 
 def test_thinning_depends_on_what_is_kept(spark):
-    rows = [(1, 1, t, 0) for t in (0, 10, 19, 20, 35, 41)] + [(1, 1, 100, 6)]
-    coded = spark.createDataFrame(rows, "day int, vehicle_id long, t int, code int")
-    assert sorted(r.t for r in timelines.thin_positions(coded).collect()) == [0, 20, 41]
+    rows = [(1, 1, t, 0, float(t), 5) for t in (0, 10, 19, 20, 35, 41)] + [(1, 1, 100, 6, 0.0, 0), (1, 1, 70, 0, 41.0, 9), (1, 1, 75, 0, 42.0, 9)]
+    coded = spark.createDataFrame(rows, "day int, vehicle_id long, t int, code int, x double, average_speed int").withColumn("y", F.lit(0.0))
+    assert sorted(r.t for r in timelines.thin_positions(coded).collect()) == [0, 20, 41, 75]  # 70 repeats the place of 41
+
+
+def test_segment_minutes_with_missing_cells_and_hours(spark):
+    cells = spark.createDataFrame([("A", 0, 0, 8, 10.0), ("A", 0, 1, 8, None), ("A", 0, 0, 10, 5.0), ("A", 0, 1, 10, 5.0), ("A", 0, 2, 10, 0.0)], "route_id string, direction_id int, bin int, hour int, speed double")
+    parts = spark.createDataFrame([("k", "A", 0, 50.0, 250.0)], "key string, route_id string, direction_id int, d0 double, d1 double")
+    out = {r.hour: round(r.minutes * 60, 4) for r in scenarios.segment_minutes(parts, cells, "key", walking=2.0).collect()}
+    # Hour 8: 50 m at 10, then a cell without speed and none at all; 9 takes hour 10; 7 takes 8; 11 takes 10; a still cell walks.
+    assert out == {7: 80.0, 8: 80.0, 9: 55.0, 10: 55.0, 11: 55.0}
 
 
 def test_projected_stops_keep_their_order(spark):
