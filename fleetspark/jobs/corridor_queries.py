@@ -121,17 +121,17 @@ def corridor_routes(spark, sf_dir):
     return found.withColumn("stations", F.concat_ws(",", "stations"))
 
 
-# Routes 0 to 2 are laid on one street; 1 and 2 count as the rapid routes of 0.
+# Routes 0 to 2 are laid on one street; 1 and 2 count as the rapid routes of 0, with every other stop.
 @query("""SELECT rapid, 'R0' AS local, direction_id, l.s AS local_s, r.s AS rapid_s, l.n AS local_stops, r.n AS rapid_stops, (l.s - r.s) / (l.n - r.n) AS per_stop FROM (SELECT route_id AS rapid, direction_id, s, n FROM BOTH WHERE route_id IN ('R1', 'R2')) AS r
   JOIN (SELECT * FROM BOTH WHERE route_id = 'R0') AS l USING (direction_id) WHERE l.n > r.n""".replace("BOTH", """(SELECT r.route_id, r.direction_id, coalesce(s, 0.0::DOUBLE) AS s, coalesce(n, 0) AS n FROM route_dir AS r
     LEFT JOIN (SELECT route_id, direction_id, sum(m) AS s FROM (SELECT route_id, direction_id, bin, avg(x) AS m FROM (SELECT route_id, direction_id, bin, day, trip, sum(time) AS x FROM bin_part WHERE hour BETWEEN 7 AND 19 AND bin < 50 GROUP BY ALL) AS k GROUP BY ALL) AS k GROUP BY ALL) AS b USING (route_id, direction_id)
-    LEFT JOIN (SELECT route_id, direction_id, count(*) AS n FROM stop WHERE d <= 4990 GROUP BY ALL) AS c USING (route_id, direction_id))"""), ("local_s", "rapid_s", "per_stop"))
+    LEFT JOIN (SELECT route_id, direction_id, count(*) AS n FROM stop WHERE d <= 4990 AND (route_id = 'R0' OR d % 180 = 0) GROUP BY ALL) AS c USING (route_id, direction_id))"""), ("local_s", "rapid_s", "per_stop"))
 def rapid_vs_local(spark, sf_dir):
     from fleetspark.operators import states
 
     street = points(spark, sf_dir).withColumn("y", F.col("direction_id") * 1000.0).where("route_id <> 'R3'")
     pairs = t.view(spark, sf_dir, "route_dir").where("route_id in ('R1', 'R2')").select(F.col("route_id").alias("rapid"), F.lit("R0").alias("local"), "direction_id")
-    return corridors.rapid_vs_local(states.interval_bins(t.moving_pings(spark, sf_dir)), street, t.view(spark, sf_dir, "stop"), pairs)
+    return corridors.rapid_vs_local(states.interval_bins(t.moving_pings(spark, sf_dir)), street, t.view(spark, sf_dir, "stop").where("route_id = 'R0' OR d % 180 = 0"), pairs)
 
 
 ROW = f"(SELECT day, vehicle_id, p.t, p.x, p.y, CASE WHEN v.trip > 0 THEN v.route_key END AS label, v.route_along AS along FROM ping AS p JOIN {n.VEHICLE_ROW} AS v USING (event_id, day, vehicle_id))"

@@ -7,20 +7,115 @@ from pyspark.sql import functions as F
 from fleetspark.jobs import tables as t
 from fleetspark.jobs.registry import query
 from fleetspark.operators import scenarios
-from fleetspark.sources import fixtures
+from fleetspark.sources import files, fixtures
 from fleetspark.streaming import live
 
 
 @query("""SELECT vehicle_id, position_at, seq FROM (SELECT user_id AS vehicle_id, CAST(floor(value / 100) AS BIGINT) AS position_at, event_id AS seq,
   lag(CAST(floor(value / 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM events) AS k WHERE last IS NULL OR last <> position_at""")
 def live_changed_only(spark, sf_dir):
-    rows = fixtures.table(spark, sf_dir, "events").selectExpr("user_id AS vehicle_id", "cast(floor(value / 100) AS bigint) AS at", "event_id AS seq")
-    return live.changed_only_batch(rows).withColumnRenamed("at", "position_at")
+    rows = events(spark, sf_dir).selectExpr("user_id AS vehicle_id", "cast(floor(value / 100) AS bigint) AS at", "event_id AS seq")
+    return live.finished(live.live_changed_only(rows), files.landing(spark)).withColumnRenamed("at", "position_at")
 
 
-@query("SELECT DISTINCT user_id AS vehicle_id, CAST(floor(value) AS BIGINT) AS position_at FROM events")
+def events(spark, sf_dir):
+    """The events table as a stream of files; a pattern, since the table may be one file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+@query("SELECT DISTINCT user_id AS vehicle_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS at_s FROM events")
 def live_dedupe(spark, sf_dir):
-    return fixtures.table(spark, sf_dir, "events").selectExpr("user_id AS vehicle_id", "cast(floor(value) AS bigint) AS position_at").dropDuplicates(["vehicle_id", "position_at"])
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("vehicle_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"))
+    return live.finished(live.live_dedupe(rows), files.landing(spark)).select("vehicle_id", F.unix_timestamp("ts").alias("at_s"))
+
+
+ENTITY = "CASE WHEN event_id % 7 = 0 THEN 'x' ELSE cast(user_id AS string) END AS id"
+
+
+@query("""SELECT user_id AS vehicle_id, CAST(round_even((event_id % 4000) / 10.0::DOUBLE, 0) AS INT) % 360 AS heading, CAST(round_even(CAST(floor(value) AS DOUBLE) * 2.23694::DOUBLE, 0) AS INT) AS average_speed,
+  coalesce(CASE WHEN event_id % 3 > 0 THEN 1 END, -1)::INT AS direction_id, count(*) AS n FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 GROUP BY ALL""")
+def live_normalise(spark, sf_dir):
+    rows = events(spark, sf_dir).selectExpr(
+        ENTITY, "CASE WHEN event_id % 11 > 0 THEN -122.4D END AS lon", "37.7D AS lat", "(event_id % 4000) / 10D AS bearing", "cast(floor(value) AS double) AS speed", "unix_timestamp(cast(ts AS timestamp)) AS ts",
+        "0L AS header_ts", "'N' AS route_id", "CASE WHEN event_id % 3 > 0 THEN 1 END AS direction_id", "'t' AS trip_id",
+    )
+    return live.finished(live.live_normalise(rows), files.landing(spark)).groupBy("vehicle_id", "heading", "average_speed", "direction_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS local_date, count(*) AS n, count(DISTINCT user_id) AS vehicles FROM events GROUP BY 1")
+def live_to_day_files(spark, sf_dir):
+    path = files.landing(spark)
+    live.write_by_day(events(spark, sf_dir).select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), f"{path}/days", f"{path}/state").awaitTermination()
+    found = spark.read.schema("event_id long, user_id long, day string").parquet(f"{path}/days")
+    return found.groupBy(F.col("day").alias("local_date")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("vehicles"))
+
+
+@query("SELECT count(*)::BIGINT AS n, (count(*) FILTER (WHERE event_id % 7 = 0))::BIGINT AS errors, CAST(epoch(max(ts)) AS BIGINT) AS last_s FROM events")
+def live_status(spark, sf_dir):
+    path = files.landing(spark)
+    rows = events(spark, sf_dir).selectExpr("CASE WHEN event_id % 7 > 0 THEN user_id END AS vehicle_id", "cast(ts AS timestamp) AS ts")
+    live.live_status(rows, f"{path}/polls", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/polls").agg(F.sum("rows").alias("n"), F.sum("errors").alias("errors"), F.unix_timestamp(F.max("last")).alias("last_s"))
+
+
+@query("SELECT vehicle_id, route_id, direction_id, count(*) AS n, sum(average_speed)::BIGINT AS speeds, sum(heading::INT)::BIGINT AS headings FROM ping GROUP BY 1, 2, 3")
+def ping_csv_read(spark, sf_dir):
+    path = files.landing(spark)
+    rows = t.view(spark, sf_dir, "ping").selectExpr("timestamp_ntz'2026-06-10 00:00:00' + make_dt_interval(0, 0, 0, t) AS vehicle_position_date_time", "vehicle_id", "x AS loc_x", "y AS loc_y", "cast(heading AS int) AS heading", "average_speed", "route_id", "direction_id", "gtfs_trip_id AS trip_id")
+    rows.write.option("header", True).csv(path)
+    return files.read_pings(spark, path).groupBy("vehicle_id", "route_id", "direction_id").agg(F.count("*").alias("n"), F.sum("average_speed").alias("speeds"), F.sum("heading").alias("headings"))
+
+
+@query("SELECT g.trip_id::VARCHAR AS trip_id, g.route_id, length(g.route_id) % 6 AS kind, count(s.trip_id) AS stops FROM gtfs_trip AS g LEFT JOIN stop_time AS s ON s.trip_id = g.trip_id GROUP BY 1, 2, 3")
+def gtfs_read(spark, sf_dir):
+    path = files.landing(spark)
+    trips, times = t.view(spark, sf_dir, "gtfs_trip"), t.view(spark, sf_dir, "stop_time")
+    tables = {
+        "routes": trips.selectExpr("route_id", "cast(length(route_id) % 6 AS string) AS route_type", "route_id AS route_short_name", "route_id AS route_long_name", "'' AS route_color").distinct(),
+        "trips": trips.selectExpr("headsign AS trip_headsign", "trip_id", "route_id", "service_id", "shape_id", "direction_id"),
+        "stops": t.view(spark, sf_dir, "stop").selectExpr("stop_id", "name AS stop_name", "d AS stop_lon", "d AS stop_lat"),
+        "shapes": fixtures.shape_points(t.view(spark, sf_dir, "route_dir")).selectExpr("shape_id", "seq AS shape_pt_sequence", "x AS shape_pt_lon", "y AS shape_pt_lat"),
+        "stop_times": times.selectExpr("trip_id", "stop_id", "stop_sequence", "departure AS arrival_time", "departure AS departure_time"),
+    }
+    for name, rows in tables.items():
+        rows.write.option("header", True).csv(f"{path}/{name}.txt")
+    read = files.read_gtfs(spark, path)
+    counted = read["stop_times"].groupBy("trip_id").agg(F.count("*").alias("stops"))
+    own = read["trips"].join(read["routes"].select("route_id", F.col("route_type").cast("int").alias("kind")), "route_id").join(counted, "trip_id", "left")
+    return own.select("trip_id", "route_id", "kind", F.coalesce("stops", F.lit(0)).alias("stops"))
+
+
+@query("SELECT signal_id::VARCHAR AS cnn, x AS lon, y AS lat FROM signal WHERE signal_id % 4 <> 0 AND signal_id % 5 <> 0", ("lon", "lat"))
+def signal_read(spark, sf_dir):
+    """The signals' file is one JSON array."""
+    place = F.when(F.col("signal_id") % 5 != 0, F.struct(F.array("x", "y").alias("coordinates"))).alias("shape")
+    kind = F.when(F.col("signal_id") % 4 == 0, "other").otherwise("SIGNAL").alias("type")
+    one = F.struct(F.col("signal_id").cast("string").alias("cnn"), kind, F.col("name").alias("street1"), F.col("name").alias("street2"), place)
+    path = files.landing(spark)
+    t.view(spark, sf_dir, "signal").agg(F.to_json(F.collect_list(one)).alias("value")).write.text(path)
+    return files.read_signals(spark, path, ("SIGNAL",)).select("cnn", "lon", "lat")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS local_date, count(*) AS n, sum(event_id)::BIGINT AS ids FROM raw_ping WHERE day(ts) <= 20 GROUP BY 1")
+def parquet_by_day(spark, sf_dir):
+    """All days are written, then the first twenty again, then days are read by name."""
+    path = files.landing(spark)
+    rows = t.view(spark, sf_dir, "raw_ping").select("event_id", "vehicle_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    files.write_by_day(rows, path)
+    files.write_by_day(rows.where("day <= '2024-01-20'"), path)
+    found = spark.read.schema("event_id long, vehicle_id long, day string").parquet(path).where("substr(day, 9, 2) <= '20'")
+    return found.groupBy(F.col("day").alias("local_date")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT event_id, vehicle_id, t FROM ping")
+def json_docs(spark, sf_dir):
+    """One document per vehicle, its pings in time order, read back into rows."""
+    path = files.landing(spark)
+    files.write_documents(t.view(spark, sf_dir, "ping").select("vehicle_id", "event_id", "t"), path, "vehicle_id", "t")
+    read = spark.read.schema("value string, vehicle_id long").text(path)
+    each = read.select("vehicle_id", F.explode(F.from_json("value", "array<struct<row: struct<event_id: long, t: int>>>")).alias("r"))
+    return each.select(F.col("r.row.event_id").alias("event_id"), "vehicle_id", F.col("r.row.t").alias("t"))
 
 
 CELLS = """(SELECT route_id, direction_id, mode, bin, sum(delay) AS delay, bin * 100.0::DOUBLE + 50 AS x, 500 * CAST(substr(route_id, 2) AS INT) + 250.0::DOUBLE * direction_id AS y

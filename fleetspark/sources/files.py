@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,14 @@ def write_documents(rows: DataFrame, path: str, key: str, order: str) -> None:
     body = F.struct(*[c for c in rows.columns if c != key])
     documents = rows.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), body.alias("row"))))).alias("value"))
     documents.write.mode("overwrite").partitionBy(key).text(path)
+
+
+def landing(spark: SparkSession) -> str:
+    """A new folder name below the one that all executors share, ``spark.checkpoint.dir``; a local session without one gets its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="fleetspark-landing-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/landing-{uuid.uuid4().hex}"

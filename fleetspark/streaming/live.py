@@ -60,9 +60,18 @@ def write_by_day(positions: DataFrame, path: str, checkpoint: str):
 
 
 def live_status(positions: DataFrame, path: str, checkpoint: str):
-    """A row of counts per micro-batch: batch, rows, vehicles."""
+    """A row per poll (micro-batch): batch, rows, vehicles, errors (rows without vehicle or time) and the last time seen."""
 
     def tell(batch: DataFrame, number: int) -> None:
-        batch.agg(F.lit(number).alias("batch"), F.count("*").alias("rows"), F.countDistinct("vehicle_id").alias("vehicles")).write.mode("append").parquet(path)
+        bad = F.col("vehicle_id").isNull() | F.col("ts").isNull()
+        found = batch.agg(F.lit(number).alias("batch"), F.count("*").alias("rows"), F.countDistinct("vehicle_id").alias("vehicles"), F.count_if(bad).alias("errors"), F.max("ts").alias("last"))
+        found.write.mode("append").parquet(path)
 
     return positions.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finished(stream: DataFrame, path: str) -> DataFrame:
+    """All that ``stream`` gives for what its source has now, as files in ``path``, read back."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
