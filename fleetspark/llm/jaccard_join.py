@@ -172,7 +172,7 @@ class Forest:
             self.upper.append(np.maximum.reduceat(self.upper[-1], heads, axis=0))
             of = of[heads]
 
-    def join(self, left: np.ndarray, right: np.ndarray, s: Settings, chunk: int = 1 << 18):
+    def join(self, left: np.ndarray, right: np.ndarray, s: Settings, chunk: int = 1 << 15):
         """Pairs of points (rows a, b, bound), one of a tree of ``left`` and one of the tree of ``right`` beside it, that
         the boxes' bounds and their own let through; of one tree each pair once."""
         todo = [(len(self.begin) - 1, left, right)]
@@ -308,8 +308,8 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for begin in range(0, batch.num_rows, 32):
+                part = batch.slice(begin, 32)
                 n, m, both = in_common(part.column("x"), part.column("y"))
                 yield part.select(["a", "b"]).filter(pa.array(s.whole * both >= s.part * (n + m - both)))
 
