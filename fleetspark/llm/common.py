@@ -90,7 +90,7 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def in_parts(texts: list, limit: int = 1 << 21):
+def in_parts(texts: list, limit: int = 1 << 19):
     """Index ranges of ``texts`` of about ``limit`` characters (one text at least)."""
     begin, size = 0, 0
     for i, text in enumerate(texts):
