@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Words of a text: runs of anything but a space and the five control white spaces.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch on its way to a Python worker: the setting, Spark's default for it, ours.
+BATCH_BOUND, SPARKS_BOUND, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables, read by Spark alone."""
@@ -78,7 +81,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package wherever the driver was started."""
+    """Let Python workers on this machine import the package wherever the driver was started.
+
+    Texts and sets of shingles are long, so batches that go to workers are bounded
+    by ``BATCH_BYTES``, where the session doesn't name a bound of its own.
+    """
+    if spark.conf.get(BATCH_BOUND) == SPARKS_BOUND:
+        spark.conf.set(BATCH_BOUND, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     had = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in had.split(os.pathsep):

@@ -1,11 +1,12 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetspark.llm import quality, toxicity
+from fleetspark.llm import common, quality, toxicity
 from tests.llm.test_documents import brute
 from tests.llm.test_models import corpus
 
@@ -100,3 +101,23 @@ def test_tables_of_a_stage_go(spark, folder):
     fs = spark._jvm.org.apache.hadoop.fs.Path
     there = [fs(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs(p)) for p in inner]
     assert inner and not any(there) and kept.where(F.col("doc_id") == 2004).count() == 1
+
+
+def test_batches_to_workers_are_bounded(spark):
+    def measured(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    before = spark.conf.get(common.BATCH_BOUND)
+    try:
+        spark.conf.unset(common.BATCH_BOUND)
+        common.ship(spark)
+        assert spark.conf.get(common.BATCH_BOUND) == str(common.BATCH_BYTES)
+        texts = spark.range(6000, numPartitions=1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+        sizes = [r["n"] for r in texts.mapInArrow(measured, "n long").collect()]
+        assert sum(sizes) > 6000 * 2000 and max(sizes) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_BOUND, "1m")
+        common.ship(spark)
+        assert spark.conf.get(common.BATCH_BOUND) == "1m"
+    finally:
+        spark.conf.set(common.BATCH_BOUND, before)
