@@ -223,14 +223,17 @@ LAID = "(SELECT route_id, direction_id, stop_id, d, route_id AS family, d AS x,
 CLOSE = f"(SELECT a.stop_id, list_sort(list(DISTINCT b.family)) AS fs FROM {LAID} AS a JOIN {LAID} AS b ON a.family <> b.family AND {NEAR} < 120 GROUP BY 1)"
 
 
-@query(f"""SELECT route_id, direction_id, stop_id, array_to_string(list_sort(list_filter(fs, lambda f: NOT list_contains(beside, f))), ',') AS transfers FROM (
+@query(f"""SELECT route_id, direction_id, stop_id, array_to_string(list_sort(list_filter(fs, lambda f: NOT list_contains(beside, f))), ',') AS transfers,
+    route_id = 'R0' AND EXISTS (SELECT 1 FROM stop AS r WHERE r.route_id = 'R1' AND r.direction_id = k.direction_id AND r.d = k.d) AS at_rapid FROM (
   SELECT *, list_concat(coalesce(lag(fs) OVER w, []), coalesce(lead(fs) OVER w, [])) AS beside FROM (SELECT s.route_id, s.direction_id, s.stop_id, s.d, coalesce(c.fs, []) AS fs FROM {LAID} AS s LEFT JOIN {CLOSE} AS c USING (stop_id)) AS k
   WINDOW w AS (PARTITION BY route_id, direction_id ORDER BY d, stop_id)) AS k""")
 def crossing_transfers(spark, sf_dir):
-    """Routes are laid 60 m apart, so that their stops are near each other."""
+    """Routes are laid 60 m apart, so that their stops are near each other. Route 1 is the rapid sibling of route 0; their stops at one distance are one place."""
     number = F.substring("route_id", 2, 1).cast("int")
     stops = t.view(spark, sf_dir, "stop").select("route_id", "direction_id", "stop_id", "d", F.col("route_id").alias("family"), F.col("d").alias("x"), (60.0 * number + 20 * F.col("direction_id")).alias("y"))
-    return scenarios.crossing_families(stops).select("route_id", "direction_id", "stop_id", F.concat_ws(",", F.array_sort("transfers")).alias("transfers"))
+    crossing = scenarios.crossing_families(stops).select("route_id", "direction_id", "stop_id", F.concat_ws(",", F.array_sort("transfers")).alias("transfers"))
+    rapid = scenarios.also_rapid(stops.withColumns({"line": F.regexp_replace("route_id", "1", "0"), "rapid": F.col("route_id") == "R1", "place": F.col("d")}))
+    return crossing.join(rapid.select("route_id", "direction_id", "stop_id", "at_rapid"), ["route_id", "direction_id", "stop_id"])
 
 
 @query("""SELECT route_id, direction_id, before, after, (before - after) * 18 AS saved FROM (SELECT route_id, direction_id, sum(CASE WHEN NOT e THEN p ELSE 0.0::DOUBLE END) AS before, sum(CASE WHEN NOT e AND NOT removed THEN 1.0::DOUBLE - (1.0::DOUBLE - p) * exp(coalesce(l, 0.0::DOUBLE)) ELSE 0.0::DOUBLE END) AS after FROM (
@@ -244,26 +247,43 @@ def stop_removal_savings(spark, sf_dir):
     return scenarios.stop_removal_savings(dwell.withColumn("removed", F.expr("d % 180 = 0")))
 
 
-PLACES = """SELECT cx, cy, heading, underground, hours, x, y, routes, crawl, dwell, stopped FROM (
+PLACES = """SELECT *, (SELECT replace(min({'other': (starts_with(name, 'red') OR starts_with(name, 'old')) <> p.underground, 'far': round(sqrt((sx - p.x) * (sx - p.x) + (sy - p.y) * (sy - p.y)), 6), 'id': stop_id, 'name': name}).name, 'Metro ', '')
+      FROM (SELECT stop_id, name, least(floor(d / 10), 499) * 10.0::DOUBLE AS sx, 500.0::DOUBLE * CAST(substr(route_id, 2) AS INT) + 250 * direction_id AS sy FROM stop) AS s) || CASE WHEN underground THEN ' (subway)' ELSE '' END AS name FROM (
   SELECT CAST(floor(x / 150) AS BIGINT) AS cx, CAST(floor(y / 150) AS BIGINT) AS cy, 2 AS heading, route_id <> 'R1' AND bin * 100 + 50 BETWEEN 1000 AND 2000 AS underground, sum(delay) / 3600.0::DOUBLE AS hours, sum(x * w) / sum(w) AS x, sum(y * w) / sum(w) AS y,
+    coalesce(sum(delay) FILTER (WHERE route_id <> 'R3'), 0.0::DOUBLE) / 3600.0::DOUBLE AS bus_hours, coalesce(sum(delay) FILTER (WHERE route_id = 'R3'), 0.0::DOUBLE) / 3600.0::DOUBLE AS rail_hours, array_to_string(list_sort(list(DISTINCT route_id) FILTER (WHERE route_id <> 'R3')), ',') AS bus_routes,
     array_to_string(list_sort(list(DISTINCT route_id)), ',') AS routes, CASE WHEN sum(s1 + s2 + s3) > 0 THEN sum(s1) / sum(s1 + s2 + s3) ELSE 0 END AS crawl, CASE WHEN sum(s1 + s2 + s3) > 0 THEN sum(s2) / sum(s1 + s2 + s3) ELSE 0 END AS dwell, CASE WHEN sum(s1 + s2 + s3) > 0 THEN sum(s3) / sum(s1 + s2 + s3) ELSE 0 END AS stopped
   FROM (SELECT d.*, bin * 100.0::DOUBLE + 50 AS x, 500.0::DOUBLE * CAST(substr(route_id, 2) AS INT) + 250 * direction_id AS y, delay + 0.000001::DOUBLE AS w, coalesce(s1, 0.0::DOUBLE) AS s1, coalesce(s2, 0.0::DOUBLE) AS s2, coalesce(s3, 0.0::DOUBLE) AS s3
     FROM (SELECT route_id, direction_id, bin, sum(delay) AS delay FROM delay WHERE delay IS NOT NULL AND bin BETWEEN 3 AND 46 GROUP BY 1, 2, 3) AS d LEFT JOIN (SELECT route_id, direction_id, bin, sum(w) FILTER (WHERE state = 1) AS s1, sum(w) FILTER (WHERE state = 2) AS s2, sum(w) FILTER (WHERE state = 3) AS s3 FROM state_ping GROUP BY 1, 2, 3) AS s USING (route_id, direction_id, bin)) AS k
-  GROUP BY 1, 2, 3, 4) AS k WHERE hours >= 0.01::DOUBLE ORDER BY round(hours, 6) DESC, cx, cy, heading, underground LIMIT 600"""
+  GROUP BY 1, 2, 3, 4 HAVING sum(delay) / 3600.0::DOUBLE >= 0.01::DOUBLE ORDER BY round(hours, 6) DESC, cx, cy, heading, underground LIMIT 600) AS p"""
+CAUSE = "CASE WHEN stopped >= dwell AND stopped >= crawl THEN 'stopped' WHEN crawl >= dwell THEN 'crawl' ELSE 'dwell' END AS cause"
 
 
-@query(PLACES, ("hours", "x", "y", "crawl", "dwell", "stopped"))
-def hotspot_places(spark, sf_dir):
-    """All routes but the second run underground from 1,000 to 2,000 m."""
+def places(spark, sf_dir):
+    """All routes but the second run underground from 1,000 to 2,000 m. A stop is at the shape's point before it."""
     tunnels = n.tunnels(spark, sf_dir)
     seconds = t.state_pings(spark, sf_dir).groupBy("route_id", "direction_id", "bin").agg(*[F.sum(F.when(F.col("state") == k, F.col("w"))).alias(f"s{k}") for k in (1, 2, 3)])
-    return scenarios.hotspot_places(t.delays(spark, sf_dir), seconds, points(spark, sf_dir), tunnels, least_hours=0.01)
+    below = F.col("name").startswith(UNDERGROUND[0]) | F.col("name").startswith(UNDERGROUND[1])
+    stops = t.view(spark, sf_dir, "stop").withColumn("seq", F.least(F.floor(F.col("d") / 10), F.lit(499)).cast("int"))
+    stops = stops.join(points(spark, sf_dir).select("route_id", "direction_id", "seq", "x", "y"), ["route_id", "direction_id", "seq"]).select("stop_id", "name", "x", "y", below.alias("underground"))
+    return scenarios.hotspot_places(t.delays(spark, sf_dir), seconds, points(spark, sf_dir), tunnels, stops, least_hours=0.01)
+
+
+@query(f"SELECT * EXCLUDE (bus_routes) FROM ({PLACES}) AS k", ("hours", "bus_hours", "rail_hours", "x", "y", "crawl", "dwell", "stopped"))
+def hotspot_places(spark, sf_dir):
+    hours = {f"{mode}_hours": F.coalesce(F.col("by_mode")[mode], F.lit(0.0)) for mode in ("bus", "rail")}
+    return places(spark, sf_dir).withColumns(hours | {"routes": F.concat_ws(",", F.array_sort(F.flatten(F.map_values("routes"))))}).drop("by_mode")
 
 
-@query(f"""SELECT cx, cy, heading, underground, hours, CASE WHEN crawl >= dwell AND crawl >= stopped THEN 'crawl' WHEN dwell >= stopped THEN 'dwell' ELSE 'stopped' END AS cause, routes FROM ({PLACES}) AS p
+@query(f"""SELECT cx, cy, heading, underground, name, hours, {CAUSE}, routes FROM ({PLACES}) AS p
   WHERE hours >= 0.05::DOUBLE ORDER BY round(hours, 6) DESC, cx, cy, heading, underground LIMIT 40""", ("hours",))
 def hotspot_topk(spark, sf_dir):
-    return scenarios.hotspot_topk(hotspot_places(spark, sf_dir))
+    return scenarios.hotspot_topk(places(spark, sf_dir))
+
+
+@query(f"""SELECT cx, cy, heading, underground, name, bus_hours AS hours, {CAUSE}, bus_routes AS routes FROM ({PLACES}) AS p
+  WHERE bus_hours >= 0.05::DOUBLE ORDER BY round(bus_hours, 6) DESC, cx, cy, heading, underground LIMIT 40""", ("hours",))
+def hotspot_topk_bus(spark, sf_dir):
+    return scenarios.hotspot_topk(places(spark, sf_dir), "bus")
 
 
 # On a straight shape a stop's place is its distance, so the ordered projection has a plain form.

@@ -157,34 +157,73 @@ def stop_removal_savings(stops: DataFrame, dwell: float = 20.0, lost: float = 18
     return counted.withColumn("saved", (F.col("before") - F.col("after")) * lost)
 
 
-def hotspot_places(delays: DataFrame, states: DataFrame, points: DataFrame, tunnels: DataFrame, cell: float = 150.0, ends: float = 300.0, least_hours: float = 0.5, top: int = 600, width: float = 100.0, days: int = 1) -> DataFrame:
+def hotspot_places(delays: DataFrame, states: DataFrame, points: DataFrame, tunnels: DataFrame, stops: DataFrame, cell: float = 150.0, ends: float = 300.0, least_hours: float = 0.5, top: int = 600, width: float = 100.0, days: int = 1) -> DataFrame:
     """Places with the most delay: cells by square, heading (eighths) and whether underground, with the causes.
 
-    ``delays``: bins with delay. ``states``: route_id, direction_id, bin, s1, s2,
-    s3 (seconds crawling, at stops, stopped). ``points``: every shape's points
-    with bearing. ``tunnels``: route_id, direction_id, d0, d1. A bin is at its
-    middle; those near a route's ends don't count. Hours are a day's, shares are
-    of all slow seconds.
+    ``delays``: bins with delay and mode. ``states``: route_id, direction_id, bin,
+    s1, s2, s3 (seconds crawling, at stops, stopped). ``points``: every shape's
+    points with bearing. ``tunnels``: route_id, direction_id, d0, d1. ``stops``:
+    stop_id, name, x, y, underground. A bin is at its middle; those near a
+    route's ends don't count. Hours are a day's, shares are of all slow seconds.
+    ``by_mode`` maps modes with delay to their hours, ``routes`` modes to their
+    routes. ``name`` is that of ``nearest_stop``.
     """
     end = points.groupBy(*KEY).agg(F.max("d").alias("_end"))
     middle = F.floor(F.col("d") / width)
     at = points.where(F.col("d") - middle * width == width / 2).select(*KEY, middle.cast("int").alias("bin"), "x", "y", "d", "bearing").join(end, list(KEY))
     at = at.where((F.col("bin") * width >= ends) & ((F.col("bin") + 1) * width <= F.col("_end") + 10 - ends))
     at = at.join(tunnels.select(*KEY, "d0", "d1"), list(KEY), "left").withColumn("underground", F.coalesce(F.col("d").between(F.col("d0"), F.col("d1")), F.lit(False)))
-    rows = delays.where("delay is not null").groupBy(*KEY, "bin").agg(F.sum("delay").alias("delay")).join(at, [*KEY, "bin"]).join(states.select(*KEY, "bin", "s1", "s2", "s3"), [*KEY, "bin"], "left")
+    rows = delays.where("delay is not null").groupBy(*KEY, "mode", "bin").agg(F.sum("delay").alias("delay")).join(at, [*KEY, "bin"]).join(states.select(*KEY, "bin", "s1", "s2", "s3"), [*KEY, "bin"], "left")
     rows = rows.withColumn("_w", F.col("delay") + F.lit(1e-6)).na.fill(0.0, ["s1", "s2", "s3"])
     heading = F.pmod(F.floor((F.col("bearing") + 22.5) / 45.0), F.lit(8)).cast("int")
+    place = [F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"), heading.alias("heading"), F.col("underground")]
+    modes = rows.groupBy(*place, "mode").agg(
+        *[F.sum(c).alias(c) for c in ("delay", "_w", "s1", "s2", "s3")], F.sum(F.col("x") * F.col("_w")).alias("_x"), F.sum(F.col("y") * F.col("_w")).alias("_y"),
+        F.array_sort(F.collect_set("route_id")).alias("routes"),
+    )
     slow = F.sum(F.col("s1") + F.col("s2") + F.col("s3"))
     share = lambda c: F.when(slow > 0, F.sum(c) / slow).otherwise(0.0)
-    cells = rows.groupBy(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"), heading.alias("heading"), "underground").agg(
-        (F.sum("delay") / 3600.0 / days).alias("hours"), (F.sum(F.col("x") * F.col("_w")) / F.sum("_w")).alias("x"), (F.sum(F.col("y") * F.col("_w")) / F.sum("_w")).alias("y"),
-        F.concat_ws(",", F.array_sort(F.collect_set("route_id"))).alias("routes"), share("s1").alias("crawl"), share("s2").alias("dwell"), share("s3").alias("stopped"),
+    late = F.when(F.col("delay") > 0, F.struct("mode", F.col("delay") / 3600.0 / days))
+    cells = modes.groupBy("cx", "cy", "heading", "underground").agg(
+        (F.sum("delay") / 3600.0 / days).alias("hours"), (F.sum("_x") / F.sum("_w")).alias("x"), (F.sum("_y") / F.sum("_w")).alias("y"),
+        F.map_from_entries(F.collect_list(late)).alias("by_mode"), F.map_from_entries(F.collect_list(F.struct("mode", "routes"))).alias("routes"),
+        share("s1").alias("crawl"), share("s2").alias("dwell"), share("s3").alias("stopped"),
     )
-    return cells.where(F.col("hours") >= least_hours).orderBy(F.desc(F.round("hours", 6)), "cx", "cy", "heading", "underground").limit(top)
+    worst = cells.where(F.col("hours") >= least_hours).orderBy(F.desc(F.round("hours", 6)), "cx", "cy", "heading", "underground").limit(top)
+    return nearest_stop(worst, stops, ["cx", "cy", "heading", "underground"])
+
 
+def nearest_stop(places: DataFrame, stops: DataFrame, keys: list[str], dropped: str = "Metro ") -> DataFrame:
+    """``places`` with the ``name`` of the nearest stop, first of those of the same level, then of all; ties: the smaller id.
+
+    ``places`` are few, such as a report's rows: they are sent to all tasks, and
+    each task passes on only its best stop for each. ``dropped`` leaves the name;
+    a place underground gets " (subway)". Without stops the name is null.
+    """
+    level = F.explode(F.array(F.lit(False), F.lit(True)))
+    asked = places.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), level.alias("_level"))
+    far = F.round(F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))), 6)
+    near = stops.select("stop_id", "name", "x", "y", F.col("underground").alias("_level")).join(F.broadcast(asked), "_level")
+    best = near.groupBy(*keys).agg(F.min_by("name", F.struct(F.col("_level") != F.col("underground"), far, "stop_id")).alias("_name"))
+    tail = F.when(F.col("underground"), " (subway)").otherwise("")
+    return places.join(best, keys, "left").withColumn("name", F.concat(F.replace("_name", F.lit(dropped), F.lit("")), tail)).drop("_name")
 
-def hotspot_topk(places: DataFrame, top: int = 40, least_hours: float = 0.05) -> DataFrame:
-    """The worst of ``hotspot_places`` with the cause of most of their slow seconds; ties: crawling, stops, stopped."""
-    cause = F.when((F.col("crawl") >= F.col("dwell")) & (F.col("crawl") >= F.col("stopped")), "crawl").when(F.col("dwell") >= F.col("stopped"), "dwell").otherwise("stopped")
-    rows = places.where(F.col("hours") >= least_hours).withColumn("cause", cause)
-    return rows.orderBy(F.desc(F.round("hours", 6)), "cx", "cy", "heading", "underground").limit(top).select("cx", "cy", "heading", "underground", "hours", "cause", "routes")
+
+def hotspot_topk(places: DataFrame, mode: str | None = None, top: int = 40, least_hours: float = 0.05) -> DataFrame:
+    """The worst of ``hotspot_places``, of one ``mode`` or all, with the cause of most of their slow seconds.
+
+    Ties of causes go to stopped, then to crawling. With a mode, hours and routes are its own.
+    """
+    cause = F.when((F.col("stopped") >= F.col("dwell")) & (F.col("stopped") >= F.col("crawl")), "stopped").when(F.col("crawl") >= F.col("dwell"), "crawl").otherwise("dwell")
+    own = F.array_sort(F.flatten(F.map_values("routes"))) if mode is None else F.col("routes")[mode]
+    hours = F.col("hours") if mode is None else F.col("by_mode")[mode]
+    rows = places.withColumns({"hours": hours, "routes": F.concat_ws(",", own), "cause": cause}).where(F.col("hours") >= least_hours)
+    return rows.orderBy(F.desc(F.round("hours", 6)), "cx", "cy", "heading", "underground").limit(top).select("cx", "cy", "heading", "underground", "name", "hours", "cause", "routes")
+
+
+def also_rapid(stops: DataFrame) -> DataFrame:
+    """``stops`` (line, direction_id, route_id, place, rapid) with ``at_rapid``: whether a rapid route of the line, not this one, halts at the place in this direction."""
+    fast = stops.where("rapid").select("line", "direction_id", "place", F.col("route_id").alias("_other")).distinct()
+    by = fast.groupBy("line", "direction_id", "place").agg(F.collect_set("_other").alias("_others"))
+    found = stops.join(by, ["line", "direction_id", "place"], "left")
+    return found.withColumn("at_rapid", F.coalesce(F.exists("_others", lambda o: o != F.col("route_id")), F.lit(False))).drop("_others")

@@ -171,3 +171,28 @@ def test_signals_over_tunnels_are_left_out(spark):
     found = {(r.direction_id, r.signal_id) for r in signal_positions(lights, shapes, routes, tunnels=tunnels).collect()}
     assert found == {(0, 1), (0, 3), (1, 1), (1, 2), (1, 3)}
     assert signal_positions(lights, shapes, routes).count() == 6
+
+
+def test_places_are_named_after_their_level(spark):
+    stops = spark.createDataFrame([(1, "Metro A", 0.0, 0.0, True), (2, "B", 50.0, 0.0, False), (3, "C", 50.0, 0.0, False)], "stop_id int, name string, x double, y double, underground boolean")
+    places = spark.createDataFrame([(1, 0.0, 0.0, False), (2, 60.0, 0.0, True)], "place int, x double, y double, underground boolean")
+    name = lambda near: {r.place: r["name"] for r in scenarios.nearest_stop(places, near, ["place", "underground"]).collect()}
+    assert name(stops) == {1: "B", 2: "A (subway)"}
+    assert name(stops.where("not underground")) == {1: "B", 2: "B (subway)"}  # none of its level
+    assert name(stops.limit(0)) == {1: None, 2: None}
+
+
+def test_hotspots_of_a_mode(spark):
+    kind = "cx long, cy long, heading int, underground boolean, name string, hours double, by_mode map<string,double>, routes map<string,array<string>>, crawl double, dwell double, stopped double"
+    rows = [(0, 0, 2, False, "a", 3.0, {"bus": 1.0, "rail": 2.0}, {"bus": ["5", "1"], "rail": ["N"]}, 0.4, 0.2, 0.4), (1, 0, 2, False, "b", 2.0, {"bus": 2.0}, {"bus": ["2"]}, 0.5, 0.5, 0.0), (2, 0, 2, False, "c", 1.0, {"rail": 1.0}, {"rail": ["N"]}, 0.2, 0.5, 0.3)]
+    places = spark.createDataFrame(rows, kind)
+    out = lambda mode: [(r["name"], r.hours, r.cause, r.routes) for r in scenarios.hotspot_topk(places, mode).collect()]
+    assert out(None) == [("a", 3.0, "stopped", "1,5,N"), ("b", 2.0, "crawl", "2"), ("c", 1.0, "dwell", "N")]
+    assert [r[:2] for r in out("bus")] == [("b", 2.0), ("a", 1.0)]
+    assert [r[3] for r in out("rail")] == ["N", "N"]
+
+
+def test_places_of_rapid_routes(spark):
+    rows = [("5", 0, "5", 10, False), ("5", 0, "5", 11, False), ("5", 1, "5", 10, False), ("5", 0, "5R", 10, True), ("7", 0, "7", 10, False)]
+    stops = spark.createDataFrame(rows, "line string, direction_id int, route_id string, place int, rapid boolean")
+    assert sorted((r.line, r.direction_id, r.place) for r in scenarios.also_rapid(stops).where("at_rapid").collect()) == [("5", 0, 10)]
