@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspark.llm import oracles
 from fleetspark.llm.common import table
 
 
@@ -86,12 +87,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.unionByName(extra))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetspark.llm.decontamination import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format, op11_decontamination)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {"op10_chat_format": CHAT_SQL}
+    return {"op10_chat_format": CHAT_SQL, "op11_decontamination": oracles.DECONTAMINATION_SQL}
 
 
 CHAT_SQL = r"""
