@@ -25,3 +25,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
+
+PHRASE_SQL = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), word AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece
+), total AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM word GROUP BY lang
+), gram AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda s: array_to_string(list_slice(w, s, s + k - 1), ' '))) AS phrase FROM word, range(1, 6) AS t(k) WHERE len(w) >= k
+), seen AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM gram GROUP BY ALL HAVING count(*) >= 100
+), kept AS (
+  SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM seen AS s WHERE k > 1
+    AND NOT EXISTS (SELECT 1 FROM seen AS b WHERE b.lang = s.lang AND b.k > s.k AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.f >= 100 * s.f)
+), cut AS (
+  SELECT lang, phrase, f AS a, j, array_to_string(list_slice(w, 1, j), ' ') AS head, array_to_string(list_slice(w, j + 1, k), ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)
+), scored AS (
+  SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f * y.f) AS score, j
+  FROM cut AS c JOIN seen AS x ON x.lang = c.lang AND x.phrase = c.head JOIN seen AS y ON y.lang = c.lang AND y.phrase = c.tail JOIN total AS t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""

@@ -94,7 +94,13 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format, op11_decontamination)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetspark.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+QUERIES = (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format, op11_decontamination, op12_phrases)
 
 
 def queries() -> dict:
@@ -102,7 +108,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_chat_format": CHAT_SQL, "op11_decontamination": oracles.DECONTAMINATION_SQL}
+    return {"op10_chat_format": CHAT_SQL, "op11_decontamination": oracles.DECONTAMINATION_SQL, "op12_phrases": oracles.PHRASE_SQL}
 
 
 CHAT_SQL = r"""
