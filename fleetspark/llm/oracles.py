@@ -51,3 +51,30 @@ WITH piece AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM best QUALIFY rank <= 2000
 """
+
+DIVERGENCE_SQL = rf"""
+WITH doc AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), term AS (
+  SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM doc) GROUP BY ALL HAVING count(*) >= 3
+), own AS (
+  SELECT DISTINCT lang, source FROM doc
+), seen AS (
+  SELECT lang, source, t, count(*)::HUGEINT AS c FROM (SELECT lang, source, unnest(w) AS t FROM doc) JOIN term USING (lang, t) GROUP BY ALL
+), cell AS (
+  SELECT o.lang, o.source, t.t, coalesce(c, 0) AS c FROM own AS o JOIN term AS t USING (lang) LEFT JOIN seen USING (lang, source, t)
+), share AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM cell
+), lang_share AS (
+  SELECT lang, t, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, t, sum(c)::HUGEINT AS c FROM cell GROUP BY ALL)
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item FROM own AS a JOIN own AS b ON a.lang = b.lang AND a.source <> b.source
+), summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM share AS a JOIN share AS b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+), valued AS (
+  SELECT lang, source, part, item, coalesce(value, 0) AS value FROM pair LEFT JOIN summed USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', t, ((p - q) * (p - q)) // q FROM share JOIN lang_share USING (lang, t) WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM valued QUALIFY part = 'pair' OR rank <= 200
+"""

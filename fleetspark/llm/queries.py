@@ -100,7 +100,13 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
 
 
-QUERIES = (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format, op11_decontamination, op12_phrases)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetspark.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+QUERIES = (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_url_filters, op8_sentencepiece, op9_packing, op10_chat_format, op11_decontamination, op12_phrases, op13_source_divergence)
 
 
 def queries() -> dict:
@@ -108,7 +114,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_chat_format": CHAT_SQL, "op11_decontamination": oracles.DECONTAMINATION_SQL, "op12_phrases": oracles.PHRASE_SQL}
+    return {"op10_chat_format": CHAT_SQL, "op11_decontamination": oracles.DECONTAMINATION_SQL, "op12_phrases": oracles.PHRASE_SQL, "op13_source_divergence": oracles.DIVERGENCE_SQL}
 
 
 CHAT_SQL = r"""
