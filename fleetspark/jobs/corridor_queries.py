@@ -8,7 +8,7 @@ from fleetspark.jobs import network_queries as n
 from fleetspark.jobs import tables as t
 from fleetspark.jobs.ping_queries import PASSAGE
 from fleetspark.jobs.registry import query
-from fleetspark.operators import corridors, network, scenarios, segmentation
+from fleetspark.operators import corridors, network, scenarios
 from fleetspark.operators import timelines as lines_
 from fleetspark.sources import fixtures
 
@@ -209,16 +209,6 @@ def trunk_transfer(spark, sf_dir):
     return scenarios.trunk_transfer(inbound(corridors.portal_delay(passed)), inbound(corridors.station_times(passed, least=1)), corridors.pooled_pairs(passed, least=1), routes, "s4", 12.0)
 
 
-# Steps depend on each other: no SQL, tested on small days.
-@query()
-def segment_unlabelled(spark, sf_dir):
-    """Pings as if they named no route. Route 1 is the rapid sibling of route 0; every third stop counts as one of the local route alone."""
-    found = n.candidates(spark, sf_dir)
-    routes = t.view(spark, sf_dir, "route_dir").select("shape_id", F.regexp_replace("route_id", "1", "0").alias("family"), (F.col("route_id") == "R1").alias("rapid"), "route_id", "direction_id")
-    stops = t.view(spark, sf_dir, "stop").where("stop_id % 3 = 0").join(routes, ["route_id", "direction_id"]).select("shape_id", "d")
-    return segmentation.segment_unlabelled(t.view(spark, sf_dir, "ping"), found, routes, stops).select("event_id", "shape_id", "along", "trip")
-
-
 LAID = "(SELECT route_id, direction_id, stop_id, d, route_id AS family, d AS x, 60.0::DOUBLE * CAST(substr(route_id, 2) AS INT) + 20 * direction_id AS y FROM stop)"
 CLOSE = f"(SELECT a.stop_id, list_sort(list(DISTINCT b.family)) AS fs FROM {LAID} AS a JOIN {LAID} AS b ON a.family <> b.family AND {NEAR} < 120 GROUP BY 1)"
 

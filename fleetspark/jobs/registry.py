@@ -31,7 +31,7 @@ def query(sql: str | None = None, doubles: tuple[str, ...] = ()):
 
 
 def _load() -> None:
-    from fleetspark.jobs import clean_queries, corridor_queries, grid_queries, more_queries, network_queries, ping_queries  # noqa: F401
+    from fleetspark.jobs import clean_queries, corridor_queries, follow_queries, grid_queries, more_queries, network_queries, ping_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -108,18 +109,32 @@ def test_files(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "docs")).count() == 2
 
 
-def places(*alongs, family="7", rapid=False, stops=()):
+def places(*alongs, family="7", direction="0", rapid=False, stops=()):
     """A shape's places, ping by ping; None where the ping isn't on it."""
-    near = lambda a: any(abs(a - d) <= 30 for d in stops)
-    return [a if a is None else segmentation.Place(a, family, rapid, sum(d < a for d in stops), sum(d <= a for d in stops), near(a)) for a in alongs]
+    near = lambda a: tuple(d for d in stops if abs(a - d) <= 30)
+    return [a if a is None else segmentation.Place(a, family, direction, rapid, sum(d < a for d in stops), sum(d <= a for d in stops), near(a)) for a in alongs]
 
 
 def day_of(**shapes):
     return [{name: row[k] for name, row in shapes.items() if row[k] is not None} for k in range(len(next(iter(shapes.values()))))]
 
 
+def pieces(times, days, halted=()):
+    taken = [segmentation.Ping(k, t, k in halted, day) for k, (t, day) in enumerate(zip(times, days))]
+    return [(shape, [p.key for p, _ in own], [along for _, along in own]) for shape, own in segmentation.pieces(taken)]
+
+
 def followed(times, days, halted=()):
-    return [(x.shape, sorted(x.places)) for x in segmentation.stitched(times, segmentation.fragments(times, days, set(halted)))]
+    return [(shape, own) for shape, own, _ in pieces(times, days, halted)]
+
+
+def sewn(spark, *parts):
+    """Trips of pieces (shape, times, alongs) of one vehicle: for each, its shape and its pings' times."""
+    rows = [(1, 1, k, 100 * k + i, t, shape, float(a)) for k, (shape, times, alongs) in enumerate(parts) for i, (t, a) in enumerate(zip(times, alongs))]
+    out = {}
+    for r in segmentation.stitch_fragments(spark.createDataFrame(rows, "day int, vehicle_id long, fragment long, event_id long, t int, shape_id string, along double")).orderBy("t").collect():
+        out.setdefault((r.trip, r.shape_id), []).append(r.t)
+    return [(shape, times) for (_, shape), times in out.items()]
 
 
 def test_followed_shape_with_most_pings():
@@ -131,29 +146,95 @@ def test_followed_shape_with_most_pings():
     assert followed(times, day_of(a=jump)) == [("a", [0, 1, 3, 5, 6, 7])]
 
 
-def test_pieces_end_and_are_stitched():
+def test_pieces_end():
     times = [0, 20, 40, 700, 720, 740]
-    on = places(0, 100, 200, 250, 300, 400)
-    assert followed(times, day_of(a=on)) == [("a", [0, 1, 2]), ("a", [3, 4, 5])]
-    # Five pings off the shape end a piece; it goes on soon after, and they are one.
+    assert followed(times, day_of(a=places(0, 100, 200, 250, 300, 400))) == [("a", [0, 1, 2]), ("a", [3, 4, 5])]
+    # Five pings off the shape end a piece, unless another shape is followed meanwhile.
     times = list(range(0, 240, 20))
     hole = places(0, 100, 200, 300, None, None, None, None, None, None, 700, 800)
     away = places(None, None, None, None, 0, 0, 0, 0, 0, 0, None, None, family="9")
-    assert [x.shape for x in segmentation.fragments(times, day_of(a=hole, b=away), set())] == ["b", "a"]
+    assert [x for x, _ in followed(times, day_of(a=hole, b=away))] == ["b", "a"]
     assert followed([0, 20, 40, 60, 80, 100], day_of(a=places(0, 100, None, None, 300, 400))) == [("a", [0, 1, 4, 5])]
     lost = places(0, 100, 200, *[None] * 6, 300, 400, 500)
-    assert len(list(segmentation.fragments(times, day_of(a=lost), set()))) == 2
-    assert followed(times, day_of(a=lost)) == [("a", [0, 1, 2, 9, 10, 11])]
-    # A vehicle that stands makes no piece.
-    assert followed([0, 20, 40], day_of(a=places(5, 10, 12))) == []
+    assert followed(times, day_of(a=lost)) == [("a", [0, 1, 2]), ("a", [9, 10, 11])]
+
+
+def test_pieces_are_stitched(spark):
+    assert sewn(spark, ("a", [0, 20, 40], [0, 100, 200]), ("a", [180, 200], [300, 500])) == [("a", [0, 20, 40, 180, 200])]
+    # A vehicle that stands makes no piece, and does not part the pieces around it.
+    assert sewn(spark, ("a", [0, 20], [0, 100]), ("b", [40, 60], [5, 12]), ("a", [80, 90], [120, 300])) == [("a", [0, 20, 80, 90])]
+    assert sewn(spark, ("a", [0, 20], [0, 100]), ("b", [40, 60], [5, 52]), ("a", [80, 90], [120, 300])) == [("a", [0, 20]), ("b", [40, 60]), ("a", [80, 90])]
+    # Too late, and too far back; the farthest point starts anew with a new trip.
+    assert sewn(spark, ("a", [0, 20], [0, 100]), ("a", [621, 640], [120, 300])) == [("a", [0, 20]), ("a", [621, 640])]
+    assert sewn(spark, ("a", [0, 20], [0, 900]), ("a", [40, 60], [599, 700])) == [("a", [0, 20]), ("a", [40, 60])]
+    assert sewn(spark, ("a", [0, 20], [0, 900]), ("a", [40, 60], [100, 200]), ("a", [80, 90], [150, 400])) == [("a", [0, 20]), ("a", [40, 60, 80, 90])]
 
 
 def test_local_if_it_halts_at_local_stops():
     times, stops = list(range(0, 200, 20)), (100, 300, 500, 700)
     local = places(*range(0, 1000, 100), stops=stops)
-    rapid = places(*range(0, 1000, 100), rapid=True)
-    assert followed(times, day_of(l=local, r=rapid), halted=(1, 3, 5)) == [("l", list(range(10)))]
-    assert followed(times, day_of(l=local, r=rapid), halted=(1, 2, 4)) == [("r", list(range(10)))]
+    for direction in "01":  # siblings are of one family, in any direction
+        rapid = places(*range(0, 1000, 100), rapid=True, direction=direction)
+        assert followed(times, day_of(l=local, r=rapid), halted=(1, 3, 5)) == [("l", list(range(10)))]
+        assert followed(times, day_of(l=local, r=rapid), halted=(1, 2, 4)) == [("r", list(range(10)))]
+    # A stop near the first ping but before it is not passed, so a halt there does not count.
+    early = places(*range(0, 1000, 100), stops=(-20, 300, 500))
+    assert followed(times, day_of(l=early, r=places(*range(0, 1000, 100), rapid=True)), halted=(0, 3, 5)) == [("r", list(range(10)))]
+
+
+def test_late_joiners_are_of_one_family_and_direction():
+    times = list(range(0, 400, 20))
+    main = places(*range(0, 2000, 100))
+    late = [None] * 8
+    same, other = (places(*late, *range(800, 2000, 100), direction=d, rapid=True) for d in "01")
+    follower = segmentation.Follower()
+    for k, day in enumerate(day_of(a=main, s=same, o=other)):
+        assert not list(follower.step(segmentation.Ping(k, times[k], False, day)))
+    assert set(follower.tracks) == {"a", "s"}
+
+
+def test_a_day_in_any_cut_is_the_whole_day():
+    """Stepping and closing give what a plain restatement over the whole day gives."""
+    rng = random.Random(4)
+    for _ in range(60):
+        n, t, times, days = rng.randint(1, 60), 0, [], []
+        for _k in range(n):
+            t += rng.choice([5, 20, 20, 60, 200, 700])
+            times.append(t)
+            days.append({x: segmentation.Place(float(rng.choice([t, t, t + 30, t - 60, rng.randint(0, 9000)])), x.lower(), "0") for x in "ABa" if rng.random() < 0.6})
+        got, k = [], 0
+        while k < n:  # plain
+            if not days[k]:
+                k += 1
+                continue
+            begin = fit = k
+            tracks = {x: [p.along, times[k], 0, [k], True] for x, p in days[k].items()}
+            for j in range(begin + 1, n):
+                if times[j] - times[fit] > 600:
+                    break
+                trial = {x: [*v[:3], list(v[3]), v[4]] for x, v in tracks.items()}
+                fitted = False
+                for x, v in trial.items():
+                    if v[4]:
+                        p = days[j].get(x)
+                        if p and p.along >= v[0] - 120 and p.along - v[0] <= 25 * (times[j] - v[1]) + 200:
+                            v[:3], fitted = [max(v[0], p.along), times[j], 0], True
+                            v[3].append(j)
+                        elif v[2] < 4:
+                            v[2] += 1
+                        else:
+                            v[4] = False
+                lines = {x.lower() for x, v in trial.items() if v[4]}
+                for x, p in days[j].items():
+                    if x not in tracks and (j - begin < 6 or x.lower() in lines):
+                        trial[x], fitted = [p.along, times[j], 0, [j], True], True
+                if not any(v[4] for v in trial.values()):
+                    break
+                tracks, fit = trial, j if fitted else fit
+            best = min((x for x, v in tracks.items() if v[4]), key=lambda x: (-len(tracks[x][3]), x))
+            got.append((best, tracks[best][3]))
+            k = fit + 1
+        assert followed(times, days) == got
 
 
 def test_hours_next_to_a_gap(spark):
