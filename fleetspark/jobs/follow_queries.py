@@ -10,7 +10,7 @@ from fleetspark.jobs import tables as t
 from fleetspark.jobs.registry import query
 from fleetspark.operators import segmentation
 from fleetspark.sources import files
-from fleetspark.streaming import follow
+from fleetspark.streaming import follow, live
 
 # Route 1 is the rapid sibling of route 0: it runs along the first 4,000 m of its shapes, and a ping on one of them may be on the other.
 SIBLINGS = {"S0": "S2", "S1": "S3", "S2": "S0", "S3": "S1"}
@@ -108,13 +108,6 @@ def follow_live(spark, sf_dir):
     end = rows.agg(F.first("day").alias("day"), F.lit(-1).cast("long").alias("vehicle_id"), F.lit(-1).cast("long").alias("event_id"), (F.max("t") + 7200).alias("t"))
     end.select("*", F.timestamp_seconds("t").alias("at")).write.mode("append").parquet(f"{path}/in")
     rows.unpersist()
-    spark.conf.set(*follow.ROCKS)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    done = stream_rows(follow.follow_live(stream), path)
+    done = live.finished(follow.follow_live(stream), path)
     return segmentation.stitch_fragments(done.where("vehicle_id >= 0")).select("event_id", "shape_id", "along", "trip")
-
-
-def stream_rows(stream: DataFrame, path: str) -> DataFrame:
-    from fleetspark.streaming import live
-
-    return live.finished(stream, path)

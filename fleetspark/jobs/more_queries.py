@@ -11,23 +11,53 @@ from fleetspark.sources import files, fixtures
 from fleetspark.streaming import live
 
 
-@query("""SELECT vehicle_id, position_at, seq FROM (SELECT user_id AS vehicle_id, CAST(floor(value / 100) AS BIGINT) AS position_at, event_id AS seq,
-  lag(CAST(floor(value / 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM events) AS k WHERE last IS NULL OR last <> position_at""")
+# The events land in six polls, five days each, one row in ten a poll too late; a poll is one file.
+POLL = "CAST(floor((day(ts) - 1) / 6) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS INT)"
+POLLED = f"(SELECT *, {POLL} AS poll FROM events)"
+# The watermark while a poll is worked on: ten minutes behind the newest row of those before.
+MARKS = f"(SELECT poll, coalesce(max(newest) OVER (ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000, 0) AS mark FROM (SELECT poll, max(epoch_ms(ts)) AS newest FROM {POLLED} AS e GROUP BY 1) AS k)"
+# State drops what is not beyond the watermark of the poll before.
+LATE = f"(SELECT e.*, epoch_us(ts) <= coalesce(m.mark, 0) * 1000 AS late FROM {POLLED} AS e LEFT JOIN {MARKS} AS m ON m.poll = e.poll - 1)"
+
+
+def events(spark, sf_dir, path):
+    """The events as a stream of polls that land one after the other in ``path``."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("poll", F.expr(POLL))
+    for k in range(6):
+        rows.where(F.col("poll") == k).coalesce(1).write.mode("append").parquet(f"{path}/polls")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/polls")
+
+
+SENDER = "user_id * 8 + length(event_type)"
+
+
+@query(f"""SELECT vehicle_id, position_at, seq FROM (
+    SELECT *, lag(position_at) OVER w AS last, lag(poll) OVER w AS last_poll, max(epoch_ms(ts)) OVER (PARTITION BY vehicle_id ORDER BY poll, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+    FROM (SELECT {SENDER} AS vehicle_id, CAST(floor(value / 200) AS BIGINT) AS position_at, event_id, event_id AS seq, poll, ts FROM {POLLED} AS e) AS e WINDOW w AS (PARTITION BY vehicle_id ORDER BY poll, event_id)) AS k
+  LEFT JOIN {MARKS} AS m ON m.poll = k.poll WHERE last IS NULL OR last <> position_at OR (last_poll < k.poll AND m.mark >= seen + 86400000)""")
 def live_changed_only(spark, sf_dir):
-    rows = events(spark, sf_dir).selectExpr("user_id AS vehicle_id", "cast(floor(value / 100) AS bigint) AS at", "event_id AS seq")
-    return live.finished(live.live_changed_only(rows), files.landing(spark)).withColumnRenamed("at", "position_at")
+    """Each user's events of one kind are a vehicle; one without any in a poll is forgotten after a day."""
+    path = files.landing(spark)
+    rows = events(spark, sf_dir, path).selectExpr(f"{SENDER} AS vehicle_id", "cast(floor(value / 200) AS bigint) AS at", "event_id AS seq", "cast(ts AS timestamp) AS polled")
+    return live.finished(live.live_changed_only(rows, 86_400, "10 minutes"), path).withColumnRenamed("at", "position_at")
 
 
-def events(spark, sf_dir):
-    """The events table as a stream of files; a pattern, since the table may be one file."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+def hourly(spark, sf_dir, path):
+    return events(spark, sf_dir, path).select(F.col("user_id").alias("vehicle_id"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query("SELECT DISTINCT user_id AS vehicle_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS at_s FROM events")
+@query(f"SELECT DISTINCT user_id AS vehicle_id, epoch_us(ts) AS at_us FROM {LATE} AS e WHERE NOT late")
 def live_dedupe(spark, sf_dir):
-    rows = events(spark, sf_dir).select(F.col("user_id").alias("vehicle_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"))
-    return live.finished(live.live_dedupe(rows), files.landing(spark)).select("vehicle_id", F.unix_timestamp("ts").alias("at_s"))
+    path = files.landing(spark)
+    return live.finished(live.live_dedupe(hourly(spark, sf_dir, path)), path).select("vehicle_id", F.unix_micros("ts").alias("at_us"))
+
+
+@query(f"SELECT poll::BIGINT AS batch, count(*) AS n, (count(*) FILTER (WHERE late))::BIGINT AS dropped_late FROM {LATE} AS e GROUP BY 1")
+def live_progress(spark, sf_dir):
+    """What the listener hears of the stream of ``live_dedupe``."""
+    path, heard = files.landing(spark), live.Progress()
+    live.finished(live.live_dedupe(hourly(spark, sf_dir, path)), path, heard)
+    return heard.table(spark).where("rows > 0").select("batch", F.col("rows").alias("n"), "dropped_late")
 
 
 ENTITY = "CASE WHEN event_id % 7 = 0 THEN 'x' ELSE cast(user_id AS string) END AS id"
@@ -36,27 +66,31 @@ ENTITY = "CASE WHEN event_id % 7 = 0 THEN 'x' ELSE cast(user_id AS string) END A
 @query("""SELECT user_id AS vehicle_id, CAST(round_even((event_id % 4000) / 10.0::DOUBLE, 0) AS INT) % 360 AS heading, CAST(round_even(CAST(floor(value) AS DOUBLE) * 2.23694::DOUBLE, 0) AS INT) AS average_speed,
   coalesce(CASE WHEN event_id % 3 > 0 THEN 1 END, -1)::INT AS direction_id, count(*) AS n FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 GROUP BY ALL""")
 def live_normalise(spark, sf_dir):
-    rows = events(spark, sf_dir).selectExpr(
+    path = files.landing(spark)
+    rows = events(spark, sf_dir, path).selectExpr(
         ENTITY, "CASE WHEN event_id % 11 > 0 THEN -122.4D END AS lon", "37.7D AS lat", "(event_id % 4000) / 10D AS bearing", "cast(floor(value) AS double) AS speed", "unix_timestamp(cast(ts AS timestamp)) AS ts",
         "0L AS header_ts", "'N' AS route_id", "CASE WHEN event_id % 3 > 0 THEN 1 END AS direction_id", "'t' AS trip_id",
     )
-    return live.finished(live.live_normalise(rows), files.landing(spark)).groupBy("vehicle_id", "heading", "average_speed", "direction_id").agg(F.count("*").alias("n"))
+    return live.finished(live.live_normalise(rows), path).groupBy("vehicle_id", "heading", "average_speed", "direction_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS local_date, count(*) AS n, count(DISTINCT user_id) AS vehicles FROM events GROUP BY 1")
 def live_to_day_files(spark, sf_dir):
     path = files.landing(spark)
-    live.write_by_day(events(spark, sf_dir).select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), f"{path}/days", f"{path}/state").awaitTermination()
+    live.write_by_day(events(spark, sf_dir, path).select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), f"{path}/days", f"{path}/state").awaitTermination()
     found = spark.read.schema("event_id long, user_id long, day string").parquet(f"{path}/days")
     return found.groupBy(F.col("day").alias("local_date")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("vehicles"))
 
 
-@query("SELECT count(*)::BIGINT AS n, (count(*) FILTER (WHERE event_id % 7 = 0))::BIGINT AS errors, CAST(epoch(max(ts)) AS BIGINT) AS last_s FROM events")
+@query(f"""SELECT poll AS batch, row_number() OVER w AS polls, (sum(n) OVER w)::BIGINT AS n, (sum(errors) OVER w)::BIGINT AS errors, max(last_s) OVER w AS last_s, n AS last_n, vehicles AS last_vehicles FROM (
+    SELECT poll, count(*) AS n, count(*) FILTER (WHERE event_id % 7 = 0) AS errors, epoch_ms(max(ts)) // 1000 AS last_s, count(DISTINCT user_id) FILTER (WHERE event_id % 7 > 0) AS vehicles FROM {POLLED} AS e GROUP BY 1) AS k
+  WINDOW w AS (ORDER BY poll)""")
 def live_status(spark, sf_dir):
     path = files.landing(spark)
-    rows = events(spark, sf_dir).selectExpr("CASE WHEN event_id % 7 > 0 THEN user_id END AS vehicle_id", "cast(ts AS timestamp) AS ts")
-    live.live_status(rows, f"{path}/polls", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/polls").agg(F.sum("rows").alias("n"), F.sum("errors").alias("errors"), F.unix_timestamp(F.max("last")).alias("last_s"))
+    rows = events(spark, sf_dir, path).selectExpr("CASE WHEN event_id % 7 > 0 THEN user_id END AS vehicle_id", "cast(ts AS timestamp) AS ts")
+    live.live_status(rows, f"{path}/status", f"{path}/state").awaitTermination()
+    found = live.status_so_far(spark.read.schema("rows long, vehicles long, errors long, last timestamp, batch int").parquet(f"{path}/status"))
+    return found.select("batch", "polls", F.col("rows").alias("n"), "errors", F.unix_timestamp("last").alias("last_s"), F.col("last_rows").alias("last_n"), "last_vehicles")
 
 
 @query("SELECT vehicle_id, route_id, direction_id, count(*) AS n, sum(average_speed)::BIGINT AS speeds, sum(heading::INT)::BIGINT AS headings FROM ping GROUP BY 1, 2, 3")

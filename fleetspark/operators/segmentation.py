@@ -228,7 +228,9 @@ def fragments(placed: DataFrame, s: FollowSettings = DEFAULT) -> DataFrame:
         day = day.sort_values(["t", "event_id"])
         taken = [Ping(k, int(t), speed == 0, places_of(found)) for k, (t, speed, found) in enumerate(zip(day.t, day.average_speed, day.places, strict=True))]
         out = [(own[0][0].key, ping.key, shape, along) for shape, own in pieces(taken, s) for ping, along in own]
-        first, at, shape, along = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
+        if not out:
+            return pd.DataFrame()
+        first, at, shape, along = (list(x) for x in zip(*out, strict=True))
         return day.iloc[at][["day", "vehicle_id", "event_id", "t"]].assign(fragment=day.event_id.iloc[first].to_numpy(), shape_id=shape, along=along)
 
     kinds = [placed.schema[c].dataType.simpleString() for c in ("day", "vehicle_id", "event_id", "t")]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from fleetspark.functions import scalars
+from fleetspark.streaming.follow import ROCKS
 
 ENTITY = "id string, lon double, lat double, bearing double, speed double, ts long, header_ts long, route_id string, direction_id int, trip_id string"
 
@@ -25,29 +28,60 @@ def live_normalise(entities: DataFrame, zone: str = "America/Los_Angeles") -> Da
 
 
 def live_dedupe(positions: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """One row per vehicle and time, as long as the watermark remembers it."""
+    """One row per vehicle and time, as long as the watermark remembers it.
+
+    A row more than ``late`` behind the newest one of the batches but the last is
+    dropped, since it can't be known to be new; ``dropped_late`` of ``Progress`` counts those.
+    """
     return positions.withWatermark("ts", late).dropDuplicatesWithinWatermark(["vehicle_id", "ts"])
 
 
-def live_changed_only(positions: DataFrame) -> DataFrame:
-    """A position only where its time differs from the vehicle's last one seen: A, B, A keeps all three.
+class ChangedProcessor(StatefulProcessor):
+    """State: the time of the vehicle's last position. A timer forgets a vehicle that isn't polled any more."""
 
-    The state is one number per vehicle. Rows of a batch are taken in the order of ``seq``.
-    """
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
 
-    def changed(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        last = state.get[0] if state.exists else None
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, polled_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values("seq")
+        last, polled = self.last.get() if self.last.exists() else (None, 0)
+        if polled + self.forget_ms <= timerValues.getCurrentWatermarkInMs():  # its timer is due in this very batch
+            last = None
         keep = rows["at"].ne(rows["at"].shift(1))
         keep.iloc[0] = last is None or rows["at"].iloc[0] != last
-        state.update((int(rows["at"].iloc[-1]),))
-        yield rows[keep]
+        polled = max(polled, int(rows["polled_ms"].max()))
+        self.last.update((int(rows["at"].iloc[-1]), polled))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(polled + self.forget_ms)
+        yield rows.loc[keep, ["at", "seq"]].assign(vehicle_id=key[0])[["vehicle_id", "at", "seq"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"vehicle_id": [], "at": [], "seq": []}, dtype="int64")
 
-    return positions.select("vehicle_id", "at", "seq").groupBy("vehicle_id").applyInPandasWithState(changed, "vehicle_id long, at long, seq long", "last long", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def live_changed_only(positions: DataFrame, forget_seconds: int = 86_400, late: str = "10 minutes") -> DataFrame:
+    """A position only where its time differs from the vehicle's last one seen: A, B, A keeps all three.
+
+    ``positions``: vehicle_id, at, seq, and ``polled``, the timestamp of the poll,
+    by which state lives: a vehicle not polled for ``forget_seconds`` is
+    forgotten once the watermark, ``late`` behind the newest poll, has passed
+    that. One number per vehicle, in RocksDB (``ROCKS``), so the fleets of years don't pile up. Rows of a batch are taken in the order of ``seq``.
+    """
+    keyed = positions.select("vehicle_id", "at", "seq", "polled", F.unix_millis("polled").alias("polled_ms")).withWatermark("polled", late).groupBy("vehicle_id")
+    return keyed.transformWithStateInPandas(ChangedProcessor(1000 * forget_seconds), "vehicle_id long, at long, seq long", "append", "eventTime")
 
 
 def changed_only_batch(positions: DataFrame) -> DataFrame:
-    """The same over a finished table (vehicle_id, at, seq)."""
+    """The same over a finished table (vehicle_id, at, seq), in which no vehicle is ever forgotten."""
     from pyspark.sql import Window
 
     last = F.lag("at").over(Window.partitionBy("vehicle_id").orderBy("seq"))
@@ -60,18 +94,70 @@ def write_by_day(positions: DataFrame, path: str, checkpoint: str):
 
 
 def live_status(positions: DataFrame, path: str, checkpoint: str):
-    """A row per poll (micro-batch): batch, rows, vehicles, errors (rows without vehicle or time) and the last time seen."""
+    """A row per poll (micro-batch): batch, rows, vehicles, errors (rows without vehicle or time) and the last time seen.
+
+    A poll that is run again after a failure replaces its own row.
+    """
 
     def tell(batch: DataFrame, number: int) -> None:
         bad = F.col("vehicle_id").isNull() | F.col("ts").isNull()
-        found = batch.agg(F.lit(number).alias("batch"), F.count("*").alias("rows"), F.countDistinct("vehicle_id").alias("vehicles"), F.count_if(bad).alias("errors"), F.max("ts").alias("last"))
-        found.write.mode("append").parquet(path)
+        found = batch.agg(F.count("*").alias("rows"), F.countDistinct("vehicle_id").alias("vehicles"), F.count_if(bad).alias("errors"), F.max("ts").alias("last"))
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return positions.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def finished(stream: DataFrame, path: str) -> DataFrame:
+def status_so_far(polls: DataFrame) -> DataFrame:
+    """Running status after each poll: polls, rows and errors so far, the last time seen, the poll's own rows and vehicles."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # a row per poll, some thousand a day
+    return polls.select("batch", F.count("*").over(w).alias("polls"), F.sum("rows").over(w).alias("rows"), F.sum("errors").over(w).alias("errors"), F.max("last").over(w).alias("last"), F.col("rows").alias("last_rows"), F.col("vehicles").alias("last_vehicles"))
+
+
+class Progress(StreamingQueryListener):
+    """What Spark itself tells of each batch of one query: its number, rows in, rows that state dropped as late, the watermark."""
+
+    def __init__(self):
+        self.query, self.batches, self.ended = None, {}, False
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = json.loads(event.progress.json)
+        if self.query in (None, p["id"]) and (p["numInputRows"] or p["batchId"] not in self.batches):
+            late = sum(s.get("numRowsDroppedByWatermark", 0) for s in p.get("stateOperators", ()))
+            self.batches[p["batchId"]] = (p["batchId"], p["numInputRows"], late, p.get("eventTime", {}).get("watermark"))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended = True
+
+    def table(self, spark) -> DataFrame:
+        """One row per batch of a stream, which are few."""
+        return spark.createDataFrame(sorted(self.batches.values()), "batch long, rows long, dropped_late long, watermark string")
+
+
+def finished(stream: DataFrame, path: str, progress: Progress | None = None) -> DataFrame:
     """All that ``stream`` gives for what its source has now, as files in ``path``, read back."""
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    import time
+
+    spark = stream.sparkSession
+    spark.conf.set(*ROCKS)
+    if progress:
+        spark.streams.addListener(progress)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+        if progress:
+            progress.query = str(query.id)
+        query.awaitTermination()
+        until = time.time() + 20
+        while progress and not progress.ended and time.time() < until:  # events come by another thread
+            time.sleep(0.05)
+    finally:
+        if progress:
+            spark.streams.removeListener(progress)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetspark.jobs import registry
 from fleetspark.operators import matching, network, scenarios, segmentation, states, timelines
 from fleetspark.sources import files
-from fleetspark.streaming import live
+from fleetspark.streaming import follow, live
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -78,16 +78,60 @@ def test_projected_stops_keep_their_order(spark):
     assert [r.d for r in network.project_stops(stops, segments).orderBy("seq").collect()] == [10.0, 200.0, 295.0]
 
 
-def test_stream_is_the_batch(spark, tmp_path):
-    rows = [(1, 10, 0), (1, 20, 1), (1, 10, 2), (1, 10, 3), (2, 5, 4), (2, 5, 5)]
-    batch = spark.createDataFrame(rows, "vehicle_id long, at long, seq long")
-    for k in range(3):
-        batch.where(F.floor(F.col("seq") / 2) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = live.live_changed_only(spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert out == [0, 1, 2, 4] == sorted(r.seq for r in live.changed_only_batch(batch).collect())
+def polls(spark, path, rows, schema):
+    """Rows (poll, ...) as a stream of one file per poll."""
+    table = spark.createDataFrame(rows, "poll int, " + schema)
+    for (k,) in table.select("poll").distinct().orderBy("poll").collect():
+        table.where(F.col("poll") == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def test_changed_positions_of_a_vehicle_that_expires_and_comes_back(spark, tmp_path):
+    at = lambda h: f"2024-01-01 {h:02}:00:00"
+    rows = [(0, 1, 10, 0, at(0)), (0, 1, 20, 1, at(0)), (0, 2, 5, 2, at(0)), (1, 1, 10, 3, at(1)), (1, 1, 10, 4, at(1)), (1, 3, 7, 5, at(1)), (2, 1, 10, 6, at(2)), (3, 1, 10, 7, at(5)), (4, 1, 10, 8, at(6)), (4, 2, 5, 9, at(6)), (4, 3, 7, 10, at(6))]
+    stream = polls(spark, tmp_path, rows, "vehicle_id long, at long, seq long, time string").withColumn("polled", F.col("time").cast("timestamp"))
+    forgotten = live.finished(live.live_changed_only(stream, forget_seconds=3 * 3600), str(tmp_path / "a"))
+    # Vehicles 2 and 3 were last polled at 0 and 1 o'clock: the watermark of poll 4, 4:50, is three hours beyond both. Vehicle 1 is polled all the time.
+    assert sorted(r.seq for r in forgotten.collect()) == [0, 1, 2, 3, 5, 9, 10]
+    kept = live.finished(live.live_changed_only(stream, forget_seconds=24 * 3600), str(tmp_path / "b"))
+    batch = spark.createDataFrame([r[1:4] for r in rows], "vehicle_id long, at long, seq long")
+    assert sorted(r.seq for r in kept.collect()) == [0, 1, 2, 3, 5] == sorted(r.seq for r in live.changed_only_batch(batch).collect())
+
+
+def test_late_rows_are_dropped_and_told_of(spark, tmp_path):
+    at = lambda h, m: f"2024-01-01 {h:02}:{m:02}:00"
+    rows = [(0, 1, at(1, 0)), (0, 1, at(1, 0)), (1, 1, at(1, 0)), (1, 2, at(3, 0)), (2, 1, at(1, 5)), (3, 1, at(1, 6)), (3, 2, at(2, 55)), (3, 2, at(3, 0))]
+    stream = polls(spark, tmp_path, rows, "vehicle_id long, time string").select("vehicle_id", F.col("time").cast("timestamp").alias("ts"))
+    heard = live.Progress()
+    out = live.finished(live.live_dedupe(stream), str(tmp_path / "out"), heard)
+    assert sorted((r.vehicle_id, str(r.ts)[11:16]) for r in out.collect()) == [(1, "01:00"), (1, "01:05"), (2, "02:55"), (2, "03:00")]
+    told = {r.batch: (r.rows, r.dropped_late) for r in heard.table(spark).where("rows > 0").collect()}
+    assert told == {0: (2, 0), 1: (2, 0), 2: (1, 0), 3: (3, 1)}
+
+
+def test_status_counts_polls_and_a_poll_again_replaces_its_row(spark, tmp_path):
+    rows = [(0, 1, "2024-01-01 01:00:00"), (0, None, "2024-01-01 01:00:00"), (1, 2, None), (2, 1, "2024-01-01 00:30:00"), (2, 2, "2024-01-01 00:40:00")]
+    stream = polls(spark, tmp_path, rows, "vehicle_id long, time string").select("vehicle_id", F.col("time").cast("timestamp").alias("ts"))
+    for k in range(2):  # the second time all is done again
+        live.live_status(stream, str(tmp_path / "status"), str(tmp_path / f"state{k}")).awaitTermination()
+    found = live.status_so_far(spark.read.parquet(str(tmp_path / "status"))).orderBy("batch").collect()
+    assert [(r.polls, r.rows, r.errors, str(r.last)[11:16], r.last_rows, r.last_vehicles) for r in found] == [(1, 2, 1, "01:00", 2, 1), (2, 3, 2, "01:00", 1, 1), (3, 5, 2, "01:00", 2, 2)]
+
+
+def test_followed_live_with_late_pings_is_the_day(spark, tmp_path):
+    rng, rows = random.Random(3), []
+    for vehicle in (1, 2):
+        t = 0
+        for k in range(60):
+            t += rng.choice([20, 20, 30, 400, 700])
+            place = [(shape, float(t % 4000 + rng.choice([0, 0, 300, -200])), shape.lower(), "0", False, 0, 0, []) for shape in "Aab" if rng.random() < 0.7]
+            rows.append((min(4, t // 3000 + (k % 5 == 0)), 1, vehicle, 1000 * vehicle + k, t, 5, place))
+    rows.append((9, 1, 3, 1, 10**6, 5, []))
+    stream = polls(spark, tmp_path, rows, f"day int, vehicle_id long, event_id long, t int, average_speed int, places array<{segmentation.PLACE}>")
+    live_pieces = live.finished(follow.follow_live(stream.withColumn("at", F.timestamp_seconds("t")), late="2 hours"), str(tmp_path / "out"))
+    whole = segmentation.fragments(spark.read.schema(stream.schema).parquet(str(tmp_path / "in")))
+    one = lambda df: sorted(map(tuple, df.select("vehicle_id", "fragment", "event_id", "t", "shape_id", "along").collect()))
+    assert one(live_pieces) == one(whole) and len({r[1] for r in one(whole)}) > 5
 
 
 def test_live_rows(spark):
