@@ -49,10 +49,6 @@ VIEWS |= {
       SELECT *, CASE WHEN time > 0 THEN dist / time END AS speed FROM (
         SELECT route_id, direction_id, bin, hour, mode, sum(time) AS time, sum(dist) AS dist, count(DISTINCT trip) AS trips
         FROM bin_part WHERE hour BETWEEN 5 AND 23 GROUP BY ALL) AS k""",
-    "near_hour": """
-      SELECT route_id, direction_id, hour, at_hour FROM (
-        SELECT *, CASE WHEN list_contains(hs, hour) THEN hour WHEN list_contains(hs, hour + 1) THEN hour + 1 WHEN list_contains(hs, hour - 1) THEN hour - 1 END AS at_hour
-        FROM (SELECT route_id, direction_id, list(DISTINCT hour) AS hs FROM grid GROUP BY 1, 2) AS k, (SELECT unnest(range(0, 48))::INT AS hour) AS h) AS k WHERE at_hour IS NOT NULL""",
     "reference": """
       SELECT route_id, direction_id, bin, least(greatest(p, 8.0::DOUBLE / 2.23694::DOUBLE), CASE WHEN mode = 'rail' THEN 50.0::DOUBLE ELSE 30.0::DOUBLE END / 2.23694::DOUBLE) AS vref
       FROM (SELECT route_id, direction_id, bin, mode, quantile_cont(speed, 0.9) AS p FROM grid WHERE trips >= 1 AND speed IS NOT NULL GROUP BY ALL) AS k""",

@@ -24,7 +24,7 @@ def points(spark, sf_dir):
     SELECT route_id, direction_id, min(d) FILTER (WHERE u) AS lo, max(d) FILTER (WHERE u) AS hi, min_by(u, d) AS f, max_by(u, d) AS l FROM (SELECT *, starts_with(name, 'red') OR starts_with(name, 'old') AS u FROM stop) AS k GROUP BY 1, 2) AS s
   JOIN route_dir AS r ON r.route_id = s.route_id AND r.direction_id = s.direction_id LEFT JOIN (
     SELECT route_id, direction_id, min(p.d) AS plo, max(p.d) AS phi FROM (SELECT b.route_id, b.direction_id, a.signal_id, min({{'off': {NEAR}, 'd': b.d}}) AS p FROM signal AS a JOIN shape_point AS b ON {NEAR} < 60 WHERE a.signal_id % 5 = 0 GROUP BY 1, 2, 3) AS k GROUP BY 1, 2) AS p
-    ON p.route_id = s.route_id AND p.direction_id = s.direction_id WHERE lo IS NOT NULL""", ("d0", "d1"))
+    ON p.route_id = s.route_id AND p.direction_id = s.direction_id WHERE lo IS NOT NULL AND r.mode = 'rail'""", ("d0", "d1"))
 def tunnel_ranges(spark, sf_dir):
     portals = t.view(spark, sf_dir, "signal").where("signal_id % 5 = 0").withColumnRenamed("signal_id", "portal_id")
     return corridors.tunnel_ranges(t.view(spark, sf_dir, "stop"), points(spark, sf_dir), portals, t.view(spark, sf_dir, "route_dir"), UNDERGROUND)
@@ -89,16 +89,23 @@ def corridor_pair_times_pooled(spark, sf_dir):
     return corridors.corridor_pair_times(t.moving_pings(spark, sf_dir), stations(spark, sf_dir), pooled=True, days=2)
 
 
-@query("""SELECT way, concat(a.station, '|', b.station) AS pair, CAST(floor(a.s / 3600) AS INT) AS hour, count(*) AS trips, quantile_cont(b.s - a.s, 0.5) / 60.0::DOUBLE AS median FROM
+SCHEDULED = """SELECT way, concat(a.station, '|', b.station) AS pair, CAST(floor(a.s / 3600) AS INT) AS hour, count(*) AS trips, quantile_cont(b.s - a.s, 0.5) / 60.0::DOUBLE AS median FROM
   (SELECT *, CASE WHEN last_value(place) OVER w > first_value(place) OVER w THEN 'in' ELSE 'out' END AS way FROM STOPS WINDOW w AS (PARTITION BY trip_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS a
   JOIN STOPS AS b ON a.trip_id = b.trip_id AND a.k < b.k AND a.station <> b.station GROUP BY 1, 2, 3""".replace("STOPS", """(SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY s, stop_sequence) AS k FROM (
-  SELECT trip_id, stop_sequence, stop_id AS place, concat('p', stop_id % 7) AS station, CAST(substr(departure, 1, 2) AS INT) * 3600 + CAST(substr(departure, 4, 2) AS INT) * 60 AS s FROM stop_time) AS k)"""), ("median",))
-def subway_schedule_pairs(spark, sf_dir):
+  SELECT trip_id, stop_sequence, stop_id AS place, concat('{0}', stop_id % {1}) AS station, CAST(substr(departure, 1, 2) AS INT) * 3600 + CAST(substr(departure, 4, 2) AS INT) * 60 AS s FROM stop_time) AS k)""")
+
+
+def scheduled(spark, sf_dir, letter, stations_):
     times = t.view(spark, sf_dir, "stop_time")
-    named = times.select("stop_id", F.concat(F.lit("p"), F.col("stop_id") % 7).alias("station"), F.col("stop_id").alias("place")).distinct()
+    named = times.select("stop_id", F.concat(F.lit(letter), F.col("stop_id") % stations_).alias("station"), F.col("stop_id").alias("place")).distinct()
     return corridors.schedule_pairs(times, named)
 
 
+@query(SCHEDULED.format("p", 7), ("median",))
+def subway_schedule_pairs(spark, sf_dir):
+    return scheduled(spark, sf_dir, "p", 7)
+
+
 # A line 10 m beside each route's way out, a little shorter for each; its stations are the route's.
 LINE = "(SELECT route_id AS line, x, y + 10 AS y, bearing, d - 500 AS m FROM shape_point WHERE direction_id = 0 AND d BETWEEN 500 AND 4000 - 300 * CAST(substr(route_id, 2) AS INT))"
 ON = f"""(SELECT *, count(*) OVER (PARTITION BY line, route_id, direction_id) AS n FROM (SELECT line, route_id, direction_id, seq, d, bearing, p.m AS m, p.b AS b FROM (
@@ -159,8 +166,8 @@ def _near(rows: str, keys: str, values: str) -> str:
       SELECT {keys}, hour, {values}, 0 AS rank FROM {rows} AS a UNION ALL SELECT {keys}, hour - 1, {values}, 1 FROM {rows} AS a UNION ALL SELECT {keys}, hour + 1, {values}, 2 FROM {rows} AS a) AS u) AS u WHERE k = 1)"""
 
 
-CUT = """(SELECT s.route_id, h.hour, sum(100.0::DOUBLE / CASE WHEN g.speed > 0 THEN g.speed ELSE 3.129263::DOUBLE END) / 60.0::DOUBLE AS minutes FROM (SELECT route_id, direction_id, unnest(range({0}, {1}))::INT AS bin FROM route_dir WHERE direction_id = {2}) AS s
-  JOIN near_hour AS h ON h.route_id = s.route_id AND h.direction_id = s.direction_id LEFT JOIN grid AS g ON g.route_id = s.route_id AND g.direction_id = s.direction_id AND g.bin = s.bin AND g.hour = h.at_hour GROUP BY 1, 2)"""
+CUT = """(SELECT s.route_id, h.hour, sum(100.0::DOUBLE / (CASE WHEN g.mph > 0 THEN g.mph ELSE 7.0::DOUBLE END / 2.23694::DOUBLE)) / 60.0::DOUBLE AS minutes FROM (SELECT route_id, direction_id, unnest(range({0}, {1}))::INT AS bin FROM route_dir WHERE direction_id = {2}) AS s
+  CROSS JOIN (SELECT unnest(range(5, 24))::INT AS hour) AS h LEFT JOIN heat AS g ON g.route_id = s.route_id AND g.direction_id = s.direction_id AND g.bin = s.bin AND g.hour = h.hour GROUP BY 1, 2)"""
 SERVICE = """(SELECT * FROM (SELECT route_id, CAST(floor(t0 / 3600) AS INT) AS hour, count(*) FILTER (WHERE direction_id = 1) AS tph, quantile_cont(t1 - t0, 0.5) / 30.0::DOUBLE AS round_trip FROM extent GROUP BY 1, 2) AS k WHERE tph > 0)"""
 TRUNCATED = f"""(SELECT route_id, hour, saved, 60.0::DOUBLE / tph AS headway, 60.0::DOUBLE / tph * (cycle - saved) / cycle AS new_headway, cycle / (60.0::DOUBLE / tph) AS buses, saved / (60.0::DOUBLE / tph) AS freed, sum(tph * saved / 60.0::DOUBLE) OVER (PARTITION BY route_id) AS daily_hours FROM (
   SELECT s.route_id, s.hour, s.tph, round_trip * 1.12::DOUBLE AS cycle, greatest(i.minutes + o.minutes - 4, 0.0::DOUBLE) AS saved FROM {SERVICE} AS s JOIN {CUT.format(25, 50, 1)} AS i ON i.route_id = s.route_id AND i.hour = s.hour JOIN {CUT.format(0, 25, 0)} AS o ON o.route_id = s.route_id AND o.hour = s.hour) AS k)"""
@@ -168,7 +175,7 @@ TRUNCATED = f"""(SELECT route_id, hour, saved, 60.0::DOUBLE / tph AS headway, 60
 
 def truncated(spark, sf_dir):
     """Every route is cut at 2,500 m."""
-    cells = t.speed_grid(spark, sf_dir)
+    cells = t.heat(spark, sf_dir)
     part = lambda way, d0, d1: scenarios.segment_minutes(t.view(spark, sf_dir, "route_dir").where(F.col("direction_id") == way).select("route_id", "direction_id", F.lit(d0).alias("d0"), F.lit(d1).alias("d1")), cells, "route_id")
     service = t.extents(spark, sf_dir).groupBy("route_id", F.floor(F.col("t0") / 3600).cast("int").alias("hour")).agg(F.count_if(F.col("direction_id") == 1).alias("tph"), (F.percentile(F.col("t1") - F.col("t0"), 0.5) / 30.0).alias("round_trip"))
     return scenarios.corridor_truncation(part(1, 2500.0, 5000.0), part(0, 0.0, 2500.0), service)
@@ -182,16 +189,22 @@ def corridor_truncation(spark, sf_dir):
     return truncated(spark, sf_dir)
 
 
-BUS = f"(SELECT * FROM (SELECT route_id, pair, hour, quantile_cont(seconds, 0.5) / 60.0::DOUBLE AS stay, count(*) AS n FROM {SPANS} AS s WHERE direction_id = 1 GROUP BY 1, 2, 3) AS k WHERE n >= 1)"
-RAIL = f"(SELECT pair, hour, quantile_cont(seconds, 0.5) / 60.0::DOUBLE AS ride, count(*)::DOUBLE AS per_hour FROM {SPANS} AS s WHERE direction_id = 1 GROUP BY 1, 2)"
+BUS = f"(SELECT * FROM (SELECT route_id, pair, hour, quantile_cont(seconds, 0.5) / 60.0::DOUBLE AS stay, quantile_cont(seconds, 0.9) / 60.0::DOUBLE AS stay_p90, count(*) AS n FROM {SPANS} AS s WHERE direction_id = 1 GROUP BY 1, 2, 3) AS k WHERE n >= 1)"
+RAIL = f"(SELECT pair, hour, quantile_cont(seconds, 0.5) / 60.0::DOUBLE AS ride, count(*)::DOUBLE AS per_hour FROM {SPANS} AS s WHERE direction_id = 1 AND route_id = 'R3' GROUP BY 1, 2)"
+
+
+PLANNED = f"(SELECT pair, hour, trips, median FROM ({SCHEDULED.format('s', 6)}) AS k WHERE way = 'in')"
 
 
-@query(f"""SELECT *, via - gain - stay AS net FROM (SELECT b.route_id, b.pair, b.hour, stay, 3.0::DOUBLE + 30.0::DOUBLE / per_hour + ride + 5 AS via, (headway - new_headway) / 2 AS gain FROM {BUS} AS b JOIN {RAIL} AS r USING (pair, hour) JOIN {TRUNCATED} AS t ON t.route_id = b.route_id AND t.hour = b.hour) AS k""", ("stay", "via", "gain", "net"))
+@query(f"""SELECT *, via - gain - stay AS net FROM (SELECT *, 3.0::DOUBLE + wait + ride + 5 AS via FROM (
+    SELECT b.route_id, b.pair, b.hour, stay, stay_p90, coalesce(r.ride, p.median) AS ride, p.median AS planned, r.ride IS NOT NULL AS measured, coalesce(p.trips::DOUBLE, r.per_hour) AS trains, 30.0::DOUBLE / coalesce(p.trips::DOUBLE, r.per_hour) AS wait, coalesce((headway - new_headway) / 2, 0.0::DOUBLE) AS gain
+    FROM {BUS} AS b LEFT JOIN {RAIL} AS r USING (pair, hour) LEFT JOIN {PLANNED} AS p USING (pair, hour) LEFT JOIN {TRUNCATED} AS t ON t.route_id = b.route_id AND t.hour = b.hour WHERE r.ride IS NOT NULL OR p.median IS NOT NULL) AS k) AS k""", ("stay", "stay_p90", "ride", "planned", "trains", "wait", "via", "gain", "net"))
 def corridor_transfer_rides(spark, sf_dir):
+    """The way in of all routes is the bus; that of route 3, observed, and the schedule's are the rail."""
     pings, at = t.moving_pings(spark, sf_dir), stations(spark, sf_dir).where("direction_id = 1")
     bus = corridors.corridor_pair_times(pings, at, least=1)
-    rail = corridors.corridor_pair_times(pings, at, least=1, pooled=True).withColumnRenamed("per_day", "per_hour")
-    return scenarios.transfer_rides(bus, rail, truncated(spark, sf_dir))
+    rail = corridors.corridor_pair_times(pings, at.where("route_id = 'R3'"), least=1, pooled=True).withColumnRenamed("per_day", "per_hour")
+    return scenarios.transfer_rides(bus, rail, scheduled(spark, sf_dir, "s", 6).where("way = 'in'"), truncated(spark, sf_dir))
 
 
 WAY = "SELECT * FROM {} AS w WHERE direction_id = 1"

@@ -23,7 +23,7 @@ def _spread(seconds: str) -> list[Column]:
 
 
 def tunnel_ranges(stops: DataFrame, points: DataFrame, portals: DataFrame, routes: DataFrame, names: tuple[str, ...], radius: float = 60.0) -> DataFrame:
-    """``route_id, direction_id, d0, d1``: the stretch underground of routes with a station named so.
+    """``route_id, direction_id, d0, d1``: the stretch underground of rail routes with a station named so.
 
     From the first to the last underground station or portal (x, y, portal_id)
     nearer than ``radius`` to the shape; to the route's end where that station is
@@ -38,7 +38,7 @@ def tunnel_ranges(stops: DataFrame, points: DataFrame, portals: DataFrame, route
     shape = points.select(*KEY, "d", F.col("x").alias("px"), F.col("y").alias("py"))
     close = near_points(portals.select("portal_id", "x", "y"), shape, radius).groupBy(*KEY, "portal_id").agg(F.min(F.struct("off", "d")).alias("_b"))
     mouths = close.groupBy(*KEY).agg(F.min("_b.d").alias("_plo"), F.max("_b.d").alias("_phi"))
-    rows = own.where("_lo is not null").join(mouths, list(KEY), "left").join(routes.select(*KEY, "length"), list(KEY))
+    rows = own.where("_lo is not null").join(mouths, list(KEY), "left").join(routes.where("mode = 'rail'").select(*KEY, "length"), list(KEY))
     d0 = F.when(F.col("_first"), F.lit(0.0)).otherwise(F.least("_lo", "_plo"))
     d1 = F.when(F.col("_last"), F.col("length")).otherwise(F.greatest("_hi", "_phi"))
     return rows.select(*KEY, d0.alias("d0"), d1.alias("d1"))

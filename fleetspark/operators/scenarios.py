@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspark.operators.grid import MPS
 from fleetspark.operators.matching import near_points
 
 KEY = ("route_id", "direction_id")
@@ -28,21 +31,21 @@ def hotspots(delays: DataFrame, shapes: DataFrame, cell: float = 150.0, ends: fl
     return cells.where(F.col("hours") >= least_hours).orderBy(F.desc(F.round("hours", 6)), "cx", "cy").limit(top)
 
 
-def segment_minutes(parts: DataFrame, grid: DataFrame, key: str, walking: float = 3.129263, bin_metres: float = 100.0) -> DataFrame:
-    """Minutes over [d0, d1] of a route in each hour, from the speed grid.
+def segment_minutes(parts: DataFrame, heat: DataFrame, key: str, hours: Iterable[int] = range(5, 24), first_hour: int = 5, last_hour: int = 23, slow_mph: float = 7.0, bin_metres: float = 100.0) -> DataFrame:
+    """Minutes over [d0, d1] of a route in each of ``hours``, from its display cells (``grid.heat_cells``).
 
-    Every bin counts: one without a cell or speed in the hour goes at ``walking``
-    m/s. An hour in which the route has no cell at all takes the cells of the
-    next hour, else of the one before; without those it has no row.
+    Every bin counts: one without a cell, or whose cell stands still, goes at
+    ``slow_mph``. The grid has all hours from ``first_hour`` to ``last_hour``,
+    with cells or without, so a quiet hour is slow throughout and borrows from
+    none. An hour outside takes the grid's next one, else the one before; further out all is slow.
     """
     first, last = F.floor(F.col("d0") / bin_metres), F.floor((F.col("d1") - F.lit(1e-6)) / bin_metres)
-    rows = parts.withColumn("bin", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    source = {h: next((x for x in (h, h + 1, h - 1) if first_hour <= x <= last_hour), None) for h in hours}
+    asked = F.array(*[F.struct(F.lit(h).alias("hour"), F.lit(x).cast("int").alias("_from")) for h, x in source.items()])
+    rows = parts.select(key, *[c for c in KEY if c != key], "d0", "d1", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("bin")).select("*", F.inline(asked))
     metres = F.least(F.col("bin") * F.lit(bin_metres) + bin_metres, F.col("d1")) - F.greatest(F.col("bin") * F.lit(bin_metres), F.col("d0"))
-    seen = grid.select(*KEY, "hour").distinct().withColumn("_from", F.col("hour"))
-    hours = near_hours(seen, list(KEY), ["_from"])
-    cells = grid.select(*KEY, "bin", F.col("hour").alias("_from"), "speed")
-    rows = rows.join(hours, list(KEY)).join(cells, [*KEY, "bin", "_from"], "left")
-    speed = F.when(F.col("speed") > 0, F.col("speed")).otherwise(walking)
+    rows = rows.join(heat.select(*KEY, "bin", F.col("hour").alias("_from"), "mph"), [*KEY, "bin", "_from"], "left")
+    speed = F.when(F.col("mph") > 0, F.col("mph")).otherwise(F.lit(slow_mph)) / MPS
     return rows.groupBy(key, "hour").agg((F.sum(metres / speed) / 60.0).alias("minutes"))
 
 
@@ -77,8 +80,8 @@ def corridor_truncation(cut_in: DataFrame, cut_out: DataFrame, service: DataFram
 
     ``cut_in``, ``cut_out``: route_id, hour, minutes of running time cut.
     ``service``: route_id, hour, tph (trips an hour), round_trip (minutes of both
-    directions). ``turn``: minutes to turn round at the new end. Hours without a
-    cut (see ``segment_minutes``) have no row. Gives the minutes saved a round trip, old and new headway, buses, buses freed, and the bus-hours of
+    directions). ``turn``: minutes to turn round at the new end. Hours that
+    ``segment_minutes`` wasn't asked for have no row. Gives the minutes saved a round trip, old and new headway, buses, buses freed, and the bus-hours of
     the route's whole day.
     """
     rows = service.join(cut_in.withColumnRenamed("minutes", "cut_in"), ["route_id", "hour"]).join(cut_out.withColumnRenamed("minutes", "cut_out"), ["route_id", "hour"])
@@ -89,16 +92,24 @@ def corridor_truncation(cut_in: DataFrame, cut_out: DataFrame, service: DataFram
     return rows.withColumn("daily_hours", day).select("route_id", "hour", "saved", "headway", "new_headway", "buses", "freed", "daily_hours")
 
 
-def transfer_rides(bus: DataFrame, rail: DataFrame, headways: DataFrame, walk: float = 3.0, penalty: float = 5.0) -> DataFrame:
+def transfer_rides(bus: DataFrame, observed: DataFrame, scheduled: DataFrame, headways: DataFrame, walk: float = 3.0, penalty: float = 5.0) -> DataFrame:
     """Riders who change to rail against staying on the bus, in minutes.
 
-    ``bus``: route_id, pair, hour, median. ``rail``: pair, hour, median,
-    per_hour. ``headways``: route_id, hour, headway, new_headway.
+    ``bus``: route_id, pair, hour, median, p90. ``observed`` rail: pair, hour,
+    median, per_hour. ``scheduled`` rail: pair, hour, trips, median. ``headways``:
+    route_id, hour, headway, new_headway. A pair that either rail table has
+    counts: the ride is as observed, else as scheduled; trains an hour are as
+    scheduled, else as observed, for one day sees too few of those that run part
+    of the way. Without headways nobody gains a shorter wait.
     """
-    rows = bus.select("route_id", "pair", "hour", F.col("median").alias("stay")).join(rail.select("pair", "hour", F.col("median").alias("ride"), "per_hour"), ["pair", "hour"])
-    rows = rows.join(headways.select("route_id", "hour", "headway", "new_headway"), ["route_id", "hour"])
-    rows = rows.withColumns({"via": walk + 30.0 / F.col("per_hour") + F.col("ride") + penalty, "gain": (F.col("headway") - F.col("new_headway")) / 2})
-    return rows.select("route_id", "pair", "hour", "stay", "via", "gain", (F.col("via") - F.col("gain") - F.col("stay")).alias("net"))
+    seen = observed.select("pair", "hour", F.col("median").alias("seen"), "per_hour")
+    plan = scheduled.select("pair", "hour", F.col("median").alias("planned"), F.col("trips").cast("double").alias("trips"))
+    rail = seen.join(plan, ["pair", "hour"], "full").select("pair", "hour", F.coalesce("seen", "planned").alias("ride"), "planned", F.col("seen").isNotNull().alias("measured"), F.coalesce("trips", "per_hour").alias("trains"))
+    rows = bus.select("route_id", "pair", "hour", F.col("median").alias("stay"), F.col("p90").alias("stay_p90")).join(rail, ["pair", "hour"])
+    rows = rows.join(headways.select("route_id", "hour", "headway", "new_headway"), ["route_id", "hour"], "left")
+    rows = rows.withColumns({"wait": 30.0 / F.col("trains"), "gain": F.coalesce((F.col("headway") - F.col("new_headway")) / 2, F.lit(0.0))})
+    rows = rows.withColumn("via", walk + F.col("wait") + F.col("ride") + penalty)
+    return rows.select("route_id", "pair", "hour", "stay", "stay_p90", "ride", "planned", "measured", "trains", "wait", "via", "gain", (F.col("via") - F.col("gain") - F.col("stay")).alias("net"))
 
 
 def trunk_transfer(portals: DataFrame, rides: DataFrame, pairs: DataFrame, lines: DataFrame, goal: str, per_hour: float, walk: float = 2.0, spread: float = 0.3) -> DataFrame:
