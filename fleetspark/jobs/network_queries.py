@@ -252,14 +252,59 @@ def signal_ranking_by_wait(spark, sf_dir):
     return signals.signal_ranking(totals(spark, sf_dir), by="wait", least_passes=3.0)
 
 
-@query(f"""SELECT z.signal_id, hour, sum(w) / 3600.0::DOUBLE AS hours FROM (
+HOURS = f"""(SELECT z.signal_id, hour, sum(w) / 3600.0::DOUBLE AS hours FROM (
     SELECT z.event_id, z.route_id, z.direction_id, least(greatest(z.hour, 0), 23) AS hour, z.along, z.w, arg_min(p.signal_id, {{'d': p.d, 's': p.signal_id}}) AS signal_id, min(p.d) AS d FROM state_ping AS z JOIN {POSITION} AS p USING (route_id, direction_id)
-    WHERE p.d >= z.along - 12 AND state IN (1, 3) GROUP BY ALL) AS z SEMI JOIN {WAIT} AS v ON v.route_id = z.route_id AND v.direction_id = z.direction_id AND v.signal_id = z.signal_id WHERE d - along <= 75 GROUP BY 1, 2""", ("hours",))
+    WHERE p.d >= z.along - 12 AND state IN (1, 3) GROUP BY ALL) AS z SEMI JOIN {WAIT} AS v ON v.route_id = z.route_id AND v.direction_id = z.direction_id AND v.signal_id = z.signal_id WHERE d - along <= 75 GROUP BY 1, 2)"""
+
+
+@query(f"SELECT * FROM {HOURS} AS h", ("hours",))
 def waits_by_hour(spark, sf_dir):
     found = positions(spark, sf_dir)
     return signals.signal_hours(t.state_pings(spark, sf_dir), found, waits(spark, sf_dir))
 
 
+def _seen(hours: str, mine: str, more: str = "") -> str:
+    return f"""(SELECT k.signal_id, {hours} AS hours, coalesce(own_wait / own_passes, 0.0::DOUBLE) AS wait, coalesce(own_passes, 0)::DOUBLE AS passes FROM (
+      SELECT signal_id, sum(wait) AS whole, coalesce(sum(wait) FILTER (WHERE {mine}), 0.0::DOUBLE) AS own, sum(passes) FILTER (WHERE {mine} AND k <= 8) AS own_passes, sum(wait) FILTER (WHERE {mine} AND k <= 8) AS own_wait
+      FROM (SELECT w.*, mode, row_number() OVER (PARTITION BY signal_id ORDER BY round(wait, 6) DESC, w.route_id, w.direction_id) AS k FROM {WAIT} AS w JOIN route_dir AS r USING (route_id, direction_id)) AS w GROUP BY 1) AS k {more} WHERE whole > 0)"""
+
+
+def _at(hour: int) -> str:
+    return f"LEFT JOIN {HOURS} AS h ON h.signal_id = k.signal_id AND h.hour = {hour}"
+
+
+SHARED = "coalesce(h.hours, 0.0::DOUBLE) * own / whole"
+
+
+def _seen_ranking(seen: str, by: str, where: str) -> str:
+    return f"""SELECT signal_id, CAST(row_number() OVER (ORDER BY round({by}, 6) DESC, signal_id) AS INT) AS rank, hours, wait, passes, (SELECT sum(hours) FROM (SELECT * FROM {seen} AS s WHERE {where} ORDER BY round({by}, 6) DESC, signal_id LIMIT 20) AS k) / (SELECT sum(hours) FROM {seen} AS s WHERE {where}) AS share
+      FROM {seen} AS s WHERE {where}"""
+
+
+RANKED = ("hours", "wait", "passes", "share")
+
+
+def seen(spark, sf_dir, mode, hour=None):
+    hours = signals.signal_hours(t.state_pings(spark, sf_dir), positions(spark, sf_dir), waits(spark, sf_dir))
+    return signals.signals_seen(waits(spark, sf_dir), hours, t.view(spark, sf_dir, "route_dir"), mode, hour)
+
+
+@query(_seen_ranking(_seen("own / 3600.0::DOUBLE", "mode = 'rail'"), "hours", "hours > 0.005::DOUBLE"), RANKED)
+def signal_ranking_rail(spark, sf_dir):
+    return signals.signal_ranking(seen(spark, sf_dir, "rail"))
+
+
+@query(_seen_ranking(_seen(SHARED, "mode = 'bus'", _at(8)), "wait", "hours > 0.0005::DOUBLE AND passes >= 3"), RANKED)
+def signal_ranking_bus_at_8(spark, sf_dir):
+    """Buses from eight to nine, by their mean wait; the derived waits of one hour are short."""
+    return signals.signal_ranking(seen(spark, sf_dir, "bus", 8), by="wait", least_passes=3.0, least_hours=0.0005)
+
+
+@query(_seen_ranking(_seen(SHARED, "true", _at(17)), "hours", "hours > 0.0005::DOUBLE"), RANKED)
+def signal_ranking_at_17(spark, sf_dir):
+    return signals.signal_ranking(seen(spark, sf_dir, None, 17), least_hours=0.0005)
+
+
 @query(f"SELECT route_id, direction_id, signal_id, " + " + ".join(f"(wait / passes >= {e})::INT" for e in scalars.WAIT_EDGES) + f" AS wait_class FROM {WAIT} AS w")
 def wait_class(spark, sf_dir):
     return waits(spark, sf_dir).select("route_id", "direction_id", "signal_id", scalars.class_by_edges(F.col("wait") / F.col("passes"), scalars.WAIT_EDGES).alias("wait_class"))

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspark.functions import search
+from fleetspark.operators.states import covering_trips
+
 MPS = 2.23694
 CELL = ("route_id", "direction_id", "bin", "hour")
 STATES = (0, 1, 2, 3)
@@ -61,10 +64,18 @@ def heat_cells(delays: DataFrame, route_dir: DataFrame, s: GridSettings = DEFAUL
 
 
 def bin_traversals(extents: DataFrame, s: GridSettings = DEFAULT) -> DataFrame:
-    """How many trips cover each bin."""
-    first, last = F.floor(F.col("a0") / s.bin_metres), F.least(F.floor(F.col("a1") / s.bin_metres), F.ceil(F.col("length") / s.bin_metres))
-    rows = extents.where(first <= last).select("route_id", "direction_id", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("bin"))
-    return rows.groupBy("route_id", "direction_id", "bin").agg(F.count("*").alias("traversals"))
+    """How many trips cover each bin.
+
+    A sweep: a trip is one more at its first bin and one less after its last.
+    These steps are summed by bin first, so what is left is as long as the route,
+    however many trips there are.
+    """
+    first, last = F.floor(F.col("a0") / s.bin_metres).cast("int"), F.least(F.floor(F.col("a1") / s.bin_metres), F.ceil(F.col("length") / s.bin_metres)).cast("int")
+    ends = F.array(F.struct(first.alias("bin"), F.lit(1).alias("_by")), F.struct((last + 1).alias("bin"), F.lit(-1).alias("_by")))
+    steps = extents.where(first <= last).select("route_id", "direction_id", F.inline(ends)).groupBy("route_id", "direction_id", "bin").agg(F.sum("_by").alias("_by"))
+    along = Window.partitionBy("route_id", "direction_id").orderBy("bin")
+    level = steps.select("route_id", "direction_id", "bin", F.sum("_by").over(along).alias("traversals"), (F.lead("bin").over(along) - 1).alias("_to")).where("traversals > 0")
+    return level.select("route_id", "direction_id", F.explode(F.sequence("bin", "_to")).alias("bin"), "traversals")
 
 
 def _by_state(states: DataFrame, *keys: str) -> DataFrame:
@@ -103,23 +114,25 @@ def runtime_beside_schedule(observed: DataFrame, scheduled: DataFrame) -> DataFr
 def stop_dwell(states: DataFrame, extents: DataFrame, stops: DataFrame, ahead: float = 40.0, behind: float = 30.0, slack: float = 5.0) -> DataFrame:
     """Per stop: chance that a passing trip halts in its zone, and its seconds stopped; null at the ends.
 
-    The zone is from ``ahead`` before the stop to ``behind`` after it. Pings that
-    stand find their stops in the route's sorted array; trips join stops of their
-    own route, so a pair is a trip passing a stop.
+    The zone is from ``ahead`` before the stop to ``behind`` after it. Passing
+    trips are counted by a sweep. Pings that stand find the stops whose zone they
+    are in by binary search, and count where their trip runs through the zone.
     """
-    ends = Window.partitionBy("route_id", "direction_id")
-    rows = stops.withColumns({"_end": (F.col("d") == F.min("d").over(ends)) | (F.col("d") == F.max("d").over(ends)), "_lo": F.col("d") - ahead, "_hi": F.col("d") + behind})
-    passing = rows.join(extents.select("route_id", "direction_id", "day", "trip", "a0", "a1"), ["route_id", "direction_id"])
-    passing = passing.where((F.col("a0") <= F.col("_lo") + slack) & (F.col("a1") >= F.col("_hi") - slack))
-    zones = rows.groupBy("route_id", "direction_id").agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi", "stop_id"))).alias("_zones"))
-    inside = lambda z: (F.col("along") >= z["_lo"]) & (F.col("along") <= z["_hi"])
-    halts = states.where("average_speed = 0").select("route_id", "direction_id", "day", "trip", "along", "w").join(zones, ["route_id", "direction_id"])
-    halts = halts.withColumn("_z", F.explode(F.filter("_zones", inside))).groupBy("route_id", "direction_id", "day", "trip", F.col("_z.stop_id").alias("stop_id")).agg(F.sum("w").alias("_sec"))
-    rows_in = passing.join(halts, ["route_id", "direction_id", "day", "trip", "stop_id"], "left")
-    found = rows_in.groupBy("route_id", "direction_id", "stop_id").agg(F.count("*").alias("traversals"), F.count("_sec").alias("halts"), F.coalesce(F.sum("_sec"), F.lit(0.0)).alias("sec"))
-    out = rows.join(found, ["route_id", "direction_id", "stop_id"], "left")
+    keys = ("route_id", "direction_id")
+    ends = Window.partitionBy(*keys)
+    rows = stops.withColumn("_end", (F.col("d") == F.min("d").over(ends)) | (F.col("d") == F.max("d").over(ends)))
+    passing = covering_trips(extents, stops, "stop_id", ahead - slack, behind - slack).select(*keys, "stop_id", F.col("trips").alias("traversals"))
+    by_route = stops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("d", "stop_id"))).alias("_stops"))
+    halts = states.where("average_speed = 0").select(*keys, "day", "trip", "along", "w").join(by_route, list(keys))
+    halts = halts.withColumn("_s", F.explode(search.between(F.col("_stops"), F.col("along") - behind, F.col("along") + ahead, "d")))
+    halts = halts.groupBy(*keys, "day", "trip", F.col("_s.stop_id").alias("stop_id"), F.col("_s.d").alias("d")).agg(F.sum("w").alias("_sec"))
+    halts = halts.join(extents.select(*keys, "day", "trip", "a0", "a1"), [*keys, "day", "trip"])
+    halts = halts.where((F.col("a0") <= F.col("d") - ahead + slack) & (F.col("a1") >= F.col("d") + behind - slack))
+    found = halts.groupBy(*keys, "stop_id").agg(F.count("*").alias("halts"), F.sum("_sec").alias("sec"))
+    out = rows.join(passing, [*keys, "stop_id"], "left").join(found, [*keys, "stop_id"], "left")
     middle = ~F.col("_end") & (F.coalesce("traversals", F.lit(0)) > 0)
-    return out.select("route_id", "direction_id", "stop_id", "d", F.when(middle, F.col("halts") / F.col("traversals")).alias("p"), F.when(middle, F.col("sec") / F.col("traversals")).alias("stopped"))
+    share = lambda c, none: F.when(middle, F.coalesce(c, F.lit(none)) / F.col("traversals"))
+    return out.select(*keys, "stop_id", "d", share("halts", 0).alias("p"), share("sec", 0.0).alias("stopped"))
 
 
 def fleet_budget(states: DataFrame, days: int = 1) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspark.functions import search
 from fleetspark.operators.matching import near_points
+from fleetspark.operators.states import covering_trips
 
 KEY = ("route_id", "direction_id")
 
@@ -29,25 +31,22 @@ def at_signals(states: DataFrame, positions: DataFrame, up: float = 75.0, down:
     """``states`` with ``signal_id``: pings in the queue of a signal.
 
     A ping's signal is the first that is at most ``down`` behind it, if it is at
-    most ``up`` ahead. Signals of a route are one sorted array, looked at in order.
+    most ``up`` ahead: an as-of look-up by binary search in the route's sorted array.
     """
     by_route = positions.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("d", "signal_id"))).alias("_s"))
-    rows = states.join(by_route, list(KEY)).withColumn("_f", F.filter("_s", lambda s: s["d"] >= F.col("along") - down))
-    rows = rows.withColumn("_f", F.get("_f", F.lit(0))).where(F.col("_f.d") - F.col("along") <= up)
-    return rows.withColumn("signal_id", F.col("_f.signal_id")).drop("_s", "_f")
+    rows = states.join(by_route, list(KEY)).withColumn("_f", F.get("_s", search.count_below(F.col("_s"), F.col("along") - down, "d")))
+    return rows.where(F.col("_f.d") - F.col("along") <= up).withColumn("signal_id", F.col("_f.signal_id")).drop("_s", "_f")
 
 
 WAITS = "state IN (1, 3)"
 
 
 def signal_waits(states: DataFrame, extents: DataFrame, positions: DataFrame, up: float = 75.0, down: float = 12.0, slack: float = 5.0) -> DataFrame:
-    """Per approach: seconds waited, seconds at a stop just before it, and trips that passed."""
+    """Per approach: seconds waited, seconds at a stop just before it, and trips that passed (counted by a sweep)."""
     waits = at_signals(states, positions, up, down).groupBy(*KEY, "signal_id").agg(
         F.sum(F.when(F.expr(WAITS), F.col("w")).otherwise(0.0)).alias("wait"), F.sum(F.when(F.col("state") == 2, F.col("w")).otherwise(0.0)).alias("near_side"),
     )
-    trips = extents.select(*KEY, "a0", "a1")
-    passing = positions.join(trips, list(KEY)).where((F.col("a0") <= F.col("d") - up + slack) & (F.col("a1") >= F.col("d") + down - slack))
-    passes = passing.groupBy(*KEY, "signal_id", "d").agg(F.count("*").alias("passes"))
+    passes = covering_trips(extents, positions, "signal_id", up - slack, down - slack).where("trips > 0").withColumnRenamed("trips", "passes")
     out = passes.join(waits, [*KEY, "signal_id"], "left")
     return out.select(*KEY, "signal_id", "d", "passes", F.coalesce("wait", F.lit(0.0)).alias("wait"), F.coalesce("near_side", F.lit(0.0)).alias("near_side"))
 
@@ -86,3 +85,26 @@ def signal_topk(waits: DataFrame, approaches: int = 8) -> DataFrame:
     """The approaches of each signal with the longest waits, ranked."""
     w = Window.partitionBy("signal_id").orderBy(F.desc(F.round("wait", 6)), *KEY)
     return waits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= approaches).select("signal_id", "rank", *KEY, "wait")
+
+
+def signals_seen(waits: DataFrame, hours: DataFrame, route_dir: DataFrame, mode: str | None = None, hour: int | None = None, days: int = 1, approaches: int = 8) -> DataFrame:
+    """``signal_id, hours, wait, passes`` of signals that hold vehicles, for one mode or all, in one clock hour or the whole day.
+
+    ``waits``: see ``signal_waits``; ``hours``: see ``signal_hours``. Seconds a
+    pass and passes a day are those of the mode's among a signal's first
+    ``approaches``. An hour's figure is not kept by mode: it is shared out as the
+    signal's whole day is. ``signal_ranking`` ranks the result; a fair mean wait needs 40 passes, or 3 where one hour is looked at.
+    """
+    rows = waits.join(route_dir.select(*KEY, "mode"), list(KEY))
+    mine = F.lit(True) if mode is None else F.col("mode") == mode
+    best = Window.partitionBy("signal_id").orderBy(F.desc(F.round("wait", 6)), *KEY)
+    rows = rows.withColumn("_rank", F.row_number().over(best))
+    shown = mine & (F.col("_rank") <= approaches)
+    found = rows.groupBy("signal_id").agg(F.sum("wait").alias("_all"), F.sum(F.when(mine, F.col("wait"))).alias("_own"), F.sum(F.when(shown, F.col("passes"))).alias("_passes"), F.sum(F.when(shown, F.col("wait"))).alias("_wait"))
+    found = found.where("_all > 0").withColumn("_share", F.coalesce("_own", F.lit(0.0)) / F.col("_all"))
+    if hour is None:
+        found = found.withColumn("hours", F.coalesce("_own", F.lit(0.0)) / 3600.0 / days)
+    else:
+        at = hours.where(F.col("hour") == hour).select("signal_id", F.col("hours").alias("_at"))
+        found = found.join(at, "signal_id", "left").withColumn("hours", F.coalesce("_at", F.lit(0.0)) * F.col("_share"))
+    return found.select("signal_id", "hours", F.coalesce(F.col("_wait") / F.col("_passes"), F.lit(0.0)).alias("wait"), (F.coalesce("_passes", F.lit(0)) / F.lit(float(days))).alias("passes"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspark.functions import search
+
 TRIP = ("day", "trip")
 
 
@@ -66,10 +68,13 @@ def positions_by_route(points: DataFrame, name: str = "ds") -> DataFrame:
 
 
 def stop_zone_flag(pings: DataFrame, stops: DataFrame, s: StateSettings = DEFAULT) -> DataFrame:
-    """``in_zone``: whether some stop of the route is from ``zone_behind`` behind to just under ``zone_ahead`` ahead."""
-    near = lambda d: (d >= F.col("along") - s.zone_behind) & (d < F.col("along") + s.zone_ahead)
+    """``in_zone``: whether some stop of the route is from ``zone_behind`` behind to just under ``zone_ahead`` ahead.
+
+    The first stop that isn't too far behind decides: an as-of look-up by binary search.
+    """
     joined = pings.join(positions_by_route(stops, "_ds"), ["route_id", "direction_id"], "left")
-    return joined.withColumn("in_zone", F.coalesce(F.exists("_ds", near), F.lit(False))).drop("_ds")
+    first = F.get("_ds", search.count_below(F.col("_ds"), F.col("along") - s.zone_behind))
+    return joined.withColumn("in_zone", F.coalesce(first < F.col("along") + s.zone_ahead, F.lit(False))).drop("_ds")
 
 
 def state_of(speed: Column, in_zone: Column, s: StateSettings = DEFAULT) -> Column:
@@ -131,18 +136,37 @@ def position_interp(pings: DataFrame, targets: DataFrame) -> DataFrame:
 
     Linear between the last ping at or before the distance and the first beyond;
     no row outside the trip. Each ping makes rows for the targets up to the next
-    ping, from the route's sorted array: no row that isn't a passage.
+    ping, which binary search cuts out of the route's sorted array: no row that isn't a passage.
     """
     w = Window.partitionBy("route_id", "direction_id", *TRIP).orderBy("along", "t")
     by_route = targets.groupBy("route_id", "direction_id").agg(F.sort_array(F.collect_set("target")).alias("_ds"))
     rows = pings.select("route_id", "direction_id", *TRIP, "t", "along", F.lead("along").over(w).alias("_a1"), F.lead("t").over(w).alias("_t1")).join(by_route, ["route_id", "direction_id"])
-    inside = lambda d: (d >= F.col("along")) & ((d < F.col("_a1")) | (F.col("_a1").isNull() & (d == F.col("along"))))
-    rows = rows.withColumn("target", F.explode(F.filter("_ds", inside)))
+    passed = F.when(F.col("_a1").isNull(), search.between(F.col("_ds"), F.col("along"), F.col("along"))).otherwise(search.between(F.col("_ds"), F.col("along"), F.col("_a1"), high_too=False))
+    rows = rows.withColumn("target", F.explode(passed))
     share = (F.col("target") - F.col("along")) / (F.col("_a1") - F.col("along"))
     at = F.when(F.col("along") == F.col("target"), F.col("t").cast("double")).otherwise(F.col("t") + (F.col("_t1") - F.col("t")) * share)
     return rows.select("route_id", "direction_id", *TRIP, "target", at.alias("t_at"))
 
 
+def covering_trips(extents: DataFrame, points: DataFrame, key: str, before: float, after: float) -> DataFrame:
+    """``points`` (route_id, direction_id, ``key``, d) with ``trips``: how many run from ``before`` metres before the point to ``after`` metres beyond it.
+
+    A sweep: a trip opens at the first point that it covers and closes after the
+    last, found by binary search. Two rows per trip go into sums by point, and the
+    running sum is over a route's points alone; no trip meets each of its points.
+    """
+    keys = ("route_id", "direction_id")
+    by_route = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("d", key))).alias("_p"))
+    span = extents.select(*keys, "a0", "a1").join(by_route, list(keys))
+    span = span.select(*keys, search.count_below(F.col("_p"), F.col("a0") + before, "d").alias("_i"), search.count_up_to(F.col("_p"), F.col("a1") - after, "d").alias("_j"))
+    steps = span.where("_i < _j").select(*keys, F.inline(F.array(F.struct(F.col("_i").alias("_at"), F.lit(1).alias("_by")), F.struct(F.col("_j").alias("_at"), F.lit(-1).alias("_by")))))
+    steps = steps.groupBy(*keys, "_at").agg(F.sum("_by").alias("_by"))
+    numbered = by_route.select(*keys, F.posexplode("_p").alias("_at", "_p")).select(*keys, "_at", f"_p.{key}", "_p.d")
+    swept = numbered.join(steps, [*keys, "_at"], "left")
+    trips = F.coalesce(F.sum("_by").over(Window.partitionBy(*keys).orderBy("_at")), F.lit(0))
+    return swept.select(*keys, key, "d", trips.alias("trips"))
+
+
 def headways(passages: DataFrame, longest: float = 1800.0, least: int = 3) -> DataFrame:
     """Per point and hour: gaps between passages, their mean, and the wait of who comes at random.
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetspark.jobs import registry
-from fleetspark.operators import matching, network, scenarios, segmentation, states, timelines
+from fleetspark.functions import search
+from fleetspark.operators import corridors, grid, matching, network, scenarios, segmentation, signals, states, timelines
 from fleetspark.sources import files
 from fleetspark.streaming import follow, live
 
@@ -64,11 +65,69 @@ def test_thinning_depends_on_what_is_kept(spark):
 
 
 def test_segment_minutes_with_missing_cells_and_hours(spark):
-    cells = spark.createDataFrame([("A", 0, 0, 8, 10.0), ("A", 0, 1, 8, None), ("A", 0, 0, 10, 5.0), ("A", 0, 1, 10, 5.0), ("A", 0, 2, 10, 0.0)], "route_id string, direction_id int, bin int, hour int, speed double")
+    mph = 2.23694
+    cells = spark.createDataFrame([("A", 0, 0, 8, 10.0 * mph), ("A", 0, 0, 10, 5.0 * mph), ("A", 0, 1, 10, 5.0 * mph), ("A", 0, 2, 10, 0.0), ("A", 0, 1, 23, 20.0 * mph), ("A", 0, 1, 5, 10.0 * mph)], "route_id string, direction_id int, bin int, hour int, mph double")
     parts = spark.createDataFrame([("k", "A", 0, 50.0, 250.0)], "key string, route_id string, direction_id int, d0 double, d1 double")
-    out = {r.hour: round(r.minutes * 60, 4) for r in scenarios.segment_minutes(parts, cells, "key", walking=2.0).collect()}
-    # Hour 8: 50 m at 10, then a cell without speed and none at all; 9 takes hour 10; 7 takes 8; 11 takes 10; a still cell walks.
-    assert out == {7: 80.0, 8: 80.0, 9: 55.0, 10: 55.0, 11: 55.0}
+    out = {r.hour: round(r.minutes * 60, 4) for r in scenarios.segment_minutes(parts, cells, "key", (3, 4, 5, 7, 8, 9, 10, 23, 24, 25), slow_mph=2.0 * mph).collect()}
+    # Hour 8: 50 m at 10, then two bins without a cell; 7 and 9, without any, are slow throughout, whatever their neighbours have; a still cell is slow.
+    assert {h: out[h] for h in (7, 8, 9, 10)} == {7: 100.0, 8: 80.0, 9: 100.0, 10: 55.0}
+    # Outside the grid's hours 4 takes 5 and 24 takes 23; 3 and 25 have none beside them.
+    assert {h: out[h] for h in (3, 4, 5, 23, 24, 25)} == {3: 100.0, 4: 60.0, 5: 60.0, 23: 55.0, 24: 55.0, 25: 100.0}
+
+
+def test_rides_by_observed_and_by_scheduled_rail(spark):
+    bus = spark.createDataFrame([("b", p, 8, 20.0, 30.0) for p in ("both", "seen", "plan", "none")], "route_id string, pair string, hour int, median double, p90 double")
+    seen = spark.createDataFrame([("both", 8, 6.0, 4.0), ("seen", 8, 7.0, 5.0)], "pair string, hour int, median double, per_hour double")
+    plan = spark.createDataFrame([("both", 8, 10, 5.0), ("plan", 8, 6, 9.0), ("plan", 9, 6, 9.0)], "pair string, hour int, trips long, median double")
+    ways = spark.createDataFrame([("b", 8, 10.0, 6.0)], "route_id string, hour int, headway double, new_headway double")
+    found = {r.pair: (r.ride, r.measured, r.trains, r.via, r.gain, r.net) for r in scenarios.transfer_rides(bus, seen, plan, ways).collect()}
+    assert found == {"both": (6.0, True, 10.0, 17.0, 2.0, -5.0), "seen": (7.0, True, 5.0, 21.0, 2.0, -1.0), "plan": (9.0, False, 6.0, 22.0, 2.0, 0.0)}
+    alone = scenarios.transfer_rides(bus, seen, plan, ways.limit(0)).where("pair = 'plan'").first()
+    assert (alone.gain, alone.net) == (0.0, 2.0)
+
+
+def test_only_rail_has_tunnels(spark):
+    stops = spark.createDataFrame([(r, 0, d, n) for r in ("bus", "rail") for d, n in ((100.0, "old a"), (900.0, "b"))], "route_id string, direction_id int, d double, name string")
+    shape = spark.createDataFrame([(r, 0, 10.0 * k, 10.0 * k, 0.0) for r in ("bus", "rail") for k in range(100)], "route_id string, direction_id int, d double, x double, y double")
+    portals = spark.createDataFrame([(1, 400.0, 10.0)], "portal_id int, x double, y double")
+    routes = spark.createDataFrame([("bus", 0, 1000.0, "bus"), ("rail", 0, 1000.0, "rail")], "route_id string, direction_id int, length double, mode string")
+    assert [tuple(r) for r in corridors.tunnel_ranges(stops, shape, portals, routes, ("old",)).collect()] == [("rail", 0, 0.0, 400.0)]
+
+
+def test_binary_search_in_arrays(spark):
+    rng = random.Random(1)
+    rows = [(sorted(rng.choices([float(v) for v in range(12)], k=rng.randint(0, 9))), rng.choice([-1.0, 3.0, 5.5, 11.0, 12.0]), rng.choice([2.0, 6.0, 20.0])) for _ in range(300)]
+    table = spark.createDataFrame(rows, "v array<double>, x double, y double")
+    v, x, y = F.col("v"), F.col("x"), F.col("y")
+    got = table.select("v", "x", "y", search.count_below(v, x).alias("a"), search.count_up_to(v, x).alias("b"), search.between(v, x, y).alias("c"), search.between(v, x, y, high_too=False).alias("d"))
+    for r in got.collect():
+        assert (r.a, r.b) == (sum(e < r.x for e in r.v), sum(e <= r.x for e in r.v))
+        assert (r.c, r.d) == ([e for e in r.v if r.x <= e <= r.y], [e for e in r.v if r.x <= e < r.y])
+
+
+def test_sweeps_count_what_each_trip_covers(spark):
+    rng = random.Random(2)
+    trips = [("A", d, float(a), float(a + rng.choice([0, 5, 60, 400])), 500.0) for d in (0, 1) for a in rng.sample(range(0, 500), 40)]
+    points = [("A", d, 10 * d + k, float(50 * (k // 2))) for d in (0, 1) for k in range(10)]  # two at each place
+    extents = spark.createDataFrame(trips, "route_id string, direction_id int, a0 double, a1 double, length double")
+    found = states.covering_trips(extents, spark.createDataFrame(points, "route_id string, direction_id int, p int, d double"), "p", 20.0, 7.0)
+    assert {r.p: r.trips for r in found.collect()} == {p: sum(t[1] == w and t[2] + 20 <= d <= t[3] - 7 for t in trips) for _, w, p, d in points}
+    bins = {(r.direction_id, r.bin): r.traversals for r in grid.bin_traversals(extents).collect()}
+    want = {(w, b): sum(t[1] == w and t[2] // 100 <= b <= min(t[3] // 100, 5) for t in trips) for w in (0, 1) for b in range(12)}
+    assert bins == {k: n for k, n in want.items() if n}
+
+
+def test_signals_by_mode_and_hour(spark):
+    waits = spark.createDataFrame([("R", 0, 1, 10, 3600.0), ("S", 0, 1, 5, 1800.0), ("R", 0, 2, 4, 0.0), ("S", 0, 3, 50, 360.0)], "route_id string, direction_id int, signal_id int, passes long, wait double")
+    hours = spark.createDataFrame([(1, 8, 0.6), (1, 9, 0.9), (3, 8, 0.1)], "signal_id int, hour int, hours double")
+    modes = spark.createDataFrame([("R", 0, "rail"), ("S", 0, "bus")], "route_id string, direction_id int, mode string")
+    at = lambda *a: {r.signal_id: (round(r.hours, 4), r.wait, r.passes) for r in signals.signals_seen(waits, hours, modes, *a).collect()}
+    assert at() == {1: (1.5, 360.0, 15.0), 3: (0.1, 7.2, 50.0)}
+    assert at("rail") == {1: (1.0, 360.0, 10.0), 3: (0.0, 0.0, 0.0)}
+    assert at("bus", 8) == {1: (0.2, 360.0, 5.0), 3: (0.1, 7.2, 50.0)}
+    assert at(None, 9) == {1: (0.9, 360.0, 15.0), 3: (0.0, 7.2, 50.0)}
+    ranked = signals.signal_ranking(signals.signals_seen(waits, hours, modes, "bus", 8), by="wait", least_passes=3.0)
+    assert [r.signal_id for r in ranked.orderBy("rank").collect()] == [1, 3]
 
 
 def test_projected_stops_keep_their_order(spark):
