@@ -384,28 +384,43 @@ def fleet_code_hours(spark, sf_dir):
     return timelines.fleet_code_hours(summaries(spark, sf_dir))
 
 
-@query(f"""SELECT event_id, vehicle_id, t FROM (WITH RECURSIVE fresh AS MATERIALIZED (
-    SELECT event_id, vehicle_id, t FROM (SELECT *, coalesce(lag(x) OVER w = x AND lag(y) OVER w = y AND average_speed > 2, false) AS stale
-      FROM (SELECT c.*, p.x, p.y FROM {CODED} AS c JOIN ping AS p USING (event_id) WHERE c.code <> 6) AS k WINDOW w AS (PARTITION BY day, vehicle_id ORDER BY t)) AS k WHERE NOT stale),
+# Of pings (event_id, day, vehicle_id, t, x, y, average_speed) in ``shown``.
+THIN = """WITH RECURSIVE shown AS MATERIALIZED ({}), fresh AS MATERIALIZED (
+    SELECT * EXCLUDE (stale) FROM (SELECT *, coalesce(lag(x) OVER w = x AND lag(y) OVER w = y AND average_speed > 2, false) AS stale FROM shown WINDOW w AS (PARTITION BY day, vehicle_id ORDER BY t)) AS k WHERE NOT stale),
   after AS MATERIALIZED (SELECT a.vehicle_id, a.t, min(b.t) AS t1 FROM fresh AS a JOIN fresh AS b ON a.vehicle_id = b.vehicle_id AND b.t >= a.t + 20 GROUP BY 1, 2),
-  kept AS (SELECT vehicle_id, min(t) AS t FROM fresh GROUP BY 1 UNION ALL SELECT k.vehicle_id, a.t1 AS t FROM kept AS k JOIN after AS a ON a.vehicle_id = k.vehicle_id AND a.t = k.t)
-  SELECT f.* FROM fresh AS f JOIN kept AS k USING (vehicle_id, t)) AS k""")
+  kept AS (SELECT vehicle_id, min(t) AS t FROM fresh GROUP BY 1 UNION ALL SELECT k.vehicle_id, a.t1 AS t FROM kept AS k JOIN after AS a ON a.vehicle_id = k.vehicle_id AND a.t = k.t),
+  thinned AS (SELECT f.* FROM fresh AS f JOIN kept AS k USING (vehicle_id, t))"""
+
+
+@query("SELECT event_id, vehicle_id, t FROM (" + THIN.format(f"SELECT c.*, p.x, p.y FROM {CODED} AS c JOIN ping AS p USING (event_id) WHERE c.code <> 6") + " SELECT * FROM thinned) AS k")
 def thin_positions(spark, sf_dir):
     places = t.view(spark, sf_dir, "ping").select("event_id", "x", "y")
     return timelines.thin_positions(coded(spark, sf_dir).join(places, "event_id")).select("event_id", "vehicle_id", "t")
 
 
-@query(f"""SELECT p.event_id, hour, CAST(round_even((p.x / (111320.0::DOUBLE * cos(radians(37.76::DOUBLE))) - 122.44::DOUBLE) * 100000, 0) AS BIGINT) AS lon5, CAST(round_even((p.y / 110540.0::DOUBLE + 37.76::DOUBLE) * 100000, 0) AS BIGINT) AS lat5, coalesce(l.route_no, 0)::INT AS label_no
-  FROM (SELECT c.*, unnest(range(CAST(floor((c.t - 1200) / 3600) AS INT), CAST(floor((c.t + 1200) / 3600) AS INT) + 1))::INT AS hour FROM {CODED} AS c WHERE c.code <> 6) AS c JOIN ping AS p USING (event_id)
-  LEFT JOIN (SELECT label, row_number() OVER (ORDER BY label) AS route_no FROM (SELECT DISTINCT label FROM {CODED} AS c WHERE label <> '' AND code <> 6) AS k) AS l ON l.label = c.label WHERE hour BETWEEN 0 AND 47""")
+PLAYED = "(" + THIN.format(f"""SELECT c.event_id, c.day, c.vehicle_id, c.t, c.average_speed, c.code, p.x, p.y, p.mode,
+      CASE WHEN c.label <> '' THEN c.label WHEN r.along IS NOT NULL AND c.trip = 0 THEN concat(p.route_id, '_', p.direction_id) ELSE '' END AS label, CAST(round_even(CASE WHEN c.trip > 0 THEN p.along ELSE coalesce(r.along, -1.0::DOUBLE) END, 0) AS INT) AS along
+    FROM {CODED} AS c JOIN ping AS p USING (event_id) LEFT JOIN (SELECT k.event_id, k.along, d.route_id, d.direction_id FROM {CANDIDATE} AS k JOIN route_dir AS d USING (shape_id)) AS r ON r.event_id = c.event_id AND r.route_id = p.route_id AND r.direction_id = p.direction_id
+    WHERE c.code <> 6 AND c.vehicle_id IN (SELECT vehicle_id FROM {CODED} AS o WHERE trip > 0)""") + " SELECT * FROM thinned)"
+
+
+def played(spark, sf_dir):
+    places = t.view(spark, sf_dir, "ping").select("event_id", "x", "y", "mode", F.col("along").alias("_along"))
+    on_route = vehicle_rows(spark, sf_dir).select("event_id", "route_key", "route_along")
+    rows = coded(spark, sf_dir).join(places, "event_id").join(on_route, "event_id", "left")
+    return timelines.playback_positions(rows.withColumn("along", F.when(F.col("trip") > 0, F.col("_along"))).withColumnRenamed("mode", "vclass"))
+
+
+@query(f"""SELECT event_id, hour, mode, CAST(round_even((x / (111320.0::DOUBLE * cos(radians(37.76::DOUBLE))) - 122.44::DOUBLE) * 100000, 0) AS BIGINT) AS lon5, CAST(round_even((y / 110540.0::DOUBLE + 37.76::DOUBLE) * 100000, 0) AS BIGINT) AS lat5,
+    coalesce(l.no, 0)::INT AS label_no, along, average_speed AS mph
+  FROM (SELECT c.*, unnest(range(CAST(floor((c.t - 1200) / 3600) AS INT), CAST(floor((c.t + 1200) / 3600) AS INT) + 1))::INT AS hour FROM {PLAYED} AS c) AS c
+  LEFT JOIN (SELECT label, row_number() OVER (ORDER BY label) AS no FROM (SELECT DISTINCT label FROM {PLAYED} AS c WHERE label <> '') AS k) AS l ON l.label = c.label WHERE hour BETWEEN 0 AND 24""")
 def tile_rows(spark, sf_dir):
     """Rows of the tile documents, taken out of them again."""
-    places = t.view(spark, sf_dir, "ping").select("event_id", "x", "y")
-    rows = coded(spark, sf_dir).where("code <> 6").join(places, "event_id")
-    documents = timelines.tile_documents(timelines.hourly_tiles(rows), ("event_id",))
-    return documents.select("hour", F.explode("rows").alias("r")).select("r.event_id", "hour", "r.lon5", "r.lat5", "r.label_no")
+    documents = timelines.tile_documents(timelines.hourly_tiles(played(spark, sf_dir)), ("event_id",))
+    return documents.select("hour", "mode", F.explode("rows").alias("r")).select("r.event_id", "hour", "mode", "r.lon5", "r.lat5", "r.label_no", "r.along", "r.mph")
 
 
-@query("SELECT * FROM (SELECT event_id, unnest(range(CAST(floor((t - 1200) / 3600) AS INT), CAST(floor((t + 1200) / 3600) AS INT) + 1))::INT AS hour FROM ping) AS k WHERE hour BETWEEN 0 AND 47")
+@query(f"SELECT event_id, hour FROM (SELECT event_id, unnest(range(CAST(floor((t - 1200) / 3600) AS INT), CAST(floor((t + 1200) / 3600) AS INT) + 1))::INT AS hour FROM {PLAYED} AS p) AS k WHERE hour BETWEEN 0 AND 24")
 def hourly_tiles(spark, sf_dir):
-    return timelines.hourly_tiles(t.view(spark, sf_dir, "ping")).select("event_id", "hour")
+    return timelines.hourly_tiles(played(spark, sf_dir)).select("event_id", "hour")

@@ -74,50 +74,72 @@ def fleet_code_hours(summary: DataFrame, codes: int = 6) -> DataFrame:
     return sums.select(F.explode(each).alias("r")).select("r.*")
 
 
-def thin_positions(coded: DataFrame, least: int = 20) -> DataFrame:
+def thin_positions(coded: DataFrame, least: int = 20, chunk: int = 1800) -> DataFrame:
     """Pings at least ``least`` seconds after the last one kept of their vehicle.
 
     Parked ones (6) go first, then stale repeats (see ``states.stale_repeats``;
-    columns x, y, average_speed). What is kept depends on what was kept before:
-    a vehicle's day, some thousand times, is one group of a pandas function.
+    columns x, y, average_speed). What is kept depends on what was kept before,
+    so a vehicle's day is a fold over its times. It goes chunk by chunk, each
+    carrying on from the last time kept: a list that grows is copied with every
+    time added to it, and so no list is longer than a chunk while it grows.
     """
-    import pandas as pd
-
     rows = stale_repeats(coded.where("code <> 6"))
-    times = rows.select(*VEHICLE, "t").distinct()
+    times = rows.groupBy(*VEHICLE, F.floor(F.col("t") / chunk).alias("_chunk")).agg(F.sort_array(F.collect_set("t")).alias("_times"))
+    days = times.groupBy(*VEHICLE).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_times"))).alias("_chunks"))
+    kind = rows.schema["t"].dataType.simpleString()
+    none = F.expr(f"named_struct('last', cast(null as {kind}), 'kept', cast(array() as array<{kind}>))")
+
+    def take(s, t):
+        far = s["last"].isNull() | (t - s["last"] >= least)
+        return F.struct(F.when(far, t).otherwise(s["last"]).alias("last"), F.when(far, F.concat(s["kept"], F.array(t))).otherwise(s["kept"]).alias("kept"))
 
-    def thin(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values("t")
-        keep, last = [], None
-        for t in day.t.tolist():
-            keep.append(last is None or t - last >= least)
-            last = t if keep[-1] else last
-        return day[keep]
+    def carry_on(s, part):
+        begin = F.struct(s["last"].alias("last"), F.expr(f"cast(array() as array<{kind}>)").alias("kept"))
+        done = F.aggregate(part["_times"], begin, take)
+        return F.struct(done["last"].alias("last"), F.concat(s["kept"], done["kept"]).alias("kept"))
 
-    kept = times.groupBy(*VEHICLE).applyInPandas(thin, times.schema)
+    kept = days.select(*VEHICLE, F.explode(F.aggregate("_chunks", none, carry_on)["kept"]).alias("t"))
     return rows.join(kept, [*VEHICLE, "t"], "left_semi")
 
 
+def playback_positions(rows: DataFrame, least: int = 20) -> DataFrame:
+    """Thinned positions for playback, with ``label`` and ``along`` of the shape they follow, ``mph`` and ``mode``.
+
+    ``rows``: day, vehicle_id, t, x, y, code, average_speed, trip (0 for none),
+    label and along of the trip, route_key and route_along of the route that is
+    reported (null off it), vclass. Outside a trip a vehicle follows the route it
+    reports, if it is on it; else its label is empty and along -1. Vehicles of
+    class ``other``, and those without any trip, are left out.
+    """
+    used = rows.groupBy(*VEHICLE).agg(F.max("trip").alias("_trips"), F.first("vclass").alias("_class")).where("_trips > 0 AND _class <> 'other'")
+    on_trip, filled = F.col("along").isNotNull(), F.col("route_along").isNotNull()
+    shown = rows.join(used.select(*VEHICLE), list(VEHICLE), "left_semi").withColumns({
+        "label": F.when(F.coalesce("label", F.lit("")) != "", F.col("label")).when(~on_trip & filled, F.col("route_key")).otherwise(""),
+        "along": F.bround(F.coalesce("along", "route_along", F.lit(-1.0)), 0).cast("int"),
+    })
+    return thin_positions(shown, least).withColumn("mph", F.col("average_speed").cast("int")).withColumnRenamed("vclass", "mode")
+
+
 def tile_documents(tiles: DataFrame, more: tuple[str, ...] = (), origin: tuple[float, float] = geo.ORIGIN) -> DataFrame:
-    """``hour, vehicle_id, day, rows``: what is in each tile, by vehicle, in time order, in small numbers.
+    """``hour, vehicle_id, day, mode, rows``: what is in each tile, by vehicle, in time order, in small numbers.
 
     Places are hundred thousandths of a degree, a label is its number among the
-    sorted labels of all tiles (0 for none). ``tiles``: hour, day, vehicle_id, t,
-    x, y, code, label and ``more``. There are some hundred labels, one for each
-    route and direction, so one task numbers them.
+    sorted labels of all tiles (0 for none), ``along`` whole metres (-1 for none),
+    then ``mph``. ``tiles``: ``hourly_tiles`` of ``playback_positions``, and ``more``. There are some hundred
+    labels, one for each route and direction, so one task numbers them.
     """
     lon, lat = geo.to_lonlat(F.col("x"), F.col("y"), origin)
     labels = tiles.where("label <> ''").select("label").distinct()
     numbered = labels.withColumn("label_no", F.row_number().over(Window.orderBy("label")))
     rows = tiles.join(numbered, "label", "left").withColumns({"label_no": F.coalesce("label_no", F.lit(0)), "lon5": F.bround(lon * 100_000, 0).cast("long"), "lat5": F.bround(lat * 100_000, 0).cast("long")})
-    listed = F.array_sort(F.collect_list(F.struct("t", "lat5", "lon5", "code", "label_no", *more)))
-    return rows.groupBy("hour", *VEHICLE).agg(listed.alias("rows"))
+    listed = F.array_sort(F.collect_list(F.struct("t", "lat5", "lon5", "code", "label_no", "along", "mph", *more)))
+    return rows.groupBy("hour", *VEHICLE, "mode").agg(listed.alias("rows"))
 
 
-def hourly_tiles(positions: DataFrame, pad: int = 1200) -> DataFrame:
-    """Pings in every hour that they are in or ``pad`` seconds from."""
+def hourly_tiles(positions: DataFrame, pad: int = 1200, last_hour: int = 24) -> DataFrame:
+    """Pings in every hour, up to ``last_hour``, that they are in or ``pad`` seconds from."""
     first, last = F.floor((F.col("t") - pad) / 3600).cast("int"), F.floor((F.col("t") + pad) / 3600).cast("int")
-    return positions.withColumn("hour", F.explode(F.sequence(first, last))).where("hour between 0 and 47")
+    return positions.withColumn("hour", F.explode(F.sequence(first, last))).where(F.col("hour").between(0, last_hour))
 
 
 def fleet_at_times(rows: DataFrame, points: DataFrame, every: int = 300, bridge: int = 1200, straight: int = 180, back: float = 30.0, fastest: float = 35.0, step: float = 10.0) -> DataFrame:

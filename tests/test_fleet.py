@@ -64,6 +64,33 @@ def test_thinning_depends_on_what_is_kept(spark):
     assert sorted(r.t for r in timelines.thin_positions(coded).collect()) == [0, 20, 41, 75]  # 70 repeats the place of 41
 
 
+def test_thinning_is_the_plain_loop_over_chunks(spark):
+    rng, rows, want = random.Random(6), [], []
+    for vehicle in range(4):
+        t, last = 0, None
+        for k in range(400):
+            t += rng.choice([1, 5, 15, 19, 20, 21, 300, 4000])
+            rows.append((1, vehicle, t, 0, float(k), 5))
+            if last is None or t - last >= 20:
+                want.append((vehicle, t))
+                last = t
+    coded = spark.createDataFrame(rows, "day int, vehicle_id long, t int, code int, x double, average_speed int").withColumn("y", F.lit(0.0))
+    for chunk in (60, 1800, 10**6):
+        assert sorted((r.vehicle_id, r.t) for r in timelines.thin_positions(coded, chunk=chunk).collect()) == want
+
+
+def test_playback_follows_the_reported_route_outside_trips(spark):
+    rows = [
+        (1, 1, 0, 1, 0, 7, "A_0", 12.4, "A_0", 12.0, "bus"), (1, 1, 30, 0, 5, 9, None, None, "B_1", 40.6, "bus"), (1, 1, 60, 0, 5, 9, None, None, "B_1", None, "bus"),
+        (1, 2, 0, 0, 5, 9, None, None, "B_1", 1.0, "bus"), (1, 3, 0, 3, 0, 9, "A_0", 1.0, "A_0", 1.0, "other"),
+    ]
+    table = spark.createDataFrame(rows, "day int, vehicle_id long, t int, trip long, code int, average_speed int, label string, along double, route_key string, route_along double, vclass string").withColumns({"x": F.col("t") * 1.0, "y": F.lit(0.0)})
+    shown = timelines.playback_positions(table)
+    assert sorted((r.vehicle_id, r.t, r.label, r.along, r.mph, r.mode) for r in shown.collect()) == [(1, 0, "A_0", 12, 7, "bus"), (1, 30, "B_1", 41, 9, "bus"), (1, 60, "", -1, 9, "bus")]
+    documents = timelines.tile_documents(timelines.hourly_tiles(shown)).collect()
+    assert [(d.hour, d.mode, [(r.t, r.label_no, r.along, r.mph) for r in d.rows]) for d in documents] == [(0, "bus", [(0, 1, 12, 7), (30, 2, 41, 9), (60, 0, -1, 9)])]
+
+
 def test_segment_minutes_with_missing_cells_and_hours(spark):
     mph = 2.23694
     cells = spark.createDataFrame([("A", 0, 0, 8, 10.0 * mph), ("A", 0, 0, 10, 5.0 * mph), ("A", 0, 1, 10, 5.0 * mph), ("A", 0, 2, 10, 0.0), ("A", 0, 1, 23, 20.0 * mph), ("A", 0, 1, 5, 10.0 * mph)], "route_id string, direction_id int, bin int, hour int, mph double")
