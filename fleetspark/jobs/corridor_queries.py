@@ -300,3 +300,24 @@ def project_stops(spark, sf_dir):
     seq = F.row_number().over(Window.partitionBy("route_id", "direction_id").orderBy("d"))
     stops = t.view(spark, sf_dir, "stop").join(routes, ["route_id", "direction_id"]).select("route_id", "direction_id", seq.alias("seq"), F.col("d").alias("x"), (F.col("_y") + F.col("stop_id") % 40).alias("y"))
     return network.project_stops(stops, segments).withColumnRenamed("offset", "off_line")
+
+
+# One way is a hairpin whose way back runs 20 m beside its way out, the other a circle; stops stand on either side.
+BENT = """SELECT route_id, direction_id, {0} AS k, CASE WHEN direction_id = 1 THEN 800 * cos({1} / CAST(800 AS DOUBLE)) WHEN {1} <= 2500 THEN {1} ELSE 5000 - {1} END AS x,
+  CASE WHEN direction_id = 1 THEN 800 * sin({1} / CAST(800 AS DOUBLE)) WHEN {1} <= 2500 THEN CAST(0 AS DOUBLE) ELSE CAST(20 AS DOUBLE) END + {2} AS y, {1} AS d FROM {3}"""
+BENT_STOPS = BENT.format("CAST(row_number() OVER (PARTITION BY route_id, direction_id ORDER BY d) AS INT)", "d", "CAST(stop_id % 30 - 15 AS DOUBLE)", "{}")
+BENT_LINE = BENT.format("CAST(seq AS INT)", "d", "CAST(0 AS DOUBLE)", "{}")
+BENT_SEGMENTS = "SELECT * FROM (SELECT route_id, direction_id, k, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, d AS c0 FROM {} WINDOW w AS (PARTITION BY route_id, direction_id ORDER BY k)) AS s WHERE x1 IS NOT NULL"
+
+
+@query(f"""SELECT route_id, direction_id, seq, d, off_line FROM (WITH RECURSIVE leg AS MATERIALIZED ({BENT_SEGMENTS.format("(" + BENT_LINE.format("shape_point") + ") AS p")}), halt AS MATERIALIZED ({BENT_STOPS.format("stop")}),
+  walk AS (SELECT DISTINCT route_id, direction_id, 0 AS seq, 0 AS at, 0.0::DOUBLE AS d, 0.0::DOUBLE AS off_line FROM leg
+    UNION ALL SELECT route_id, direction_id, seq, b.k, b.d, b.off FROM (SELECT w.route_id, w.direction_id, h.k AS seq, min({{'off': sqrt((x0 + u * (x1 - x0) - h.x) * (x0 + u * (x1 - x0) - h.x) + (y0 + u * (y1 - y0) - h.y) * (y0 + u * (y1 - y0) - h.y)), 'k': l.k, 'd': c0 + u * sqrt(len2)}}) AS b
+      FROM walk AS w JOIN halt AS h ON h.route_id = w.route_id AND h.direction_id = w.direction_id AND h.k = w.seq + 1 JOIN (SELECT *, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS len2 FROM leg) AS l ON l.route_id = w.route_id AND l.direction_id = w.direction_id AND l.k >= w.at,
+        LATERAL (SELECT least(greatest(((h.x - x0) * (x1 - x0) + (h.y - y0) * (y1 - y0)) / len2, 0.0::DOUBLE), 1.0::DOUBLE) AS u) AS f GROUP BY 1, 2, 3) AS k)
+  SELECT * FROM walk WHERE seq > 0) AS k""", ("d", "off_line"))
+def project_stops_bent(spark, sf_dir):
+    line = spark.sql(BENT_LINE.format("{p}").replace("'{p}'", "{p}"), p=points(spark, sf_dir))
+    segments = spark.sql(BENT_SEGMENTS.format("{p}"), p=line)
+    stops = spark.sql(BENT_STOPS.format("{s}"), s=t.view(spark, sf_dir, "stop")).withColumnRenamed("k", "seq")
+    return network.project_stops(stops, segments).withColumnRenamed("offset", "off_line")

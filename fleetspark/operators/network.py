@@ -78,30 +78,30 @@ def densify_shape(vertices: DataFrame, step: float = 10.0, reach: int = 2) -> Da
 
 
 def project_stops(stops: DataFrame, segments: DataFrame) -> DataFrame:
-    """Stops (route_id, direction_id, seq, x, y) on their route's polyline, in order.
+    """Stops (route_id, direction_id, seq, x, y) on their route's polyline, in order: ``d`` and ``offset``.
 
     ``segments``: route_id, direction_id, k, x0, y0, x1, y1, c0 (distance at the
     segment's begin). Each stop takes the nearest point on a segment not before
-    the stop's before it. That makes one stop depend on the last, so a route is
-    worked through in one small group.
+    the stop's before it, of equally near ones the first. That makes one stop
+    depend on the last: a fold over the route's stops, whose state is the segment
+    reached. A route, some hundred stops and thousand segments, is one row.
     """
-    import numpy as np
-    import pandas as pd
-
-    def place(key, s: pd.DataFrame, line: pd.DataFrame) -> pd.DataFrame:
-        s, line = s.sort_values("seq"), line.sort_values("k")
-        if line.empty:
-            return pd.DataFrame({"route_id": [], "direction_id": [], "seq": [], "d": [], "offset": []})
-        x0, y0, c0 = line.x0.to_numpy(), line.y0.to_numpy(), line.c0.to_numpy()
-        dx, dy = line.x1.to_numpy() - x0, line.y1.to_numpy() - y0
-        square = np.maximum(dx * dx + dy * dy, 1e-12)
-        at, rows = 0, []
-        for stop in s.itertuples():
-            u = np.clip(((stop.x - x0[at:]) * dx[at:] + (stop.y - y0[at:]) * dy[at:]) / square[at:], 0, 1)
-            off = np.hypot(x0[at:] + u * dx[at:] - stop.x, y0[at:] + u * dy[at:] - stop.y)
-            k = int(np.argmin(off))
-            rows.append((stop.route_id, stop.direction_id, stop.seq, float(c0[at + k] + u[k] * np.sqrt(square[at + k])), float(off[k])))
-            at += k
-        return pd.DataFrame(rows, columns=["route_id", "direction_id", "seq", "d", "offset"])
-
-    return stops.groupBy(*KEY).cogroup(segments.groupBy(*KEY)).applyInPandas(place, "route_id string, direction_id int, seq int, d double, offset double")
+    line = segments.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("k", "x0", "y0", "x1", "y1", "c0"))).alias("_line"))
+    served = stops.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("_stops"))
+
+    def foot(stop, s):
+        dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
+        square = F.greatest(dx * dx + dy * dy, F.lit(1e-12))
+        u = F.least(F.greatest(((stop["x"] - s["x0"]) * dx + (stop["y"] - s["y0"]) * dy) / square, F.lit(0.0)), F.lit(1.0))
+        return F.hypot(s["x0"] + u * dx - stop["x"], s["y0"] + u * dy - stop["y"]), s["c0"] + u * F.sqrt(square)
+
+    def place(state, stop):
+        ahead = F.slice("_line", state["at"] + 1, F.size("_line"))
+        feet = F.transform(ahead, lambda s, i: F.struct(foot(stop, s)[0].alias("offset"), (state["at"] + i).alias("at"), foot(stop, s)[1].alias("d")))
+        best = F.array_min(feet)
+        done = F.array(F.struct(stop["seq"].alias("seq"), best["d"].alias("d"), best["offset"].alias("offset")))
+        return F.struct(best["at"].alias("at"), F.concat(state["done"], done).alias("done"))
+
+    kind = stops.schema["seq"].dataType.simpleString()
+    none = F.expr(f"named_struct('at', 0, 'done', cast(array() as array<struct<seq: {kind}, d: double, offset: double>>))")
+    return served.join(line, list(KEY)).select(*KEY, F.inline(F.aggregate("_stops", none, place)["done"]))
