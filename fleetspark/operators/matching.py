@@ -12,7 +12,7 @@ from fleetspark.functions import geo
 
 @dataclass(frozen=True)
 class MatchSettings:
-    """Metres, degrees and counts."""
+    """Metres, degrees and counts. ``crowded``: pings in a cell from which on it is split; 0 for no pass that counts them."""
 
     radius: float = 30.0
     turn: float = 55.0
@@ -22,6 +22,7 @@ class MatchSettings:
     share: float = 0.5
     least_share: float = 0.3
     least_pings: int = 6
+    crowded: int = 50_000
 
 
 DEFAULT = MatchSettings()
@@ -32,20 +33,41 @@ def _cells(x, y, size: float):
     return F.floor(x / size).cast("long"), F.floor(y / size).cast("long")
 
 
-def near_points(left: DataFrame, right: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+def split_crowded(left: DataFrame, right: DataFrame, on: list[str], crowded: int, part: str = "_part") -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``on`` with one more key, ``part``, that deals the rows of a crowded key of ``left`` to several tasks.
+
+    A first pass counts ``left`` by key (with partial sums). A key with more than
+    ``crowded`` rows gets a part for each ``crowded`` of them; its rows go to
+    parts by their hash, those of ``right`` to all of its parts. Other keys have
+    one part. The join's rows stay the same.
+    """
+    heavy = left.groupBy(*on).agg(F.ceil(F.count("*") / crowded).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(heavy, on, "left").withColumn(part, F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    copied = right.join(heavy, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt, copied
+
+
+def near_points(left: DataFrame, right: DataFrame, radius: float, keys: tuple[str, ...] = (), crowded: int = 0) -> DataFrame:
     """Rows of ``left`` with rows of ``right`` nearer than ``radius`` (columns x, y; ``px, py`` for the right side's).
 
     An equi-join on square cells as wide as the radius: the right side, the
-    smaller, is sent to its cell and the eight around it. ``keys`` join too, so
-    that a crowded cell is split by them. Exact: the distance is checked.
+    smaller, is sent to its cell and the eight around it. ``keys`` join too.
+    With ``crowded``, cells with more rows of ``left`` than that are split (see
+    ``split_crowded``), such as a depot where a whole fleet stands idle; it costs
+    a pass that counts. Exact: the distance is checked.
     """
     cx, cy = _cells(F.col("x"), F.col("y"), radius)
     here = left.withColumns({"_cx": cx, "_cy": cy})
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     px, py = _cells(F.col("px"), F.col("py"), radius)
     there = right.withColumn("_o", F.explode(around)).withColumns({"_cx": px + F.col("_o.i"), "_cy": py + F.col("_o.j")}).drop("_o")
-    pairs = here.join(there, ["_cx", "_cy", *keys])
-    return pairs.withColumn("off", geo.distance(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("off") < radius).drop("_cx", "_cy")
+    on = ["_cx", "_cy", *keys]
+    if crowded:
+        here, there = split_crowded(here, there, on, crowded)
+        on.append("_part")
+    pairs = here.join(there, on)
+    return pairs.withColumn("off", geo.distance(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("off") < radius).drop("_cx", "_cy", "_part")
 
 
 def match_candidates(pings: DataFrame, shapes: DataFrame, s: MatchSettings = DEFAULT, labelled: bool = False) -> DataFrame:
@@ -59,7 +81,7 @@ def match_candidates(pings: DataFrame, shapes: DataFrame, s: MatchSettings = DEF
     keys = ("mode",)
     if labelled:
         points, keys = points.withColumnRenamed("shape_route", "route_id"), ("mode", "route_id")
-    found = near_points(pings, points, s.radius, keys)
+    found = near_points(pings, points, s.radius, keys, s.crowded)
     standing = (F.col("average_speed") == 0) & (F.col("heading") == 0)
     found = found.where((geo.angle_between(F.col("heading"), F.col("bearing")) <= s.turn) | standing)
     if labelled:

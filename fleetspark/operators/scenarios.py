@@ -204,18 +204,33 @@ def hotspot_places(delays: DataFrame, states: DataFrame, points: DataFrame, tunn
     return nearest_stop(worst, stops, ["cx", "cy", "heading", "underground"])
 
 
-def nearest_stop(places: DataFrame, stops: DataFrame, keys: list[str], dropped: str = "Metro ") -> DataFrame:
+def nearest_stop(places: DataFrame, stops: DataFrame, keys: list[str], dropped: str = "Metro ", cell: float = 125.0, levels: int = 16) -> DataFrame:
     """``places`` with the ``name`` of the nearest stop, first of those of the same level, then of all; ties: the smaller id.
 
-    ``places`` are few, such as a report's rows: they are sent to all tasks, and
-    each task passes on only its best stop for each. ``dropped`` leaves the name;
-    a place underground gets " (subway)". Without stops the name is null.
+    Rings of cells that grow by powers of two: a place looks for the finest grid
+    with a stop in its cell or the eight around it. No stop nearer than that one
+    is outside the nine cells of the grid four times as wide, so only their stops
+    are compared. All of it is equi-joins on cells; what is looked at depends on
+    how far the nearest stop is, not on how many stops there are. ``dropped``
+    leaves the name; a place underground gets " (subway)". Without stops the name is null.
     """
-    level = F.explode(F.array(F.lit(False), F.lit(True)))
-    asked = places.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), level.alias("_level"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    size = lambda k: F.lit(cell) * F.pow(F.lit(2.0), k)
+    at = lambda x, k: F.floor(F.col(x) / size(k)).cast("long")
+    grids = stops.select("stop_id", "name", "x", "y", F.col("underground").alias("_level"), F.explode(F.sequence(F.lit(0), F.lit(levels + 2))).alias("_k"))
+    grids = grids.withColumns({"_cx": at("x", F.col("_k")), "_cy": at("y", F.col("_k"))})
+    asked = places.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("underground").alias("_below"), F.explode(F.array(F.lit(False), F.lit(True))).alias("_level"))
+
+    def ring(rows: DataFrame) -> DataFrame:
+        cells = rows.withColumn("_o", F.explode(around))
+        return cells.withColumns({"_cx": at("_x", F.col("_k")) + F.col("_o.i"), "_cy": at("_y", F.col("_k")) + F.col("_o.j")}).drop("_o")
+
+    on = ["_level", "_k", "_cx", "_cy"]
+    looked = ring(asked.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(levels)))))
+    finest = looked.join(grids.select(*on).distinct(), on, "left_semi").groupBy(*keys, "_x", "_y", "_below", "_level").agg(F.min("_k").alias("_k"))
+    near = ring(finest.withColumn("_k", F.col("_k") + 2)).join(grids, on)
     far = F.round(F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))), 6)
-    near = stops.select("stop_id", "name", "x", "y", F.col("underground").alias("_level")).join(F.broadcast(asked), "_level")
-    best = near.groupBy(*keys).agg(F.min_by("name", F.struct(F.col("_level") != F.col("underground"), far, "stop_id")).alias("_name"))
+    best = near.groupBy(*keys).agg(F.min_by("name", F.struct(F.col("_level") != F.col("_below"), far, "stop_id")).alias("_name"))
     tail = F.when(F.col("underground"), " (subway)").otherwise("")
     return places.join(best, keys, "left").withColumn("name", F.concat(F.replace("_name", F.lit(dropped), F.lit("")), tail)).drop("_name")
 

@@ -21,8 +21,26 @@ GTFS = {
 
 
 def read_feed(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """Rows of one feed of a landed dump of JSON lines."""
-    return spark.read.schema(FEED).json(path).where(F.col("gtfs_dataset_name") == feed).drop("gtfs_dataset_name")
+    """Rows of one feed of a landed dump: JSON lines, gzipped or not. Broken lines are left to ``broken_lines``."""
+    rows = _feed(spark, path).where("f._broken is null").select("f.*")
+    return rows.where(F.col("gtfs_dataset_name") == feed).drop("gtfs_dataset_name", "_broken")
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line`` of all lines of a dump that aren't JSON of its schema, to be kept in a quarantine table."""
+    return _feed(spark, path).where("f._broken is not null").select("file", "line")
+
+
+def _feed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines are read as text, so that a broken one is known with its file."""
+    parsed = F.from_json("value", f"{FEED}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("f"), F.col("value").alias("line"), F.input_file_name().alias("file"))
+
+
+def land_feed(spark: SparkSession, path: str, feed: str, table: str, quarantine: str) -> None:
+    """Write the rows of one feed to ``table``, and all broken lines to ``quarantine``, which repeated runs replace."""
+    read_feed(spark, path, feed).write.mode("overwrite").parquet(table)
+    broken_lines(spark, path).write.mode("overwrite").parquet(quarantine)
 
 
 def read_pings(spark: SparkSession, path: str) -> DataFrame:

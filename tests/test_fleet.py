@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -91,6 +92,47 @@ def test_playback_follows_the_reported_route_outside_trips(spark):
     assert [(d.hour, d.mode, [(r.t, r.label_no, r.along, r.mph) for r in d.rows]) for d in documents] == [(0, "bus", [(0, 1, 12, 7), (30, 2, 41, 9), (60, 0, -1, 9)])]
 
 
+def test_a_dump_with_broken_lines_goes_to_quarantine(spark, tmp_path):
+    import gzip
+
+    good = '{"gtfs_dataset_name": "a", "vehicle_id": "%s", "position_speed": 2.5}\n'
+    for k, lines in enumerate(([good % 1, '{"gtfs_dataset_name": "a", "vehi\n', "\n"], [good % 2, good.replace('"a"', '"b"') % 3, '{"gtfs_dataset_name": "a", "position_speed": "x"}\n'])):
+        with gzip.open(tmp_path / f"{k}.jsonl.gz", "wt") as f:
+            f.writelines(lines)
+    for _ in range(2):  # a second run replaces the first
+        files.land_feed(spark, str(tmp_path / "*.gz"), "a", str(tmp_path / "rows"), str(tmp_path / "broken"))
+    assert sorted((r.vehicle_id, r.position_speed) for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == [("1", 2.5), ("2", 2.5)]
+    lost = sorted((r.file[-10:], r.line) for r in spark.read.parquet(str(tmp_path / "broken")).collect())
+    assert lost == [("0.jsonl.gz", '{"gtfs_dataset_name": "a", "vehi'), ("1.jsonl.gz", '{"gtfs_dataset_name": "a", "position_speed": "x"}')]
+
+
+def test_a_crowded_cell_is_split_and_the_join_stays_the_same(spark):
+    rng = random.Random(8)
+    pings = [(k, *((100.0, 100.0) if k % 2 else (rng.uniform(0, 600), rng.uniform(0, 600)))) for k in range(2000)]
+    points = [(k, rng.uniform(0, 600), rng.uniform(0, 600)) for k in range(300)] + [(300, 110.0, 95.0), (301, 80.0, 80.0)]
+    left, right = spark.createDataFrame(pings, "k int, x double, y double"), spark.createDataFrame(points, "p int, px double, py double")
+    one = lambda crowded: sorted((r.k, r.p) for r in matching.near_points(left, right, 30.0, crowded=crowded).collect())
+    want = sorted((k, p) for k, x, y in pings for p, px, py in points if math.hypot(x - px, y - py) < 30)
+    assert one(0) == one(50) == want
+    keyed = left.withColumns({"cx": F.floor(F.col("x") / 30), "cy": F.floor(F.col("y") / 30)})
+    dealt, _ = matching.split_crowded(keyed, keyed.select("cx", "cy").distinct(), ["cx", "cy"], 50)
+    sizes = sorted(r["count"] for r in dealt.groupBy("cx", "cy", "_part").count().collect())
+    assert sizes[-1] <= 75 and dealt.count() == 2000  # 1,000 pings in the cell, dealt to 20 parts by hash
+
+
+def test_nearest_stop_by_growing_rings(spark):
+    rng = random.Random(9)
+    stops = [(k, f"Metro s{k}", rng.choice([10.0, 500.0, 90_000.0]) * rng.uniform(-1, 1), rng.uniform(-900, 900), rng.random() < 0.3) for k in range(60)]
+    places = [(k, rng.uniform(-60_000, 60_000), rng.uniform(-2000, 2000), rng.random() < 0.5) for k in range(40)]
+    found = scenarios.nearest_stop(spark.createDataFrame(places, "k int, x double, y double, underground boolean"), spark.createDataFrame(stops, "stop_id int, name string, x double, y double, underground boolean"), ["k"])
+    for r in found.collect():
+        best = min(stops, key=lambda s: (s[4] != r.underground, round(math.hypot(s[2] - r.x, s[3] - r.y), 6), s[0]))
+        assert r["name"] == best[1].replace("Metro ", "") + (" (subway)" if r.underground else "")
+    above = [s for s in stops if not s[4]]  # none of the place's level: any
+    one = scenarios.nearest_stop(spark.createDataFrame([(1, 0.0, 0.0, True)], "k int, x double, y double, underground boolean"), spark.createDataFrame(above, "stop_id int, name string, x double, y double, underground boolean"), ["k"]).first()
+    assert one["name"] == min(above, key=lambda s: math.hypot(s[2], s[3]))[1].replace("Metro ", "") + " (subway)"
+
+
 def test_segment_minutes_with_missing_cells_and_hours(spark):
     mph = 2.23694
     cells = spark.createDataFrame([("A", 0, 0, 8, 10.0 * mph), ("A", 0, 0, 10, 5.0 * mph), ("A", 0, 1, 10, 5.0 * mph), ("A", 0, 2, 10, 0.0), ("A", 0, 1, 23, 20.0 * mph), ("A", 0, 1, 5, 10.0 * mph)], "route_id string, direction_id int, bin int, hour int, mph double")
