@@ -240,6 +240,31 @@ def label(node: Node) -> str:
     return f"{node.tag}.{node.attributes['class']}" if node.attributes and "class" in node.attributes else node.tag
 
 
+def tag_of(name: str) -> str:
+    """The tag of a label."""
+    return name if name.startswith("#") else name.split(".")[0].split("#")[0]
+
+
+def named(node: Node, longest: int = 12) -> list[tuple[str, Node]]:
+    """The elements below a node, but for raw and void ones, each with its label.
+
+    Bare containers side by side that hold different kinds of blocks are parts
+    of a page that only lack names: they are numbered, so each can be told by its
+    place. If they hold the same, or are more than ``longest``, they are a list.
+    """
+    below = [c for c in node.children if not isinstance(c, str) and c.tag not in RAW and c.tag not in VOID]
+    names = [label(c) for c in below]
+    bare: dict[str, list[int]] = defaultdict(list)
+    for i, name in enumerate(names):
+        if name in CONTAINERS:
+            bare[name].append(i)
+    for name, places in bare.items():
+        if 1 < len(places) <= longest and len({frozenset(c.tag for c in below[i].children if not isinstance(c, str) and c.tag in BLOCK) for i in places}) > 1:
+            for k, i in enumerate(places):
+                names[i] = f"{name}#{k}"
+    return list(zip(names, below, strict=True))
+
+
 @lru_cache(1 << 16)
 def step(path: int, name: str) -> int:
     """The path of a child with the label ``name``."""
@@ -301,25 +326,22 @@ class Part:
 def outline(root: Node, texts: Texts, marked: set[int], holding: set[int]) -> list[Part]:
     """The elements of a page in its order; runs of neighbours with the same label are one part, and not looked into."""
     out: list[Part] = []
-    todo: list[tuple[list[Node], int, int, bool]] = [([root], 0, 0, False)]
+    todo: list[tuple[str, list[Node], int, int, bool]] = [(label(root), [root], 0, 0, False)]
     while todo:
-        nodes, depth, path, within = todo.pop()
-        name = label(nodes[0])
+        name, nodes, depth, path, within = todo.pop()
         here = step(path, name)
         kind = HOLDS * any(id(n) in holding for n in nodes) | MARKED * any(id(n) in marked for n in nodes) | WITHIN * within
         kind |= DULL * all(boilerplate(n, within, id(n) in holding) for n in nodes)
         out.append(Part(depth, name, here, digest(here, "\n".join(map(texts.of, nodes))), kind, sum(map(texts.plain, nodes)), nodes))
         if len(nodes) > 1:
             continue
-        groups: list[list[Node]] = []
-        for child in nodes[0].children:
-            if isinstance(child, str) or child.tag in RAW or child.tag in VOID:
-                continue
-            if groups and label(groups[-1][0]) == label(child):
-                groups[-1].append(child)
+        groups: list[tuple[str, list[Node]]] = []
+        for below, child in named(nodes[0]):
+            if groups and groups[-1][0] == below:
+                groups[-1][1].append(child)
             else:
-                groups.append([child])
-        todo += [(g, depth + 1, here, within or bool(kind & MARKED)) for g in groups[::-1]]
+                groups.append((below, [child]))
+        todo += [(below, g, depth + 1, here, within or bool(kind & MARKED)) for below, g in groups[::-1]]
     return out
 
 
@@ -329,7 +351,7 @@ def elements_by_path(root: Node, path: int | None = None):
     while todo:
         node, path = todo.pop()
         yield path, node
-        todo += [(c, step(path, label(c))) for c in node.children[::-1] if not isinstance(c, str) and c.tag not in RAW and c.tag not in VOID]
+        todo += [(c, step(path, name)) for name, c in named(node)[::-1]]
 
 
 def block_digests(root: Node, texts: Texts, path: int | None = None):
@@ -362,16 +384,18 @@ CONTAINERS = frozenset("#root html body div section article main center table tb
 WHOLE = frozenset("#root html body".split())
 
 
-def induced(parts: list[tuple[int, str, int, int]], masses: dict[int, int], most: float = 0.5, own: float = 0.1) -> int | None:
+def induced(parts: list[tuple[int, str, int, int]], masses: dict[int, int], most: float = 0.5, lead: float = 0.75, own: float = 0.1) -> int | None:
     """The path of the slot that holds a layout's content; null if that is no less than the page.
 
     ``parts``: (depth, label, path, kind) of the first page's outline. ``masses``:
     by place in it, the plain text that other pages have there and that differs.
-    From the root, it goes down into the one child that varies, boilerplate
-    apart; or into a child with ``most`` of what varies if that holds a marked
-    article, or else all others do, which are teasers then. It stops at a marked
-    article, and where over ``own`` of the varying text is a node's own, or
-    several children vary.
+    From the root, it goes down into the one child that varies; or into a child
+    that leads, with ``lead`` of all that varies, named or not, unless headings or
+    paragraphs vary beside it; or into one with ``most`` of it if that holds a
+    marked article, or else all others do, which are teasers then. Names only
+    have a veto: what calls itself boilerplate is neither gone into nor counted. It
+    stops at a marked article, and where over ``own`` of the varying text is a
+    node's own, or no child leads.
     """
     below = _children([(depth, name, 0) for depth, name, _, _ in parts])
     at = 0
@@ -380,13 +404,14 @@ def induced(parts: list[tuple[int, str, int, int]], masses: dict[int, int], most
         if not varying or sum(masses.get(c, 0) for c in below[at]) < (1 - own) * masses.get(at, 0):
             break
         best = max(varying, key=masses.__getitem__)
-        heavy = masses[best] >= most * sum(masses[c] for c in varying)
+        share = masses[best] / sum(masses[c] for c in varying)
         marked = [c for c in varying if parts[c][3] & (HOLDS | MARKED)]
-        alone = len(varying) == 1 or heavy and (best in marked or len(varying) == 1 + len(marked))
-        if not alone or parts[best][1].split(".")[0] not in CONTAINERS:
+        leads = share >= lead and not any(tag_of(parts[c][1]) in CONTENT for c in varying if c != best)
+        alone = len(varying) == 1 or leads or share >= most and (best in marked or len(varying) == 1 + len(marked))
+        if not alone or tag_of(parts[best][1]) not in CONTAINERS:
             break
         at = best
-    return None if parts[at][1].split(".")[0] in WHOLE else parts[at][2]
+    return None if tag_of(parts[at][1]) in WHOLE else parts[at][2]
 
 
 def sample(text: str, size: int = 32) -> list[int]:
@@ -403,7 +428,7 @@ def likeness(a: list[int], b: list[int]) -> float:
 
 def layout(parts: list[Part]) -> int:
     """What pages of one layout share: a digest of the labels outside marked articles, but for bare content elements, whose use varies."""
-    return digest(0, "\n".join(sorted({f"{p.depth} {p.label}" for p in parts if p.label not in CONTENT and not p.kind & WITHIN})))
+    return digest(0, "\n".join(sorted({f"{p.depth} {p.label}" for p in parts if p.label.split("#")[0] not in CONTENT and not p.kind & WITHIN})))
 
 
 def matched(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
@@ -526,7 +551,7 @@ def main_part(root: Node, wrappers: set[int]) -> list[tuple[int | None, Node]]:
         if path in wrappers:
             found.setdefault(path, []).append((path, node))
         else:
-            todo += [(step(path, label(c)), c) for c in node.children[::-1] if not isinstance(c, str) and c.tag not in RAW and c.tag not in VOID]
+            todo += [(step(path, name), c) for name, c in named(node)[::-1]]
     if found:
         return max(found.values(), key=lambda nodes: sum(Texts(n).plain(n) for _, n in nodes)) if len(found) > 1 else next(iter(found.values()))
     marked = {id(n) for n in articles(root)}

@@ -287,6 +287,48 @@ def test_the_wrapper_decides_not_the_mark(spark):
     assert out[99] == "other kind"
 
 
+@pytest.mark.parametrize("names", [(), ("article", "nav", "footer")])
+def test_slots_without_names_are_told_by_what_varies_in_them(spark, names):
+    """Menu, advert, article and footer are bare boxes side by side; a naive reading of each page, box by box, says what is expected."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randrange(3, 11))) for _ in range(900)]
+    story = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    tag = lambda t: t if t in names else "div"
+    page = f"<body><{tag('nav')}><ul><li><a href=/x>Home</a><li><a href=/y>Us</a></ul></{tag('nav')}>%s<{tag('article')}><h1>%s</h1>%s</{tag('article')}><{tag('footer')}>&copy; h.com %s</{tag('footer')}></body>"
+    rows, want = [], {}
+    for i in range(40):
+        title, paragraphs = story(4), [story(rng.randrange(20, 90)) for _ in range(rng.randrange(1, 6))]
+        advert = f"<div>{story(6)}</div>" if i % 5 else ""  # some pages have none
+        rows.append((i, f"http://h.com/{i}", page % (advert, title, "".join(f"<p>{p}</p>" for p in paragraphs), story(7))))
+        want[i] = "\n\n".join([title, *paragraphs])
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_a_list_of_boxes_is_one_slot():
+    boxes = "".join(f"<div><p>{k}</p></div>" for k in range(5))
+    assert [name for name, _ in dom.named(dom.parse(f"<body>{boxes}</body>").children[0])] == ["div"] * 5
+    mixed = dom.parse("<body><div><ul></ul></div><div>t</div><div class=a>x</div><p>y</p></body>").children[0]
+    assert [name for name, _ in dom.named(mixed)] == ["div#0", "div#1", "div.a", "p"]
+    assert dom.tag_of("div#1") == dom.tag_of("div.a b") == "div" and dom.tag_of("#root") == "#root"
+
+
+def test_the_leading_slot_wins_unless_headings_vary_beside_it():
+    parts = [(0, "#root", 1, 0), (1, "body", 2, 0), (2, "div#0", 3, 0), (2, "div#1", 4, 0), (3, "h1", 5, 0), (3, "div", 6, 0), (2, "div#2", 7, 0)]
+    masses = {0: 120, 1: 120, 2: 5, 3: 105, 4: 5, 5: 100, 6: 10}
+    assert dom.induced(parts, masses) == 4  # not 6: the heading beside it varies
+    assert dom.induced(parts, masses | {2: 50, 0: 165, 1: 165}) is None  # none leads
+    dull = [*parts[:3], (2, "div#1", 4, 8), *parts[4:]]
+    assert dom.induced(dull, masses) is None  # names have a veto
+
+
+def test_clashing_columns_and_a_host_of_very_many_layouts(spark):
+    rows = [(i, f"http://many.com/{i}", f"<body><div class='l{i}'><article><p>story {i}</p></article></div><div class='m{i}'>x</div></body>", "host", 1, b"t") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, template int, wrappers binary")
+    out = {r.page_id: r.text for r in main_text(pages).collect()}
+    assert out == {i: f"story {i}" for i in range(60)}
+
+
 def test_the_heaviest_slot_wins_over_marked_teasers():
     parts = [(0, "#root", 1, 1), (1, "body", 2, 1), (2, "nav", 3, 8), (2, "div.a", 4, 0), (3, "h1", 5, 0), (3, "p", 6, 0), (2, "section", 7, 9), (3, "article", 8, 3)]
     assert dom.induced(parts, {0: 120, 1: 120, 3: 100, 4: 10, 5: 90, 6: 20, 7: 20}) == 4
