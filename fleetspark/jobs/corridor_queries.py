@@ -10,7 +10,7 @@ from fleetspark.jobs.ping_queries import PASSAGE
 from fleetspark.jobs.registry import query
 from fleetspark.operators import corridors, network, scenarios
 from fleetspark.operators import timelines as lines_
-from fleetspark.sources import fixtures
+from fleetspark.sources import files, fixtures
 
 UNDERGROUND = ("red", "old")
 NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
@@ -56,8 +56,13 @@ def stations(spark, sf_dir):
 
 
 def portal_passages(spark, sf_dir):
-    entries = t.view(spark, sf_dir, "route_dir").select("route_id", "direction_id", (F.lit(2000.0) + 100 * F.col("route_no")).alias("entry"))
-    return corridors.portal_passages(t.moving_pings(spark, sf_dir), entries, stations(spark, sf_dir))
+    """A stage that all portal reports read."""
+
+    def build():
+        entries = t.view(spark, sf_dir, "route_dir").select("route_id", "direction_id", (F.lit(2000.0) + 100 * F.col("route_no")).alias("entry"))
+        return corridors.portal_passages(t.moving_pings(spark, sf_dir), entries, stations(spark, sf_dir))
+
+    return files.stage("portal_passages", [fixtures.table(spark, sf_dir, name) for name in ("events", "part")], ("400 m", "900 m"), build)
 
 
 @query(f"SELECT * FROM {DELAY} AS d", ("median", "p90", "free_flow"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -77,12 +78,56 @@ def write_documents(rows: DataFrame, path: str, key: str, order: str) -> None:
     documents.write.mode("overwrite").partitionBy(key).text(path)
 
 
-def landing(spark: SparkSession) -> str:
-    """A new folder name below the one that all executors share, ``spark.checkpoint.dir``; a local session without one gets its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; a local session without one gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="fleetspark-landing-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/landing-{uuid.uuid4().hex}"
+        found = tempfile.mkdtemp(prefix="fleetspark-landing-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+_landings: list[str] = []
+
+
+def landing(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; ``clear_landings`` deletes it."""
+    _landings.append(f"{shared(spark)}/landing-{uuid.uuid4().hex}")
+    return _landings[-1]
+
+
+def clear_landings(spark: SparkSession) -> None:
+    """Delete what has landed so far, once no result reads it any more."""
+    while _landings:
+        path, system = _on(spark, _landings.pop())
+        system.delete(path, True)
+
+
+def _on(spark: SparkSession, name: str):
+    """A path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stage(name: str, sources: list[DataFrame], settings: object, build) -> DataFrame:
+    """A table that several reports start from: ``build()``, written once, one partition per ``day``, and read by all of them.
+
+    Its key is made of the files of ``sources`` (names, lengths, times of change)
+    and of ``settings``: if any of these change it is built anew, and what was
+    built before from the same first folder goes. Reports that are running on that must have ended.
+    """
+    spark = sources[0].sparkSession
+    found = sorted({f for df in sources for f in df.inputFiles()})
+    states = [_on(spark, f) for f in found]
+    told = [(f, s.getLen(), s.getModificationTime()) for f, s in ((f, system.getFileStatus(path)) for f, (path, system) in zip(found, states, strict=True))]
+    digest = lambda x: hashlib.sha256(repr(x).encode()).hexdigest()[:24]
+    family, key = f"{shared(spark)}/stages/{name}/{digest(found[:1])}", digest((name, settings, told))
+    done, system = _on(spark, f"{family}/{key}/_SUCCESS")
+    if not system.exists(done):
+        if system.exists(done.getParent().getParent()):
+            for old in system.listStatus(done.getParent().getParent()):
+                system.delete(old.getPath(), True)
+        build().write.mode("overwrite").partitionBy("day").parquet(f"{family}/{key}")
+    return spark.read.parquet(f"{family}/{key}")
