@@ -10,6 +10,7 @@ from fleetspark.jobs import tables as t
 from fleetspark.jobs.checks import STATE_SUMS
 from fleetspark.jobs.registry import query
 from fleetspark.operators import grid
+from fleetspark.sources import fixtures
 
 
 @query("SELECT * FROM grid", ("time", "dist", "speed"))
@@ -115,3 +116,21 @@ def trip_traces(spark, sf_dir):
     traces = grid.trip_traces(t.state_pings(spark, sf_dir))
     each = F.aggregate("trace", F.lit(0).cast("long"), lambda a, p: a + p["t"] * p["state"])
     return traces.select("day", "trip", F.size("trace").cast("long").alias("n"), each.alias("checksum"), F.col("trace")[0]["t"].alias("first_t"))
+
+
+# Sketches of each day, kept in its partition, merged over the month: ranks are off by less than 1%.
+@query("SELECT event_type, name, count(*) AS n, true AS near FROM events, (SELECT unnest(['median', 'p90']) AS name) AS q WHERE value IS NOT NULL GROUP BY 1, 2")
+def daily_quantile_sketches(spark, sf_dir):
+    from fleetspark.functions import quantiles
+    from fleetspark.sources import files
+
+    path = files.landing(spark)
+    rows = fixtures.table(spark, sf_dir, "events").select("event_type", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    files.write_by_day(quantiles.daily_sketches(rows, ["event_type"], "value"), path)
+    kept = spark.read.schema("event_type string, n long, sketch binary, day string").parquet(path)
+    shares = {"median": 0.5, "p90": 0.9}
+    found = quantiles.merged_quantiles(kept, ["event_type"], shares)
+    each = found.select("event_type", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(q).alias("share"), F.col(k).alias("value")) for k, q in shares.items()])).alias("q")).select("event_type", "n", "q.*")
+    ranked = each.join(rows.select("event_type", F.col("value").alias("v")), "event_type").where("v is not null").groupBy("event_type", "name", "n", "share").agg(F.count_if(F.col("v") <= F.col("value")).alias("up_to"), F.count_if(F.col("v") < F.col("value")).alias("below"))
+    off = F.greatest(F.col("below") / F.col("n") - F.col("share"), F.col("share") - F.col("up_to") / F.col("n"), F.lit(0.0))
+    return ranked.select("event_type", "name", "n", (off < 0.01).alias("near"))

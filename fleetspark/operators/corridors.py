@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions import geo
+from fleetspark.functions.quantiles import quantile
 from fleetspark.functions.scalars import hms_seconds
 from fleetspark.operators.matching import near_points
 from fleetspark.operators.states import TRIP, position_interp
@@ -17,9 +18,9 @@ def _hour(t: Column) -> Column:
     return F.floor(t / 3600).cast("int")
 
 
-def _spread(seconds: str) -> list[Column]:
-    """Median and 90th percentile in minutes, and how many."""
-    return [(F.percentile(seconds, 0.5) / 60.0).alias("median"), (F.percentile(seconds, 0.9) / 60.0).alias("p90"), F.count(seconds).alias("n")]
+def _spread(seconds: str, sketch: int = 0) -> list[Column]:
+    """Median and 90th percentile in minutes, and how many; see ``quantiles.quantile`` for ``sketch``."""
+    return [(quantile(seconds, 0.5, sketch) / 60.0).alias("median"), (quantile(seconds, 0.9, sketch) / 60.0).alias("p90"), F.count(seconds).alias("n")]
 
 
 def tunnel_ranges(stops: DataFrame, points: DataFrame, portals: DataFrame, routes: DataFrame, names: tuple[str, ...], radius: float = 60.0) -> DataFrame:
@@ -62,11 +63,11 @@ def portal_passages(pings: DataFrame, entries: DataFrame, stations: DataFrame, a
     return whole.join(rides, [*KEY, *TRIP], "left").withColumn("ride", F.col("_t") - F.col("_t0")).drop("_t0", "_t")
 
 
-def portal_delay(passages: DataFrame, least: int = 2) -> DataFrame:
+def portal_delay(passages: DataFrame, least: int = 2, sketch: int = 0) -> DataFrame:
     """Minutes before the portal by route, direction and hour: median, 90th percentile, trips, free flow (10th percentile of all)."""
     trips = passages.groupBy(*KEY, *TRIP).agg(F.first("hour").alias("hour"), F.first("approach").alias("approach"))
-    free = trips.groupBy(*KEY).agg((F.percentile("approach", 0.1) / 60.0).alias("free_flow"))
-    return trips.groupBy(*KEY, "hour").agg(*_spread("approach")).where(F.col("n") >= least).join(free, list(KEY))
+    free = trips.groupBy(*KEY).agg((quantile("approach", 0.1, sketch) / 60.0).alias("free_flow"))
+    return trips.groupBy(*KEY, "hour").agg(*_spread("approach", sketch)).where(F.col("n") >= least).join(free, list(KEY))
 
 
 def station_times(passages: DataFrame, least: int = 2) -> DataFrame:
@@ -82,7 +83,7 @@ def pooled_pairs(passages: DataFrame, least: int = 3) -> DataFrame:
     return pairs.groupBy(F.concat_ws("|", "station", "to").alias("pair"), "hour").agg(*_spread("seconds")).where(F.col("n") >= least)
 
 
-def corridor_pair_times(pings: DataFrame, stations: DataFrame, least: int = 3, pooled: bool = False, days: int = 1) -> DataFrame:
+def corridor_pair_times(pings: DataFrame, stations: DataFrame, least: int = 3, pooled: bool = False, days: int = 1, sketch: int = 0) -> DataFrame:
     """Observed minutes between stations by hour, of trips that span both; ``pooled`` over routes, with trips a day.
 
     ``stations``: route_id, direction_id, station, d. A pair is in the order of travel.
@@ -93,7 +94,7 @@ def corridor_pair_times(pings: DataFrame, stations: DataFrame, least: int = 3, p
     pairs = at.join(second, [*KEY, *TRIP]).where((F.col("target") < F.col("_d")) & (F.col("station") != F.col("to")))
     pairs = pairs.select("route_id", "direction_id", F.concat_ws("|", "station", "to").alias("pair"), _hour(F.col("t_at")).alias("hour"), (F.col("_t") - F.col("t_at")).alias("seconds"))
     by = ("direction_id", "pair", "hour") if pooled else (*KEY, "pair", "hour")
-    out = pairs.groupBy(*by).agg(*_spread("seconds")).where(F.col("n") >= least)
+    out = pairs.groupBy(*by).agg(*_spread("seconds", sketch)).where(F.col("n") >= least)
     return out.withColumn("per_day", F.col("n") / F.lit(float(days))) if pooled else out
 
 

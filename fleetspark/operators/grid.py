@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions import search
+from fleetspark.functions.quantiles import quantile
 from fleetspark.operators.states import covering_trips
 
 MPS = 2.23694
@@ -43,10 +44,10 @@ def speed_grid(contributions: DataFrame, s: GridSettings = DEFAULT) -> DataFrame
     return cells.withColumn("speed", F.when(F.col("time") > 0, F.col("dist") / F.col("time")))
 
 
-def reference_speed(grid: DataFrame, s: GridSettings = DEFAULT) -> DataFrame:
-    """Free-flow speed of each bin: the 90th percentile over busy enough hours, within limits."""
+def reference_speed(grid: DataFrame, s: GridSettings = DEFAULT, sketch: int = 0) -> DataFrame:
+    """Free-flow speed of each bin: the 90th percentile over busy enough hours, within limits; see ``quantiles.quantile`` for ``sketch``."""
     top = F.when(F.col("mode") == "rail", s.fastest_rail / MPS).otherwise(s.fastest / MPS)
-    found = grid.where((F.col("trips") >= s.least_trips) & F.col("speed").isNotNull()).groupBy("route_id", "direction_id", "bin", "mode").agg(F.percentile("speed", 0.9).alias("p90"))
+    found = grid.where((F.col("trips") >= s.least_trips) & F.col("speed").isNotNull()).groupBy("route_id", "direction_id", "bin", "mode").agg(quantile("speed", 0.9, sketch).alias("p90"))
     return found.select("route_id", "direction_id", "bin", F.least(F.greatest("p90", F.lit(s.slowest / MPS)), top).alias("vref"))
 
 
@@ -96,13 +97,13 @@ def budget_by_hour(states: DataFrame, s: GridSettings = DEFAULT) -> DataFrame:
     return rows.where(total > 0).select("route_id", "direction_id", "hour", *[(F.col(f"s{k}") / total).alias(f"s{k}") for k in STATES])
 
 
-def runtime_by_hour(extents: DataFrame, s: GridSettings = DEFAULT) -> DataFrame:
+def runtime_by_hour(extents: DataFrame, s: GridSettings = DEFAULT, sketch: int = 0) -> DataFrame:
     """Minutes from end to end by departure hour: median, 90th percentile, number of nearly whole trips."""
     minutes = (F.col("t1") - F.col("t0")) / F.lit(60.0) / F.col("cov")
     full = extents.where(F.col("cov") >= s.full_cover).withColumns({"hour": F.floor(F.col("t0") / 3600).cast("int"), "minutes": minutes})
     rows = full.where(F.col("hour").between(s.first_hour, s.last_hour)).groupBy("route_id", "direction_id", "hour")
-    rows = rows.agg(F.percentile("minutes", F.array(F.lit(0.5), F.lit(0.9))).alias("p"), F.count("*").alias("n"))
-    return rows.where(F.col("n") >= s.least_runs).select("route_id", "direction_id", "hour", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"), "n")
+    rows = rows.agg(quantile("minutes", 0.5, sketch).alias("median"), quantile("minutes", 0.9, sketch).alias("p90"), F.count("*").alias("n"))
+    return rows.where(F.col("n") >= s.least_runs)
 
 
 def runtime_beside_schedule(observed: DataFrame, scheduled: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetspark.jobs import registry
-from fleetspark.functions import search
+from fleetspark.functions import quantiles, search
 from fleetspark.operators import corridors, grid, matching, network, scenarios, segmentation, signals, states, timelines
 from fleetspark.sources import files
 from fleetspark.streaming import follow, live
@@ -133,6 +134,43 @@ def test_nearest_stop_by_growing_rings(spark):
     assert one["name"] == min(above, key=lambda s: math.hypot(s[2], s[3]))[1].replace("Metro ", "") + " (subway)"
 
 
+def test_sketches_of_days_merge_to_quantiles_within_one_percent(spark):
+    rows = spark.range(60_000).selectExpr("id % 3 AS k", "concat('d', id % 7) AS day", "CASE WHEN id % 100 > 0 THEN cast(hash(id) AS double) END AS v", "id")
+    merged = quantiles.merged_quantiles(quantiles.daily_sketches(rows, ["k"], "v"), ["k"], {"a": 0.1, "b": 0.5, "c": 0.9})
+    for r in merged.collect():
+        own = sorted(v for v, in rows.where((F.col("k") == r.k) & F.col("v").isNotNull()).select("v").collect())
+        assert r.n == len(own)
+        for value, share in ((r.a, 0.1), (r.b, 0.5), (r.c, 0.9)):
+            assert abs(sum(v <= value for v in own) / len(own) - share) < 0.01
+    exact, near = (rows.groupBy("k").agg(quantiles.quantile("v", 0.5, size).alias("q")).orderBy("k").collect() for size in (0, 400))
+    assert all(abs(a.q - b.q) < 0.02 * 2**32 for a, b in zip(exact, near)) and exact != near
+
+
+def test_a_stage_is_built_once_and_again_when_its_source_changes(spark, tmp_path):
+    built = []
+
+    def table():
+        rows = spark.range(3).selectExpr("id", "id % 2 AS day")
+        built.append(1)
+        return rows
+
+    source = lambda: spark.read.parquet(str(tmp_path / "source"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "source"))
+    for _ in range(2):
+        assert files.stage("t", [source()], ("x",), table).count() == 3
+    assert len(built) == 1
+    files.stage("t", [source()], ("y",), table)
+    spark.range(6).coalesce(1).write.mode("append").parquet(str(tmp_path / "source"))
+    assert files.stage("t", [source()], ("y",), table).count() == 3 and len(built) == 3
+
+
+def test_landings_are_cleared(spark, sf_dir):
+    registry.queries()["parquet_by_day"](spark, sf_dir).count()
+    assert [x for x in os.listdir(files.shared(spark)) if x.startswith("landing-")]
+    files.clear_landings(spark)
+    assert not [x for x in os.listdir(files.shared(spark)) if x.startswith("landing-")]
+
+
 def test_segment_minutes_with_missing_cells_and_hours(spark):
     mph = 2.23694
     cells = spark.createDataFrame([("A", 0, 0, 8, 10.0 * mph), ("A", 0, 0, 10, 5.0 * mph), ("A", 0, 1, 10, 5.0 * mph), ("A", 0, 2, 10, 0.0), ("A", 0, 1, 23, 20.0 * mph), ("A", 0, 1, 5, 10.0 * mph)], "route_id string, direction_id int, bin int, hour int, mph double")
