@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,22 +90,51 @@ def shared(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_landings: list[str] = []
+#: Folders that results read, until something takes charge of them.
+made: list[str] = []
 
 
 def landing(spark: SparkSession) -> str:
-    """A new folder name in the shared folder; ``clear_landings`` deletes it."""
-    _landings.append(f"{shared(spark)}/landing-{uuid.uuid4().hex}")
-    return _landings[-1]
+    """A new folder name in the shared folder; ``clear_landings`` or the ``Results`` it was made under delete it."""
+    made.append(f"{shared(spark)}/landing-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def clear_landings(spark: SparkSession) -> None:
     """Delete what has landed so far, once no result reads it any more."""
-    while _landings:
-        path, system = _on(spark, _landings.pop())
+    delete(spark, made)
+    made.clear()
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path, system = _on(spark, name)
         system.delete(path, True)
 
 
+class Results:
+    """Runs queries, and deletes the folders that a result was made from once the result is gone.
+
+    That is seen when the next query starts. A frame made of a result needs the result kept.
+    """
+
+    def __init__(self):
+        self.held: list[tuple[weakref.ref, list[str]]] = []
+
+    def of(self, query):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            for result, paths in [x for x in self.held if x[0]() is None]:
+                delete(spark, paths)
+            self.held = [x for x in self.held if x[0]() is not None]
+            before = len(made)
+            result = query(spark, sf_dir)
+            self.held.append((weakref.ref(result), made[before:]))
+            del made[before:]
+            return result
+
+        return run
+
+
 def _on(spark: SparkSession, name: str):
     """A path and its file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
