@@ -1,8 +1,8 @@
 """Phrases that occur often and stick together, mined from position bitmaps.
 
 The corpus is dealt into shards of one language and a bounded number of words.
-In a shard every word has the bitmap of its positions, of which only 64-bit
-blocks that aren't zero are held. A phrase's bitmap, shifted by one position and
+In a shard every word has the bitmap of its positions, of which only bytes
+that aren't zero are held. A phrase's bitmap, shifted by one position and
 ANDed with a word's, is that of the phrase longer by this word; its bits are the
 phrase's occurrences. Where a piece ends a position stays empty, so no phrase
 goes on into the next piece. Shards hand in numbers of bits, Spark sums them.
@@ -62,7 +62,7 @@ def packed(numbers: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64) - 1
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel() - np.int32(1)
 
 
 def _sharded(size: int):
@@ -91,67 +91,128 @@ def _sharded(size: int):
 
 
 class Bitmaps:
-    """The positions of each word as bits, in blocks of 64 of which those without bits are left out."""
+    """The positions of each word as bits, in blocks of eight of which those without bits are left out."""
 
     def __init__(self, numbers: np.ndarray, n_words: int):
         """``numbers``: the word at each position, below 0 for none."""
-        at = np.flatnonzero(numbers >= 0)
-        word, block, bit = numbers[at], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+        at = np.flatnonzero(numbers >= 0).astype(np.int32)
+        word, block, bit = numbers[at].astype(np.int32), at >> 3, np.uint8(1) << (at & 7).astype(np.uint8)
         order = np.argsort(word, kind="stable")
         word, block, bit = word[order], block[order], bit[order]
         first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])]) if len(at) else at
-        self.block, self.bits = block[first], np.bitwise_or.reduceat(bit, first) if len(at) else bit
-        self.begin = np.searchsorted(word[first], np.arange(n_words + 1))
+        self.n_words, self.word, self.block = n_words, word[first], block[first]
+        self.bits = np.bitwise_or.reduceat(bit, first) if len(at) else bit
+        self.begin = np.searchsorted(self.word, np.arange(n_words + 1))
         by_block = np.argsort(self.block, kind="stable")
-        self._word, self._bits = word[first][by_block], self.bits[by_block]
-        self._begin = np.searchsorted(self.block[by_block], np.arange((len(numbers) >> 6) + 3))
-
-    def of(self, word: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.begin[word : word + 2]
-        return self.block[a:b], self.bits[a:b]
-
-    def longer(self, block: np.ndarray, bits: np.ndarray):
-        """For each word that follows some bit: the word, how often, and the bitmap of where it does."""
-        over = np.flatnonzero(bits >> np.uint64(63))
-        block, bits = np.r_[block, block[over] + 1], np.r_[bits << np.uint64(1), np.ones(len(over), np.uint64)]
+        self._word, self._bits = self.word[by_block], self.bits[by_block]
+        self._begin = np.searchsorted(self.block[by_block], np.arange((len(numbers) >> 3) + 3))
+
+    def groups(self, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
+        """Ranges of words with about ``size`` blocks each."""
+        a = 0
+        while a < self.n_words:
+            b = max(a + 1, int(np.searchsorted(self.begin, self.begin[a] + size, side="right")) - 1)
+            yield a, min(b, self.n_words)
+            a = b
+
+    def longer(self, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray):
+        """Of phrases' bitmaps, all blocks in one array each: shift them by one position, AND them with each word's.
+
+        Gives phrase, word, block and bits of all blocks that are left, in order of phrase and word.
+        """
+        over = np.flatnonzero(bits >> 7)
+        phrase, block, bits = np.r_[phrase, phrase[over]], np.r_[block, block[over] + 1], np.r_[bits << 1, np.ones(len(over), np.uint8)]
         n = self._begin[block + 1] - self._begin[block]
         at = np.repeat(self._begin[block] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.repeat(bits, n) & self._bits[at]
+        row = np.repeat(np.arange(len(n)), n)
+        both = bits[row] & self._bits[at]
         hit = np.flatnonzero(both)
-        word = self._word[at[hit]]
-        order = np.argsort(word, kind="stable")
-        word, hit = word[order], hit[order]
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
-        block, both = np.repeat(block, n)[hit], both[hit]
-        often = np.add.reduceat(np.bitwise_count(both).astype(np.int64), first) if len(word) else first
-        return word[first], often, block, both, np.r_[first, len(word)]
+        row, word = row[hit], self._word[at[hit]]
+        phrase = phrase[row]
+        order = np.argsort(phrase.astype(np.int64) * self.n_words + word, kind="stable")
+        return phrase[order], word[order], block[row[order]], both[hit[order]]
 
 
-def pairs(numbers: np.ndarray, n_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each word that others follow: the word, those that follow, how often."""
-    maps = Bitmaps(numbers, n_words)
-    for a in range(n_words):
-        after, often, *_ = maps.longer(*maps.of(a))
-        if len(after):
-            yield a, after, often
+def _starts(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])]) if len(word) else np.zeros(0, np.int64)
+
+
+def _bit_counts(bits: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(np.bitwise_count(bits).astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
 
 
-def extensions(numbers: np.ndarray, n_words: int, follow: dict[int, set[int]], longest: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Phrases of three to ``longest`` words with their counts, depth first; ``follow`` has the pairs they may be made of."""
+def pairs(numbers: np.ndarray, n_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of neighbours: first words, second words, how often."""
     maps = Bitmaps(numbers, n_words)
+    for a, b in maps.groups():
+        own = slice(maps.begin[a], maps.begin[b])
+        first, second, _, bits = maps.longer(maps.word[own], maps.block[own], maps.bits[own])
+        starts = _starts(first, second)
+        yield first[starts], second[starts], _bit_counts(bits, starts)
 
-    def deeper(path, block, bits):
-        after, often, block, bits, ends = maps.longer(block, bits)
-        for k, (word, n) in enumerate(zip(after.tolist(), often.tolist(), strict=True)):
-            if word in follow.get(path[-1], ()):
-                here = (*path, word)
-                if len(here) > 2:
-                    yield here, n
-                if len(here) < longest and word in follow:
-                    yield from deeper(here, block[ends[k] : ends[k + 1]], bits[ends[k] : ends[k + 1]])
 
-    for a in sorted(follow):
-        yield from deeper((a,), *maps.of(a))
+class Chains:
+    """Which word may follow: contexts, which are beginnings of allowed phrases shorter than these, and moves by a word.
+
+    The context after an allowed phrase is its words but the first, so there are
+    no more moves than words in allowed phrases, whatever follows what.
+    """
+
+    LAST = -2  # a context that no allowed phrase begins with
+
+    def __init__(self, allowed: list[tuple[int, ...]], n_words: int):
+        self.size, self.n_words = len(allowed[0]) if allowed else 0, n_words
+        contexts: dict[tuple[int, ...], int] = {}
+        for p in allowed:
+            for k in range(1, self.size):
+                contexts.setdefault(p[:k], len(contexts))
+        moves = {(contexts[p[:k]], p[k]): contexts[p[: k + 1]] for p in allowed for k in range(1, self.size - 1)}
+        moves |= {(contexts[p[:-1]], p[-1]): contexts.get(p[1:], self.LAST) for p in allowed}
+        keys = np.array([a * n_words + w for a, w in moves], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.array(list(moves.values()), np.int64)[order]
+        self.first = np.full(n_words, -1, np.int64)
+        for p, i in contexts.items():
+            if len(p) == 1:
+                self.first[p[0]] = i
+
+    def step(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The context after each word, -1 if it may not follow."""
+        key = context * self.n_words + word
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+
+def extensions(numbers: np.ndarray, n_words: int, chains: Chains, longest: int) -> Iterator[tuple[list[tuple[int, ...]], np.ndarray]]:
+    """Phrases longer than the allowed ones, to ``longest`` words, all of whose parts of that size are allowed, and their counts.
+
+    Depth first: the phrases that begin with a group of words are extended to their end before the next group's.
+    """
+    if not len(chains.keys):
+        return
+    maps = Bitmaps(np.where((numbers >= 0) & (chains.first[numbers] < 0) & ~np.isin(numbers, chains.keys % max(n_words, 1)), -1, numbers), n_words)
+    for a, b in maps.groups():
+        own = slice(maps.begin[a], maps.begin[b])
+        words = np.flatnonzero(chains.first[a:b] >= 0) + a
+        number = np.full(b - a, -1, np.int64)
+        number[words - a] = np.arange(len(words))
+        phrase = number[maps.word[own] - a]
+        live = np.flatnonzero(phrase >= 0)
+        phrase, block, bits = phrase[live], maps.block[own][live], maps.bits[own][live]
+        paths, state = [(w,) for w in words.tolist()], chains.first[words]
+        for size in range(2, longest + 1):
+            phrase, word, block, bits = maps.longer(phrase, block, bits)
+            after = chains.step(state[phrase], word)
+            ok = np.flatnonzero(after != -1)
+            phrase, word, block, bits, after = phrase[ok], word[ok], block[ok], bits[ok], after[ok]
+            starts = _starts(phrase, word)
+            if not len(starts):
+                break
+            paths = [(*paths[p], w) for p, w in zip(phrase[starts].tolist(), word[starts].tolist(), strict=True)]
+            state = after[starts]
+            phrase = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(phrase)]))
+            if size > chains.size:
+                yield paths, _bit_counts(bits, starts)
 
 
 def _counted(find):
@@ -161,52 +222,50 @@ def _counted(find):
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, lang, words, sequence, allowed = (batch.column(k)[i].as_py() for k in range(5))
-                texts, counts = find(unpacked(sequence), words, allowed)
-                for a in range(0, len(texts), 1 << 16):
-                    part, n = texts[a : a + (1 << 16)], counts[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(part), pa.int64()), pa.array([lang] * len(part)), pa.array(part, pa.string()), pa.array(n, pa.int64())], schema=COUNTS_ARROW)
+                for texts, counts in find(unpacked(sequence), words, allowed):
+                    n = len(texts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([lang] * n, pa.string()), pa.array(texts, pa.string()), pa.array(counts)], schema=COUNTS_ARROW)
 
     return run
 
 
 def _find_pairs(numbers, words, allowed):
     """Of ``allowed`` words, given by their numbers."""
-    own = np.full(len(words) + 1, -1, np.int64)  # the last one is for ends of pieces, -1
+    own = np.full(len(words) + 1, -1, np.int32)  # the last one is for ends of pieces, -1
     own[allowed] = np.arange(len(allowed))
     names = [words[i] for i in allowed]
-    texts, counts = [], []
-    for a, after, often in pairs(own[numbers], len(names)):
-        texts += [f"{names[a]} {names[b]}" for b in after.tolist()]
-        counts += often.tolist()
-    return texts, counts
+    for first, second, often in pairs(own[numbers], len(names)):
+        yield [f"{names[a]} {names[b]}" for a, b in zip(first.tolist(), second.tolist(), strict=True)], often
 
 
 def _find_longer(longest: int):
     def find(numbers, words, allowed):
-        """Of ``allowed`` pairs, given as texts."""
-        two = [p.split(" ") for p in allowed]
-        names = sorted({w for p in two for w in p})
+        """Of ``allowed`` phrases of one size, given as texts."""
+        parts = [p.split(" ") for p in allowed]
+        names = sorted({w for p in parts for w in p})
         number = {w: i for i, w in enumerate(names)}
-        own = np.full(len(words) + 1, -1, np.int64)
-        for i, w in enumerate(words):
-            own[i] = number.get(w, -1)
-        follow = defaultdict(set)
-        for a, b in two:
-            follow[number[a]].add(number[b])
-        found = list(extensions(own[numbers], len(names), dict(follow), longest))
-        return [" ".join(names[i] for i in path) for path, _ in found], [n for _, n in found]
+        own = np.array([*(number.get(w, -1) for w in words), -1], np.int32)
+        chains = Chains([tuple(number[w] for w in p) for p in parts], len(names))
+        for paths, counts in extensions(own[numbers], len(names), chains, longest):
+            yield [" ".join([names[i] for i in path]) for path in paths], counts
 
     return find
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_words: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def _sent(rows: DataFrame, bound: int) -> DataFrame:
+    """Rows of a written table, to be sent to all executors if they are few."""
+    return F.broadcast(rows) if rows.count() <= bound else rows
+
+
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_words: int = 1 << 20, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, size, f`` of all words and phrases up to ``longest`` words with f of ``least`` or more; ``lang, n`` of all words.
 
-    Two tables, written. A phrase can't be frequent unless its words and its
-    pairs are: the words' counts come with the shards, and are summed; a shard then
-    gets the numbers of its frequent words back and counts its pairs; at last it
-    gets its frequent pairs back and extends them depth first. What goes to a
-    shard is what that shard has, so no list of all phrases is held anywhere.
+    Two tables, written. A phrase can't be frequent unless all its parts are. The
+    words' counts come with the shards, and are summed; a shard gets the numbers
+    of its frequent words back and counts its pairs; it gets its frequent pairs
+    back and extends them to phrases of three; and those depth first to the end.
+    What goes to a shard is what that shard has, so no list of all phrases is held
+    anywhere; a table of frequent ones is broadcast only if it has ``broadcast_rows`` at most.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -215,20 +274,15 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
     totals = written(shards.groupBy("lang").agg(F.sum("n_words").alias("n")))
     words = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
     words = written(words.where(F.col("f") >= least))
-    own = shards.select("shard", "lang", F.posexplode("words").alias("at", "phrase")).join(words, ["lang", "phrase"]).groupBy("shard").agg(F.collect_list("at").alias("allowed"))
-    columns = ("shard", "lang", "words", "sequence", "allowed")
-    counted = written(shards.join(own, "shard").select(*columns).mapInArrow(_counted(_find_pairs), COUNTS))
-    two = written(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
-    own = counted.join(two, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("phrase").alias("allowed"))
-    more = shards.join(own, "shard").select(*columns).mapInArrow(_counted(_find_longer(longest)), COUNTS)
-    more = more.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    found = [words.select("lang", "phrase", F.lit(1).alias("size"), "f"), two.select("lang", "phrase", F.lit(2).alias("size"), "f")] if longest > 1 else [words.select("lang", "phrase", F.lit(1).alias("size"), "f")]
-    if longest > 2:
-        found.append(more.select("lang", "phrase", (F.regexp_count("phrase", F.lit(" ")) + 1).alias("size"), "f"))
-    all_found = found[0]
-    for one in found[1:]:
-        all_found = all_found.unionByName(one)
-    return written(all_found), totals
+    own = shards.select("shard", "lang", F.posexplode("words").alias("at", "phrase")).join(_sent(words, broadcast_rows), ["lang", "phrase"]).groupBy("shard").agg(F.collect_list("at").alias("allowed"))
+    found = words
+    for find in (_find_pairs, _find_longer(min(longest, 3)), _find_longer(longest))[: max(0, longest - 1)]:
+        counted = written(shards.join(own, "shard").select("shard", "lang", "words", "sequence", "allowed").mapInArrow(_counted(find), COUNTS))
+        more = written(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+        marked = counted.join(_sent(more.select("lang", "phrase", F.lit(True).alias("frequent")), broadcast_rows), ["lang", "phrase"], "left")
+        own = marked.groupBy("shard").agg(F.collect_list(F.when(F.col("frequent"), F.col("phrase"))).alias("allowed")).where(F.size("allowed") > 0)
+        found = found.unionByName(more)
+    return written(found.select("lang", "phrase", (F.regexp_count("phrase", F.lit(" ")) + 1).alias("size"), "f")), totals
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int | None = 2000, shard_words: int = 1 << 20) -> DataFrame:

@@ -57,6 +57,13 @@ def test_empty_table_and_only_blank_texts(spark):
     assert phrases.collocations(spark.createDataFrame([(1, None, None, None, None), (2, "..", "en", None, None)], DOCS), least=1).count() == 0
 
 
+def test_shards_without_any_frequent_pair(spark):
+    docs = [(i, "a b a b a b" if i else "x y z w", "en" if i < 9 else "fr", None, None) for i in range(12)]
+    got = phrases.collocations(spark.createDataFrame(docs, DOCS).repartition(6), 10, 5, 2000, 6)
+    assert sorted(map(tuple, got.collect())) == plain(docs, 10, 5, 2000)
+    assert not list(phrases.extensions(np.array([0, 1, -1]), 2, phrases.Chains([], 2), 5))
+
+
 def test_products_beyond_64_bits_are_exact(spark, monkeypatch):
     n, f = 3_000_000_000_000_000_001, 1_000_000_007
     found = spark.createDataFrame([("en", "a", 1, 3 * f), ("en", "b", 1, 7 * f), ("en", "a b", 2, f)], "lang string, phrase string, size int, f long")
@@ -64,23 +71,26 @@ def test_products_beyond_64_bits_are_exact(spark, monkeypatch):
     assert phrases.collocations(found).first()["score"] == 1000 * f * n // (3 * f * 7 * f)
 
 
-def test_bitmaps_shift_over_block_ends_and_stop_at_pieces():
+@pytest.mark.parametrize("size", [2, 3])
+def test_bitmaps_shift_over_block_ends_and_stop_at_pieces(size):
     rng = np.random.default_rng(5)
     numbers = rng.integers(-1, 4, 1000)
     maps = phrases.Bitmaps(numbers, 4)
     for a in range(4):
-        assert int(np.bitwise_count(maps.of(a)[1]).sum()) == int((numbers == a).sum())
-    two = {(a, b): n for a, after, often in phrases.pairs(numbers, 4) for b, n in zip(after.tolist(), often.tolist(), strict=True)}
-    assert two == Counter(p for p in zip(numbers[:-1].tolist(), numbers[1:].tolist(), strict=True) if min(p) >= 0)
-    follow = {a: {b for b in range(4) if (a + b) % 3} for a in range(4)}
-    want = Counter()
-    for k in (3, 4):
-        for i in range(len(numbers) - k + 1):
-            p = tuple(numbers[i : i + k].tolist())
-            if min(p) >= 0 and all(b in follow[a] for a, b in zip(p[:-1], p[1:], strict=True)):
-                want[p] += 1
-    assert dict(phrases.extensions(numbers, 4, follow, 4)) == want
+        assert int(np.bitwise_count(maps.bits[maps.begin[a] : maps.begin[a + 1]]).sum()) == int((numbers == a).sum())
+    of_size = lambda k: Counter(p for p in (tuple(numbers[i : i + k].tolist()) for i in range(len(numbers) - k + 1)) if min(p) >= 0)
+    two = Counter()
+    for first, second, often in phrases.pairs(numbers, 4):
+        two.update({(a, b): n for a, b, n in zip(first.tolist(), second.tolist(), often.tolist(), strict=True)})
+    assert two == of_size(2)
+    allowed = {p for p in of_size(size) if sum(p) % 3}
+    want = Counter({p: n for k in range(size + 1, 6) for p, n in of_size(k).items() if all(p[i : i + size] in allowed for i in range(k - size + 1))})
+    got = Counter()
+    for paths, counts in phrases.extensions(numbers, 4, phrases.Chains(sorted(allowed), 4), 5):
+        got.update(dict(zip(paths, counts.tolist(), strict=True)))
+    assert got == want and any(len(p) == 5 for p in want)
     assert phrases.unpacked(phrases.packed(numbers.astype(np.int32))).tolist() == numbers.tolist()
+    assert [w for a, b in maps.groups(100) for w in range(a, b)] == [0, 1, 2, 3]
 
 
 def test_query_equals_its_sql(spark, sf_dir):
