@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspark.sources import files
+
 #: Words of a text: runs of anything but a space and the five control white spaces.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -40,8 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables written in each open ``scratch``, outermost first.
-_tables: list[list[str]] = [[]]
+#: Tables written in each open ``scratch``, outermost first; those outside of any are their results' (see ``files.Results``).
+_tables: list[list[str]] = [files.made]
 
 
 def written(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -64,20 +66,12 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        for path in _tables.pop():
-            _delete(spark, path)
+        files.delete(spark, _tables.pop())
 
 
 def clear(spark: SparkSession) -> None:
     """Delete the tables of all results so far, once nothing reads them any more."""
-    for path in _tables[0]:
-        _delete(spark, path)
-    _tables[0].clear()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    files.clear_landings(spark)
 
 
 def ship(spark: SparkSession) -> None:

@@ -93,3 +93,19 @@ def test_query_equals_its_sql(spark, sf_dir):
     got = op11_decontamination(spark, sf_dir).toPandas()
     assert got[want.columns].sort_values("doc_id").reset_index(drop=True).equals(want.sort_values("doc_id").reset_index(drop=True))
     assert got["contaminated"].any()
+
+
+def test_tables_of_a_query_go_with_its_result(spark, sf_dir):
+    import __spark_entry__ as entry
+    from fleetspark.llm import common
+    from fleetspark.sources import files
+
+    common.clear(spark)
+    there = lambda: {x for x in os.listdir(files.shared(spark)) if x.startswith("fleetspark-")}
+    before, found = there(), entry.queries()
+    kept = found["op11_decontamination"](spark, sf_dir)
+    found["op13_source_divergence"](spark, sf_dir)
+    assert len(there() - before) > 1 and kept.count() == 200
+    del kept
+    found["feed_profile"](spark, sf_dir)
+    assert there() == before
