@@ -15,6 +15,7 @@ import xxhash
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
+UNSEEN = RAW | VOID
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody tfoot thead tr ul".split())
 ENDS_PARAGRAPH = BLOCK - frozenset("body html option legend caption tbody tfoot thead tr".split())
 #: What a start tag ends if it is open, and what shields an open element from that.
@@ -35,10 +36,11 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "parts")
 
     def __init__(self, tag: str, attributes: dict):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.parts: list[tuple[str, Node]] | None = None  # what ``named`` has found
 
 
 def _attributes(raw: str) -> dict:
@@ -252,17 +254,22 @@ def named(node: Node, longest: int = 12) -> list[tuple[str, Node]]:
     of a page that only lack names: they are numbered, so each can be told by its
     place. If they hold the same, or are more than ``longest``, they are a list.
     """
-    below = [c for c in node.children if not isinstance(c, str) and c.tag not in RAW and c.tag not in VOID]
-    names = [label(c) for c in below]
-    bare: dict[str, list[int]] = defaultdict(list)
-    for i, name in enumerate(names):
-        if name in CONTAINERS:
-            bare[name].append(i)
-    for name, places in bare.items():
-        if 1 < len(places) <= longest and len({frozenset(c.tag for c in below[i].children if not isinstance(c, str) and c.tag in BLOCK) for i in places}) > 1:
+    if node.parts is None:
+        node.parts = [(label(c), c) for c in node.children if not isinstance(c, str) and c.tag not in UNSEEN]
+        bare = [i for i, (name, _) in enumerate(node.parts) if name in CONTAINERS] if len(node.parts) > 1 else ()
+        if len(bare) > 1:
+            _number(node.parts, bare, longest)
+    return node.parts
+
+
+def _number(parts: list[tuple[str, Node]], bare: list[int], longest: int) -> None:
+    by_name: dict[str, list[int]] = defaultdict(list)
+    for i in bare:
+        by_name[parts[i][0]].append(i)
+    for name, places in by_name.items():
+        if 1 < len(places) <= longest and len({frozenset(c.tag for c in parts[i][1].children if not isinstance(c, str) and c.tag in BLOCK) for i in places}) > 1:
             for k, i in enumerate(places):
-                names[i] = f"{name}#{k}"
-    return list(zip(names, below, strict=True))
+                parts[i] = f"{name}#{k}", parts[i][1]
 
 
 @lru_cache(1 << 16)
@@ -351,7 +358,8 @@ def elements_by_path(root: Node, path: int | None = None):
     while todo:
         node, path = todo.pop()
         yield path, node
-        todo += [(c, step(path, name)) for name, c in named(node)[::-1]]
+        if node.children:
+            todo += [(c, step(path, name)) for name, c in named(node)[::-1]]
 
 
 def block_digests(root: Node, texts: Texts, path: int | None = None):
