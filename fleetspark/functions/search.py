@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 
 
 def _search(values: Column, goes_right) -> Column:
-    """How many first elements of a sorted array ``goes_right`` holds for; it holds for none after one that it doesn't."""
-    n = F.size(values)
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + F.lit(1.0))).cast("int"))
+    """How many first elements of a sorted array ``goes_right`` holds for; it holds for none after one that it doesn't.
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = (s["lo"] < s["hi"]) & goes_right(F.get(values, middle))
-        return F.struct(F.when(right, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(F.least(middle, s["hi"])).alias("hi"))
-
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve)["lo"]
-    return F.when(n > 0, found).otherwise(0)
+    Strides of falling powers of two, each taken if the element at its end is still to the left; one past the end is null, so it isn't.
+    """
+    bits = F.ceil(F.log2(F.size(values) + F.lit(1.0))).cast("int")
+    strides = F.slice(F.array(*[F.lit(1 << k) for k in range(29, -1, -1)]), -F.greatest(bits, F.lit(1)), F.greatest(bits, F.lit(1)))
+    return F.aggregate(strides, F.lit(0), lambda at, by: F.when(goes_right(F.get(values, at + by - 1)), at + by).otherwise(at))
 
 
 def count_below(values: Column, x: Column, field: str | None = None) -> Column:
