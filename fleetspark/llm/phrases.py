@@ -257,6 +257,16 @@ def _sent(rows: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= bound else rows
 
 
+def _allowed(had: DataFrame, frequent: DataFrame, value: str, bound: int) -> DataFrame:
+    """``shard, allowed``: the ``value`` of what each shard has of ``frequent``.
+
+    Every row of ``had`` is marked, frequent or not, so the join's rows grow as
+    what the shards have does, not as shards times frequent phrases.
+    """
+    marked = had.join(_sent(frequent.select("lang", "phrase", F.lit(True).alias("frequent")), bound), ["lang", "phrase"], "left")
+    return marked.groupBy("shard").agg(F.collect_list(F.when(F.col("frequent"), F.col(value))).alias("allowed")).where(F.size("allowed") > 0)
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_words: int = 1 << 20, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, size, f`` of all words and phrases up to ``longest`` words with f of ``least`` or more; ``lang, n`` of all words.
 
@@ -274,13 +284,12 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
     totals = written(shards.groupBy("lang").agg(F.sum("n_words").alias("n")))
     words = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
     words = written(words.where(F.col("f") >= least))
-    own = shards.select("shard", "lang", F.posexplode("words").alias("at", "phrase")).join(_sent(words, broadcast_rows), ["lang", "phrase"]).groupBy("shard").agg(F.collect_list("at").alias("allowed"))
+    own = _allowed(shards.select("shard", "lang", F.posexplode("words").alias("at", "phrase")), words, "at", broadcast_rows)
     found = words
     for find in (_find_pairs, _find_longer(min(longest, 3)), _find_longer(longest))[: max(0, longest - 1)]:
         counted = written(shards.join(own, "shard").select("shard", "lang", "words", "sequence", "allowed").mapInArrow(_counted(find), COUNTS))
         more = written(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
-        marked = counted.join(_sent(more.select("lang", "phrase", F.lit(True).alias("frequent")), broadcast_rows), ["lang", "phrase"], "left")
-        own = marked.groupBy("shard").agg(F.collect_list(F.when(F.col("frequent"), F.col("phrase"))).alias("allowed")).where(F.size("allowed") > 0)
+        own = _allowed(counted, more, "phrase", broadcast_rows)
         found = found.unionByName(more)
     return written(found.select("lang", "phrase", (F.regexp_count("phrase", F.lit(" ")) + 1).alias("size"), "f")), totals
 

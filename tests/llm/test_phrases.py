@@ -98,3 +98,19 @@ def test_query_equals_its_sql(spark, sf_dir):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{os.path.join(sf_dir, 'documents')}.parquet')")
     want = con.execute(oracles.PHRASE_SQL).fetchall()
     assert sorted(map(tuple, op12_phrases(spark, sf_dir).collect())) == sorted(want) and want
+
+
+def test_shards_look_up_each_word_once(spark, monkeypatch):
+    """No join whose rows are shards times frequent phrases: what a shard has is marked, frequent or not."""
+    plans, written = [], phrases.written
+    monkeypatch.setattr(phrases, "written", lambda rows: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), written(rows))[1])
+    phrases.frequent_phrases(spark.createDataFrame(made(1), DOCS), 4, 5, 100)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line and "phrase" in line]
+    assert joins and all("LeftOuter" in line for line in joins)
+
+
+def test_a_shard_without_any_frequent_word_counts_nothing(spark):
+    had = spark.createDataFrame([(s, "en", w, i) for s in (1, 2, 3) for i, w in enumerate("abc")] + [(4, "fr", "a", 0)], "shard long, lang string, phrase string, at int")
+    frequent = spark.createDataFrame([("en", "a", 9), ("en", "c", 9)], "lang string, phrase string, f long")
+    for bound in (10, 0):
+        assert {r.shard: sorted(r.allowed) for r in phrases._allowed(had, frequent, "at", bound).collect()} == {s: [0, 2] for s in (1, 2, 3)}
