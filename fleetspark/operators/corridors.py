@@ -28,12 +28,12 @@ def tunnel_ranges(stops: DataFrame, points: DataFrame, portals: DataFrame, route
 
     From the first to the last underground station or portal (x, y, portal_id)
     nearer than ``radius`` to the shape; to the route's end where that station is
-    underground.
+    underground. A station is a place, and may have a row for each of its names.
     """
     under = F.lit(False)
     for name in names:
         under = under | F.col("name").startswith(name)
-    own = stops.withColumn("_u", under).groupBy(*KEY).agg(
+    own = stops.groupBy(*KEY, "d").agg(F.coalesce(F.bool_or(under), F.lit(False)).alias("_u")).groupBy(*KEY).agg(
         F.min(F.when(F.col("_u"), F.col("d"))).alias("_lo"), F.max(F.when(F.col("_u"), F.col("d"))).alias("_hi"), F.min_by("_u", "d").alias("_first"), F.max_by("_u", "d").alias("_last")
     )
     shape = points.select(*KEY, "d", F.col("x").alias("px"), F.col("y").alias("py"))

@@ -38,6 +38,9 @@ VIEWS = {
       SELECT concat('R', p_partkey % 4) AS route_id, CAST(floor(p_partkey / 4) AS INT) % 2 AS direction_id, CAST(p_size * 90 AS DOUBLE) AS d,
         min(p_partkey) AS stop_id, min(p_name) AS name
       FROM part GROUP BY 1, 2, 3""",
+    "stop_name": """
+      SELECT DISTINCT concat('R', p_partkey % 4) AS route_id, CAST(floor(p_partkey / 4) AS INT) % 2 AS direction_id, CAST(p_size * 90 AS DOUBLE) AS d, p_name AS name
+      FROM part""",
     "signal": """
       SELECT s_suppkey AS signal_id, s_name AS name, CAST(floor((s_acctbal + 1000) / CAST(2.2 AS DOUBLE)) AS DOUBLE) AS x,
         CAST(500 * (s_nationkey % 4) + 250 * (s_suppkey % 2) + (s_suppkey % 31) - 15 AS DOUBLE) AS y

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fleetspark.jobs import registry
+from fleetspark.jobs import corridor_queries, registry
 from fleetspark.functions import quantiles, search
 from fleetspark.operators import corridors, grid, matching, network, scenarios, segmentation, signals, states, timelines
 from fleetspark.sources import files
@@ -201,6 +201,13 @@ def test_only_rail_has_tunnels(spark):
     assert [tuple(r) for r in corridors.tunnel_ranges(stops, shape, portals, routes, ("old",)).collect()] == [("rail", 0, 0.0, 400.0)]
 
 
+def test_a_stop_with_one_underground_name_of_several_is_underground(spark, tmp_path):
+    """Parts 3 and 11 are one stop of route 3, direction 0: the first name in order isn't an underground one, the second is."""
+    spark.createDataFrame([(3, "almond a", 10), (11, "old b", 10), (19, "blue c", 20), (8, "old d", 10), (4, "old e", 10)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(5, "s", 1e6, 0)], "s_suppkey long, s_name string, s_acctbal double, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in corridor_queries.tunnel_ranges(spark, str(tmp_path)).collect()] == [("R3", 0, 0.0, 900.0)]
+
+
 def test_binary_search_in_arrays(spark):
     rng = random.Random(1)
     rows = [(sorted(rng.choices([float(v) for v in range(12)], k=rng.randint(0, 9))), rng.choice([-1.0, 3.0, 5.5, 11.0, 12.0]), rng.choice([2.0, 6.0, 20.0])) for _ in range(300)]
