@@ -172,17 +172,29 @@ def _near(rows: str, keys: str, values: str) -> str:
       SELECT {keys}, hour, {values}, 0 AS rank FROM {rows} AS a UNION ALL SELECT {keys}, hour - 1, {values}, 1 FROM {rows} AS a UNION ALL SELECT {keys}, hour + 1, {values}, 2 FROM {rows} AS a) AS u) AS u WHERE k = 1)"""
 
 
-CUT = """(SELECT s.route_id, h.hour, sum(100.0::DOUBLE / (CASE WHEN g.mph > 0 THEN g.mph ELSE 7.0::DOUBLE END / 2.23694::DOUBLE)) / 60.0::DOUBLE AS minutes FROM (SELECT route_id, direction_id, unnest(range({0}, {1}))::INT AS bin FROM route_dir WHERE direction_id = {2}) AS s
-  CROSS JOIN (SELECT unnest(range(5, 24))::INT AS hour) AS h LEFT JOIN heat AS g ON g.route_id = s.route_id AND g.direction_id = s.direction_id AND g.bin = s.bin AND g.hour = h.hour GROUP BY 1, 2)"""
+def _cut(first: int, last: int, way: int, hours: str, at: str) -> str:
+    """Minutes over the bins [first, last) of each route's way in ``hours``, from the grid's hour ``at``."""
+    return f"""(SELECT s.route_id, h.hour, sum(100.0::DOUBLE / (CASE WHEN g.mph > 0 THEN g.mph ELSE 7.0::DOUBLE END / 2.23694::DOUBLE)) / 60.0::DOUBLE AS minutes FROM (SELECT route_id, direction_id, unnest(range({first}, {last}))::INT AS bin FROM route_dir WHERE direction_id = {way}) AS s
+  CROSS JOIN (SELECT unnest(range({hours}))::INT AS hour) AS h LEFT JOIN heat AS g ON g.route_id = s.route_id AND g.direction_id = s.direction_id AND g.bin = s.bin AND g.hour = {at} GROUP BY 1, 2)"""
+
+
 SERVICE = """(SELECT * FROM (SELECT route_id, CAST(floor(t0 / 3600) AS INT) AS hour, count(*) FILTER (WHERE direction_id = 1) AS tph, quantile_cont(t1 - t0, 0.5) / 30.0::DOUBLE AS round_trip FROM extent GROUP BY 1, 2) AS k WHERE tph > 0)"""
-TRUNCATED = f"""(SELECT route_id, hour, saved, 60.0::DOUBLE / tph AS headway, 60.0::DOUBLE / tph * (cycle - saved) / cycle AS new_headway, cycle / (60.0::DOUBLE / tph) AS buses, saved / (60.0::DOUBLE / tph) AS freed, sum(tph * saved / 60.0::DOUBLE) OVER (PARTITION BY route_id) AS daily_hours FROM (
-  SELECT s.route_id, s.hour, s.tph, round_trip * 1.12::DOUBLE AS cycle, greatest(i.minutes + o.minutes - 4, 0.0::DOUBLE) AS saved FROM {SERVICE} AS s JOIN {CUT.format(25, 50, 1)} AS i ON i.route_id = s.route_id AND i.hour = s.hour JOIN {CUT.format(0, 25, 0)} AS o ON o.route_id = s.route_id AND o.hour = s.hour) AS k)"""
 
 
-def truncated(spark, sf_dir):
+def _truncation(hours: str, at: str, daily: str) -> str:
+    return f"""(SELECT route_id, hour, saved, 60.0::DOUBLE / tph AS headway, 60.0::DOUBLE / tph * (cycle - saved) / cycle AS new_headway, cycle / (60.0::DOUBLE / tph) AS buses, saved / (60.0::DOUBLE / tph) AS freed, {daily} AS daily_hours FROM (
+  SELECT s.route_id, s.hour, s.tph, round_trip * 1.12::DOUBLE AS cycle, greatest(i.minutes + o.minutes - 4, 0.0::DOUBLE) AS saved FROM {SERVICE} AS s JOIN {_cut(25, 50, 1, hours, at)} AS i ON i.route_id = s.route_id AND i.hour = s.hour JOIN {_cut(0, 25, 0, hours, at)} AS o ON o.route_id = s.route_id AND o.hour = s.hour) AS k)"""
+
+
+TRUNCATED = _truncation("5, 24", "h.hour", "sum(tph * saved / 60.0::DOUBLE) OVER (PARTITION BY route_id)")
+# Every hour with service, as ``segment_minutes`` finds one outside the grid: 4 looks at 5, 24 at 23, others find nothing.
+ALL_TRUNCATED = _truncation("0, 48", "CASE WHEN h.hour = 4 THEN 5 WHEN h.hour = 24 THEN 23 ELSE h.hour END", "coalesce(sum(tph * saved / 60.0::DOUBLE) FILTER (WHERE hour BETWEEN 5 AND 23) OVER (PARTITION BY route_id), 0.0::DOUBLE)")
+
+
+def truncated(spark, sf_dir, hours=range(48)):
     """Every route is cut at 2,500 m."""
     cells = t.heat(spark, sf_dir)
-    part = lambda way, d0, d1: scenarios.segment_minutes(t.view(spark, sf_dir, "route_dir").where(F.col("direction_id") == way).select("route_id", "direction_id", F.lit(d0).alias("d0"), F.lit(d1).alias("d1")), cells, "route_id")
+    part = lambda way, d0, d1: scenarios.segment_minutes(t.view(spark, sf_dir, "route_dir").where(F.col("direction_id") == way).select("route_id", "direction_id", F.lit(d0).alias("d0"), F.lit(d1).alias("d1")), cells, "route_id", hours)
     service = t.extents(spark, sf_dir).groupBy("route_id", F.floor(F.col("t0") / 3600).cast("int").alias("hour")).agg(F.count_if(F.col("direction_id") == 1).alias("tph"), (F.percentile(F.col("t1") - F.col("t0"), 0.5) / 30.0).alias("round_trip"))
     return scenarios.corridor_truncation(part(1, 2500.0, 5000.0), part(0, 0.0, 2500.0), service)
 
@@ -190,7 +202,7 @@ def truncated(spark, sf_dir):
 DOUBLES = ("saved", "headway", "new_headway", "buses", "freed", "daily_hours")
 
 
-@query(f"SELECT * FROM {TRUNCATED} AS t", DOUBLES)
+@query(f"SELECT * FROM {ALL_TRUNCATED} AS t", DOUBLES)
 def corridor_truncation(spark, sf_dir):
     return truncated(spark, sf_dir)
 
@@ -210,7 +222,7 @@ def corridor_transfer_rides(spark, sf_dir):
     pings, at = t.moving_pings(spark, sf_dir), stations(spark, sf_dir).where("direction_id = 1")
     bus = corridors.corridor_pair_times(pings, at, least=1)
     rail = corridors.corridor_pair_times(pings, at.where("route_id = 'R3'"), least=1, pooled=True).withColumnRenamed("per_day", "per_hour")
-    return scenarios.transfer_rides(bus, rail, scheduled(spark, sf_dir, "s", 6).where("way = 'in'"), truncated(spark, sf_dir))
+    return scenarios.transfer_rides(bus, rail, scheduled(spark, sf_dir, "s", 6).where("way = 'in'"), truncated(spark, sf_dir, range(5, 24)))
 
 
 WAY = "SELECT * FROM {} AS w WHERE direction_id = 1"

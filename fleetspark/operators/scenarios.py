@@ -75,21 +75,21 @@ def near_hours(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame
     return best.select(*keys, "hour", *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def corridor_truncation(cut_in: DataFrame, cut_out: DataFrame, service: DataFrame, turn: float = 4.0, recovery: float = 1.12) -> DataFrame:
+def corridor_truncation(cut_in: DataFrame, cut_out: DataFrame, service: DataFrame, turn: float = 4.0, recovery: float = 1.12, first_hour: int = 5, last_hour: int = 23) -> DataFrame:
     """What ending routes before a corridor saves, by route and hour.
 
     ``cut_in``, ``cut_out``: route_id, hour, minutes of running time cut.
     ``service``: route_id, hour, tph (trips an hour), round_trip (minutes of both
     directions). ``turn``: minutes to turn round at the new end. Hours that
-    ``segment_minutes`` wasn't asked for have no row. Gives the minutes saved a round trip, old and new headway, buses, buses freed, and the bus-hours of
-    the route's whole day.
+    ``segment_minutes`` wasn't asked for have no row. Gives the minutes saved a round trip, old and new headway, buses, buses freed, and the bus-hours
+    that the route saves a day, which as in the reference is the grid's, from ``first_hour`` to ``last_hour``.
     """
     rows = service.join(cut_in.withColumnRenamed("minutes", "cut_in"), ["route_id", "hour"]).join(cut_out.withColumnRenamed("minutes", "cut_out"), ["route_id", "hour"])
     rows = rows.where("tph > 0").withColumn("saved", F.greatest(F.col("cut_in") + F.col("cut_out") - turn, F.lit(0.0)))
     rows = rows.withColumns({"headway": 60.0 / F.col("tph"), "cycle": F.col("round_trip") * recovery})
     rows = rows.withColumns({"buses": F.col("cycle") / F.col("headway"), "new_headway": F.col("headway") * (F.col("cycle") - F.col("saved")) / F.col("cycle"), "freed": F.col("saved") / F.col("headway")})
-    day = F.sum(F.col("tph") * F.col("saved") / 60.0).over(Window.partitionBy("route_id"))
-    return rows.withColumn("daily_hours", day).select("route_id", "hour", "saved", "headway", "new_headway", "buses", "freed", "daily_hours")
+    day = F.sum(F.when(F.col("hour").between(first_hour, last_hour), F.col("tph") * F.col("saved") / 60.0)).over(Window.partitionBy("route_id"))
+    return rows.withColumn("daily_hours", F.coalesce(day, F.lit(0.0))).select("route_id", "hour", "saved", "headway", "new_headway", "buses", "freed", "daily_hours")
 
 
 def transfer_rides(bus: DataFrame, observed: DataFrame, scheduled: DataFrame, headways: DataFrame, walk: float = 3.0, penalty: float = 5.0) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fleetspark.jobs import corridor_queries, registry
+from fleetspark.jobs import corridor_queries, registry, tables
 from fleetspark.functions import quantiles, search
 from fleetspark.operators import corridors, grid, matching, network, scenarios, segmentation, signals, states, timelines
 from fleetspark.sources import files
@@ -193,6 +193,17 @@ def test_rides_by_observed_and_by_scheduled_rail(spark):
     assert (alone.gain, alone.net) == (0.0, 2.0)
 
 
+def test_truncation_has_a_row_for_every_hour_with_service(spark, sf_dir):
+    cuts = spark.createDataFrame([(r, h, 5.0) for r in ("a", "night") for h in (2, 8, 9, 24)], "route_id string, hour int, minutes double")
+    service = spark.createDataFrame([("a", 2, 6, 50.0), ("a", 8, 12, 50.0), ("a", 9, 10, 50.0), ("a", 24, 6, 50.0), ("night", 2, 3, 50.0)], "route_id string, hour int, tph long, round_trip double")
+    found = {(r.route_id, r.hour): (r.saved, r.freed, r.daily_hours) for r in scenarios.corridor_truncation(cuts, cuts, service).collect()}
+    assert found == {("a", h): (6.0, f, 2.2) for h, f in ((2, 0.6), (8, 1.2), (9, 1.0), (24, 0.6))} | {("night", 2): (6.0, 0.3, 0.0)}
+    trips = tables.extents(spark, sf_dir).where("direction_id = 1").selectExpr("route_id", "cast(floor(t0 / 3600) AS int) AS hour").distinct()
+    hours = {tuple(r) for r in trips.collect()}
+    assert 2 in {h for _, h in hours}
+    assert {(r.route_id, r.hour) for r in corridor_queries.corridor_truncation(spark, sf_dir).collect()} == hours
+
+
 def test_only_rail_has_tunnels(spark):
     stops = spark.createDataFrame([(r, 0, d, n) for r in ("bus", "rail") for d, n in ((100.0, "old a"), (900.0, "b"))], "route_id string, direction_id int, d double, name string")
     shape = spark.createDataFrame([(r, 0, 10.0 * k, 10.0 * k, 0.0) for r in ("bus", "rail") for k in range(100)], "route_id string, direction_id int, d double, x double, y double")
