@@ -20,6 +20,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_PARAGRAPH = BLOCK - frozenset("body html option legend caption tbody tfoot thead tr".split())
 #: What a start tag ends if it is open, and what shields an open element from that.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
+ENDED = {tag: (("p",) if tag in ENDS_PARAGRAPH else ()) + ENDS.get(tag, ()) for tag in ENDS_PARAGRAPH | frozenset(ENDS)}
 SHIELDS = frozenset("article aside blockquote body button caption div dl figure footer form header html main nav ol section table ul".split())
 #: What isn't the article, by element, by role and by words of class or id.
 DROPPED = frozenset("nav footer aside form script style noscript template iframe button select svg canvas audio video object dialog menu title head textarea".split())
@@ -33,6 +34,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][^\s=>/"']*)\s*=\s*("[^"]*"|'[^']*'|[^\s>
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
 _PHRASES = re.compile(r"[^\s。！？，、]{7,}(?: \S{1,6}(?!\S))*")
 _WORDS = re.compile(r"[a-z]+")
+_BARE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
 
 
 class Node:
@@ -79,40 +81,44 @@ def parse(html: str) -> Node:
             break
         if lt > at:
             stack[-1].children.append(html[at:lt])
-        after = html[lt + 1 : lt + 2]
-        if html.startswith("<!--", lt):
-            end = html.find("-->", lt + 4)
-            at = size if end < 0 else end + 3
-            continue
-        if after in ("!", "?") or (after == "/" and not html[lt + 2 : lt + 3].isalpha()):
-            end = html.find(">", lt)
-            at = size if end < 0 else end + 1
-            continue
-        if not (after == "/" or (after.isascii() and after.isalpha())):
-            stack[-1].children.append("<")
-            at = lt + 1
-            continue
-        end = _tag_end(html, lt + 1)
-        if end < 0:
-            break
-        at = end + 1
-        closing = after == "/"
-        inside = html[lt + 1 + closing : end]
-        parts = inside.split(None, 1)
-        tag = parts[0].rstrip("/").lower() if parts else ""
+        if bare := _BARE.match(html, lt):  # most tags have no more than a name
+            closing, inside = bare.groups()
+            at, tag, raw = bare.end(), inside.lower(), ""
+        else:
+            after = html[lt + 1 : lt + 2]
+            if html.startswith("<!--", lt):
+                end = html.find("-->", lt + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if after in ("!", "?") or (after == "/" and not html[lt + 2 : lt + 3].isalpha()):
+                end = html.find(">", lt)
+                at = size if end < 0 else end + 1
+                continue
+            if not (after == "/" or (after.isascii() and after.isalpha())):
+                stack[-1].children.append("<")
+                at = lt + 1
+                continue
+            end = _tag_end(html, lt + 1)
+            if end < 0:
+                break
+            at = end + 1
+            closing = after == "/"
+            inside = html[lt + 1 + closing : end]
+            parts = inside.split(None, 1)
+            tag = parts[0].rstrip("/").lower() if parts else ""
+            raw = parts[1] if len(parts) > 1 else ""
         if closing:
             if opened[tag]:
                 close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
-        ended = ("p",) if tag in ENDS_PARAGRAPH else ()
-        ended += ENDS.get(tag, ())
+        ended = ENDED.get(tag)
         if ended and any(map(opened.get, ended)):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ended:
                     close(k)
                 elif stack[k].tag in SHIELDS:
                     break
-        node = Node(tag, _attributes(parts[1]) if len(parts) > 1 else {})
+        node = Node(tag, _attributes(raw) if raw else {})
         stack[-1].children.append(node)
         if tag in RAW:
             found = _RAW_END[tag].search(html, at)
@@ -165,13 +171,13 @@ def holders(root: Node) -> set[int]:
     todo = [root]
     while todo:
         node = todo.pop()
-        if _is_article(node) or _is_main(node):
+        if node.tag in ("article", "main") or node.attributes and (_is_article(node) or _is_main(node)):
             up: Node | None = node
             while up and id(up) not in found:
                 found.add(id(up))
                 up = above.get(id(up))
         for child in node.children:
-            if not isinstance(child, str):
+            if type(child) is not str:
                 above[id(child)] = node
                 todo.append(child)
     return found
@@ -286,21 +292,26 @@ class Texts:
         plain: list[int] = []
         span: dict[int, list[int]] = {}
         links = 0
-        todo: list[tuple[Node | str, bool]] = [(root, False)]
+        todo: list[Node | str | tuple[Node]] = [root]  # a tuple is an element whose end is reached
         while todo:
-            node, left = todo.pop()
-            if isinstance(node, str):
-                if words := unescape(node).split():
+            node = todo.pop()
+            kind = type(node)
+            if kind is str:
+                if words := (unescape(node) if "&" in node else node).split():
                     pieces.append(" ".join(words))
                     plain.append(0 if links else len(pieces[-1]))
-            elif left:
-                links -= node.tag == "a"
-                span[id(node)].append(len(pieces))
+            elif kind is tuple:
+                links -= node[0].tag == "a"
+                span[id(node[0])].append(len(pieces))
             elif node.tag not in RAW:
                 links += node.tag == "a"
                 span[id(node)] = [len(pieces)]
-                todo.append((node, True))
-                todo += [(c, False) for c in node.children[::-1]]
+                if node.children:
+                    todo.append((node,))
+                    todo += node.children[::-1]
+                else:
+                    links -= node.tag == "a"
+                    span[id(node)].append(len(pieces))
         self._text, self._span = " ".join(pieces), span
         self._at = [0, *accumulate(len(p) + 1 for p in pieces)]
         self._plain = [0, *accumulate(plain)]
@@ -337,13 +348,17 @@ def outline(root: Node, texts: Texts, marked: set[int], holding: set[int]) -> li
     while todo:
         name, nodes, depth, path, within = todo.pop()
         here = step(path, name)
-        kind = HOLDS * any(id(n) in holding for n in nodes) | MARKED * any(id(n) in marked for n in nodes) | WITHIN * within
-        kind |= DULL * all(boilerplate(n, within, id(n) in holding) for n in nodes)
-        out.append(Part(depth, name, here, digest(here, "\n".join(map(texts.of, nodes))), kind, sum(map(texts.plain, nodes)), nodes))
         if len(nodes) > 1:
+            kind = HOLDS * any(id(n) in holding for n in nodes) | MARKED * any(id(n) in marked for n in nodes) | WITHIN * within
+            kind |= DULL * all(boilerplate(n, within, id(n) in holding) for n in nodes)
+            out.append(Part(depth, name, here, digest(here, "\n".join(map(texts.of, nodes))), kind, sum(map(texts.plain, nodes)), nodes))
             continue
+        node = nodes[0]
+        holds = id(node) in holding
+        kind = HOLDS * holds | MARKED * (id(node) in marked) | WITHIN * within | DULL * boilerplate(node, within, holds)
+        out.append(Part(depth, name, here, digest(here, texts.of(node)), kind, texts.plain(node), nodes))
         groups: list[tuple[str, list[Node]]] = []
-        for below, child in named(nodes[0]):
+        for below, child in named(node):
             if groups and groups[-1][0] == below:
                 groups[-1][1].append(child)
             else:
@@ -424,7 +439,8 @@ def induced(parts: list[tuple[int, str, int, int]], masses: dict[int, int], most
 
 def sample(text: str, size: int = 32) -> list[int]:
     """The ``size`` smallest digests of a text's phrases, each cut before a long word; of the text if it has none."""
-    hashed = {xxhash.xxh64_intdigest(p.encode("utf-8", "replace")) for p in set(_PHRASES.findall(text))}
+    data = text.encode("utf-8", "replace").decode()  # what can't be encoded is replaced once, not phrase by phrase
+    hashed = set(map(xxhash.xxh64_intdigest, set(_PHRASES.findall(data))))
     return [x - (1 << 63) for x in nsmallest(size, hashed or {xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))})]
 
 

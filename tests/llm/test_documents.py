@@ -404,3 +404,13 @@ def test_whole_table_is_brute_force(spark):
             break
     want = {i: (0, i) for i, t in table if not shingles(t)} | {i: (len(own), low[k]) for k, (own, ids) in enumerate(sets.items()) for i in ids}
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()} == want
+
+
+def test_tags_of_a_bare_name_are_read_at_once(monkeypatch):
+    def slow(html, at):
+        raise AssertionError("looked for quotes")
+
+    odd = "<P>a</p ><p class='x>y'>b<br/>c</p>< d </ e></><?x?><!-- <i> --><DIV>f<script>if(a<b)</script>&#xD800;</DIV>"
+    assert dom.blocks(dom.parse(odd)) == ["a", "b c", "< d", "f�"]
+    monkeypatch.setattr(dom, "_tag_end", slow)
+    assert dom.blocks(dom.parse("<DIV><p>a<p>b</DIV><ul><li>c<li>d</ul>")) == ["a", "b", "c", "d"]
