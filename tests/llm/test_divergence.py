@@ -72,6 +72,35 @@ def test_counts_are_handed_on_when_too_many_terms_are_held():
     assert {k: v for k, v in total.items() if k[1]} == {("a", "x"): 2, ("a", "y"): 3, ("b", "x"): 1, ("a", "z"): 1}
 
 
+def test_terms_of_a_source_are_summed_before_they_travel(spark):
+    docs = [(i, "one two three", "en", f"s{i % 2}", "", 0, 0) for i in range(64)]
+    texts = spark.createDataFrame(docs, DOCS).repartition(8).selectExpr("lang", "source", "CAST(text AS binary) AS text")
+    got = [tuple(r) for r in divergence._counts(texts).collect()]
+    want = [("en", s, t, n, n) for s in ("s0", "s1") for t, n in (("", 0), ("one", 32), ("two", 32), ("three", 32))]
+    assert sorted(got) == sorted(want)  # eight times as many rows if each part of the table is counted on its own
+
+
+@pytest.mark.parametrize("limit", [1, 60, 1 << 24])
+def test_counts_of_odd_texts(limit):
+    import pyarrow as pa
+
+    rng = random.Random(limit)
+    letters = ["a", "B", "É", "é", "\u3000", "\x85", "日本", "z9", "@", "[", "`", "{", "\x7f", "\x00", "\x1c", "\t", "\n", " ", " "]
+    docs = [(rng.choice(["", "en"]), rng.choice(["", "x", "ß"]), "".join(rng.choices(letters, k=rng.randint(0, 30)))) for _ in range(200)] + [("void", "", ""), ("blank", "", " 1 ")]
+    got, often, within = Counter(), Counter(), Counter()
+    batches = [pa.RecordBatch.from_arrays([pa.array([d[0] for d in part], pa.string()), pa.array([d[1] for d in part], pa.string()), pa.array([d[2].encode() for d in part], pa.binary())], ["lang", "source", "text"]) for part in (docs[:0], docs[:7], docs[7:])]
+    for out in divergence._count(iter(batches), limit=limit):
+        for r in out.to_pylist():
+            got[r["lang"], r["source"], r["term"], "n"] += r["n"]
+            got[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+    for lang, source, text in docs:
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        often.update((lang, source, w, "n") for w in words)
+        within.update((lang, source, w, "docs") for w in set(words))
+        often[lang, source, "", "n"], within[lang, source, "", "docs"] = 0, 0
+    assert dict(got) == {**often, **within}
+
+
 def test_query_equals_its_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{os.path.join(sf_dir, 'documents')}.parquet')")
