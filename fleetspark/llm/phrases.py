@@ -5,7 +5,12 @@ In a shard every word has the bitmap of its positions, of which only bytes
 that aren't zero are held. A phrase's bitmap, shifted by one position and
 ANDed with a word's, is that of the phrase longer by this word; its bits are the
 phrase's occurrences. Where a piece ends a position stays empty, so no phrase
-goes on into the next piece. Shards hand in numbers of bits, Spark sums them.
+goes on into the next piece. Shards hand in numbers of bits, which are summed.
+
+Words and phrases travel as whole numbers. What a shard has of phrases goes to
+buckets by a hash of their keys, one row of packed arrays for each bucket, and a
+bucket's rows are summed as arrays: no phrase is a row or a Python object until
+it is known to be frequent.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +33,12 @@ _TO = bytes.maketrans(ENDS + BLANKS, b"\n" * len(ENDS) + b" " * len(BLANKS))
 
 SHARD = "shard long, lang string, words array<string>, counts array<long>, n_words long, sequence binary"
 SHARD_ARROW = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("n_words", pa.int64()), ("sequence", pa.binary())])
-COUNTS = "shard long, lang string, phrase string, f long"
-COUNTS_ARROW = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+#: What a shard hands in: phrases of one size in one bucket, by their keys, how often, and where each ends in the sequence.
+COUNTS = "lang string, size int, bucket int, shard long, keys binary, counts binary, at binary"
+COUNTS_ARROW = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("bucket", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("at", pa.binary())])
+#: Frequent phrases, a row each without a shard; and what a shard has of them, by where one ends, with their numbers.
+SUMS = "lang string, size int, first long, last long, id long, f long, shard long, at binary, ids binary"
+SUMS_ARROW = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("id", pa.int64()), ("f", pa.int64()), ("shard", pa.int64()), ("at", pa.binary()), ("ids", pa.binary())])
 
 
 class _Shard:
@@ -56,13 +66,14 @@ class _Shard:
         return {"shard": shard, "lang": lang, "words": [words[i].decode("utf-8", "replace") for i in order], "counts": counts[order].tolist(), "n_words": int(counts.sum()), "sequence": packed(rank[numbers])}
 
 
-def packed(numbers: np.ndarray) -> bytes:
+def packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
     """Whole numbers from -1 on, byte by byte: first the low bytes of all, last the high ones, which compress to nothing."""
-    return (numbers + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return (numbers + 1).astype(kind).view(np.uint8).reshape(-1, int(kind[2:])).T.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel() - np.int32(1)
+def unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
+    one = np.dtype(kind).type(1)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(int(kind[2:]), -1).T).view(kind).ravel() - one
 
 
 def _sharded(size: int):
@@ -141,115 +152,184 @@ def _bit_counts(bits: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.bitwise_count(bits).astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
 
 
-def pairs(numbers: np.ndarray, n_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All pairs of neighbours: first words, second words, how often."""
+#: The lowest bit of each byte.
+_LOWEST = np.array([0, *((x & -x).bit_length() - 1 for x in range(1, 256))], np.int32)
+
+
+def _ends(block: np.ndarray, bits: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The position of each phrase's first bit, that of its last word."""
+    return (block[starts] << 3) + _LOWEST[bits[starts]]
+
+
+def _pairs(numbers: np.ndarray, n_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     maps = Bitmaps(numbers, n_words)
     for a, b in maps.groups():
         own = slice(maps.begin[a], maps.begin[b])
-        first, second, _, bits = maps.longer(maps.word[own], maps.block[own], maps.bits[own])
+        first, second, block, bits = maps.longer(maps.word[own], maps.block[own], maps.bits[own])
         starts = _starts(first, second)
-        yield first[starts], second[starts], _bit_counts(bits, starts)
+        yield first[starts], second[starts], _bit_counts(bits, starts), _ends(block, bits, starts)
 
 
-class Chains:
-    """Which word may follow: contexts, which are beginnings of allowed phrases shorter than these, and moves by a word.
+def pairs(numbers: np.ndarray, n_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of neighbours: first words, second words, how often."""
+    for first, second, often, _ in _pairs(numbers, n_words):
+        yield first, second, often
 
-    The context after an allowed phrase is its words but the first, so there are
-    no more moves than words in allowed phrases, whatever follows what.
-    """
 
-    LAST = -2  # a context that no allowed phrase begins with
-
-    def __init__(self, allowed: list[tuple[int, ...]], n_words: int):
-        self.size, self.n_words = len(allowed[0]) if allowed else 0, n_words
-        contexts: dict[tuple[int, ...], int] = {}
-        for p in allowed:
-            for k in range(1, self.size):
-                contexts.setdefault(p[:k], len(contexts))
-        moves = {(contexts[p[:k]], p[k]): contexts[p[: k + 1]] for p in allowed for k in range(1, self.size - 1)}
-        moves |= {(contexts[p[:-1]], p[-1]): contexts.get(p[1:], self.LAST) for p in allowed}
-        keys = np.array([a * n_words + w for a, w in moves], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.array(list(moves.values()), np.int64)[order]
-        self.first = np.full(n_words, -1, np.int64)
-        for p, i in contexts.items():
-            if len(p) == 1:
-                self.first[p[0]] = i
-
-    def step(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The context after each word, -1 if it may not follow."""
-        key = context * self.n_words + word
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], -1)
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each is in sorted ``keys``, -1 if it isn't."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
-def extensions(numbers: np.ndarray, n_words: int, chains: Chains, longest: int) -> Iterator[tuple[list[tuple[int, ...]], np.ndarray]]:
-    """Phrases longer than the allowed ones, to ``longest`` words, all of whose parts of that size are allowed, and their counts.
+class Chains:
+    """Which word may follow: a tree of the allowed phrases, level by level, and for each the node of its words but the first.
+
+    A level is the sorted keys of its nodes, each its parent times ``n_words`` and
+    its word, so all is arrays, as many numbers as allowed phrases have words.
+    ``part`` is the node of each phrase as given.
+    """
+
+    def __init__(self, allowed: np.ndarray | list[tuple[int, ...]], n_words: int):
+        parts = np.asarray(allowed, np.int64).reshape(len(allowed), -1) if len(allowed) else np.zeros((0, 0), np.int64)
+        self.size, self.n_words = parts.shape[1], n_words
+        self.used = np.zeros(n_words + 1, bool)  # the last one is for -1
+        self.used[parts.ravel()] = True
+        self.levels, node = [], np.zeros(len(parts), np.int64)
+        for words in parts.T:
+            keys, node = np.unique(node * n_words + words, return_inverse=True)
+            self.levels.append(keys)
+        self.part, after = node, np.zeros(len(parts), np.int64)
+        for keys, words in zip(self.levels, parts.T[1:]):
+            after = _find(keys, np.where(after < 0, -1, after * n_words + words))
+        self.after = np.full(len(self.levels[-1]) if self.levels else 0, -1, np.int64)
+        self.after[node] = after
+
+    def step(self, state: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+        """The node after each word, which makes phrases of ``size`` words: from their last words of the tree's depth, -1 if it may not follow."""
+        if size > self.size:
+            state = self.after[state]
+        return _find(self.levels[min(size, self.size) - 1], np.where(state < 0, -1, state * self.n_words + word))
+
+
+def _grown(numbers: np.ndarray, chains: Chains, longest: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """As ``extensions``: words of the phrases, a column each; nodes of their first and last allowed parts; counts; where one ends.
 
     Depth first: the phrases that begin with a group of words are extended to their end before the next group's.
     """
-    if not len(chains.keys):
+    if not chains.size:
         return
-    maps = Bitmaps(np.where((numbers >= 0) & (chains.first[numbers] < 0) & ~np.isin(numbers, chains.keys % max(n_words, 1)), -1, numbers), n_words)
+    maps = Bitmaps(np.where(chains.used[numbers], numbers, -1), chains.n_words)
     for a, b in maps.groups():
         own = slice(maps.begin[a], maps.begin[b])
-        words = np.flatnonzero(chains.first[a:b] >= 0) + a
+        node = chains.step(np.zeros(b - a, np.int64), np.arange(a, b), 1)
+        words = np.flatnonzero(node >= 0)
         number = np.full(b - a, -1, np.int64)
-        number[words - a] = np.arange(len(words))
+        number[words] = np.arange(len(words))
         phrase = number[maps.word[own] - a]
         live = np.flatnonzero(phrase >= 0)
         phrase, block, bits = phrase[live], maps.block[own][live], maps.bits[own][live]
-        paths, state = [(w,) for w in words.tolist()], chains.first[words]
+        state = first = node[words]
+        paths = (words + a)[:, None]
         for size in range(2, longest + 1):
             phrase, word, block, bits = maps.longer(phrase, block, bits)
-            after = chains.step(state[phrase], word)
+            after = chains.step(state[phrase], word, size)
             ok = np.flatnonzero(after != -1)
             phrase, word, block, bits, after = phrase[ok], word[ok], block[ok], bits[ok], after[ok]
             starts = _starts(phrase, word)
             if not len(starts):
                 break
-            paths = [(*paths[p], w) for p, w in zip(phrase[starts].tolist(), word[starts].tolist(), strict=True)]
-            state = after[starts]
+            before = phrase[starts]
+            paths, state = np.c_[paths[before], word[starts]], after[starts]
+            first = state if size <= chains.size else first[before]
             phrase = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(phrase)]))
             if size > chains.size:
-                yield paths, _bit_counts(bits, starts)
+                yield paths, first, state, _bit_counts(bits, starts), _ends(block, bits, starts)
 
 
-def _counted(find):
-    """Rows of ``COUNTS`` for each shard; ``find`` gives the phrases of a sequence and of what is allowed in it, and their counts."""
+def extensions(numbers: np.ndarray, n_words: int, chains: Chains, longest: int) -> Iterator[tuple[list[tuple[int, ...]], np.ndarray]]:
+    """Phrases longer than the allowed ones, to ``longest`` words, all of whose parts of that size are allowed, and their counts."""
+    for paths, _, _, counts, _ in _grown(numbers, chains, longest):
+        yield list(map(tuple, paths.tolist())), counts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard, lang, words, sequence, allowed = (batch.column(k)[i].as_py() for k in range(5))
-                for texts, counts in find(unpacked(sequence), words, allowed):
-                    n = len(texts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([lang] * n, pa.string()), pa.array(texts, pa.string()), pa.array(counts)], schema=COUNTS_ARROW)
 
-    return run
+def _in_shard(size: int, longest: int, base: int, back: int, buckets: int):
+    """Rows of ``COUNTS`` for a shard: its phrases longer than ``size`` words, to ``longest``, whose parts of ``size`` are frequent.
+
+    A phrase's key is ``base`` times the number of its first part, and that of its
+    last, which cover it: ``longest`` is at most twice ``size``. Phrases of ``back``
+    words will come back, so they say where one is.
+    """
 
+    def run(rows: pa.Table) -> pa.Table:
+        sequence, own = rows["sequence"].drop_null(), pc.list_flatten(rows["own"]).to_numpy()
+        part_at = [unpacked(x.as_py()) for x in rows["at"].drop_null()]
+        if not len(sequence) or not len(own) or size > 1 and not part_at:
+            return COUNTS_ARROW.empty_table()
+        shard, lang = rows["shard"][0].as_py(), rows["lang"].drop_null()[0].as_py()
+        numbers, at, word = unpacked(sequence[0].as_py()), own >> 32, own & 0xFFFFFFFF
+        names = np.unique(word)
+        local = np.full(max(numbers.max(), at.max()) + 2, -1, np.int32)  # the last one is for ends of pieces, -1
+        local[at] = np.searchsorted(names, word)
+        numbers = local[numbers]
+        found: dict[int, list] = {}
+        if size == 1:
+            for first, second, often, ends in _pairs(numbers, len(names)):
+                found.setdefault(2, []).append((names[first] * base + names[second], often, ends))
+        else:
+            part_at, part_id = np.concatenate(part_at), np.concatenate([unpacked(x.as_py(), "<i8") for x in rows["ids"].drop_null()])
+            chains = Chains(numbers[part_at[:, None] + np.arange(1 - size, 1)], len(names))
+            number = np.zeros(len(chains.after), np.int64)
+            number[chains.part] = part_id
+            for paths, first, last, often, ends in _grown(numbers, chains, longest):
+                found.setdefault(paths.shape[1], []).append((number[first] * base + number[last], often, ends))
+        out = []
+        for k, parts in found.items():
+            keys, often, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+            bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((keys, bucket))
+            keys, often, ends = keys[order], often[order], ends[order]
+            begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for i in np.flatnonzero(np.diff(begin)).tolist():
+                x = slice(begin[i], begin[i + 1])
+                out.append((lang, k, i, shard, packed(np.diff(keys[x], prepend=0), "<u8"), packed(often[x]), packed(ends[x]) if k == back else None))
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), COUNTS_ARROW.types, strict=True)], schema=COUNTS_ARROW) if out else COUNTS_ARROW.empty_table()
 
-def _find_pairs(numbers, words, allowed):
-    """Of ``allowed`` words, given by their numbers."""
-    own = np.full(len(words) + 1, -1, np.int32)  # the last one is for ends of pieces, -1
-    own[allowed] = np.arange(len(allowed))
-    names = [words[i] for i in allowed]
-    for first, second, often in pairs(own[numbers], len(names)):
-        yield [f"{names[a]} {names[b]}" for a, b in zip(first.tolist(), second.tolist(), strict=True)], often
+    return run
 
 
-def _find_longer(longest: int):
-    def find(numbers, words, allowed):
-        """Of ``allowed`` phrases of one size, given as texts."""
-        parts = [p.split(" ") for p in allowed]
-        names = sorted({w for p in parts for w in p})
-        number = {w: i for i, w in enumerate(names)}
-        own = np.array([*(number.get(w, -1) for w in words), -1], np.int32)
-        chains = Chains([tuple(number[w] for w in p) for p in parts], len(names))
-        for paths, counts in extensions(own[numbers], len(names), chains, longest):
-            yield [" ".join([names[i] for i in path]) for path in paths], counts
+def _in_bucket(least: int, base: int, back: int, buckets: int):
+    """Rows of ``SUMS`` for the phrases of one size in a bucket: those that are frequent get a number each."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        lang, size, bucket = (rows[c][0].as_py() for c in ("lang", "size", "bucket"))
+        keys = [np.cumsum(unpacked(x.as_py(), "<i8")) for x in rows["keys"]]
+        bounds = np.cumsum([0, *map(len, keys)])
+        keys, often = np.concatenate(keys), np.concatenate([unpacked(x.as_py()) for x in rows["counts"]]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        f = np.add.reduceat(often[order], starts)
+        frequent = f >= least
+        n, number = int(frequent.sum()), np.where(frequent, (np.cumsum(frequent) - 1) * buckets + bucket, -1)
+        keys = keys[starts[frequent]]
+        none = lambda n, *names: [pa.nulls(n, SUMS_ARROW.field(x).type) for x in names]
+        same = lambda n: [pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32))]
+        out = [pa.Table.from_arrays([*same(n), pa.array(keys // base), pa.array(keys % base), pa.array(number[frequent]), pa.array(f[frequent]), *none(n, "shard", "at", "ids")], schema=SUMS_ARROW)]
+        if size == back and n:
+            own = np.empty(len(order), np.int64)
+            own[order] = np.repeat(number, np.diff(np.r_[starts, len(order)]))
+            shards = []
+            for i, (shard, at) in enumerate(zip(rows["shard"].to_pylist(), rows["at"], strict=True)):
+                ids = own[bounds[i] : bounds[i + 1]]
+                hit = np.flatnonzero(ids >= 0)
+                if len(hit):
+                    shards.append((shard, packed(unpacked(at.as_py())[hit]), packed(ids[hit], "<u8")))
+            columns = [pa.array(x, SUMS_ARROW.field(c).type) for c, x in zip(("shard", "at", "ids"), zip(*shards, strict=True), strict=True)]
+            out.append(pa.Table.from_arrays([*same(len(shards)), *none(len(shards), "first", "last", "id", "f"), *columns], schema=SUMS_ARROW))
+        return pa.concat_tables(out)
 
-    return find
+    return run
 
 
 def _sent(rows: DataFrame, bound: int) -> DataFrame:
@@ -258,13 +338,28 @@ def _sent(rows: DataFrame, bound: int) -> DataFrame:
 
 
 def _allowed(had: DataFrame, frequent: DataFrame, value: str, bound: int) -> DataFrame:
-    """``shard, allowed``: the ``value`` of what each shard has of ``frequent``.
+    """``shard, allowed``: ``value``, an expression, of what each shard has of ``frequent``.
 
     Every row of ``had`` is marked, frequent or not, so the join's rows grow as
     what the shards have does, not as shards times frequent phrases.
     """
-    marked = had.join(_sent(frequent.select("lang", "phrase", F.lit(True).alias("frequent")), bound), ["lang", "phrase"], "left")
-    return marked.groupBy("shard").agg(F.collect_list(F.when(F.col("frequent"), F.col(value))).alias("allowed")).where(F.size("allowed") > 0)
+    marked = had.join(_sent(frequent.withColumn("frequent", F.lit(True)), bound), ["lang", "phrase"], "left")
+    return marked.groupBy("shard").agg(F.collect_list(F.when(F.col("frequent"), F.expr(value))).alias("allowed")).where(F.size("allowed") > 0)
+
+
+def _base(parts: DataFrame) -> int:
+    """One more than the largest number of a written table's phrases; two numbers below it make a key of 63 bits."""
+    base = (parts.agg(F.max("id")).first()[0] or 0) + 1
+    if base**2 >= 1 << 63:
+        raise OverflowError(f"numbers of phrases up to {base}: two of them don't fit into a key")
+    return base
+
+
+def _named(more: DataFrame, parts: DataFrame, size: int) -> DataFrame:
+    """``lang, phrase, size, id, f`` of phrases given by the numbers of their first and last ``parts``, of ``size`` words each."""
+    for end in ("first", "last"):
+        more = more.join(parts.select("lang", F.col("id").alias(end), F.col("phrase").alias(f"{end}_words")), ["lang", end], "left")
+    return more.select("lang", F.expr(f"concat(first_words, ' ', substring_index(last_words, ' ', {size} - size))").alias("phrase"), "size", "id", "f")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_words: int = 1 << 20, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
@@ -273,25 +368,37 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
     Two tables, written. A phrase can't be frequent unless all its parts are. The
     words' counts come with the shards, and are summed; a shard gets the numbers
     of its frequent words back and counts its pairs; it gets its frequent pairs
-    back and extends them to phrases of three; and those depth first to the end.
+    back and extends them to phrases of three; and those depth first to the end
+    (beyond six words, to twice their size each time).
     What goes to a shard is what that shard has, so no list of all phrases is held
-    anywhere; a table of frequent ones is broadcast only if it has ``broadcast_rows`` at most.
+    anywhere; a table of frequent words is broadcast only if it has ``broadcast_rows``
+    at most. Buckets grow in number with the shards, so each holds what some four shards have.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     shards = written(texts.mapInArrow(_sharded(shard_words), SHARD))
+    buckets = max(16, shards.count() // 4)
     totals = written(shards.groupBy("lang").agg(F.sum("n_words").alias("n")))
     words = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
-    words = written(words.where(F.col("f") >= least))
-    own = _allowed(shards.select("shard", "lang", F.posexplode("words").alias("at", "phrase")), words, "at", broadcast_rows)
-    found = words
-    for find in (_find_pairs, _find_longer(min(longest, 3)), _find_longer(longest))[: max(0, longest - 1)]:
-        counted = written(shards.join(own, "shard").select("shard", "lang", "words", "sequence", "allowed").mapInArrow(_counted(find), COUNTS))
-        more = written(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
-        own = _allowed(counted, more, "phrase", broadcast_rows)
+    words = words.where(F.col("f") >= least).withColumn("part", F.expr("pmod(xxhash64(lang, phrase), 256)"))
+    numbers = F.row_number().over(Window.partitionBy("part").orderBy("lang", "phrase")).cast("long")
+    words = written(words.select("lang", "phrase", F.lit(1).alias("size"), ((numbers - 1) * 256 + F.col("part")).alias("id"), "f"))
+    own = shards.select("shard", "lang", F.posexplode("words").alias("at", "phrase"))
+    own = written(_allowed(own, words, "at * 4294967296 + id", broadcast_rows))
+    lists = shards.select("shard", "lang", "sequence").unionByName(own.select("shard", F.col("allowed").alias("own")), allowMissingColumns=True)
+    held = lists.withColumns({"at": F.lit(None).cast("binary"), "ids": F.lit(None).cast("binary")})
+    found, parts, size = words, words, 1
+    while size < longest:
+        to, base = min(longest, size + 1 if size < 3 else 2 * size), _base(parts)
+        back = to if to < longest else 0
+        counted = held.groupBy("shard").applyInArrow(_in_shard(size, to, base, back, buckets), COUNTS)
+        sums = written(counted.groupBy("lang", "size", "bucket").applyInArrow(_in_bucket(least, base, back, buckets), SUMS))
+        more = written(_named(sums.where("shard IS NULL").select("lang", "size", "first", "last", "id", "f"), parts, size))
         found = found.unionByName(more)
-    return written(found.select("lang", "phrase", (F.regexp_count("phrase", F.lit(" ")) + 1).alias("size"), "f")), totals
+        held = lists.unionByName(sums.where("shard IS NOT NULL").select("shard", "at", "ids"), allowMissingColumns=True)
+        parts, size = more.where(F.col("size") == to), to
+    return written(found.select("lang", "phrase", "size", "f")), totals
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int | None = 2000, shard_words: int = 1 << 20) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -114,3 +115,33 @@ def test_a_shard_without_any_frequent_word_counts_nothing(spark):
     frequent = spark.createDataFrame([("en", "a", 9), ("en", "c", 9)], "lang string, phrase string, f long")
     for bound in (10, 0):
         assert {r.shard: sorted(r.allowed) for r in phrases._allowed(had, frequent, "at", bound).collect()} == {s: [0, 2] for s in (1, 2, 3)}
+
+
+def test_tree_of_allowed_phrases_is_arrays():
+    """A larger corpus lets nearly all pairs of a shard pass: each may take some numbers of memory, not objects."""
+    rng = np.random.default_rng(7)
+    allowed = list({tuple(p) for p in rng.integers(0, 30_000, (200_000, 3)).tolist()})
+    tracemalloc.start()
+    chains = phrases.Chains(allowed, 30_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert chains.size == 3 and peak < 200 * len(allowed)
+
+
+def test_phrases_of_a_shard_are_packed_rows_until_they_are_frequent(spark, monkeypatch):
+    """What is written has a row for each frequent phrase and each shard and bucket, not for each phrase of a shard."""
+    sizes, written = [], phrases.written
+    monkeypatch.setattr(phrases, "written", lambda rows: (out := written(rows), sizes.append((out.columns, out.count())))[0])
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(300)), "en", None, None) for i in range(40)]
+    found, _ = phrases.frequent_phrases(spark.createDataFrame(docs, DOCS).repartition(2), 9, 5, 1500)
+    shards = sizes[0][1]
+    assert shards >= 8 and found.where("size = 2").count() < 500
+    assert all(n <= 3000 + 16 * shards for _, n in sizes)
+
+
+@pytest.mark.parametrize("longest", [1, 3, 7, 13])
+def test_any_longest_size(spark, longest):
+    docs = [(i, "a b c d e f g h i j k l m n o p, b c d, x a b c d e f g " * (i % 3), "en", None, None) for i in range(9)] + [(0, "q r q r q r q r q r q r q r q r q r " * 3, "fr", None, None)]
+    got = phrases.collocations(spark.createDataFrame(docs, DOCS).repartition(3), 4, longest, 2000, 60)
+    assert sorted(map(tuple, got.collect())) == plain(docs, 4, longest, 2000)
