@@ -67,13 +67,17 @@ class _Shard:
 
 
 def packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
-    """Whole numbers from -1 on, byte by byte: first the low bytes of all, last the high ones, which compress to nothing."""
-    return (numbers + 1).astype(kind).view(np.uint8).reshape(-1, int(kind[2:])).T.tobytes()
+    """Whole numbers from -1 on, byte by byte: how many bytes a number has, the low bytes of all, and so on to the highest that any needs."""
+    own = (numbers + 1).astype(kind)
+    n = max(1, -(-int(own.max(initial=0)).bit_length() // 8))
+    return bytes([n]) + own.view(np.uint8).reshape(-1, own.itemsize).T[:n].tobytes()
 
 
 def unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
-    one = np.dtype(kind).type(1)
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(int(kind[2:]), -1).T).view(kind).ravel() - one
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    own = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    own[:, : data[0]] = planes.T
+    return own.view(kind).ravel() - np.dtype(kind).type(1)
 
 
 def _sharded(size: int):
@@ -362,7 +366,7 @@ def _named(more: DataFrame, parts: DataFrame, size: int) -> DataFrame:
     return more.select("lang", F.expr(f"concat(first_words, ' ', substring_index(last_words, ' ', {size} - size))").alias("phrase"), "size", "id", "f")
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_words: int = 1 << 20, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_words: int = 1 << 18, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, size, f`` of all words and phrases up to ``longest`` words with f of ``least`` or more; ``lang, n`` of all words.
 
     Two tables, written. A phrase can't be frequent unless all its parts are. The
@@ -372,13 +376,13 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
     (beyond six words, to twice their size each time).
     What goes to a shard is what that shard has, so no list of all phrases is held
     anywhere; a table of frequent words is broadcast only if it has ``broadcast_rows``
-    at most. Buckets grow in number with the shards, so each holds what some four shards have.
+    at most. Buckets grow in number with the shards, so each holds what some sixteen shards have.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     shards = written(texts.mapInArrow(_sharded(shard_words), SHARD))
-    buckets = max(16, shards.count() // 4)
+    buckets = max(16, shards.count() // 16)
     totals = written(shards.groupBy("lang").agg(F.sum("n_words").alias("n")))
     words = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
     words = words.where(F.col("f") >= least).withColumn("part", F.expr("pmod(xxhash64(lang, phrase), 256)"))
@@ -401,7 +405,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard_
     return written(found.select("lang", "phrase", "size", "f")), totals
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int | None = 2000, shard_words: int = 1 << 20) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int | None = 2000, shard_words: int = 1 << 18) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's phrases that stick together most.
 
     Texts are lower-cased (A-Z), cut into pieces at ``ENDS``, and these into words
