@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,34 +37,71 @@ def live_dedupe(positions: DataFrame, late: str = "10 minutes") -> DataFrame:
     return positions.withWatermark("ts", late).dropDuplicatesWithinWatermark(["vehicle_id", "ts"])
 
 
+#: Groups of vehicles, whose state is one value each. A stream that goes on from its checkpoint needs the same number.
+GROUPS = 512
+#: No time: the vehicle isn't known, or its position has none.
+NEVER = -(2**63)
+
+
 class ChangedProcessor(StatefulProcessor):
-    """State: the time of the vehicle's last position. A timer forgets a vehicle that isn't polled any more."""
+    """State of a group of vehicles: id, time of the last position and of the last poll of each, as packed numbers in the order of ids.
+
+    A group's rows of a batch are worked on together, since a call for each vehicle
+    takes milliseconds. A vehicle that isn't polled any more is unknown from the
+    batch on whose watermark has passed its time; a timer at the next such time
+    also calls for groups without rows.
+    """
 
     def __init__(self, forget_ms: int):
         self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long, polled_ms long")
+        self.fleet = handle.getValueState("fleet", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows)).sort_values("seq")
-        last, polled = self.last.get() if self.last.exists() else (None, 0)
-        if polled + self.forget_ms <= timerValues.getCurrentWatermarkInMs():  # its timer is due in this very batch
-            last = None
-        keep = rows["at"].ne(rows["at"].shift(1))
-        keep.iloc[0] = last is None or rows["at"].iloc[0] != last
-        polled = max(polled, int(rows["polled_ms"].max()))
-        self.last.update((int(rows["at"].iloc[-1]), polled))
+        rows = pd.concat(list(rows))
+        rows = rows.iloc[np.lexsort((rows["seq"], rows["vehicle_id"]))]
+        vehicle, at, polled = (rows[c].to_numpy("int64") for c in ("vehicle_id", "at", "polled_ms"))
+        starts = np.flatnonzero(np.r_[True, vehicle[1:] != vehicle[:-1]])
+        ids, newest, last = vehicle[starts], np.maximum.reduceat(polled, starts), at[np.r_[starts[1:], len(at)] - 1]
+        watermark = timerValues.getCurrentWatermarkInMs()
+        known = self._known(watermark)
+        _, here, there = np.intersect1d(ids, known[0], assume_unique=True, return_indices=True)
+        before = np.r_[NEVER, at[:-1]]
+        before[starts] = NEVER
+        before[starts[here]] = known[1, there]
+        keep = (before == NEVER) | ((at != NEVER) & (at != before))
+        newest[here] = np.maximum(newest[here], known[2, there])
+        fleet = np.concatenate([np.delete(known, there, axis=1), [ids, last, newest]], axis=1)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(polled + self.forget_ms)
-        yield rows.loc[keep, ["at", "seq"]].assign(vehicle_id=key[0])[["vehicle_id", "at", "seq"]]
+        self._keep(fleet[:, np.argsort(fleet[0])], watermark)
+        out = rows.loc[keep, ["vehicle_id", "at", "seq"]].astype({"vehicle_id": "Int64", "at": "Int64"})
+        out.loc[out["at"] == NEVER, "at"] = pd.NA
+        yield out if key[0] >= 0 else out.assign(vehicle_id=pd.array([pd.NA] * len(out), "Int64"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self._keep(self._known(watermark), watermark)
         yield pd.DataFrame({"vehicle_id": [], "at": [], "seq": []}, dtype="int64")
 
+    def _known(self, watermark: int) -> np.ndarray:
+        """Ids, times of positions and of polls of the vehicles that aren't due to be forgotten."""
+        packed = self.fleet.get()[0] if self.fleet.exists() else b""
+        return self._not_due(np.frombuffer(packed, "<i8").reshape(3, -1), watermark)
+
+    def _keep(self, fleet: np.ndarray, watermark: int) -> None:
+        fleet = self._not_due(fleet, watermark)
+        if fleet.size:
+            self.fleet.update((fleet.astype("<i8").tobytes(),))
+            self.handle.registerTimer(int(fleet[2].min()) + self.forget_ms)
+        else:
+            self.fleet.clear()
+
+    def _not_due(self, fleet: np.ndarray, watermark: int) -> np.ndarray:
+        return fleet[:, fleet[2] + self.forget_ms > watermark]
+
     def close(self) -> None:
         pass
 
@@ -74,10 +112,12 @@ def live_changed_only(positions: DataFrame, forget_seconds: int = 86_400, late:
     ``positions``: vehicle_id, at, seq, and ``polled``, the timestamp of the poll,
     by which state lives: a vehicle not polled for ``forget_seconds`` is
     forgotten once the watermark, ``late`` behind the newest poll, has passed
-    that. One number per vehicle, in RocksDB (``ROCKS``), so the fleets of years don't pile up. Rows of a batch are taken in the order of ``seq``.
+    that. Three numbers per vehicle, in RocksDB (``ROCKS``), so the fleets of years don't pile up. Rows of a batch are taken in the order of ``seq``.
     """
-    keyed = positions.select("vehicle_id", "at", "seq", "polled", F.unix_millis("polled").alias("polled_ms")).withWatermark("polled", late).groupBy("vehicle_id")
-    return keyed.transformWithStateInPandas(ChangedProcessor(1000 * forget_seconds), "vehicle_id long, at long, seq long", "append", "eventTime")
+    group = F.when(F.col("vehicle_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("vehicle_id"), F.lit(GROUPS)).cast("int")).alias("group")
+    number = lambda c, none: F.coalesce(c, F.lit(none).cast("long"))  # noqa: E731  # a column with nulls would reach pandas as floats
+    rows = positions.select(group, number(F.col("vehicle_id"), 0).alias("vehicle_id"), number(F.col("at"), NEVER).alias("at"), "seq", "polled", number(F.unix_millis("polled"), 0).alias("polled_ms"))
+    return rows.withWatermark("polled", late).groupBy("group").transformWithStateInPandas(ChangedProcessor(1000 * forget_seconds), "vehicle_id long, at long, seq long", "append", "eventTime")
 
 
 def changed_only_batch(positions: DataFrame) -> DataFrame:

@@ -282,6 +282,44 @@ def test_changed_positions_of_a_vehicle_that_expires_and_comes_back(spark, tmp_p
     assert sorted(r.seq for r in kept.collect()) == [0, 1, 2, 3, 5] == sorted(r.seq for r in live.changed_only_batch(batch).collect())
 
 
+def test_changed_positions_keep_state_by_groups_of_vehicles(spark, tmp_path):
+    """State has a value and a timer per group, however many vehicles: a call for each would take hours for a large fleet."""
+    rows = [(k, 5 * v, (v * (k + 1)) % 3, 10_000 * k + v, f"2024-01-01 0{k}:00:00") for k in range(3) for v in range(4000)]
+    stream = polls(spark, tmp_path, rows, "vehicle_id long, at long, seq long, time string").withColumn("polled", F.col("time").cast("timestamp"))
+    spark.conf.set(*live.ROCKS)
+    query = live.live_changed_only(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert all(p["stateOperators"][0]["numRowsTotal"] <= 3 * live.GROUPS for p in query.recentProgress)
+    batch = live.changed_only_batch(spark.createDataFrame([r[1:4] for r in rows], "vehicle_id long, at long, seq long"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.select("vehicle_id", "at", "seq").collect()))
+
+
+def test_changed_positions_of_groups_that_come_and_go(spark, tmp_path, monkeypatch):
+    """Many vehicles a group, some polled late, forgotten or without id or time, against a loop over the polls."""
+    rng, rows, hour = random.Random(4), [], [0, 1, 2, 6, 7, 12, 13, 14, 18, 19]
+    big = 2**60  # ids that no double can tell apart
+    for k in range(len(hour)):
+        for vehicle in rng.sample([None, *range(big, big + 30)], 12 if k != 4 else 1):
+            for _ in range(rng.choice([1, 1, 3])):
+                when = hour[k - 1] if k and rng.random() < 0.2 else hour[k]
+                rows.append((k, vehicle, rng.choice([None, 1, 1, 2, big]), len(rows) if rng.random() < 0.7 else -len(rows), f"2024-01-01 {when:02}:30:00"))
+    want, state, newest = [], {}, 0
+    for k in range(len(hour)):
+        mark = newest - 600
+        state = {v: s for v, s in state.items() if s[1] + 3 * 3600 > mark}
+        for _, vehicle, at, seq, time in sorted((r for r in rows if r[0] == k), key=lambda r: r[3]):
+            last, polled = state.get(vehicle, (None, 0))
+            if last is None or (at is not None and at != last):
+                want.append((vehicle, at, seq))
+            seconds = int(time[11:13]) * 3600 + 1800
+            state[vehicle], newest = (at, max(polled, seconds)), max(newest, seconds)
+    monkeypatch.setattr(live, "GROUPS", 3)
+    stream = polls(spark, tmp_path, rows, "vehicle_id long, at long, seq long, time string").withColumn("polled", F.col("time").cast("timestamp"))
+    found = live.finished(live.live_changed_only(stream, forget_seconds=3 * 3600), str(tmp_path / "out"))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
 def test_late_rows_are_dropped_and_told_of(spark, tmp_path):
     at = lambda h, m: f"2024-01-01 {h:02}:{m:02}:00"
     rows = [(0, 1, at(1, 0)), (0, 1, at(1, 0)), (1, 1, at(1, 0)), (1, 2, at(3, 0)), (2, 1, at(1, 5)), (3, 1, at(1, 6)), (3, 2, at(2, 55)), (3, 2, at(3, 0))]
