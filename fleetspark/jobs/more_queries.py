@@ -11,7 +11,7 @@ from fleetspark.sources import files, fixtures
 from fleetspark.streaming import live
 
 
-# The events land in six polls, five days each, one row in ten a poll too late; a poll is one file.
+# The events land in six polls, five days each, one row in ten a poll too late.
 POLL = "CAST(floor((day(ts) - 1) / 6) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS INT)"
 POLLED = f"(SELECT *, {POLL} AS poll FROM events)"
 # The watermark while a poll is worked on: ten minutes behind the newest row of those before.
@@ -20,12 +20,24 @@ MARKS = f"(SELECT poll, coalesce(max(newest) OVER (ORDER BY poll ROWS BETWEEN UN
 LATE = f"(SELECT e.*, epoch_us(ts) <= coalesce(m.mark, 0) * 1000 AS late FROM {POLLED} AS e LEFT JOIN {MARKS} AS m ON m.poll = e.poll - 1)"
 
 
+#: Files of a poll at most.
+MOST_FILES = 32
+
+
 def events(spark, sf_dir, path):
-    """The events as a stream of polls that land one after the other in ``path``."""
+    """The events as a stream of polls that land one after the other in ``path``.
+
+    The stream takes a poll by its number of files, so each poll has as many as the
+    table is read in parts, and empty ones stand in for parts without rows of it.
+    """
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("poll", F.expr(POLL))
+    parts = min(max(rows.rdd.getNumPartitions(), 1), MOST_FILES)
     for k in range(6):
-        rows.where(F.col("poll") == k).coalesce(1).write.mode("append").parquet(f"{path}/polls")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/polls")
+        rows.where(F.col("poll") == k).coalesce(parts).write.mode("append").parquet(f"{path}/polls")
+        landed = len(spark.read.schema(rows.schema).parquet(f"{path}/polls").inputFiles())
+        for _ in range(parts * (k + 1) - landed):
+            rows.limit(0).write.mode("append").parquet(f"{path}/polls")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(f"{path}/polls")
 
 
 SENDER = "user_id * 8 + length(event_type)"

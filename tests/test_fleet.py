@@ -270,6 +270,26 @@ def polls(spark, path, rows, schema):
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
 
+def test_a_poll_lands_in_as_many_files_as_the_table_has_parts(spark, sf_dir, tmp_path):
+    from fleetspark.jobs import more_queries
+
+    given = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("poll", F.expr(more_queries.POLL))
+    for at, some in enumerate(("poll < 2", "poll = 1 OR poll = 2", "poll > 2")):  # parts with rows of some polls only
+        given.where(some).where("poll <> 1 OR event_id % 2 = " + str(at % 2)).drop("poll").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        stream = more_queries.events(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+        parts = spark.read.parquet(f"{tmp_path}/in/events.parquet").rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert parts > 2 and len(spark.read.parquet(f"{tmp_path}/out/polls").inputFiles()) == 6 * parts
+    seen = {}
+    stream.writeStream.foreachBatch(lambda batch, k: seen.update({k: sorted(batch.select("poll", "event_id").collect())})).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = sorted(given.select("poll", "event_id").collect())
+    assert seen == {k: [r for r in rows if r.poll == k] for k in range(6)}
+
+
 def test_changed_positions_of_a_vehicle_that_expires_and_comes_back(spark, tmp_path):
     at = lambda h: f"2024-01-01 {h:02}:00:00"
     rows = [(0, 1, 10, 0, at(0)), (0, 1, 20, 1, at(0)), (0, 2, 5, 2, at(0)), (1, 1, 10, 3, at(1)), (1, 1, 10, 4, at(1)), (1, 3, 7, 5, at(1)), (2, 1, 10, 6, at(2)), (3, 1, 10, 7, at(5)), (4, 1, 10, 8, at(6)), (4, 2, 5, 9, at(6)), (4, 3, 7, 10, at(6))]
